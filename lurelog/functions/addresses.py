@@ -1,10 +1,7 @@
-"""IPv4 and IPv6 text as built-in column expressions (no Python in the scan)."""
+"""IPv4 and IPv6 text as SQL expressions (no Python in the scan)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from lurelog.functions.json_values import strip
 from lurelog.functions.local import let
 
@@ -13,99 +10,81 @@ V4 = rf"{OCTET}(?:\.{OCTET}){{3}}"
 MAPPED_PREFIX = "::ffff:"
 
 
-def normalize_ip(text: Column) -> Column:
+def normalize_ip(text: str) -> str:
     """Canonical address text; NULL when the text is not an address."""
     trimmed = strip(text)
-    unmapped = F.when(
-        trimmed.startswith(MAPPED_PREFIX), F.replace(trimmed, F.lit(MAPPED_PREFIX), F.lit(""))
-    ).otherwise(trimmed)
+    unmapped = f"""CASE WHEN startswith({trimmed}, '{MAPPED_PREFIX}')
+                        THEN replace({trimmed}, '{MAPPED_PREFIX}', '') ELSE {trimmed} END"""
     return let(
+        "ip",
         unmapped,
-        lambda ip: F.when(ip.rlike(rf"^{V4}\z"), ip).when(ip.contains(":"), _normalize_v6(ip)),
+        f"""CASE WHEN ip RLIKE r'^{V4}\\z' THEN ip
+                 WHEN contains(ip, ':') THEN {_normalize_v6("ip")} END""",
     )
 
 
-def mask_ip(ip: Column) -> Column:
+def mask_ip(ip: str) -> str:
     """Network of a canonical address: /24 for IPv4, /64 for IPv6."""
-    v4 = F.concat(F.substring_index(ip, ".", 3), F.lit(".0/24"))
-    v6 = let(
-        _v6_groups(F.substring_index(ip, "%", 1)),
-        lambda groups: F.concat(
-            _v6_text(F.concat(F.slice(groups, 1, 4), F.array_repeat(F.lit("0"), 4))), F.lit("/64")
-        ),
-    )
-    return F.when(ip.contains(":"), v6).when(ip.isNotNull(), v4)
+    network = _v6_text("concat(slice(groups, 1, 4), array_repeat('0', 4))")
+    v6 = let("groups", _v6_groups(f"substring_index({ip}, '%', 1)"), f"concat({network}, '/64')")
+    return f"""CASE WHEN contains({ip}, ':') THEN {v6}
+                    WHEN {ip} IS NOT NULL THEN concat(substring_index({ip}, '.', 3), '.0/24') END"""
 
 
-def _normalize_v6(ip: Column) -> Column:
-    address = _v6_text(_v6_groups(F.lower(F.substring_index(ip, "%", 1))))
-    scope = F.regexp_extract(ip, r"^[^%]*(%[^%/]+)\z", 1)
-    return F.when(~ip.contains("%"), address).when(scope != "", F.concat(address, scope))
+def _normalize_v6(ip: str) -> str:
+    address = _v6_text(_v6_groups(f"lower(substring_index({ip}, '%', 1))"))
+    scope = f"regexp_extract({ip}, r'^[^%]*(%[^%/]+)\\z', 1)"
+    return let(
+        "address",
+        address,
+        f"""CASE WHEN NOT contains({ip}, '%') THEN address
+                 WHEN {scope} <> '' THEN concat(address, {scope}) END""",
+    )
 
 
-def _v6_groups(text: Column) -> Column:
+def _v6_groups(text: str) -> str:
     """Eight groups without leading zeros, or NULL for malformed text."""
-    return let(_v4_tail_as_hex(text), lambda plain: let(F.split(plain, "::", -1), _fill_groups))
-
-
-def _v4_tail_as_hex(text: Column) -> Column:
-    octets = F.split(F.regexp_extract(text, rf":({V4})\z", 1), r"\.")
+    return let("plain", _v4_tail_as_hex(text), let("halves", "split(plain, '::', -1)", _fill_groups()))
 
-    def pair(i: int) -> Column:
-        high, low = (F.get(octets, F.lit(j)).try_cast("bigint") for j in (i, i + 1))
-        return F.lower(F.hex(high * 256 + low))
 
-    head = F.regexp_extract(text, rf"^(.*:){V4}\z", 1)
-    return F.when(
-        text.rlike(rf":{V4}\z"), F.concat(head, pair(0), F.lit(":"), pair(2))
-    ).otherwise(text)
+def _v4_tail_as_hex(text: str) -> str:
+    """An IPv4 address at the end written as the two groups it stands for."""
 
+    def pair(i: int) -> str:
+        high, low = (f"try_cast(get(octets, {j}) AS BIGINT)" for j in (i, i + 1))
+        return f"lower(hex({high} * 256 + {low}))"
 
-def _fill_groups(halves: Column) -> Column:
-    """Both sides of ``::`` with the zeros between them filled in."""
-    no_groups = F.array().cast("array<string>")
+    octets = rf"split(regexp_extract({text}, r':({V4})\z', 1), r'\.')"
+    head = rf"regexp_extract({text}, r'^(.*:){V4}\z', 1)"
+    tail = let("octets", octets, f"concat({pair(0)}, ':', {pair(2)})")
+    return rf"CASE WHEN {text} RLIKE r':{V4}\z' THEN concat({head}, {tail}) ELSE {text} END"
 
-    def groups_of(text: Column) -> Column:
-        return F.when(text == "", no_groups).otherwise(F.split(text, ":", -1))
 
-    head = groups_of(F.get(halves, F.lit(0)))
-    tail = F.when(F.size(halves) > 1, groups_of(F.get(halves, F.lit(1)))).otherwise(no_groups)
+def _fill_groups() -> str:
+    """Both sides of ``::`` (``halves``) with the zeros between them filled in."""
+    none = "cast(array() AS ARRAY<STRING>)"
 
-    def fill(sides: Column) -> Column:
-        first, second = sides["head"], sides["tail"]
-        known = F.size(first) + F.size(second)
-        valid = F.forall(F.concat(first, second), lambda g: g.rlike(r"^[0-9a-f]{1,4}\z"))
-        fits = F.when(F.size(halves) == 1, known == 8).otherwise(
-            (F.size(halves) == 2) & (known <= 7)
-        )
-        full = F.concat(first, F.array_repeat(F.lit("0"), 8 - known), second)
-        return F.when(
-            valid & fits, F.transform(full, lambda g: F.regexp_replace(g, r"^0+(?=.)", ""))
-        )
+    def groups_of(i: int) -> str:
+        half = f"get(halves, {i})"
+        return f"CASE WHEN coalesce({half}, '') = '' THEN {none} ELSE split({half}, ':', -1) END"
 
-    return let(F.struct(head.alias("head"), tail.alias("tail")), fill)
+    fill = r"""
+        CASE WHEN forall(concat(s.head, s.tail), g -> g RLIKE r'^[0-9a-f]{1,4}\z')
+              AND ((size(halves) = 1 AND size(s.head) = 8)
+                   OR (size(halves) = 2 AND size(s.head) + size(s.tail) <= 7))
+             THEN transform(
+               concat(s.head, array_repeat('0', 8 - size(s.head) - size(s.tail)), s.tail),
+               g -> regexp_replace(g, r'^0+(?=.)', '')) END"""
+    return let("s", f"named_struct('head', {groups_of(0)}, 'tail', {groups_of(1)})", fill)
 
 
-def _v6_text(groups: Column) -> Column:
+def _v6_text(groups: str) -> str:
     """Join eight groups, shortening the first longest run of two or more zeros to ``::``."""
-    lengths = F.array(*[F.lit(n) for n in range(8, 1, -1)])
-
-    def zeros(n: Column) -> Column:
-        return F.concat(F.repeat(F.lit(":0"), n), F.lit(":"))
-
-    def shorten(joined: Column) -> Column:
-        longest = F.get(F.filter(lengths, lambda n: F.position(zeros(n), joined) > 0), F.lit(0))
-        return let(
-            zeros(longest),
-            lambda run: F.when(run.isNull(), joined).otherwise(
-                F.concat(
-                    F.left(joined, F.position(run, joined) - 1),
-                    F.lit("::"),
-                    F.substring(joined, F.position(run, joined) + F.char_length(run), F.lit(64)),
-                )
-            ),
-        )
-
-    joined = F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
+    run = "concat(repeat(':0', n), ':')"
+    longest = f"get(filter(array(8, 7, 6, 5, 4, 3, 2), n -> position({run} IN joined) > 0), 0)"
+    cut = """concat(left(joined, position(run IN joined) - 1), '::',
+                    substring(joined, position(run IN joined) + char_length(run)))"""
+    shortened = let("n", longest, let("run", run, f"CASE WHEN n IS NULL THEN joined ELSE {cut} END"))
+    text = let("joined", f"concat(':', array_join({groups}, ':'), ':')", shortened)
     # A single colon left at either end is only the separator added above.
-    return F.regexp_replace(let(joined, shorten), r"^:(?!:)|(?<!:):$", "")
+    return f"regexp_replace({text}, r'^:(?!:)|(?<!:):$', '')"

@@ -1,4 +1,4 @@
-"""Field access on parsed JSON records with Python truth rules.
+"""Field access on parsed JSON records with Python truth rules, as SQL text.
 
 A sensor field may be missing, JSON null, or hold any JSON type.  Fallback
 chains in the log formats skip every *falsy* value (empty text, zero, false,
@@ -7,60 +7,58 @@ empty list or object), not only missing ones.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # JSON texts of the values that count as false.
 FALSY_JSON = ["null", '""', "false", "[]", "{}", "0", "0.0", "-0.0"]
 
 # Characters that count as white space when text is trimmed.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
-    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    "\\t\\n\\u000b\\u000c\\r\\u001c\\u001d\\u001e\\u001f \\u0085\\u00a0\\u1680"
+    "\\u2000\\u2001\\u2002\\u2003\\u2004\\u2005\\u2006\\u2007\\u2008\\u2009\\u200a"
+    "\\u2028\\u2029\\u202f\\u205f\\u3000"
 )
 
 
-def strip(text: Column) -> Column:
-    return F.trim(text, F.lit(WHITESPACE))
+def strip(text: str) -> str:
+    return f"trim(BOTH '{WHITESPACE}' FROM {text})"
 
 
-def field(record: Column, key: str, nested: str | None = None) -> Column:
+def field(record: str, key: str, nested: str | None = None) -> str:
     """The value under ``key`` as VARIANT, NULL only where the key is missing.
 
     With ``nested`` the key is also looked up one level down; a top-level key
     wins even when its value is JSON null.
     """
-    top = F.try_variant_get(record, f"$.{key}", "variant")
+    top = f"try_variant_get({record}, '$.{key}', 'variant')"
     if nested is None:
         return top
-    return F.coalesce(top, F.try_variant_get(record, f"$.{nested}.{key}", "variant"))
+    return f"coalesce({top}, try_variant_get({record}, '$.{nested}.{key}', 'variant'))"
 
 
-def is_truthy(value: Column) -> Column:
-    return F.coalesce(~F.to_json(value).isin(FALSY_JSON), F.lit(False))
+def is_truthy(value: str) -> str:
+    falsy = ", ".join(f"'{text}'" for text in FALSY_JSON)
+    return f"coalesce(to_json({value}) NOT IN ({falsy}), false)"
 
 
-def first_truthy(record: Column, keys: list[str], nested: str | None = None) -> Column:
+def first_truthy(record: str, keys: list[str], nested: str | None = None) -> str:
     """``a or b or c``: the first truthy value, else the last key's own value."""
     values = [field(record, key, nested) for key in keys]
-    picked = [F.when(is_truthy(v), v) for v in values[:-1]]
-    return F.coalesce(*picked, values[-1])
+    picked = [f"CASE WHEN {is_truthy(v)} THEN {v} END" for v in values[:-1]]
+    return f"coalesce({', '.join([*picked, values[-1]])})"
 
 
-def is_text(value: Column) -> Column:
-    return F.coalesce(F.to_json(value).startswith('"'), F.lit(False))
+def is_text(value: str) -> str:
+    return f"coalesce(startswith(to_json({value}), '\"'), false)"
 
 
-def as_text(value: Column) -> Column:
+def as_text(value: str) -> str:
     """Text form of any JSON value; NULL for missing and JSON null."""
-    text = F.try_variant_get(value, "$", "string")
-    spelled = F.to_json(value)
-    return F.when(spelled.isin("true", "false"), F.initcap(spelled)).otherwise(text)
+    return f"""CASE WHEN to_json({value}) IN ('true', 'false') THEN initcap(to_json({value}))
+                    ELSE try_variant_get({value}, '$', 'string') END"""
 
 
-def as_int(value: Column) -> Column:
+def as_int(value: str) -> str:
     """Integer reading: whole-number text is accepted, ``"22.7"`` is not, 22.7 becomes 22."""
-    text = strip(F.try_variant_get(value, "$", "string"))
-    from_text = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
-    number = F.try_variant_get(value, "$", "double")
-    return F.when(is_text(value), from_text).otherwise(number.try_cast("int"))
+    text = strip(f"try_variant_get({value}, '$', 'string')")
+    return f"""CASE WHEN {is_text(value)}
+                    THEN CASE WHEN {text} RLIKE r'^[+-]?\\d+$' THEN try_cast({text} AS INT) END
+                    ELSE try_cast(try_variant_get({value}, '$', 'double') AS INT) END"""

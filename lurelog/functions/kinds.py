@@ -1,10 +1,7 @@
-"""Event-kind and service classification."""
+"""Event-kind and service classification, as SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Ends of the interactive sensor's event ids, first match wins.
 EVENT_SUFFIXES = [
     ("login.failed", "login_fail"),
@@ -22,31 +19,24 @@ SERVICE_WORDS = ["ftp", "mysql", "rdp", "ssh", "smb", "http"]
 SERVICE_PORTS = {21: "ftp", 22: "ssh", 80: "http", 443: "http", 3389: "rdp", 3306: "mysql", 445: "smb"}
 
 
-def event_type_by_id(eventid: Column, textual: Column) -> Column:
+def event_type_by_id(eventid: str, textual: str) -> str:
     """Kind of an interactive-sensor event; ids that are not text are ``other``."""
-    kind = F.when(~textual, "other")
-    for suffix, name in EVENT_SUFFIXES:
-        kind = kind.when(eventid.endswith(suffix), name)
-    return kind.when(eventid.contains(DOWNLOAD_MARK), "download").otherwise("other")
-
-
-def service_by_log_type(log_type: Column, port: Column) -> Column:
-    lowered = F.coalesce(F.lower(log_type), F.lit(""))
-    service = F.when(F.lit(False), "")
-    for word in SERVICE_WORDS:
-        service = service.when(lowered.contains(word), word)
-    for number, name in SERVICE_PORTS.items():
-        service = service.when(port == number, name)
-    return service.otherwise("unknown")
-
-
-def event_type_by_log_type(log_type: Column) -> Column:
-    lowered = F.coalesce(F.lower(log_type), F.lit(""))
-    login = lowered.contains("login")
-    return (
-        F.when(login & lowered.contains("fail"), "login_fail")
-        .when(login & lowered.contains("success"), "login_success")
-        .when(login, "login_attempt")
-        .when(lowered.contains("connect"), "connect")
-        .otherwise("other")
-    )
+    cases = [f"WHEN NOT {textual} THEN 'other'"]
+    cases += [f"WHEN endswith({eventid}, '{end}') THEN '{kind}'" for end, kind in EVENT_SUFFIXES]
+    cases.append(f"WHEN contains({eventid}, '{DOWNLOAD_MARK}') THEN 'download'")
+    return f"CASE {' '.join(cases)} ELSE 'other' END"
+
+
+def service_by_log_type(log_type: str, port: str) -> str:
+    by_word = [f"WHEN contains(lower({log_type}), '{w}') THEN '{w}'" for w in SERVICE_WORDS]
+    by_port = [f"WHEN {port} = {number} THEN '{name}'" for number, name in SERVICE_PORTS.items()]
+    return f"CASE {' '.join(by_word + by_port)} ELSE 'unknown' END"
+
+
+def event_type_by_log_type(log_type: str) -> str:
+    kind = f"lower({log_type})"
+    login = f"contains({kind}, 'login')"
+    return f"""CASE WHEN {login} AND contains({kind}, 'fail') THEN 'login_fail'
+                    WHEN {login} AND contains({kind}, 'success') THEN 'login_success'
+                    WHEN {login} THEN 'login_attempt'
+                    WHEN contains({kind}, 'connect') THEN 'connect' ELSE 'other' END"""

@@ -1,28 +1,28 @@
-"""Salted pseudonyms and event fingerprints."""
+"""Salted pseudonyms and event fingerprints, as SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from lurelog.functions.local import quoted
 
 
-def _short_sha(text: Column) -> Column:
-    return F.substring(F.sha2(text, 256), 1, 16)
+def _short_sha(salt: str, mark: str, text: str) -> str:
+    return f"substring(sha2(concat({quoted(f'{salt}|{mark}')}, {text}), 256), 1, 16)"
 
 
-def hash_ip(ip: Column, salt: str) -> Column:
+def hash_ip(ip: str, salt: str) -> str:
     """16 hex digits of sha256(salt|ip); NULL for a missing or empty address."""
-    return F.when(ip != "", _short_sha(F.concat(F.lit(f"{salt}|"), ip)))
+    return f"CASE WHEN {ip} <> '' THEN {_short_sha(salt, '', ip)} END"
 
 
-def hash_user(text: Column, salt: str) -> Column:
-    return _short_sha(F.concat(F.lit(f"{salt}|u|"), text))
+def hash_user(text: str, salt: str) -> str:
+    return _short_sha(salt, "u|", text)
 
 
-def hash_password(text: Column, salt: str) -> Column:
-    return _short_sha(F.concat(F.lit(f"{salt}|p|"), text))
+def hash_password(text: str, salt: str) -> str:
+    return _short_sha(salt, "p|", text)
 
 
-def fingerprint(parts: list[Column]) -> Column:
+def fingerprint(parts: list[str]) -> str:
     """sha256 over the parts joined by a pipe, a NULL part counting as empty."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
+    filled = ", ".join(f"coalesce({part}, '')" for part in parts)
+    return f"sha2(concat_ws('|', {filled}), 256)"

@@ -1,63 +1,58 @@
-"""Text measures and clean-up for passwords and commands."""
+"""Text measures and clean-up for passwords and commands, as SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from lurelog.functions.json_values import strip
 from lurelog.functions.local import let
 
 COMMAND_LIMIT = 8000
 
 
-def without_control_chars(text: Column) -> Column:
+def without_control_chars(text: str) -> str:
     """Drop code points below 32 except tab and newline, then trim."""
-    return strip(F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F]", ""))
+    return strip(f"regexp_replace({text}, r'[\\x00-\\x08\\x0B-\\x1F]', '')")
 
 
-def clean_command(text: Column, limit: int = COMMAND_LIMIT) -> tuple[Column, Column]:
-    """(command, truncated): cleaned text cut at ``limit`` and whether it was cut."""
-    cleaned = without_control_chars(text)
-    cut = F.coalesce(F.char_length(cleaned) > limit, F.lit(False))
-    return F.left(cleaned, F.lit(limit)), cut
+def clean_command(text: str, limit: int = COMMAND_LIMIT) -> str:
+    """Struct ``text, truncated``: cleaned text cut at ``limit`` and whether it was cut."""
+    return let(
+        "cleaned",
+        without_control_chars(text),
+        f"""struct(left(cleaned, {limit}) AS text,
+                   coalesce(char_length(cleaned) > {limit}, false) AS truncated)""",
+    )
 
 
-def shannon_entropy(text: Column) -> Column:
+def shannon_entropy(text: str) -> str:
     """Bits per character of the trimmed text; NULL when nothing is left."""
+    share = "((n - char_length(replace(body, c, ''))) / n)"
+    bits = f"""aggregate(array_distinct(filter(split(body, ''), c -> c <> '')), 0D,
+                         (acc, c) -> acc - {share} * log2({share}))"""
+    counted = let("n", "char_length(body)", bits)
+    return let("body", strip(text), f"CASE WHEN body <> '' THEN {counted} END")
 
-    def bits(body: Column) -> Column:
-        total = F.char_length(body)
-
-        def add(acc: Column, ch: Column) -> Column:
-            share = (total - F.char_length(F.replace(body, ch, F.lit("")))) / total
-            return acc - share * F.log2(share)
-
-        distinct = F.array_distinct(F.filter(F.split(body, ""), lambda c: c != ""))
-        return F.when(total > 0, F.aggregate(distinct, F.lit(0.0), add))
 
-    return let(strip(text), bits)
+def first_word(line: str) -> str:
+    return f"regexp_extract(lower({strip(line)}), r'(?U)^(\\S+)', 1)"
 
 
-def command_tokens(lines: Column) -> Column:
+def command_tokens(lines: str) -> str:
     """First word of every command line, lower-cased, words of one letter dropped."""
-    words = F.transform(lines, first_word)
-    return F.filter(words, lambda w: F.char_length(w) >= 2)
+    return f"filter(transform({lines}, line -> {first_word('line')}), w -> char_length(w) >= 2)"
 
 
-def first_word(line: Column) -> Column:
-    return F.regexp_extract(F.lower(strip(line)), r"(?U)^(\S+)", 1)
+def command_doc(lines: str) -> str:
+    """One document per session: its command words joined by blanks."""
+    return f"coalesce(array_join({command_tokens(lines)}, ' '), '')"
 
 
-def command_doc(lines: Column) -> Column:
-    """One document per session: its command words joined by blanks."""
-    return F.coalesce(F.array_join(command_tokens(lines), " "), F.lit(""))
+def words(doc: str) -> str:
+    """Words of two or more letters, digits, ``_`` or ``-``."""
+    return f"regexp_extract_all(lower({doc}), r'(?U)\\b([a-zA-Z0-9_\\-]{{2,}})\\b', 1)"
 
 
-def doc_terms(doc: Column) -> Column:
-    """All 1- and 2-grams over the words of two or more letters, digits, ``_`` or ``-``."""
-    words = F.regexp_extract_all(F.lower(doc), F.lit(r"(?U)\b([a-zA-Z0-9_\-]{2,})\b"), 1)
-    following = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
-    shorter = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    pairs = F.zip_with(shorter, following, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, pairs)
+def doc_terms(doc: str) -> str:
+    """All words and pairs of neighbouring words."""
+    pairs = """zip_with(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, greatest(size(w) - 1, 0)),
+                        (a, b) -> concat(a, ' ', b))"""
+    return let("w", words(doc), f"concat(w, {pairs})")

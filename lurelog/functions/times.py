@@ -1,24 +1,22 @@
-"""Event-time parsing and formatting, UTC throughout."""
+"""Event-time parsing and formatting, UTC throughout, as SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from lurelog.functions.json_values import as_text, is_text, strip
+from lurelog.functions.local import let, quoted
 
-# Textual layouts accepted besides ISO-8601.
+# Layouts accepted besides ISO-8601, after a leading weekday name
+# was dropped and a trailing GMT or UTC written as Z.
 EXTRA_LAYOUTS = [
     "MMM d yyyy HH:mm:ss",
     "MMM d, yyyy HH:mm:ss",
+    "MMM d HH:mm:ss yyyy",
     "d MMM yyyy HH:mm:ss",
-    "EEE MMM d HH:mm:ss yyyy",
-    "EEE, d MMM yyyy HH:mm:ss Z",
-    "EEE, d MMM yyyy HH:mm:ss z",
+    "d MMM yyyy HH:mm:ss XX",
     "yyyy/MM/dd HH:mm:ss",
     "MM/dd/yyyy HH:mm:ss",
     "yyyyMMdd'T'HHmmss",
-    "yyyyMMdd'T'HHmmssX",
+    "yyyyMMdd'T'HHmmssXX",
 ]
 
 # Years 1 to 9999, the range an event time may lie in.
@@ -26,34 +24,42 @@ MIN_EPOCH = -62135596800
 MAX_EPOCH = 253402300799
 
 
-def from_epoch(seconds: Column) -> Column:
+def from_epoch(seconds: str) -> str:
     """Epoch seconds (fractions to the microsecond) to a timestamp."""
-    micros = F.round(seconds * F.lit(1e6)).try_cast("bigint")
-    return F.when(seconds.between(MIN_EPOCH, MAX_EPOCH), F.timestamp_micros(micros))
+    micros = f"try_cast(round({seconds} * 1e6) AS BIGINT)"
+    return f"""CASE WHEN {seconds} BETWEEN {MIN_EPOCH} AND {MAX_EPOCH}
+                    THEN timestamp_micros({micros}) END"""
 
 
-def from_text(text: Column) -> Column:
+def from_text(text: str) -> str:
     """ISO-8601 and the listed layouts; no zone means UTC; a bare time is refused."""
-    text = strip(text)
-    iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp"))
-    others = [F.try_to_timestamp(text, F.lit(layout)) for layout in EXTRA_LAYOUTS]
-    return F.coalesce(iso, *others)
+    plain = r"""regexp_replace(regexp_replace(t, r'^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+', ''),
+                               r'(?i)(GMT|UTC)$', 'Z')"""
+    others = ", ".join(f"try_to_timestamp(p, {quoted(layout)})" for layout in EXTRA_LAYOUTS)
+    return let(
+        "t",
+        strip(text),
+        f"""CASE WHEN t RLIKE r'^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}' THEN try_cast(t AS TIMESTAMP)
+                 ELSE {let("p", plain, f"coalesce({others})")} END""",
+    )
 
 
-def parse_event_time(value: Column) -> Column:
+def parse_event_time(value: str) -> str:
     """Timestamp of a VARIANT holding text or epoch seconds; NULL when unreadable."""
-    return F.when(is_text(value), from_text(as_text(value))).otherwise(
-        from_epoch(F.try_variant_get(value, "$", "double"))
-    )
+    seconds = f"try_variant_get({value}, '$', 'double')"
+    return f"""CASE WHEN {is_text(value)} THEN {from_text(as_text(value))}
+                    ELSE {from_epoch(seconds)} END"""
 
 
-def iso_utc(ts: Column) -> Column:
+def iso_utc(ts: str) -> str:
     """``2025-01-02T03:04:05.678901+00:00``; the fraction is left out when zero."""
-    micros = F.lpad(F.pmod(F.unix_micros(ts), F.lit(1_000_000)).cast("string"), 6, "0")
-    fraction = F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros))
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
+    micros = f"lpad(cast(pmod(unix_micros({ts}), 1000000) AS STRING), 6, '0')"
+    return f"""concat(date_format({ts}, "yyyy-MM-dd'T'HH:mm:ss"),
+                      CASE WHEN pmod(unix_micros({ts}), 1000000) = 0 THEN ''
+                           ELSE concat('.', {micros}) END, '+00:00')"""
 
 
-def window_start(ts: Column, minutes: int) -> Column:
+def window_start(ts: str, minutes: int) -> str:
     """Start of the epoch-aligned tumbling window that holds ``ts``."""
-    return F.window(ts, f"{minutes} minutes")["start"]
+    length = minutes * 60
+    return f"timestamp_seconds(floor(unix_seconds({ts}) / {length}) * {length})"

@@ -32,15 +32,14 @@ def sessions_for_clustering(sessions: DataFrame, min_commands: int = 3) -> DataF
 
 def session_docs(sessions: DataFrame) -> DataFrame:
     """``doc_id, doc`` from the ordered command list; text is taken as a single command."""
-    seq = F.col("commands_seq")
-    if isinstance(sessions.schema["commands_seq"].dataType, T.StringType):
-        seq = F.array(seq)
-    return sessions.select(F.col("session_id").alias("doc_id"), command_doc(seq).alias("doc"))
+    textual = isinstance(sessions.schema["commands_seq"].dataType, T.StringType)
+    lines = "array(commands_seq)" if textual else "commands_seq"
+    return sessions.selectExpr("session_id AS doc_id", f"{command_doc(lines)} AS doc")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """``doc_id, term, tf`` over 1- and 2-grams; counting combines on the map side."""
-    terms = docs.select("doc_id", F.explode(doc_terms(F.col("doc"))).alias("term"))
+    terms = docs.selectExpr("doc_id", f"explode({doc_terms('doc')}) AS term")
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 

@@ -22,29 +22,26 @@ def login_events(events: DataFrame) -> DataFrame:
     )
 
 
-def with_gaps(
-    logins: DataFrame, rows_per_slice: int = ROWS_PER_SLICE, within: list[str] | None = None
-) -> DataFrame:
+def with_gaps(logins: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Add ``gap_us``: microseconds since the previous login of the same address and service.
 
-    The gap runs across sensors and window borders; ``within`` names extra
-    columns that restart it.  A key with more than ``rows_per_slice`` rows is
-    cut into time slices, each its own group: the first row of a slice takes
-    its predecessor from the slice table, so every gap stays exact.
+    The gap runs across sensors and window borders.  A key with more than
+    ``rows_per_slice`` rows is cut into time slices, each its own group: the
+    first row of a slice takes its predecessor from the slice table, so every
+    gap stays exact.
     """
-    keys = GAP_KEY + (within or [])
-    slices = skew.time_slices(logins, keys, "ts_utc", rows_per_slice)
+    slices = skew.time_slices(logins, GAP_KEY, "ts_utc", rows_per_slice)
     now = F.unix_micros("ts_utc")
     if slices is None:
-        order = Window.partitionBy(*keys).orderBy("ts_utc", "source")
+        order = Window.partitionBy(*GAP_KEY).orderBy("ts_utc", "source")
         return logins.withColumn("gap_us", now - F.unix_micros(F.lag("ts_utc").over(order)))
 
-    placed = logins.join(F.broadcast(slices), keys, "left").withColumn(
+    placed = logins.join(F.broadcast(slices), GAP_KEY, "left").withColumn(
         "slice", F.coalesce(skew.slice_of(now, "cuts"), F.lit(0))
     )
     placed = placed.withColumn("before_us", F.try_element_at("previous", F.col("slice")))
     placed = placed.drop("cuts", "previous")
-    order = Window.partitionBy(*keys, "slice").orderBy("ts_utc", "source")
+    order = Window.partitionBy(*GAP_KEY, "slice").orderBy("ts_utc", "source")
     previous = F.coalesce(F.unix_micros(F.lag("ts_utc").over(order)), F.col("before_us"))
     return placed.withColumn("gap_us", now - previous).drop("slice", "before_us")
 
@@ -52,8 +49,6 @@ def with_gaps(
 def build_ip_windows(
     events: DataFrame,
     minutes: int = 5,
-    *,
-    reset_per_window: bool = False,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Attempts, successes, distinct credentials, entropy and gaps per window and address.
@@ -61,9 +56,8 @@ def build_ip_windows(
     Distinct counts use Spark's two-stage plan rather than collected sets, so a
     window with very many passwords never sits in one task.
     """
-    logins = login_events(events).withColumn("window_start", window_start(F.col("ts_utc"), minutes))
-    within = ["window_start"] if reset_per_window else None
-    gaps = with_gaps(logins, rows_per_slice, within)
+    logins = login_events(events).withColumn("window_start", F.expr(window_start("ts_utc", minutes)))
+    gaps = with_gaps(logins, rows_per_slice)
     return (
         gaps.groupBy(*schema.WINDOW_KEY)
         .agg(

@@ -112,7 +112,7 @@ def example_events(matched: DataFrame, n: int = 3) -> DataFrame:
 
 def event_line() -> Column:
     """``time | type | id | cmd=…`` or, without a command, ``raw=`` and the record's start."""
-    command = strip(F.coalesce("command", F.lit("")))
+    command = F.expr(strip("coalesce(command, '')"))
     raw = F.coalesce("raw_json", F.lit(""))
     preview = F.when(
         F.char_length(raw) > RAW_PREVIEW,

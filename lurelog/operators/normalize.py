@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurelog import schema
 from lurelog.functions import addresses, json_values as jv, kinds, pseudonyms, text, times
+from lurelog.functions.local import columns
 
 BAD_JSON = "not_dict_or_bad_json"
 BAD_TIME = "bad_ts"
@@ -48,71 +49,60 @@ LOW_INTERACTION_KEYS = {
 
 def parse_records(lines: DataFrame) -> DataFrame:
     """Add ``rec``: the line's JSON object as VARIANT, NULL for anything else."""
-    body = jv.strip(F.col("value"))
-    wrapped = F.concat(F.lit(f'{{"{_RECORD}":'), body, F.lit(f',"{_GUARD}":0}}'))
-    parsed = lines.withColumn("_doc", F.try_parse_json(wrapped))
-    members = F.size(F.expr("try_cast(_doc AS MAP<STRING, VARIANT>)"))
-    whole = (members == 2) & body.startswith("{")
-    record = F.when(whole, F.try_variant_get("_doc", f"$.{_RECORD}", "variant"))
-    return parsed.withColumn("rec", record).drop("_doc")
+    body = jv.strip("value")
+    parsed = lines.withColumn(
+        "_doc", F.expr(f"""try_parse_json(concat('{{"{_RECORD}":', {body}, ',"{_GUARD}":0}}'))""")
+    )
+    whole = f"size(try_cast(_doc AS MAP<STRING, VARIANT>)) = 2 AND startswith({body}, '{{')"
+    record = f"CASE WHEN {whole} THEN try_variant_get(_doc, '$.{_RECORD}', 'variant') END"
+    return parsed.withColumn("rec", F.expr(record)).drop("_doc")
 
 
 def _pick(lines: DataFrame, keys: dict[str, list[str]], nested: str | None) -> DataFrame:
     """One VARIANT column per canonical field, chosen by the fallback rules."""
-    record = F.col("rec")
-    values = {f"v_{name}": jv.first_truthy(record, names, nested) for name, names in keys.items()}
-    return parse_records(lines).withColumns(values)
+    values = {f"v_{name}": jv.first_truthy("rec", names, nested) for name, names in keys.items()}
+    return parse_records(lines).withColumns(columns(**values))
 
 
 def _identity(picked: DataFrame, salt: str) -> DataFrame:
     """Columns both sensors derive the same way: time, address, ports, credentials."""
-    user, password = F.col("v_username"), F.col("v_password")
     typed = picked.withColumns(
-        {
-            "ts_utc": times.parse_event_time(F.col("v_ts")),
-            "src_ip": addresses.normalize_ip(jv.as_text(F.col("v_src_ip"))),
-            "src_port": jv.as_int(F.col("v_src_port")),
-            "dst_port": jv.as_int(F.col("v_dst_port")),
-            "eventid": jv.as_text(F.col("v_eventid")),
-            "username": jv.as_text(user),
-            "password": jv.as_text(password),
-            "user_given": jv.is_truthy(user),
-            "password_given": jv.is_truthy(password),
-        }
+        columns(
+            ts_utc=times.parse_event_time("v_ts"),
+            src_ip=addresses.normalize_ip(jv.as_text("v_src_ip")),
+            src_port=jv.as_int("v_src_port"),
+            dst_port=jv.as_int("v_dst_port"),
+            eventid=jv.as_text("v_eventid"),
+            username=jv.as_text("v_username"),
+            password=jv.as_text("v_password"),
+            given_username=f"CASE WHEN {jv.is_truthy('v_username')} THEN {jv.as_text('v_username')} END",
+            given_password=f"CASE WHEN {jv.is_truthy('v_password')} THEN {jv.as_text('v_password')} END",
+        )
     )
-    given = F.when(F.col("password_given"), F.col("password"))
     return typed.withColumns(
-        {
-            "src_ip_hash": pseudonyms.hash_ip(F.col("src_ip"), salt),
-            "src_ip_masked": addresses.mask_ip(F.col("src_ip")),
-            "username_hash": F.when(
-                F.col("user_given"), pseudonyms.hash_user(F.col("username"), salt)
-            ),
-            "password_hash": pseudonyms.hash_password(given, salt),
-            "pass_len": F.when(jv.is_text(password), F.char_length("password")),
-            "pass_entropy": text.shannon_entropy(given),
-            "reject_reason": F.when(F.col("rec").isNull(), BAD_JSON).when(
-                F.col("ts_utc").isNull(), BAD_TIME
-            ),
-        }
+        columns(
+            src_ip_hash=pseudonyms.hash_ip("src_ip", salt),
+            src_ip_masked=addresses.mask_ip("src_ip"),
+            username_hash=pseudonyms.hash_user("given_username", salt),
+            password_hash=pseudonyms.hash_password("given_password", salt),
+            pass_len=f"CASE WHEN {jv.is_text('v_password')} THEN char_length(password) END",
+            pass_entropy=text.shannon_entropy("given_password"),
+            reject_reason=f"CASE WHEN rec IS NULL THEN '{BAD_JSON}' WHEN ts_utc IS NULL THEN '{BAD_TIME}' END",
+        )
     )
 
 
-def _canonical(df: DataFrame, raw_json: Column, keep_secrets: bool, redact: bool) -> DataFrame:
+def _canonical(df: DataFrame, raw_json: str, keep_secrets: bool, redact: bool) -> DataFrame:
     """Project to the canonical schema plus where the line came from and why it failed."""
-    if not keep_secrets:
-        df = df.withColumns({c: F.lit(None).cast("string") for c in ("src_ip", "username", "password")})
+    hidden = [] if keep_secrets else ["src_ip", "username", "password"]
+    changes = {name: "cast(NULL AS STRING)" for name in hidden}
+    changes["raw_json"] = "cast(NULL AS STRING)" if redact else raw_json
     if redact:
-        kept = F.when(F.col("event_type") == "command", F.col("command"))
-        df = df.withColumns({"command": kept, "raw_json": F.lit(None).cast("string")})
-    else:
-        df = df.withColumn("raw_json", raw_json)
-    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.EVENTS.fields]
+        changes["command"] = "CASE WHEN event_type = 'command' THEN command END"
+    changes["raw"] = f"CASE WHEN reject_reason IS NOT NULL THEN left({jv.strip('value')}, {RAW_LIMIT}) END"
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.EVENTS.fields]
     origin = [c for c in ("file", "line") if c in df.columns]
-    raw = F.when(
-        F.col("reject_reason").isNotNull(), F.left(jv.strip(F.col("value")), F.lit(RAW_LIMIT))
-    )
-    return df.select(*columns, *origin, "reject_reason", raw.alias("raw"))
+    return df.withColumns(columns(**changes)).select(*typed, *origin, "reject_reason", "raw")
 
 
 def normalize_cowrie(
@@ -125,76 +115,57 @@ def normalize_cowrie(
     ``redact_free_text=False`` keeps both.
     """
     picked = _identity(_pick(lines, INTERACTIVE_KEYS, None), salt)
-    command, truncated = text.clean_command(jv.as_text(F.col("v_command")))
     full = picked.withColumns(
-        {
-            "source": F.lit("cowrie"),
-            "service": F.lit("ssh"),
-            "event_type": kinds.event_type_by_id(F.col("eventid"), jv.is_text(F.col("v_eventid"))),
-            "session_id": jv.as_text(F.col("v_session_id")),
-            "command": command,
-            "command_truncated": truncated,
-            "url": jv.as_text(F.col("v_url")),
-            "filename": jv.as_text(F.col("v_filename")),
-            "file_hash": jv.as_text(F.col("v_file_hash")),
-        }
-    )
+        columns(
+            source="'cowrie'",
+            service="'ssh'",
+            event_type=kinds.event_type_by_id("eventid", jv.is_text("v_eventid")),
+            session_id=jv.as_text("v_session_id"),
+            cleaned=text.clean_command(jv.as_text("v_command")),
+            url=jv.as_text("v_url"),
+            filename=jv.as_text("v_filename"),
+            file_hash=jv.as_text("v_file_hash"),
+        )
+    ).withColumns(columns(command="cleaned.text", command_truncated="cleaned.truncated"))
     parts = [
-        "source", "service", "event_type", "eventid", times.iso_utc(F.col("ts_utc")), "src_ip_hash",
-        "session_id", "username_hash", "password_hash",
-        F.left("command", F.lit(HASHED_COMMAND_LENGTH)), "url", "filename",
+        "source", "service", "event_type", "eventid", times.iso_utc("ts_utc"), "src_ip_hash",
+        "session_id", "username_hash", "password_hash", f"left(command, {HASHED_COMMAND_LENGTH})",
+        "url", "filename",
     ]
-    hashed = full.withColumn("event_hash", _fingerprint(parts))
-    return _canonical(hashed, F.to_json("rec"), keep_secrets, redact_free_text)
+    hashed = full.withColumn("event_hash", F.expr(pseudonyms.fingerprint(parts)))
+    return _canonical(hashed, "to_json(rec)", keep_secrets, redact_free_text)
 
 
 def normalize_opencanary(
-    lines: DataFrame,
-    *,
-    salt: str,
-    keep_secrets: bool = False,
-    redact_free_text: bool = True,
+    lines: DataFrame, *, salt: str, keep_secrets: bool = False, redact_free_text: bool = True
 ) -> DataFrame:
     """Canonical rows of the low-interaction sensor; ``logdata`` is merged up first."""
     picked = _identity(_pick(lines, LOW_INTERACTION_KEYS, NESTED), salt)
-    nothing = F.lit(None).cast("string")
+    unused = ["session_id", "command", "url", "filename", "file_hash"]
     full = picked.withColumns(
-        {
-            "source": F.lit("opencanary"),
-            "service": kinds.service_by_log_type(
-                jv.as_text(F.col("v_service_hint")), F.col("dst_port")
-            ),
-            "event_type": kinds.event_type_by_log_type(F.col("eventid")),
-            "session_id": nothing,
-            "command": nothing,
-            "command_truncated": F.lit(False),
-            "url": nothing,
-            "filename": nothing,
-            "file_hash": nothing,
-        }
+        columns(
+            source="'opencanary'",
+            service=kinds.service_by_log_type(jv.as_text("v_service_hint"), "dst_port"),
+            event_type=kinds.event_type_by_log_type("eventid"),
+            command_truncated="false",
+            **{name: "cast(NULL AS STRING)" for name in unused},
+        )
     )
-    port = F.when(F.col("dst_port") != 0, F.col("dst_port").cast("string"))
     parts = [
-        "source", "service", "event_type", "eventid", times.iso_utc(F.col("ts_utc")), "src_ip_hash",
-        "username_hash", "password_hash", port,
+        "source", "service", "event_type", "eventid", times.iso_utc("ts_utc"), "src_ip_hash",
+        "username_hash", "password_hash", "CASE WHEN dst_port <> 0 THEN cast(dst_port AS STRING) END",
     ]
-    hashed = full.withColumn("event_hash", _fingerprint(parts))
-    return _canonical(hashed, _flattened_json(), keep_secrets, redact_free_text)
+    hashed = full.withColumn("event_hash", F.expr(pseudonyms.fingerprint(parts)))
+    return _canonical(hashed, _FLATTENED_JSON, keep_secrets, redact_free_text)
 
 
-def _fingerprint(parts: list[str | Column]) -> Column:
-    return pseudonyms.fingerprint([F.col(p) if isinstance(p, str) else p for p in parts])
-
-
-def _flattened_json() -> Column:
-    """The record with ``logdata`` members merged up; top-level members win."""
-    merged = f"""
-        to_json(map_from_entries(concat(
-            filter(map_entries(coalesce(try_variant_get(rec, '$.{NESTED}', 'map<string,variant>'), map())),
-                   e -> NOT map_contains_key(try_cast(rec AS MAP<STRING, VARIANT>), e.key)),
-            map_entries(try_cast(rec AS MAP<STRING, VARIANT>)))))
-    """
-    return F.expr(merged)
+# The record with ``logdata`` members merged up; top-level members win.
+_FLATTENED_JSON = f"""
+    to_json(map_from_entries(concat(
+        filter(map_entries(coalesce(try_variant_get(rec, '$.{NESTED}', 'map<string,variant>'), map())),
+               e -> NOT map_contains_key(try_cast(rec AS MAP<STRING, VARIANT>), e.key)),
+        map_entries(try_cast(rec AS MAP<STRING, VARIANT>)))))
+"""
 
 
 def valid_events(normalized: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def read_log_lines(spark: SparkSession, paths: str | list[str], numbered: bool =
     )
     if numbered:
         lines = _with_line_numbers(lines)
-    return lines.filter(strip(F.col("value")) != "")
+    return lines.filter(f"{strip('value')} <> ''")
 
 
 def _with_line_numbers(lines: DataFrame) -> DataFrame:
