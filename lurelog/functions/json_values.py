@@ -1,15 +1,13 @@
 """Field access on parsed JSON records with Python truth rules, as SQL text.
 
-A sensor field may be missing, JSON null, or hold any JSON type.  Fallback
+A value is read as text first; its JSON type is looked up only where it can
+change the result.  A sensor field may be missing, JSON null, or hold any JSON type.  Fallback
 chains in the log formats skip every *falsy* value (empty text, zero, false,
 empty list or object), not only missing ones.
 """
 
 from __future__ import annotations
 
-# JSON texts of the values that count as false.
-FALSY_JSON = ["null", '""', "false", "[]", "{}", "0", "0.0", "-0.0"]
-
 # Characters that count as white space when text is trimmed.
 WHITESPACE = (
     "\\t\\n\\u000b\\u000c\\r\\u001c\\u001d\\u001e\\u001f \\u0085\\u00a0\\u1680"
@@ -22,43 +20,76 @@ def strip(text: str) -> str:
     return f"trim(BOTH '{WHITESPACE}' FROM {text})"
 
 
-def field(record: str, key: str, nested: str | None = None) -> str:
-    """The value under ``key`` as VARIANT, NULL only where the key is missing.
+# Texts that a falsy number, boolean, list or object reads as.
+FALSY_TEXTS = ["0", "0.0", "-0.0", "false", "[]", "{}"]
+_FALSY = ", ".join(f"'{text}'" for text in FALSY_TEXTS)
+
+# Only text of this look can come from a JSON value that is not a string.
+NOT_SURELY_TEXT = r"r'^(-?[0-9.]+([eE][-+]?[0-9]+)?|NaN|-?Infinity|True|False|\[[\s\S]*|\{[\s\S]*)$'"
+
+
+def _value(record: str, key: str, nested: str | None) -> str:
+    """The VARIANT under ``key``, NULL only where the key is missing.
 
     With ``nested`` the key is also looked up one level down; a top-level key
     wins even when its value is JSON null.
     """
-    top = f"try_variant_get({record}, '$.{key}', 'variant')"
+    top = f"{record}.`{key}`"
     if nested is None:
         return top
-    return f"coalesce({top}, try_variant_get({record}, '$.{nested}.{key}', 'variant'))"
+    inner = f"try_variant_get({record}.`{nested}`, '$.{key}', 'variant')"
+    return f"CASE WHEN {top} IS NOT NULL THEN {top} ELSE {inner} END"
+
+
+def _text(record: str, key: str, nested: str | None) -> str:
+    return f"try_variant_get({_value(record, key, nested)}, '$', 'string')"
 
 
-def is_truthy(value: str) -> str:
-    falsy = ", ".join(f"'{text}'" for text in FALSY_JSON)
-    return f"coalesce(to_json({value}) NOT IN ({falsy}), false)"
+def _kind(record: str, key: str, nested: str | None) -> str:
+    return f"schema_of_variant({_value(record, key, nested)})"
+
+
+def _truthy(record: str, key: str, nested: str | None) -> str:
+    """The type is looked up only where the text alone leaves it open."""
+    text, kind = _text(record, key, nested), _kind(record, key, nested)
+    return f"coalesce({text} <> '' AND ({text} NOT IN ({_FALSY}) OR {kind} = 'STRING'), false)"
 
 
 def first_truthy(record: str, keys: list[str], nested: str | None = None) -> str:
-    """``a or b or c``: the first truthy value, else the last key's own value."""
-    values = [field(record, key, nested) for key in keys]
-    picked = [f"CASE WHEN {is_truthy(v)} THEN {v} END" for v in values[:-1]]
-    return f"coalesce({', '.join([*picked, values[-1]])})"
+    """Text of ``a or b or c``: the first truthy value, else the last key's own value.
+
+    NULL for missing and JSON null; a boolean reads as ``True`` or ``False``.
+    """
+
+    def spelled(key: str) -> str:
+        text, kind = _text(record, key, nested), _kind(record, key, nested)
+        boolean = f"{text} IN ('true', 'false') AND {kind} = 'BOOLEAN'"
+        return f"CASE WHEN {boolean} THEN initcap({text}) ELSE {text} END"
+
+    picked = [f"CASE WHEN {_truthy(record, k, nested)} THEN {spelled(k)} END" for k in keys[:-1]]
+    return f"coalesce({', '.join([*picked, spelled(keys[-1])])})"
 
 
-def is_text(value: str) -> str:
-    return f"coalesce(startswith(to_json({value}), '\"'), false)"
+def is_string(text: str, record: str, keys: list[str], nested: str | None = None) -> str:
+    """Whether the value that ``first_truthy`` read as ``text`` is a JSON string."""
+    picked = [
+        f"CASE WHEN {_truthy(record, k, nested)} THEN {_kind(record, k, nested)} END" for k in keys[:-1]
+    ]
+    kind = f"coalesce({', '.join([*picked, _kind(record, keys[-1], nested)])})"
+    return f"""CASE WHEN {text} IS NULL THEN false
+                    WHEN {text} RLIKE {NOT_SURELY_TEXT} THEN {kind} = 'STRING' ELSE true END"""
 
 
-def as_text(value: str) -> str:
-    """Text form of any JSON value; NULL for missing and JSON null."""
-    return f"""CASE WHEN to_json({value}) IN ('true', 'false') THEN initcap(to_json({value}))
-                    ELSE try_variant_get({value}, '$', 'string') END"""
+def truthy_text(text: str, string: str) -> str:
+    """``text``, or NULL where the value it was read from is falsy."""
+    falsy = f"{text} = '' OR (lower({text}) IN ({_FALSY}) AND NOT {string})"
+    return f"CASE WHEN NOT ({falsy}) THEN {text} END"
 
 
-def as_int(value: str) -> str:
+def as_int(text: str, string: str) -> str:
     """Integer reading: whole-number text is accepted, ``"22.7"`` is not, 22.7 becomes 22."""
-    text = strip(f"try_variant_get({value}, '$', 'string')")
-    return f"""CASE WHEN {is_text(value)}
-                    THEN CASE WHEN {text} RLIKE r'^[+-]?\\d+$' THEN try_cast({text} AS INT) END
-                    ELSE try_cast(try_variant_get({value}, '$', 'double') AS INT) END"""
+    plain = strip(text)
+    return f"""CASE WHEN {plain} RLIKE r'^[+-]?\\d+$' THEN try_cast({plain} AS INT)
+                    WHEN {text} = 'True' AND NOT {string} THEN 1
+                    WHEN {text} = 'False' AND NOT {string} THEN 0
+                    WHEN NOT {string} THEN try_cast(try_cast({text} AS DOUBLE) AS INT) END"""

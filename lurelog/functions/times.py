@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lurelog.functions.json_values import as_text, is_text, strip
+from lurelog.functions.json_values import strip
 from lurelog.functions.local import let, quoted
 
 # Layouts accepted besides ISO-8601, after a leading weekday name
@@ -17,6 +17,7 @@ EXTRA_LAYOUTS = [
     "MM/dd/yyyy HH:mm:ss",
     "yyyyMMdd'T'HHmmss",
     "yyyyMMdd'T'HHmmssXX",
+    "yyyyMMdd",
 ]
 
 # Years 1 to 9999, the range an event time may lie in.
@@ -44,11 +45,11 @@ def from_text(text: str) -> str:
     )
 
 
-def parse_event_time(value: str) -> str:
-    """Timestamp of a VARIANT holding text or epoch seconds; NULL when unreadable."""
-    seconds = f"try_variant_get({value}, '$', 'double')"
-    return f"""CASE WHEN {is_text(value)} THEN {from_text(as_text(value))}
-                    ELSE {from_epoch(seconds)} END"""
+def parse_event_time(text: str, string: str) -> str:
+    """Timestamp of a value read as text; one that is not a JSON string is epoch seconds."""
+    seconds = f"CASE {text} WHEN 'True' THEN 1D WHEN 'False' THEN 0D ELSE try_cast({text} AS DOUBLE) END"
+    return f"""CASE WHEN {string} THEN {from_text(text)}
+                    ELSE {let("s", seconds, from_epoch("s"))} END"""
 
 
 def iso_utc(ts: str) -> str:

@@ -15,9 +15,8 @@ RAW_LIMIT = 500
 HASHED_COMMAND_LENGTH = 200
 NESTED = "logdata"
 
-# The line is parsed as one member of a two-member object, so that text after
-# the record, or a second record, makes the whole parse fail.
-_RECORD = "rec~"
+# The line is parsed as the first of two array elements.  Text after the record,
+# or a second record, makes the parse fail or the element count differ.
 _GUARD = "end~"
 
 # Input keys per canonical field, in fallback order.
@@ -47,36 +46,64 @@ LOW_INTERACTION_KEYS = {
 }
 
 
-def parse_records(lines: DataFrame) -> DataFrame:
-    """Add ``rec``: the line's JSON object as VARIANT, NULL for anything else."""
+# Fields for which a JSON string and another JSON type are treated differently.
+TYPED = ["eventid", "ts", "src_port", "dst_port", "username", "password"]
+
+
+def parse_records(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``rec``: the wanted members of the line's JSON object, each a VARIANT.
+
+    NULL for anything but one whole object.  One pass over the text reads all
+    members; a repeated key keeps its last value.
+    """
+    members = ", ".join(f"`{key}`: VARIANT" for key in dict.fromkeys(keys))
     body = jv.strip("value")
     parsed = lines.withColumn(
-        "_doc", F.expr(f"""try_parse_json(concat('{{"{_RECORD}":', {body}, ',"{_GUARD}":0}}'))""")
+        "_pair",
+        F.expr(
+            f"""from_json(concat('[', {body}, ',{{"{_GUARD}":0}}]'),
+                          'ARRAY<STRUCT<{members}, `{_GUARD}`: INT>>', map('allowSingleQuotes', 'false'))"""
+        ),
     )
-    whole = f"size(try_cast(_doc AS MAP<STRING, VARIANT>)) = 2 AND startswith({body}, '{{')"
-    record = f"CASE WHEN {whole} THEN try_variant_get(_doc, '$.{_RECORD}', 'variant') END"
-    return parsed.withColumn("rec", F.expr(record)).drop("_doc")
+    whole = f"size(_pair) = 2 AND get(_pair, 1).`{_GUARD}` = 0"
+    return parsed.withColumn("rec", F.expr(f"CASE WHEN {whole} THEN get(_pair, 0) END")).drop("_pair")
 
 
 def _pick(lines: DataFrame, keys: dict[str, list[str]], nested: str | None) -> DataFrame:
-    """One VARIANT column per canonical field, chosen by the fallback rules."""
-    values = {f"v_{name}": jv.first_truthy("rec", names, nested) for name, names in keys.items()}
-    return parse_records(lines).withColumns(columns(**values))
+    """One text column per canonical field, chosen by the fallback rules.
+
+    Fields whose JSON type matters also get a ``…_is_string`` flag.
+    """
+    texts = {f"v_{name}": jv.first_truthy("rec", names, nested) for name, names in keys.items()}
+    typed = [name for name in TYPED if name in keys]
+    flags = {
+        f"{name}_is_string": jv.is_string(f"v_{name}", "rec", keys[name], nested) for name in typed
+    }
+    members = [key for names in keys.values() for key in names] + ([nested] if nested else [])
+    return parse_records(lines, members).withColumns(columns(**texts)).withColumns(columns(**flags))
 
 
 def _identity(picked: DataFrame, salt: str) -> DataFrame:
     """Columns both sensors derive the same way: time, address, ports, credentials."""
-    typed = picked.withColumns(
+    reason = f"CASE WHEN rec IS NULL THEN '{BAD_JSON}' WHEN ts_utc IS NULL THEN '{BAD_TIME}' END"
+    timed = picked.withColumn("ts_utc", F.expr(times.parse_event_time("v_ts", "ts_is_string")))
+    # A generator in between keeps a later filter on the reason from being pushed
+    # below the parse, where the optimizer would repeat the whole expression.
+    checked = timed.withColumn(
+        "checked", F.explode_outer(F.array(F.struct("ts_utc", F.expr(reason).alias("reject_reason"))))
+    )
+    typed = checked.withColumns(
         columns(
-            ts_utc=times.parse_event_time("v_ts"),
-            src_ip=addresses.normalize_ip(jv.as_text("v_src_ip")),
-            src_port=jv.as_int("v_src_port"),
-            dst_port=jv.as_int("v_dst_port"),
-            eventid=jv.as_text("v_eventid"),
-            username=jv.as_text("v_username"),
-            password=jv.as_text("v_password"),
-            given_username=f"CASE WHEN {jv.is_truthy('v_username')} THEN {jv.as_text('v_username')} END",
-            given_password=f"CASE WHEN {jv.is_truthy('v_password')} THEN {jv.as_text('v_password')} END",
+            ts_utc="checked.ts_utc",
+            reject_reason="checked.reject_reason",
+            src_ip=addresses.normalize_ip("v_src_ip"),
+            src_port=jv.as_int("v_src_port", "src_port_is_string"),
+            dst_port=jv.as_int("v_dst_port", "dst_port_is_string"),
+            eventid="v_eventid",
+            username="v_username",
+            password="v_password",
+            given_username=jv.truthy_text("v_username", "username_is_string"),
+            given_password=jv.truthy_text("v_password", "password_is_string"),
         )
     )
     return typed.withColumns(
@@ -85,9 +112,8 @@ def _identity(picked: DataFrame, salt: str) -> DataFrame:
             src_ip_masked=addresses.mask_ip("src_ip"),
             username_hash=pseudonyms.hash_user("given_username", salt),
             password_hash=pseudonyms.hash_password("given_password", salt),
-            pass_len=f"CASE WHEN {jv.is_text('v_password')} THEN char_length(password) END",
+            pass_len="CASE WHEN password_is_string THEN char_length(password) END",
             pass_entropy=text.shannon_entropy("given_password"),
-            reject_reason=f"CASE WHEN rec IS NULL THEN '{BAD_JSON}' WHEN ts_utc IS NULL THEN '{BAD_TIME}' END",
         )
     )
 
@@ -119,12 +145,12 @@ def normalize_cowrie(
         columns(
             source="'cowrie'",
             service="'ssh'",
-            event_type=kinds.event_type_by_id("eventid", jv.is_text("v_eventid")),
-            session_id=jv.as_text("v_session_id"),
-            cleaned=text.clean_command(jv.as_text("v_command")),
-            url=jv.as_text("v_url"),
-            filename=jv.as_text("v_filename"),
-            file_hash=jv.as_text("v_file_hash"),
+            event_type=kinds.event_type_by_id("eventid", "eventid_is_string"),
+            session_id="v_session_id",
+            cleaned=text.clean_command("v_command"),
+            url="v_url",
+            filename="v_filename",
+            file_hash="v_file_hash",
         )
     ).withColumns(columns(command="cleaned.text", command_truncated="cleaned.truncated"))
     parts = [
@@ -133,7 +159,7 @@ def normalize_cowrie(
         "url", "filename",
     ]
     hashed = full.withColumn("event_hash", F.expr(pseudonyms.fingerprint(parts)))
-    return _canonical(hashed, "to_json(rec)", keep_secrets, redact_free_text)
+    return _canonical(hashed, _RECORD_JSON, keep_secrets, redact_free_text)
 
 
 def normalize_opencanary(
@@ -145,7 +171,7 @@ def normalize_opencanary(
     full = picked.withColumns(
         columns(
             source="'opencanary'",
-            service=kinds.service_by_log_type(jv.as_text("v_service_hint"), "dst_port"),
+            service=kinds.service_by_log_type("v_service_hint", "dst_port"),
             event_type=kinds.event_type_by_log_type("eventid"),
             command_truncated="false",
             **{name: "cast(NULL AS STRING)" for name in unused},
@@ -159,12 +185,16 @@ def normalize_opencanary(
     return _canonical(hashed, _FLATTENED_JSON, keep_secrets, redact_free_text)
 
 
-# The record with ``logdata`` members merged up; top-level members win.
+# The whole record as JSON text, members in name order.
+_RECORD_JSON = "coalesce(to_json(try_parse_json(value)), value)"
+
+# The same with ``logdata`` members merged up; top-level members win.
 _FLATTENED_JSON = f"""
-    to_json(map_from_entries(concat(
-        filter(map_entries(coalesce(try_variant_get(rec, '$.{NESTED}', 'map<string,variant>'), map())),
-               e -> NOT map_contains_key(try_cast(rec AS MAP<STRING, VARIANT>), e.key)),
-        map_entries(try_cast(rec AS MAP<STRING, VARIANT>)))))
+    coalesce(to_json(map_from_entries(array_sort(concat(
+        filter(map_entries(coalesce(try_variant_get(try_parse_json(value), '$.{NESTED}', 'map<string,variant>'), map())),
+               e -> NOT map_contains_key(try_cast(try_parse_json(value) AS MAP<STRING, VARIANT>), e.key)),
+        map_entries(try_cast(try_parse_json(value) AS MAP<STRING, VARIANT>))),
+        (a, b) -> CASE WHEN a.key < b.key THEN -1 WHEN a.key > b.key THEN 1 ELSE 0 END))), value)
 """
 
 
