@@ -1,7 +1,6 @@
 """Field access on parsed JSON records with Python truth rules, as SQL text.
 
-A value is read as text first; its JSON type is looked up only where it can
-change the result.  A sensor field may be missing, JSON null, or hold any JSON type.  Fallback
+A sensor field may be missing, JSON null, or hold any JSON type.  Fallback
 chains in the log formats skip every *falsy* value (empty text, zero, false,
 empty list or object), not only missing ones.
 """
@@ -20,15 +19,7 @@ def strip(text: str) -> str:
     return f"trim(BOTH '{WHITESPACE}' FROM {text})"
 
 
-# Texts that a falsy number, boolean, list or object reads as.
-FALSY_TEXTS = ["0", "0.0", "-0.0", "false", "[]", "{}"]
-_FALSY = ", ".join(f"'{text}'" for text in FALSY_TEXTS)
-
-# Only text of this look can come from a JSON value that is not a string.
-NOT_SURELY_TEXT = r"r'^(-?[0-9.]+([eE][-+]?[0-9]+)?|NaN|-?Infinity|True|False|\[[\s\S]*|\{[\s\S]*)$'"
-
-
-def _value(record: str, key: str, nested: str | None) -> str:
+def field(record: str, key: str, nested: str | None = None) -> str:
     """The VARIANT under ``key``, NULL only where the key is missing.
 
     With ``nested`` the key is also looked up one level down; a top-level key
@@ -37,53 +28,41 @@ def _value(record: str, key: str, nested: str | None) -> str:
     top = f"{record}.`{key}`"
     if nested is None:
         return top
-    inner = f"try_variant_get({record}.`{nested}`, '$.{key}', 'variant')"
-    return f"CASE WHEN {top} IS NOT NULL THEN {top} ELSE {inner} END"
+    return f"coalesce({top}, try_variant_get({record}.`{nested}`, '$.{key}', 'variant'))"
 
 
-def _text(record: str, key: str, nested: str | None) -> str:
-    return f"try_variant_get({_value(record, key, nested)}, '$', 'string')"
+def _kind(value: str) -> str:
+    return f"schema_of_variant({value})"
 
 
-def _kind(record: str, key: str, nested: str | None) -> str:
-    return f"schema_of_variant({_value(record, key, nested)})"
+def _plain(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'string')"
 
 
-def _truthy(record: str, key: str, nested: str | None) -> str:
-    """The type is looked up only where the text alone leaves it open."""
-    text, kind = _text(record, key, nested), _kind(record, key, nested)
-    return f"coalesce({text} <> '' AND ({text} NOT IN ({_FALSY}) OR {kind} = 'STRING'), false)"
+def is_truthy(value: str) -> str:
+    return f"""coalesce(CASE {_kind(value)} WHEN 'STRING' THEN {_plain(value)} <> ''
+                             WHEN 'VOID' THEN false
+                             WHEN 'BOOLEAN' THEN {_plain(value)} = 'true'
+                             ELSE {_plain(value)} NOT IN ('0', '0.0', '-0.0', '[]', '{{}}') END, false)"""
 
 
 def first_truthy(record: str, keys: list[str], nested: str | None = None) -> str:
-    """Text of ``a or b or c``: the first truthy value, else the last key's own value.
-
-    NULL for missing and JSON null; a boolean reads as ``True`` or ``False``.
-    """
-
-    def spelled(key: str) -> str:
-        text, kind = _text(record, key, nested), _kind(record, key, nested)
-        boolean = f"{text} IN ('true', 'false') AND {kind} = 'BOOLEAN'"
-        return f"CASE WHEN {boolean} THEN initcap({text}) ELSE {text} END"
-
-    picked = [f"CASE WHEN {_truthy(record, k, nested)} THEN {spelled(k)} END" for k in keys[:-1]]
-    return f"coalesce({', '.join([*picked, spelled(keys[-1])])})"
+    """``a or b or c``: the first truthy value, else the last key's own value."""
+    values = [field(record, key, nested) for key in keys]
+    if len(values) == 1:
+        return values[0]
+    truthy = f"get(filter(array({', '.join(values)}), v -> {is_truthy('v')}), 0)"
+    return f"coalesce({truthy}, {values[-1]})"
 
 
-def is_string(text: str, record: str, keys: list[str], nested: str | None = None) -> str:
-    """Whether the value that ``first_truthy`` read as ``text`` is a JSON string."""
-    picked = [
-        f"CASE WHEN {_truthy(record, k, nested)} THEN {_kind(record, k, nested)} END" for k in keys[:-1]
-    ]
-    kind = f"coalesce({', '.join([*picked, _kind(record, keys[-1], nested)])})"
-    return f"""CASE WHEN {text} IS NULL THEN false
-                    WHEN {text} RLIKE {NOT_SURELY_TEXT} THEN {kind} = 'STRING' ELSE true END"""
+def is_string(value: str) -> str:
+    return f"coalesce({_kind(value)} = 'STRING', false)"
 
 
-def truthy_text(text: str, string: str) -> str:
-    """``text``, or NULL where the value it was read from is falsy."""
-    falsy = f"{text} = '' OR (lower({text}) IN ({_FALSY}) AND NOT {string})"
-    return f"CASE WHEN NOT ({falsy}) THEN {text} END"
+def as_text(value: str) -> str:
+    """Text form of any JSON value; NULL for missing and JSON null."""
+    return f"""CASE WHEN {_kind(value)} = 'BOOLEAN' THEN initcap({_plain(value)})
+                    ELSE {_plain(value)} END"""
 
 
 def as_int(text: str, string: str) -> str:

@@ -47,7 +47,7 @@ LOW_INTERACTION_KEYS = {
 
 
 # Fields for which a JSON string and another JSON type are treated differently.
-TYPED = ["eventid", "ts", "src_port", "dst_port", "username", "password"]
+TYPED = ["eventid", "ts", "src_port", "dst_port", "password"]
 
 
 def parse_records(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,15 +72,18 @@ def parse_records(lines: DataFrame, keys: list[str]) -> DataFrame:
 def _pick(lines: DataFrame, keys: dict[str, list[str]], nested: str | None) -> DataFrame:
     """One text column per canonical field, chosen by the fallback rules.
 
-    Fields whose JSON type matters also get a ``…_is_string`` flag.
+    Fields whose JSON type matters also get a ``…_is_string`` flag, credentials
+    a ``given_…`` text that is NULL for falsy values.
     """
-    texts = {f"v_{name}": jv.first_truthy("rec", names, nested) for name, names in keys.items()}
-    typed = [name for name in TYPED if name in keys]
-    flags = {
-        f"{name}_is_string": jv.is_string(f"v_{name}", "rec", keys[name], nested) for name in typed
-    }
     members = [key for names in keys.values() for key in names] + ([nested] if nested else [])
-    return parse_records(lines, members).withColumns(columns(**texts)).withColumns(columns(**flags))
+    values = {f"p_{name}": jv.first_truthy("rec", names, nested) for name, names in keys.items()}
+    read = {f"v_{name}": jv.as_text(f"p_{name}") for name in keys}
+    read |= {f"{name}_is_string": jv.is_string(f"p_{name}") for name in TYPED}
+    read |= {
+        f"given_{name}": f"CASE WHEN {jv.is_truthy(f'p_{name}')} THEN {jv.as_text(f'p_{name}')} END"
+        for name in ("username", "password")
+    }
+    return parse_records(lines, members).withColumns(columns(**values)).withColumns(columns(**read))
 
 
 def _identity(picked: DataFrame, salt: str) -> DataFrame:
@@ -102,8 +105,6 @@ def _identity(picked: DataFrame, salt: str) -> DataFrame:
             eventid="v_eventid",
             username="v_username",
             password="v_password",
-            given_username=jv.truthy_text("v_username", "username_is_string"),
-            given_password=jv.truthy_text("v_password", "password_is_string"),
         )
     )
     return typed.withColumns(

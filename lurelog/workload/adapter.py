@@ -8,7 +8,7 @@ fallback keys, invalid addresses, copies.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SALT = "pepper"
@@ -35,135 +35,103 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def every(n: int) -> Column:
-    return F.col("event_id") % n == 0
+def _every(n: int) -> str:
+    return f"event_id % {n} = 0"
 
 
-def _json_text(text: Column) -> Column:
+def _json_text(text: str) -> str:
     """A JSON string literal; NULL stays NULL."""
-    spelled = F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
-    return F.when(text.isNotNull(), spelled)
+    spelled = f"""regexp_extract(to_json(named_struct('t', {text})), r'(?s)^\\{{"t":(.*)\\}}$', 1)"""
+    return f"CASE WHEN {text} IS NOT NULL THEN {spelled} END"
 
 
-def _time_json() -> Column:
-    us = F.unix_micros("ts")
-    seconds = (us.cast("decimal(20,0)") / 1_000_000).cast("decimal(20,6)").cast("string")
+def _choice(column: str, values: dict[str, str]) -> str:
+    cases = " ".join(f"WHEN '{key}' THEN '{value}'" for key, value in values.items())
+    return f"CASE {column} {cases} END"
 
-    def quoted(text: Column) -> Column:
-        return F.concat(F.lit('"'), text, F.lit('"'))
 
-    iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-    shifted = F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), iso)
-    return (
-        F.when(every(83), seconds)
-        .when(every(79), quoted(F.concat(shifted, F.lit("+02:00"))))
-        .when(every(77), quoted(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
-        .otherwise(quoted(F.concat(F.date_format("ts", iso), F.lit("Z"))))
-    )
-
-
-def _address() -> Column:
-    part = F.col("user_id") % 8
-    plain = F.concat(F.lit("10.0."), part, F.lit("."), part + 1)
-    return F.when(every(71), "10.0.0.999").when(every(5), F.concat(F.lit("::ffff:"), plain)).otherwise(plain)
+ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+TIME_JSON = f"""CASE
+    WHEN {_every(83)} THEN cast(cast(cast(unix_micros(ts) AS DECIMAL(20, 0)) / 1000000 AS DECIMAL(20, 6)) AS STRING)
+    WHEN {_every(79)} THEN concat('"', date_format(ts + INTERVAL 2 HOURS, "{ISO}"), '+02:00"')
+    WHEN {_every(77)} THEN concat('"', date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS'), '"')
+    ELSE concat('"', date_format(ts, "{ISO}"), 'Z"') END"""
+ADDRESS = f"""CASE WHEN {_every(71)} THEN '10.0.0.999'
+    ELSE concat(CASE WHEN {_every(5)} THEN '::ffff:' ELSE '' END, '10.0.', user_id % 8, '.', user_id % 8 + 1) END"""
+SPOILED = f"""CASE WHEN {_every(97)} THEN left(line, char_length(line) - 1)
+    WHEN {_every(67)} THEN concat('[', line, ']') WHEN {_every(101)} THEN concat(line, ' x') ELSE line END"""
 
 
-def _pick(values: dict[str, str]) -> Column:
-    column = F.lit(None).cast("string")
-    for kind, value in values.items():
-        column = F.when(F.col("event_type") == kind, value).otherwise(column)
-    return column
+def _record(**members: str) -> str:
+    """JSON object text; a member whose value is NULL is left out."""
+    parts = ", ".join(f"""concat('"{key}":', {value})""" for key, value in members.items())
+    return f"concat('{{', array_join(array_compact(array({parts})), ','), '}}')"
 
 
-def _members(*pairs: tuple[str, Column | None]) -> Column:
-    """``"key":json`` members joined by commas; a NULL value leaves its member out."""
-    parts = [F.concat(F.lit(f'"{key}":'), value) for key, value in pairs]
-    return F.array_join(F.array_compact(F.array(*parts)), ",")
-
-
-def _spoil(line: Column) -> Column:
-    return (
-        F.when(every(97), F.left(line, F.char_length(line) - 1))
-        .when(every(67), F.concat(F.lit("["), line, F.lit("]")))
-        .when(every(101), F.concat(line, F.lit(" x")))
-        .otherwise(line)
-    )
-
-
-def _emit(events: DataFrame, line: Column, file: str) -> DataFrame:
-    copies = F.sequence(F.lit(1), F.when(every(50), 2).otherwise(1))
-    lines = events.select(_spoil(line).alias("value"), copies.alias("copies"))
-    return lines.withColumn("copy", F.explode("copies")).select(F.lit(file).alias("file"), "value")
+def _emit(events: DataFrame, prepared: dict[str, str], line: str, file: str) -> DataFrame:
+    """One line per event, some spoiled, some twice."""
+    columns = [f"{value} AS {name}" for name, value in prepared.items()]
+    spelled = events.selectExpr("*", *columns).selectExpr("event_id", f"{line} AS line")
+    copies = f"explode(sequence(1, CASE WHEN {_every(50)} THEN 2 ELSE 1 END)) AS copy"
+    return spelled.selectExpr(f"'{file}' AS file", f"{SPOILED} AS value", copies).drop("copy")
 
 
 def cowrie_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = base_events(spark, sf_dir).filter(F.col("user_id") % 3 != 2)
-    kind = F.col("event_type")
-    user = F.when(every(53), "").otherwise(F.concat(F.lit("u"), F.col("user_id")))
-    password = F.when(every(59), (F.col("event_id") % 1000).cast("string")).otherwise(
-        _json_text(F.col("props"))
-    )
-    commands = F.array(*map(F.lit, COMMANDS))
-    typed = F.get(commands, (F.col("event_id") % len(COMMANDS)).cast("int"))
-    typed = F.when(every(11), F.concat(typed, F.lit("\x01\n"))).otherwise(typed)
-    message = F.concat(F.lit("about ["), user, F.lit("] é"))
-    eventid = _json_text(_pick(EVENT_IDS))
-    time = F.when(~every(89), _time_json())
-    download = F.when((kind == "purchase") & (F.col("event_id") % 3 != 0), F.concat(F.lit("http://h/"), F.col("props")))
-    line = F.concat(
-        F.lit("{"),
-        _members(
-            ("eventid", F.when(every(73), F.lit('""')).otherwise(eventid)),
-            ("event_id", F.when(every(73), eventid)),
-            ("timestamp", F.when(every(73), F.lit("null")).otherwise(time)),
-            ("time", F.when(every(73), time)),
-            ("src_ip", F.when(every(61), F.lit('""')).otherwise(_json_text(_address()))),
-            ("src_host", F.when(every(61), _json_text(_address()))),
-            ("src_port", F.when(every(2), _json_text((40000 + F.col("event_id") % 1000).cast("string")))
-             .otherwise((40000 + F.col("event_id") % 1000).cast("string"))),
-            ("port", F.when(every(4), F.lit("2222"))),
-            ("session", _json_text(F.concat_ws("-", "user_id", F.to_date("ts")))),
-            ("username", _json_text(user)),
-            ("password", password),
-            ("input", F.when(kind == "view", _json_text(typed))),
-            ("message", _json_text(message)),
-            ("url", _json_text(download)),
-            ("outfile", F.when(kind == "purchase", F.lit('"dl/f"'))),
-        ),
-        F.lit("}"),
+    typed = "array(" + ", ".join(f"'{c}'" for c in COMMANDS) + f")[cast(event_id % {len(COMMANDS)} AS INT)]"
+    port = "cast(40000 + event_id % 1000 AS STRING)"
+    prepared = {
+        "time": f"CASE WHEN NOT {_every(89)} THEN {TIME_JSON} END",
+        "eventid": _json_text(_choice("event_type", EVENT_IDS)),
+        "ip": _json_text(ADDRESS),
+        "person": f"CASE WHEN {_every(53)} THEN '' ELSE concat('u', user_id) END",
+        "typed": f"CASE WHEN {_every(11)} THEN concat({typed}, '\\u0001\\n') ELSE {typed} END",
+        "download": "CASE WHEN event_type = 'purchase' AND event_id % 3 <> 0 THEN concat('http://h/', props) END",
+        "day": "concat_ws('-', user_id, to_date(ts))",
+    }
+    line = _record(
+        eventid=f"CASE WHEN {_every(73)} THEN '\"\"' ELSE eventid END",
+        event_id=f"CASE WHEN {_every(73)} THEN eventid END",
+        timestamp=f"CASE WHEN {_every(73)} THEN 'null' ELSE time END",
+        time=f"CASE WHEN {_every(73)} THEN time END",
+        src_ip=f"CASE WHEN {_every(61)} THEN '\"\"' ELSE ip END",
+        src_host=f"CASE WHEN {_every(61)} THEN ip END",
+        src_port=f"CASE WHEN {_every(2)} THEN concat('\"', {port}, '\"') ELSE {port} END",
+        port=f"CASE WHEN {_every(4)} THEN '2222' END",
+        session=_json_text("day"),
+        username=_json_text("person"),
+        password=f"CASE WHEN {_every(59)} THEN cast(event_id % 1000 AS STRING) ELSE {_json_text('props')} END",
+        input=f"CASE WHEN event_type = 'view' THEN {_json_text('typed')} END",
+        message=_json_text("concat('about [', person, '] é')"),
+        url=_json_text("download"),
+        outfile="CASE WHEN event_type = 'purchase' THEN '\"dl/f\"' END",
     )
-    return _emit(events, line, "cowrie.json")
+    events = base_events(spark, sf_dir).filter("user_id % 3 <> 2")
+    return _emit(events, prepared, line, "cowrie.json")
 
 
 def opencanary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = base_events(spark, sf_dir).filter(F.col("user_id") % 3 == 2)
-    slot = F.floor(F.col("user_id") / 3) % 4
-    prefix = F.when(slot == 0, "ftp.").when(slot == 1, "ssh.").otherwise("")
-    word = _pick(LOG_WORDS)
-    log_type = F.when(word.isNull(), F.lit("2000")).otherwise(_json_text(F.concat(prefix, word)))
-    port = F.when(slot == 0, "21").when(slot == 1, "22").when(slot == 2, "3306").otherwise("9999")
-    user = F.concat(F.lit("u"), F.col("user_id"))
-    nested = F.concat(
-        F.lit("{"),
-        _members(
-            ("username", _json_text(user)),
-            ("pass", F.when(every(3), _json_text(F.col("props")))),
-            ("password", F.when(~every(3), _json_text(F.col("props")))),
-            ("dst_port", F.lit("1")),
-        ),
-        F.lit("}"),
+    prepared = {
+        "slot": "floor(user_id / 3) % 4",
+        "word": _choice("event_type", LOG_WORDS),
+        "person": _json_text("concat('u', user_id)"),
+        "secret": _json_text("props"),
+        "ip": _json_text(ADDRESS),
+    }
+    prefix = "CASE floor(user_id / 3) % 4 WHEN 0 THEN 'ftp.' WHEN 1 THEN 'ssh.' ELSE '' END"
+    nested = _record(
+        username="person",
+        **{"pass": f"CASE WHEN {_every(3)} THEN secret END"},
+        password=f"CASE WHEN NOT {_every(3)} THEN secret END",
+        dst_port="'1'",
     )
-    line = F.concat(
-        F.lit("{"),
-        _members(
-            ("utc_time", F.when(~every(89), _time_json())),
-            ("logtype", log_type),
-            ("src_host", _json_text(_address())),
-            ("src_port", (50000 + F.col("event_id") % 1000).cast("string")),
-            ("dst_port", port),
-            ("username", F.when(every(47), F.lit("null"))),
-            ("logdata", nested),
-        ),
-        F.lit("}"),
+    line = _record(
+        utc_time=f"CASE WHEN NOT {_every(89)} THEN {TIME_JSON} END",
+        logtype=f"CASE WHEN word IS NULL THEN '2000' ELSE concat('\"', {prefix}, word, '\"') END",
+        src_host="ip",
+        src_port="cast(50000 + event_id % 1000 AS STRING)",
+        dst_port="CASE slot WHEN 0 THEN '21' WHEN 1 THEN '22' WHEN 2 THEN '3306' ELSE '9999' END",
+        username=f"CASE WHEN {_every(47)} THEN 'null' END",
+        logdata=nested,
     )
-    return _emit(events, line, "opencanary.log")
+    events = base_events(spark, sf_dir).filter("user_id % 3 = 2")
+    return _emit(events, prepared, line, "opencanary.log")
