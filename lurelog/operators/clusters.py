@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.linalg import VectorUDT
@@ -171,10 +172,11 @@ def pca_2d(vectors: DataFrame, size: int, n: int = PROJECTED_ROWS,
     components = 2 if min(rows, size) >= 2 else 1
     if size <= covariance_terms:
         model = PCA(k=components, inputCol="centred", outputCol="projected").fit(centred)
-        axes = model.pc.toArray()
+        axes = np.array(model.pc.toArray())
     else:
         dense = centred.select("centred").rdd.map(lambda r: OldVectors.dense(r[0].toArray()))
         axes = RowMatrix(dense).computeSVD(components).V.toArray()
+        axes = np.array(axes)
     # An axis may point either way; its largest loading is made positive.
     for j in range(axes.shape[1]):
         if axes[abs(axes[:, j]).argmax(), j] < 0:

@@ -263,12 +263,12 @@ def command_clean(spark, sf_dir):
     """WITH p AS (SELECT doc_id, ch, count(*) AS c FROM
            (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents)) GROUP BY ALL),
        n AS (SELECT doc_id, sum(c) AS n FROM p GROUP BY doc_id)
-    SELECT doc_id, CAST(any_value(n) AS BIGINT) AS n_chars, round(-sum(c / n * log2(c / n)), 6) AS entropy
+    SELECT doc_id, CAST(any_value(n) AS BIGINT) AS n_chars, round(0.0 - sum(c / n * log2(c / n)), 6) AS entropy
     FROM p JOIN n USING (doc_id) GROUP BY doc_id""",
 )
 def password_entropy(spark, sf_dir):
     """Bits per character over whole texts."""
-    docs = adapter.table(spark, sf_dir, "documents")
+    docs = adapter.spread(adapter.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.selectExpr(
         "doc_id", f"cast(char_length({jv.strip('text')}) AS BIGINT) AS n_chars",
         f"{text.shannon_entropy('text')} AS entropy",

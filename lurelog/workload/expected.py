@@ -39,7 +39,7 @@ o0 AS (
                    WHEN 'view' THEN 'connection' END AS word
   FROM src WHERE user_id % 3 = 2),
 ent AS (
-  SELECT pw, -sum(c / n * log2(c / n)) AS bits
+  SELECT pw, 0.0 - sum(c / n * log2(c / n)) AS bits
   FROM (SELECT pw, ch, CAST(count(*) AS DOUBLE) AS c, CAST(any_value(length(pw)) AS DOUBLE) AS n
         FROM (SELECT pw, unnest(string_split(pw, '')) AS ch
               FROM (SELECT DISTINCT pw FROM (SELECT pw FROM c0 UNION ALL SELECT pw FROM o0)))
