@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lurelog.functions.text import command_doc, doc_terms
-from lurelog.operators.skew import lookup_join
+from lurelog.functions.text import command_doc, doc_terms, first_word, words
+from lurelog.operators import skew
 from lurelog.staging import staged
 
 SMALL_CORPUS = 10
@@ -21,6 +21,7 @@ PROJECTED_ROWS = 20_000
 # Largest vocabulary for which the covariance matrix is formed on the driver.
 COVARIANCE_TERMS = 2_000
 INDEX_BUCKETS = 1024
+ROWS_PER_SLICE = 2_000_000
 
 
 def sessions_for_clustering(sessions: DataFrame, min_commands: int = 3) -> DataFrame:
@@ -44,6 +45,36 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
+def item_term_counts(items: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """``term_counts`` from one row per command, for sessions too large for one list.
+
+    Words and pairs inside a line come from that line; the pair across two lines
+    needs only the last word of the line before, found by a per-session lag that
+    is cut into time slices for heavy sessions.
+    """
+    lines = items.filter("command IS NOT NULL").selectExpr(
+        "session_id AS doc_id", "ts_utc", "event_hash", f"{first_word('command')} AS word"
+    )
+    tokens = lines.filter("char_length(word) >= 2").selectExpr(
+        "doc_id", "ts_utc", "event_hash", f"{words('word')} AS ws"
+    ).filter("size(ws) > 0").withColumn("last_word", F.element_at("ws", -1))
+    linked = skew.with_previous(
+        tokens, ["doc_id"], "ts_utc", ["ts_utc", "event_hash"], "last_word", "before", rows_per_slice
+    )
+    linked = linked.withColumn(
+        "ws", F.when(F.col("before").isNotNull(), F.concat(F.array("before"), "ws")).otherwise(F.col("ws"))
+    )
+    # The word carried over from the line before is not counted again by itself.
+    skip = F.when(F.col("before").isNotNull(), 2).otherwise(1)
+    terms = linked.withColumn("skip", skip).selectExpr(
+        "doc_id",
+        """explode(concat(slice(ws, skip, size(ws)),
+                          zip_with(slice(ws, 1, size(ws) - 1), slice(ws, 2, size(ws)),
+                                   (a, b) -> concat(a, ' ', b)))) AS term""",
+    )
+    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
 def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -59,15 +90,21 @@ def vocabulary(counts: DataFrame, n_docs: int) -> DataFrame:
     return kept.withColumn("idf", F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)
 
 
-def session_tfidf(docs: DataFrame, n_docs: int | None = None) -> DataFrame:
+def session_tfidf(
+    docs: DataFrame, n_docs: int | None = None, items: DataFrame | None = None
+) -> DataFrame:
     """Long table ``doc_id, term, weight`` with rows of unit length.
 
-    A term that occurs in most documents is joined by broadcast (see
+    ``items`` holds the commands of sessions whose list was too large for
+    ``docs`` (see ``build_sessions``).  A term that occurs in most documents is joined by broadcast (see
     ``lookup_join``), so the join has no hot key.
     """
     n_docs = docs.count() if n_docs is None else n_docs
-    counts = staged(term_counts(docs), "term-counts")
-    weighted = lookup_join(counts, vocabulary(counts, n_docs), "term", "df").withColumn(
+    counts = term_counts(docs)
+    if items is not None:
+        counts = counts.unionByName(item_term_counts(items))
+    counts = staged(counts, "term-counts")
+    weighted = skew.lookup_join(counts, vocabulary(counts, n_docs), "term", "df").withColumn(
         "raw", F.col("tf") * F.col("idf")
     )
     norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurelog import schema
@@ -25,25 +25,13 @@ def login_events(events: DataFrame) -> DataFrame:
 def with_gaps(logins: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Add ``gap_us``: microseconds since the previous login of the same address and service.
 
-    The gap runs across sensors and window borders.  A key with more than
-    ``rows_per_slice`` rows is cut into time slices, each its own group: the
-    first row of a slice takes its predecessor from the slice table, so every
-    gap stays exact.
+    The gap runs across sensors and window borders.
     """
-    slices = skew.time_slices(logins, GAP_KEY, "ts_utc", rows_per_slice)
-    now = F.unix_micros("ts_utc")
-    if slices is None:
-        order = Window.partitionBy(*GAP_KEY).orderBy("ts_utc", "source")
-        return logins.withColumn("gap_us", now - F.unix_micros(F.lag("ts_utc").over(order)))
-
-    placed = logins.join(F.broadcast(slices), GAP_KEY, "left").withColumn(
-        "slice", F.coalesce(skew.slice_of(now, "cuts"), F.lit(0))
+    linked = skew.with_previous(
+        logins, GAP_KEY, "ts_utc", ["ts_utc", "source"], "ts_utc", "previous_ts", rows_per_slice
     )
-    placed = placed.withColumn("before_us", F.try_element_at("previous", F.col("slice")))
-    placed = placed.drop("cuts", "previous")
-    order = Window.partitionBy(*GAP_KEY, "slice").orderBy("ts_utc", "source")
-    previous = F.coalesce(F.unix_micros(F.lag("ts_utc").over(order)), F.col("before_us"))
-    return placed.withColumn("gap_us", now - previous).drop("slice", "before_us")
+    gap = F.unix_micros("ts_utc") - F.unix_micros("previous_ts")
+    return linked.withColumn("gap_us", gap).drop("previous_ts")
 
 
 def build_ip_windows(

@@ -22,29 +22,56 @@ def heavy_keys(df: DataFrame, keys: list[str], min_rows: int, max_keys: int = MA
     return df.sparkSession.createDataFrame(top.collect(), top.schema)
 
 
-def time_slices(df: DataFrame, keys: list[str], ts: str, rows_per_slice: int) -> DataFrame | None:
+def with_previous(
+    df: DataFrame, keys: list[str], ts: str, order: list[str], value: str, alias: str, rows_per_slice: int
+) -> DataFrame:
+    """Add ``alias``: ``value`` of the row before, per key and in ``order`` (led by ``ts``).
+
+    A key with more than ``rows_per_slice`` rows is cut into time slices, each
+    its own group; the first row of a slice takes its predecessor from the
+    slice table, so the result equals one lag over the whole key.
+    """
+    slices = time_slices(df, keys, ts, order, value, rows_per_slice)
+    if slices is None:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(alias, F.lag(value).over(whole))
+    placed = df.join(F.broadcast(slices), keys, "left").withColumn(
+        "_slice", F.coalesce(slice_of(F.unix_micros(ts), "_cuts"), F.lit(0))
+    )
+    placed = placed.withColumn("_before", F.try_element_at("_previous", F.col("_slice")))
+    part = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    # Only the first row of a slice has no row before it.
+    first = F.row_number().over(part) == 1
+    before = F.when(first, F.col("_before")).otherwise(F.lag(value).over(part))
+    return placed.drop("_cuts", "_previous").withColumn(alias, before).drop("_slice", "_before")
+
+
+def time_slices(
+    df: DataFrame, keys: list[str], ts: str, order: list[str], value: str, rows_per_slice: int
+) -> DataFrame | None:
     """Cut points in time for every heavy key, or None when no key is heavy.
 
-    One row per heavy key: ``cuts`` (microseconds, ascending) and ``previous``,
-    the last event before each slice, so that a per-key lag can run slice by
-    slice.  At most MAX_KEYS rows of MAX_SLICES numbers, hence safe to broadcast.
+    One row per heavy key: ``_cuts`` (microseconds, ascending) and ``_previous``,
+    the last value before each slice.  At most MAX_KEYS rows of MAX_SLICES
+    entries, hence safe to broadcast.
     """
     heavy = heavy_keys(df, keys, rows_per_slice)
     if heavy.isEmpty():
         return None
-    micros = F.unix_micros(ts)
-    hot = df.join(F.broadcast(heavy), keys).select(*keys, micros.alias("us"))
+    hot = df.join(F.broadcast(heavy.select(*keys)), keys).withColumn("_us", F.unix_micros(ts))
     steps = F.array(*[F.lit(i / MAX_SLICES) for i in range(1, MAX_SLICES)])
     cuts = hot.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx("us", steps, F.lit(10 * MAX_SLICES))).alias("cuts")
+        F.array_distinct(F.percentile_approx("_us", steps, F.lit(10 * MAX_SLICES))).alias("_cuts")
     )
-    sliced = hot.join(F.broadcast(cuts), keys).withColumn("slice", slice_of("us", "cuts"))
-    last = sliced.groupBy(*keys, "slice").agg(F.max("us").alias("last_us"))
-    earlier = Window.partitionBy(*keys).orderBy("slice")  # at most MAX_SLICES rows per key
+    cuts = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
+    sliced = hot.join(F.broadcast(cuts), keys).withColumn("_slice", slice_of("_us", "_cuts"))
+    last = sliced.groupBy(*keys, "_slice").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_slice")  # at most MAX_SLICES rows per key
+    entries = F.collect_list(F.struct("_slice", "_before"))
     previous = (
-        last.withColumn("before", F.lag("last_us").over(earlier))
+        last.withColumn("_before", F.lag("_last").over(earlier))
         .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("slice", "before"))).alias("previous"))
+        .agg(F.map_from_entries(entries).alias("_previous"))
     )
     table = cuts.join(previous, keys)
     return df.sparkSession.createDataFrame(table.collect(), table.schema)

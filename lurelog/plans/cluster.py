@@ -10,14 +10,22 @@ from lurelog.staging import staged
 
 
 def cluster_sessions(
-    sessions: DataFrame, k: int = 8, min_commands: int = 3, seed: int = 42
+    sessions: DataFrame, k: int = 8, min_commands: int = 3, seed: int = 42,
+    items: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """``sessions`` with their cluster, the cluster ``summary`` and 2-D ``coords``."""
+    """``sessions`` with their cluster, the cluster ``summary`` and 2-D ``coords``.
+
+    ``items`` (see ``session_items``) supplies the commands of sessions whose
+    list was left out for size.
+    """
     chosen = staged(cl.sessions_for_clustering(sessions, min_commands), "sessions")
     if chosen.isEmpty():
         raise ValueError("no session has enough commands")
     docs = cl.session_docs(chosen)
-    weights = staged(cl.session_tfidf(docs), "tfidf")
+    if items is not None:
+        unlisted = chosen.filter("commands_seq IS NULL AND num_commands > 0").select("session_id")
+        items = items.join(unlisted, "session_id", "left_semi")
+    weights = staged(cl.session_tfidf(docs, items=items), "tfidf")
     vectors, size = cl.doc_vectors(weights, docs)
     assigned = staged(cl.kmeans(vectors, k, seed), "clusters")
     coords = cl.pca_2d(vectors, size).join(assigned, "doc_id").select("doc_id", "x", "y", "cluster")
