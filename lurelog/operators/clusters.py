@@ -104,13 +104,16 @@ def session_tfidf(
     if items is not None:
         counts = counts.unionByName(item_term_counts(items))
     counts = staged(counts, "term-counts")
-    weighted = skew.lookup_join(counts, vocabulary(counts, n_docs), "term", "df").withColumn(
-        "raw", F.col("tf") * F.col("idf")
+    weighted = staged(
+        skew.lookup_join(counts, vocabulary(counts, n_docs), "term", "df").select(
+            "doc_id", "term", (F.col("tf") * F.col("idf")).alias("raw")
+        ),
+        "raw-weights",
     )
     norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    # Grouping by document can meet one huge document; its rows are spread by
-    # the skew-join handling of adaptive execution, the norm itself is one number.
-    return weighted.join(norms, "doc_id").select(
+    # Both sides are written tables: a small norm table is broadcast, otherwise
+    # adaptive execution can split the partition of a huge document.
+    return weighted.join(staged(norms, "norms"), "doc_id").select(
         "doc_id", "term", (F.col("raw") / F.col("norm")).alias("weight")
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lurelog.staging import staged
+
 SMALL_ROWS = 2_000_000
 ACCURACY = 100_000
 
@@ -23,7 +25,7 @@ def exact_quantiles(
     holds every distinct value of a group in one buffer, so beyond that a
     sketch brackets each wanted rank, rows below the bracket are only counted,
     and only the values inside it (about 6/accuracy of a group) are ranked.
-    Pass a written table: the input is read three times.
+    Pass a written table: the input is read three times in that case.
     """
     if df.count() <= small_rows:
         return _by_percentile(df, columns, probs, by)
@@ -74,7 +76,8 @@ def _by_bracket(df, columns, probs, by, accuracy) -> DataFrame:
             for i, p in enumerate(probs)
         ]
     )
-    wanted = sketches.select(*groups, F.inline(brackets)).filter("n > 0")
+    # A few rows per group, written so that the join below broadcasts them by size.
+    wanted = staged(sketches.select(*groups, F.inline(brackets)).filter("n > 0"), "brackets")
     if by:
         pairs = F.struct(F.struct("name", "prob").alias("k"), F.struct("low", "high").alias("v"))
         per_group = wanted.groupBy(by).agg(F.map_from_entries(F.collect_list(pairs)).alias("ends"))
