@@ -20,8 +20,8 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cpus: int = 8, app: str = "lurelog") -> SparkSession:
-    """A single-JVM session for tests and the benchmark."""
+def local_session(cpus: int = 8, app: str = "lurelog", staging: str | None = None) -> SparkSession:
+    """A single-JVM session for tests and the benchmark; ``staging`` is its folder for staged tables."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -32,6 +32,8 @@ def local_session(cpus: int = 8, app: str = "lurelog") -> SparkSession:
         # Call-site capture costs more than planning itself on wide projections.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
+    if staging:
+        builder = builder.config("spark.checkpoint.dir", staging)
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -10,8 +10,8 @@ from lurelog.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(8, "lurelog-tests")
+def spark(tmp_path_factory):
+    return local_session(8, "lurelog-tests", str(tmp_path_factory.mktemp("staging")))
 
 
 @pytest.fixture
