@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lurelog.llm import exact_dedup
+from lurelog.llm import exact_dedup, simhash
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_simhash": simhash.op5_simhash,
 }
 
 SQL = {
