@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lurelog.llm import exact_dedup, simhash
+from lurelog.llm import exact_dedup, langid, simhash
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
+    "op9_language": langid.op9_language,
 }
 
 SQL = {
