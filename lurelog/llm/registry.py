@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lurelog.llm import exact_dedup, langid, simhash
+from lurelog.llm import exact_dedup, langid, mixing, simhash
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op9_language": langid.op9_language,
