@@ -68,7 +68,7 @@ def range_of(key: Column, cuts: list) -> Column:
         for c in cuts
     ])
 
-    def halve(span: Column, _: Column) -> Column:
+    def halve(key: Column, span: Column) -> Column:
         middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
         right = key >= F.get(table, middle)
         return (
@@ -79,7 +79,9 @@ def range_of(key: Column, cuts: list) -> Column:
 
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
     steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
-    return F.aggregate(steps, start, halve, lambda span: span["lo"])
+    # As an array's element the key is computed once, not at every step.
+    found = F.transform(F.array(key), lambda k: F.aggregate(steps, start, lambda span, _: halve(k, span), lambda span: span["lo"]))
+    return F.get(found, F.lit(0))
 
 
 def content_sort(df: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
