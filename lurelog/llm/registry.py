@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lurelog.llm import exact_dedup, langid, mixing, simhash
+from lurelog.llm import exact_dedup, langid, mixing, packing, simhash
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
+    "op6_packing": packing.op6_packing,
     "op9_language": langid.op9_language,
 }
 

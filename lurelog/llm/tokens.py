@@ -10,21 +10,27 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
+from collections.abc import Iterator
+from itertools import islice
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces one Python worker keeps; beyond it starts afresh.
+#: Pieces one Python worker keeps.
 REMEMBERED = 300_000
 #: A piece longer than this is not kept.
 LONGEST_KEPT = 64
+#: Characters whose pieces are looked up together.
+TOGETHER = 1 << 20
 END = b"\x00\x00\x00\x00"
-#: Before a space that a plain character follows, byte-level pre-tokenization always splits.
-_SPACE_BEFORE = re.compile(r" (?=[!-~À-ɏ])")
-_BLANK = re.compile(r"[ \t\n\r]+")
-#: Letters, then what is neither letter, digit, blank nor quote: two pre-tokens of either tokenizer.
-_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-įı-ɏ]+)([!-&(-/:-@\[-_{-~]+)\Z")
+#: Letters that neither normalisation nor lower-casing turns into other than letters.
+_L = "[A-Za-zÀ-įı-ɏ]"
+#: A place before a letter where pre-tokenization always splits: behind a mark that is no
+#: apostrophe, or behind a digit.
+_BEHIND_MARK = rf"(?<=[!-&(-/:-@\[-`{{-~0-9]){_L}"
+#: Pieces: a run of letters that ends at an ASCII character, else all up to the next sure split.
+_SPACED = re.compile(rf" ?{_L}++(?=[\x00-\x7f]|\Z)|.+?(?= {_L}|{_BEHIND_MARK}|(?<=[^\s]\n){_L}|\Z)", re.S)
+_WORDS = re.compile(rf"{_L}++(?=[\x00-\x7f]|\Z)|[^ \t\n\r]+?(?=[ \t\n\r]|{_BEHIND_MARK}|\Z)", re.S)
 
 
 class Encoder:
@@ -41,46 +47,54 @@ class Encoder:
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def pieces(self, text: str) -> list[str]:
-        if self.words_only:
-            return [p for p in _BLANK.split(text) if p]
-        parts = _SPACE_BEFORE.split(text)
-        # The blank stays with the piece after it; the first piece has none.
-        return [parts[0], *[" " + p for p in parts[1:]]] if parts[0] else [" " + p for p in parts[1:]]
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encode pieces that are not known; letters with marks behind them are looked up in two parts."""
-        parts, joined = {}, []
-        for piece in pieces:
-            lead = " " if piece[:1] == " " else ""
-            m = _WORD_AND_MARKS.match(piece, len(lead))
-            if m:
-                joined.append((piece, lead + m[1], m[2]))
-                parts[lead + m[1]] = parts[m[2]] = None
+        return (_WORDS if self.words_only else _SPACED).findall(text)
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text in order; the pieces of at most about ``TOGETHER`` characters exist at a time."""
+        held, size = [], 0
+        for text in texts:
+            text = text or ""
+            if size + len(text) > TOGETHER and held:
+                yield from self._encode(held)
+                held, size = [], 0
+            if len(text) > TOGETHER:
+                yield b"".join(self._long(text))
             else:
-                parts[piece] = None
-        new = [p for p in parts if p not in self.known]
-        self.known.update(zip(new, self.whole(new), strict=True))
-        for piece, word, marks in joined:
-            self.known[piece] = self.known[word] + self.known[marks]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.pieces(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set()
-        for pieces in split:
-            new.update(pieces)
-        new -= self.known.keys()
-        self.learn(new)
+                held.append(text)
+                size += len(text)
+        yield from self._encode(held)
+
+    def _long(self, text: str) -> Iterator[bytes]:
+        matches = (m.group() for m in (_WORDS if self.words_only else _SPACED).finditer(text))
+        while pieces := list(islice(matches, TOGETHER // 8)):
+            yield self._encode_pieces([pieces])[0]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return self._encode_pieces([self.pieces(t) if t else [] for t in texts])
+
+    def _encode_pieces(self, split: list[list[str]]) -> list[bytes]:
         known = self.known
-        found = [b"".join([known[p] for p in pieces]) for pieces in split]
-        for piece in new:
-            if len(piece) > LONGEST_KEPT:
-                del known[piece]
-        return found
+        found = [list(map(known.get, pieces)) for pieces in split]
+        lacking: dict[str, bytes] = {}
+        gaps = []
+        for pieces, ids in zip(split, found, strict=True):
+            if None in ids:
+                holes = [k for k, x in enumerate(ids) if x is None]
+                gaps.append((pieces, ids, holes))
+                for k in holes:
+                    lacking[pieces[k]] = b""
+        lacking = dict(zip(lacking, self.whole(list(lacking)), strict=True))
+        for pieces, ids, holes in gaps:
+            for k in holes:
+                ids[k] = lacking[pieces[k]]
+        # The first words met are mostly the frequent ones; they stay, later ones come and go.
+        room = REMEMBERED - len(known)
+        if room > 0:
+            known.update(islice(((p, x) for p, x in lacking.items() if len(p) <= LONGEST_KEPT), room))
+        return [b"".join(ids) for ids in found]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
