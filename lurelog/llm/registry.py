@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lurelog.llm import exact_dedup, langid, mixing, packing, simhash
+from lurelog.llm import exact_dedup, langid, mixing, packing, simhash, token_file
 
 QUERIES = {
+    "op1_token_file": token_file.op1_token_file,
     "op2_mixing": mixing.op2_mixing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
