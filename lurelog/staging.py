@@ -47,5 +47,5 @@ def staged(df: DataFrame, label: str, schema: T.StructType | None = None) -> Dat
     vector column for its struct.
     """
     path = new_path(df.sparkSession, label)
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    df.write.mode("errorifexists").options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}).parquet(path)
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
