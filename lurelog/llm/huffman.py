@@ -7,8 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Longest code; a decoding table has two to this power entries.
-LIMIT = 20
+#: Longest code: four codes fit a word, and a decoding table has two to this power entries.
+LIMIT = 16
 #: Symbols between two bit-offset checkpoints of a block.
 STRIDE = 256
 
@@ -64,18 +64,30 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 def encode(symbols: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, int, np.ndarray]:
     """The bit stream, its number of bits, and the bit offset of every ``STRIDE``-th symbol."""
-    size = lengths[symbols].astype(np.int64)
+    size = lengths[symbols]
     if len(symbols) and not size.all():
         raise ValueError("a symbol without a code")
-    ends = np.cumsum(size)
-    begins = ends - size
+    checkpoints = np.r_[0, np.cumsum(np.add.reduceat(size, np.arange(0, len(size), STRIDE), dtype=np.int64))[:-1]] if len(size) else np.empty(0, np.int64)
+    # Four neighbours become one code of at most 64 bits; what is missing at the end has no bits.
+    spare = -len(symbols) % 4
+    code = np.pad(codes[symbols].astype(np.uint64), (0, spare))
+    size = np.pad(size.astype(np.uint64), (0, spare))
+    for _ in range(2):
+        code = code[0::2] << size[1::2] | code[1::2]
+        size = size[0::2] + size[1::2]
+    ends = np.cumsum(size.astype(np.int64))
+    begins = ends - size.astype(np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    word, shift = begins >> 5, 64 - (begins & 31) - size
-    spread = codes[symbols].astype(np.uint64) << shift.astype(np.uint64)
-    words = (total >> 5) + 2
-    # Codes share no bit, so sums of their halves are exact in a double.
-    stream = np.bincount(word, spread >> np.uint64(32), words) + np.bincount(word + 1, spread & np.uint64(0xFFFFFFFF), words)[:words]
-    return stream.astype(np.uint64).astype(">u4").tobytes()[: (total + 7) // 8], total, begins[::STRIDE]
+    words = np.zeros((total >> 6) + 2, np.uint64)
+    at, shift = begins >> 6, (begins & 63).astype(np.uint64)
+    # Left-aligned, then split at the word's end; a shift by 64 would keep the code, so it is two shifts.
+    left = code << (np.uint64(63) - np.maximum(size, np.uint64(1)) + np.uint64(1))
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
+    if len(at):
+        words[at[first]] = np.bitwise_or.reduceat(left >> shift, first)
+        over = left << (np.uint64(63) - shift) << np.uint64(1)
+        words[at[np.r_[first[1:] - 1, len(at) - 1]] + 1] |= over[np.r_[first[1:] - 1, len(at) - 1]]
+    return words.astype(">u8").tobytes()[: (total + 7) // 8], total, checkpoints
 
 
 class Decoder:

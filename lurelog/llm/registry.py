@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lurelog.llm import exact_dedup, langid, mixing, packing, simhash, token_file, warc
+from lurelog.llm import exact_dedup, langid, mixing, packing, simhash, token_file, topk, warc
 
 QUERIES = {
     "op1_token_file": token_file.op1_token_file,
@@ -10,11 +10,13 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_packing": packing.op6_packing,
+    "op7_top_k": topk.op7_top_k,
     "op8_warc": warc.op8_warc,
     "op9_language": langid.op9_language,
 }
 
 SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op7_top_k": topk.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
 }

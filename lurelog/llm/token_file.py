@@ -38,7 +38,7 @@ from lurelog.llm import huffman, tokens
 from lurelog.staging import new_path, staged
 
 #: Ids in a block, at least, unless its part ends.
-BLOCK = 1 << 16
+BLOCK = 1 << 18
 
 
 def _blocks(path: str, vocabulary: int, dtype: str):
@@ -86,7 +86,7 @@ def _pack(lengths: np.ndarray, dtype: str):
             coded = [huffman.encode(np.frombuffer(raw, dtype), lengths, codes) for raw in batch["raw"]]
             out = batch.drop(columns=["raw"])
             out["payload"] = [stream for stream, _, _ in coded]
-            out["checkpoints"] = [points for _, _, points in coded]
+            out["checkpoints"] = [points.astype(np.int32) for _, _, points in coded]
             yield out
 
     return pack
@@ -147,7 +147,7 @@ def write_tokens(
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.select("part", F.coalesce(F.sum("before").over(earlier), F.lit(0)).alias("begin"))
     parts.write.parquet(f"{path}/parts")
-    schema = f"part int, block int, before long, docs array<{kind}>, lengths array<int>, payload binary, checkpoints array<long>"
+    schema = f"part int, block int, before long, docs array<{kind}>, lengths array<int>, payload binary, checkpoints array<int>"
     coded = raw.where("block >= 0").drop("tally").mapInPandas(_pack(lengths, dtype), schema)
     # Without dictionaries: payloads never repeat.
     coded.sortWithinPartitions("part", "block").write.option("parquet.enable.dictionary", "false").option(
@@ -161,7 +161,7 @@ def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint") -> Data
     lengths = np.zeros(int(book["symbol"].max()) + 1 if len(book) else 1, np.uint8)
     lengths[book["symbol"]] = book["bits"]
     stored = (
-        f"block int, before long, docs array<{id_type}>, lengths array<int>, payload binary, checkpoints array<long>, part int"
+        f"block int, before long, docs array<{id_type}>, lengths array<int>, payload binary, checkpoints array<int>, part int"
     )
     blocks = spark.read.schema(stored).parquet(f"{path}/blocks")
     parts = spark.read.schema("part int, begin long").parquet(f"{path}/parts")

@@ -17,7 +17,7 @@ from itertools import islice
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces one Python worker keeps.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 #: A piece longer than this is not kept.
 LONGEST_KEPT = 64
 #: Characters whose pieces are looked up together.
