@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lurelog.llm import exact_dedup, langid, mixing, packing, simhash, token_file, topk, warc
+from lurelog.llm import exact_dedup, langid, mixing, packing, secrets, simhash, token_file, topk, warc
 
 QUERIES = {
     "op1_token_file": token_file.op1_token_file,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_top_k": topk.op7_top_k,
     "op8_warc": warc.op8_warc,
     "op9_language": langid.op9_language,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 SQL = {
