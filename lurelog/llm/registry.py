@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
-from lurelog.llm import exact_dedup, langid, mixing, packing, secrets, simhash, token_file, topk, warc
+import os
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lurelog.llm import (
+    exact_dedup, langid, mixing, packing, repeats, secrets, simhash, token_file, topk, warc,
+)
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: Bytes of rows that Spark hands to a Python worker at a time.
+BATCH_BYTES = str(32 << 20)
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package where they start from another folder; bound their batches."""
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark
+
+
+def _query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return function(prepared(spark), sf_dir)
+
+    return run
+
 
 QUERIES = {
-    "op1_token_file": token_file.op1_token_file,
-    "op2_mixing": mixing.op2_mixing,
-    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
-    "op5_simhash": simhash.op5_simhash,
-    "op6_packing": packing.op6_packing,
-    "op7_top_k": topk.op7_top_k,
-    "op8_warc": warc.op8_warc,
-    "op9_language": langid.op9_language,
-    "op10_secrets": secrets.op10_secrets,
+    function.__name__: _query(function)
+    for function in (
+        token_file.op1_token_file, mixing.op2_mixing, exact_dedup.op3_exact_dedup, repeats.op4_suffix_repeats,
+        simhash.op5_simhash, packing.op6_packing, topk.op7_top_k, warc.op8_warc, langid.op9_language, secrets.op10_secrets,
+    )
 }
 
 SQL = {
