@@ -5,24 +5,12 @@ from __future__ import annotations
 from lurelog.functions.json_values import strip
 from lurelog.functions.local import let
 
-COMMAND_LIMIT = 8000
-
 
 def without_control_chars(text: str) -> str:
     """Drop code points below 32 except tab and newline, then trim."""
     return strip(f"regexp_replace({text}, r'[\\x00-\\x08\\x0B-\\x1F]', '')")
 
 
-def clean_command(text: str, limit: int = COMMAND_LIMIT) -> str:
-    """Struct ``text, truncated``: cleaned text cut at ``limit`` and whether it was cut."""
-    return let(
-        "cleaned",
-        without_control_chars(text),
-        f"""struct(left(cleaned, {limit}) AS text,
-                   coalesce(char_length(cleaned) > {limit}, false) AS truncated)""",
-    )
-
-
 def shannon_entropy(text: str) -> str:
     """Bits per character of the trimmed text; NULL when nothing is left."""
     share = "((n - char_length(replace(body, c, ''))) / n)"

@@ -5,19 +5,25 @@ from __future__ import annotations
 from lurelog.functions.json_values import strip
 from lurelog.functions.local import let, quoted
 
-# Layouts accepted besides ISO-8601, after a leading weekday name
-# was dropped and a trailing GMT or UTC written as Z.
+# Layouts accepted besides ISO-8601, once `_TIDY` has run.
 EXTRA_LAYOUTS = [
-    "MMM d yyyy HH:mm:ss",
-    "MMM d, yyyy HH:mm:ss",
-    "MMM d HH:mm:ss yyyy",
-    "d MMM yyyy HH:mm:ss",
-    "d MMM yyyy HH:mm:ss XX",
-    "yyyy/MM/dd HH:mm:ss",
-    "MM/dd/yyyy HH:mm:ss",
-    "yyyyMMdd'T'HHmmss",
-    "yyyyMMdd'T'HHmmssXX",
-    "yyyyMMdd",
+    "MMM d[,] yyyy[ HH:mm[:ss[.SSSSSS]]][[ ]XX]",
+    "MMM d[,] yyyy hh:mm[:ss] a",
+    "MMM d HH:mm[:ss[.SSSSSS]] yyyy[XX]",
+    "d MMM yyyy[ HH:mm[:ss[.SSSSSS]]][[ ]XX]",
+    "d MMM yyyy hh:mm[:ss] a",
+    "M/d/yyyy[ HH:mm[:ss[.SSSSSS]]]",
+    "M/d/yyyy hh:mm[:ss] a",
+    "yyyyMMdd['T'HHmm[ss]][XX]",
+]
+# What is made alike before parsing, in this order.
+_TIDY = [
+    (r"\s+", " "),  # runs of blanks
+    (r"(:[0-9]{2}),([0-9])", "$1.$2"),  # comma before a fraction
+    (r"^([0-9]{4})[./]([0-9]{1,2})[./]([0-9]{1,2})", "$1-$2-$3"),  # year first
+    (r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,? ", ""),  # day of the week
+    (r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[.]?", "$1"),  # long month names
+    (r"(?i) ?(GMT|UTC)( [0-9]{4})?$", "$2Z"),  # zone, before the year too
 ]
 
 # Years 1 to 9999, the range an event time may lie in.
@@ -34,15 +40,15 @@ def from_epoch(seconds: str) -> str:
 
 def from_text(text: str) -> str:
     """ISO-8601 and the listed layouts; no zone means UTC; a bare time is refused."""
-    plain = r"""regexp_replace(regexp_replace(t, r'^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+', ''),
-                               r'(?i)(GMT|UTC)$', 'Z')"""
+    tidy = strip(text)
+    for pattern, replacement in _TIDY:
+        tidy = f"regexp_replace({tidy}, r'{pattern}', '{replacement}')"
     others = ", ".join(f"try_to_timestamp(p, {quoted(layout)})" for layout in EXTRA_LAYOUTS)
-    return let(
-        "t",
-        strip(text),
-        f"""CASE WHEN t RLIKE r'^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}' THEN try_cast(t AS TIMESTAMP)
-                 ELSE {let("p", plain, f"coalesce({others})")} END""",
-    )
+    # Most times are ISO-8601 as they stand; only others are made alike.
+    odd = f"""CASE WHEN p RLIKE r'^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}' THEN try_cast(p AS TIMESTAMP)
+                   ELSE coalesce({others}) END"""
+    return f"""CASE WHEN {strip(text)} RLIKE r'^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}[^,]*$' THEN try_cast({strip(text)} AS TIMESTAMP)
+                    ELSE {let("p", tidy, odd)} END"""
 
 
 def parse_event_time(text: str, string: str) -> str:

@@ -1,13 +1,9 @@
-"""TF-IDF, KMeans and a two-dimensional projection of session command sequences."""
+"""TF-IDF and KMeans of session command sequences."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.linalg import VectorUDT
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,12 +12,7 @@ from lurelog.functions.text import command_doc, doc_terms, first_word, words
 from lurelog.operators import skew
 from lurelog.staging import staged
 
-SMALL_CORPUS = 10
-PROJECTED_ROWS = 20_000
-# Largest vocabulary for which the covariance matrix is formed on the driver.
-COVARIANCE_TERMS = 2_000
 INDEX_BUCKETS = 1024
-ROWS_PER_SLICE = 2_000_000
 
 
 def sessions_for_clustering(sessions: DataFrame, min_commands: int = 3) -> DataFrame:
@@ -45,22 +36,19 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def item_term_counts(items: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """``term_counts`` from one row per command, for sessions too large for one list.
+def item_term_counts(items: DataFrame) -> DataFrame:
+    """``term_counts`` from one row per command (``session_id, position, command``).
 
     Words and pairs inside a line come from that line; the pair across two lines
-    needs only the last word of the line before, found by a per-session lag that
-    is cut into time slices for heavy sessions.
+    needs only the last word of the line before.  No session is ever one list.
     """
     lines = items.filter("command IS NOT NULL").selectExpr(
-        "session_id AS doc_id", "ts_utc", "event_hash", f"{first_word('command')} AS word"
+        "session_id AS doc_id", "position", f"{first_word('command')} AS word"
     )
     tokens = lines.filter("char_length(word) >= 2").selectExpr(
-        "doc_id", "ts_utc", "event_hash", f"{words('word')} AS ws"
+        "doc_id", "position", f"{words('word')} AS ws"
     ).filter("size(ws) > 0").withColumn("last_word", F.element_at("ws", -1))
-    linked = skew.with_previous(
-        tokens, ["doc_id"], "ts_utc", ["ts_utc", "event_hash"], "last_word", "before", rows_per_slice
-    )
+    linked = skew.with_previous(tokens, ["doc_id"], ["position"], "last_word", "before")
     linked = linked.withColumn(
         "ws", F.when(F.col("before").isNotNull(), F.concat(F.array("before"), "ws")).otherwise(F.col("ws"))
     )
@@ -79,33 +67,26 @@ def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def vocabulary(counts: DataFrame, n_docs: int) -> DataFrame:
+def vocabulary(counts: DataFrame, n_docs: int, min_df: int, max_df: float) -> DataFrame:
     """``term, df, idf`` of the terms kept.
 
-    From ten documents on, a term must occur in at least two documents and in
-    at most 80 % of them; idf is ``ln((1+n)/(1+df)) + 1``.
+    A term must occur in at least ``min_df`` documents and in at most the share
+    ``max_df`` of them; idf is ``ln((1+n)/(1+df)) + 1``.
     """
-    least, most = (2, 0.8 * n_docs) if n_docs >= SMALL_CORPUS else (1, float(n_docs))
-    kept = document_frequency(counts).filter((F.col("df") >= least) & (F.col("df") <= most))
+    kept = document_frequency(counts).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     return kept.withColumn("idf", F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)
 
 
-def session_tfidf(
-    docs: DataFrame, n_docs: int | None = None, items: DataFrame | None = None
-) -> DataFrame:
-    """Long table ``doc_id, term, weight`` with rows of unit length.
+def tfidf(counts: DataFrame, n_docs: int, min_df: int, max_df: float) -> DataFrame:
+    """Long table ``doc_id, term, weight`` with rows of unit length, from ``doc_id, term, tf``.
 
-    ``items`` holds the commands of sessions whose list was too large for
-    ``docs`` (see ``build_sessions``).  A term that occurs in most documents is joined by broadcast (see
+    Terms that occur in very many documents are joined by broadcast (see
     ``lookup_join``), so the join has no hot key.
     """
-    n_docs = docs.count() if n_docs is None else n_docs
-    counts = term_counts(docs)
-    if items is not None:
-        counts = counts.unionByName(item_term_counts(items))
     counts = staged(counts, "term-counts")
+    known = staged(vocabulary(counts, n_docs, min_df, max_df), "vocabulary")
     weighted = staged(
-        skew.lookup_join(counts, vocabulary(counts, n_docs), "term", "df").select(
+        skew.lookup_join(counts, known, "term", "df").select(
             "doc_id", "term", (F.col("tf") * F.col("idf")).alias("raw")
         ),
         "raw-weights",
@@ -182,51 +163,10 @@ def doc_vectors(weights: DataFrame, docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def kmeans(vectors: DataFrame, k: int = 8, seed: int = 42) -> DataFrame:
-    """``doc_id, cluster``; k is reduced to the number of rows, fewer than two rows fail."""
+    """``doc_id, cluster``; fewer rows than clusters, or than two, are an error."""
     n = vectors.count()
-    if n < 2:
-        raise ValueError(f"clustering needs at least two sessions, got {n}")
-    model = KMeans(k=min(k, n), seed=seed, featuresCol="features", predictionCol="cluster")
+    if n < max(2, k):
+        raise ValueError(f"{k} clusters need at least {max(2, k)} sessions, got {n}")
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster")
     fitted = model.fit(vectors)
     return fitted.transform(vectors).select("doc_id", F.col("cluster").cast("int").alias("cluster"))
-
-
-def first_by_hash(vectors: DataFrame, n: int = PROJECTED_ROWS) -> DataFrame:
-    """The n documents with the smallest id hash: a fixed choice at any partitioning."""
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = vectors.select("doc_id").orderBy(*order).limit(n)  # n ids
-    return vectors.join(F.broadcast(ids), "doc_id", "left_semi")
-
-
-def pca_2d(vectors: DataFrame, size: int, n: int = PROJECTED_ROWS,
-           covariance_terms: int = COVARIANCE_TERMS) -> DataFrame:
-    """``doc_id, x, y``: centred two-component projection; y is 0 where only one exists.
-
-    A larger vocabulary than ``covariance_terms`` takes the singular value
-    decomposition of the centred rows instead of the covariance matrix.
-    """
-    chosen = staged(first_by_hash(vectors, n), "projected")
-    rows = chosen.count()
-    scaler = StandardScaler(inputCol="features", outputCol="centred", withMean=True, withStd=False)
-    centred = scaler.fit(chosen).transform(chosen)
-    components = 2 if min(rows, size) >= 2 else 1
-    if size <= covariance_terms:
-        model = PCA(k=components, inputCol="centred", outputCol="projected").fit(centred)
-        axes = np.array(model.pc.toArray())
-    else:
-        dense = centred.select("centred").rdd.map(lambda r: OldVectors.dense(r[0].toArray()))
-        axes = RowMatrix(dense).computeSVD(components).V.toArray()
-        axes = np.array(axes)
-    # An axis may point either way; its largest loading is made positive.
-    for j in range(axes.shape[1]):
-        if axes[abs(axes[:, j]).argmax(), j] < 0:
-            axes[:, j] = -axes[:, j]
-    shared = chosen.sparkSession.sparkContext.broadcast(axes)  # size x 2 numbers
-
-    @F.udf("array<double>")
-    def project(v):
-        return [float(x) for x in v.toArray() @ shared.value]
-
-    placed = centred.withColumn("xy", project("centred"))
-    y = F.col("xy")[1] if axes.shape[1] > 1 else F.lit(0.0)
-    return placed.select("doc_id", F.col("xy")[0].alias("x"), y.alias("y"))

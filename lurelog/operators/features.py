@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurelog.operators.quantiles import SMALL_ROWS, exact_quantiles
+from lurelog.operators.quantiles import exact_quantiles
 from lurelog.staging import staged
 
 COUNTS = ["attempts", "unique_users", "unique_passwords", "success_count"]
+# Names of measures, derived columns and the columns a forest reads.
 IMPUTED = ["mean_interarrival_s", "min_interarrival_s", "pass_entropy_mean"]
 DERIVED = [
     "users_per_attempt", "passwords_per_attempt", "success_rate",
@@ -66,14 +67,14 @@ def _log_count(column: str) -> Column:
     return F.log1p(F.greatest(F.col(column), F.lit(0)).cast("double"))
 
 
-def impute(windows: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
+def impute(windows: DataFrame) -> DataFrame:
     """Fill missing measures with the exact median of the row's service.
 
     The median table has one row per service and is written, so its measured
     size lets Spark broadcast it; an unusually long one is shuffled instead.
     """
     by = "service" if "service" in windows.columns else None
-    long = exact_quantiles(windows, IMPUTED, [0.5], by, small_rows)
+    long = exact_quantiles(windows, IMPUTED, [0.5], by)
     picks = [
         F.max(F.when(F.col("name") == c, F.col("value"))).alias(f"{c}_median") for c in IMPUTED
     ]
@@ -100,13 +101,13 @@ def zero_non_finite(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def engineer_features(windows: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
+def engineer_features(windows: DataFrame) -> DataFrame:
     """Ratios, logarithms and imputed gaps for every window.
 
     Reads its input several times; give it a written table.
     """
     derived = derive(coerce_windows(windows))
-    return zero_non_finite(impute(derived, small_rows), IMPUTED + DERIVED)
+    return zero_non_finite(impute(derived), IMPUTED + DERIVED)
 
 
 def rule(

@@ -18,13 +18,11 @@ from pyspark.sql import functions as F
 
 from lurelog import schema
 from lurelog.operators.features import FOREST_FEATURES
-from lurelog.operators.quantiles import SMALL_ROWS, exact_quantiles
+from lurelog.operators.quantiles import exact_quantiles
 from lurelog.staging import staged
 
 TREES = 200
 SAMPLE = 256
-# Rows considered for tree samples; a uniform, hash-chosen part of larger tables.
-POOL = 100_000
 EULER = 0.5772156649015329
 _NODE = "tree int, node int, feature int, threshold double, depth double"
 _HASH_SPAN = float(2**63)
@@ -49,14 +47,11 @@ def fit_forest(
 
 
 def _tree_samples(df, features, key, trees, sample, seed, rows) -> DataFrame:
-    """Exactly ``sample`` rows per tree: the smallest keyed hashes of each tree."""
+    """Exactly ``sample`` rows per tree, of all rows: the smallest keyed hashes of each tree."""
     named = df.select(F.xxhash64(*key, F.lit(seed)).alias("row_id"), *features)
-    if rows > POOL:
-        named = named.filter(_unit(F.xxhash64("row_id", F.lit("pool"))) < POOL / rows)
-    pool = min(rows, POOL)
     # Six deviations above the mean leave no tree short of rows in practice; a
     # short tree would only use the fewer rows it has.
-    share = min(1.0, (sample + 6 * sample**0.5 + 6) / pool)
+    share = min(1.0, (sample + 6 * sample**0.5 + 6) / rows)
     numbers = F.sequence(F.lit(0), F.lit(trees - 1))
     chosen = F.filter(numbers, lambda t: _unit(F.xxhash64("row_id", t)) < share)
     candidates = named.withColumn("tree", F.explode(chosen)).withColumn(
@@ -150,7 +145,7 @@ def score_rows(
 def isolation_forest(
     df: DataFrame, contamination: float = 0.01, seed: int = 42, *,
     features: list[str] = FOREST_FEATURES, key: list[str] = schema.WINDOW_KEY,
-    trees: int = TREES, small_rows: int = SMALL_ROWS,
+    trees: int = TREES,
 ) -> DataFrame:
     """Add ``if_score`` (score minus the contamination quantile) and ``if_pred`` (score < 0).
 
@@ -160,7 +155,7 @@ def isolation_forest(
     rows = df.count()
     nodes = fit_forest(df, features, key, trees, SAMPLE, seed, rows)
     raw = staged(score_rows(df, nodes, features, trees, SAMPLE, rows), "forest-scores")
-    offset = exact_quantiles(raw, ["raw_score"], [contamination], small_rows=small_rows).first()["value"]
+    offset = exact_quantiles(raw, ["raw_score"], [contamination]).first()["value"]
     score = F.col("raw_score") - F.lit(offset)
     return raw.withColumn("if_score", score).withColumn(
         "if_pred", (F.col("if_score") < 0).cast("int")

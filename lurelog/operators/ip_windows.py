@@ -10,7 +10,6 @@ from lurelog.functions.times import window_start
 from lurelog.operators import skew
 
 GAP_KEY = ["src_ip_hash", "service"]
-ROWS_PER_SLICE = 2_000_000
 
 
 def login_events(events: DataFrame) -> DataFrame:
@@ -18,34 +17,28 @@ def login_events(events: DataFrame) -> DataFrame:
         F.col("event_type").isin(schema.LOGIN_TYPES) & F.col("src_ip_hash").isNotNull()
     ).select(
         "ts_utc", "source", "service", "event_type", "src_ip_hash", "src_ip_masked",
-        "username_hash", "password_hash", "pass_entropy",
+        "username_hash", "password_hash", "pass_entropy", "event_hash",
     )
 
 
-def with_gaps(logins: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def with_gaps(logins: DataFrame) -> DataFrame:
     """Add ``gap_us``: microseconds since the previous login of the same address and service.
 
     The gap runs across sensors and window borders.
     """
-    linked = skew.with_previous(
-        logins, GAP_KEY, "ts_utc", ["ts_utc", "source"], "ts_utc", "previous_ts", rows_per_slice
-    )
+    linked = skew.with_previous(logins, GAP_KEY, ["ts_utc", "source"], "ts_utc", "previous_ts")
     gap = F.unix_micros("ts_utc") - F.unix_micros("previous_ts")
     return linked.withColumn("gap_us", gap).drop("previous_ts")
 
 
-def build_ip_windows(
-    events: DataFrame,
-    minutes: int = 5,
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> DataFrame:
+def build_ip_windows(events: DataFrame, minutes: int = 5) -> DataFrame:
     """Attempts, successes, distinct credentials, entropy and gaps per window and address.
 
     Distinct counts use Spark's two-stage plan rather than collected sets, so a
     window with very many passwords never sits in one task.
     """
     logins = login_events(events).withColumn("window_start", F.expr(window_start("ts_utc", minutes)))
-    gaps = with_gaps(logins, rows_per_slice)
+    gaps = with_gaps(logins)
     return (
         gaps.groupBy(*schema.WINDOW_KEY)
         .agg(

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from lurelog import schema
 from lurelog.functions.json_values import strip
 from lurelog.sources.tables import require_columns
+from lurelog.staging import staged
 
+# The columns of a label sample.
 SAMPLE_COLUMNS = [
     "window_start", "source", "service", "src_ip_hash", "src_ip_masked",
     "attempts", "unique_users", "unique_passwords", "success_count",
     "mean_interarrival_s", "min_interarrival_s", "pass_entropy_mean",
     "baseline_alert", "if_pred", "if_score",
 ]
-RAW_PREVIEW = 200
 
 
 def draw_key(purpose: str, seed: int) -> Column:
@@ -111,15 +112,11 @@ def example_events(matched: DataFrame, n: int = 3) -> DataFrame:
 
 
 def event_line() -> Column:
-    """``time | type | id | cmd=…`` or, without a command, ``raw=`` and the record's start."""
+    """``time | type | id | cmd=…`` or, without a command, ``raw=`` and the record."""
     command = F.expr(strip("coalesce(command, '')"))
     raw = F.coalesce("raw_json", F.lit(""))
-    preview = F.when(
-        F.char_length(raw) > RAW_PREVIEW,
-        F.concat(F.left(raw, F.lit(RAW_PREVIEW)), F.lit("...")),
-    ).otherwise(raw)
     detail = F.when(command != "", F.concat(F.lit("cmd="), command)).otherwise(
-        F.concat(F.lit("raw="), preview)
+        F.concat(F.lit("raw="), raw)
     )
     head = [_time_text(), _none_text("event_type"), _none_text("eventid")]
     return F.concat_ws(" | ", *head, detail)
@@ -148,7 +145,7 @@ def attach_context(
 
     Rows without any event keep zeros and empty texts.
     """
-    matched = events_in_windows(sample, events, minutes)
+    matched = staged(events_in_windows(sample, events, minutes), "label-events")
     parts = [
         context_counts(matched),
         top_values(matched, "username_hash", "top_usernames", top_k),

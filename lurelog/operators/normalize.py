@@ -11,8 +11,6 @@ from lurelog.functions.local import columns
 
 BAD_JSON = "not_dict_or_bad_json"
 BAD_TIME = "bad_ts"
-RAW_LIMIT = 500
-HASHED_COMMAND_LENGTH = 200
 NESTED = "logdata"
 
 # The line is parsed as the first of two array elements.  Text after the record,
@@ -126,20 +124,20 @@ def _canonical(df: DataFrame, raw_json: str, keep_secrets: bool, redact: bool) -
     changes["raw_json"] = "cast(NULL AS STRING)" if redact else raw_json
     if redact:
         changes["command"] = "CASE WHEN event_type = 'command' THEN command END"
-    changes["raw"] = f"CASE WHEN reject_reason IS NOT NULL THEN left({jv.strip('value')}, {RAW_LIMIT}) END"
+    changes["raw"] = f"CASE WHEN reject_reason IS NOT NULL THEN {jv.strip('value')} END"
     typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.EVENTS.fields]
     origin = [c for c in ("file", "line") if c in df.columns]
     return df.withColumns(columns(**changes)).select(*typed, *origin, "reject_reason", "raw")
 
 
 def normalize_cowrie(
-    lines: DataFrame, *, salt: str, keep_secrets: bool = False, redact_free_text: bool = True
+    lines: DataFrame, *, salt: str, redact_free_text: bool, keep_secrets: bool = False
 ) -> DataFrame:
     """Canonical rows of the interactive sensor; a bad line keeps its ``reject_reason``.
 
-    Free text can carry clear-text passwords and addresses.  By default
-    ``raw_json`` is left out and ``command`` is kept for command events only;
-    ``redact_free_text=False`` keeps both.
+    Free text can carry clear-text passwords and addresses.  The caller says
+    whether to redact it: ``raw_json`` is then left out and ``command`` kept for
+    command events only.  Texts are kept whole.
     """
     picked = _identity(_pick(lines, INTERACTIVE_KEYS, None), salt)
     full = picked.withColumns(
@@ -148,15 +146,16 @@ def normalize_cowrie(
             service="'ssh'",
             event_type=kinds.event_type_by_id("eventid", "eventid_is_string"),
             session_id="v_session_id",
-            cleaned=text.clean_command("v_command"),
+            command=text.without_control_chars("v_command"),
+            command_truncated="false",
             url="v_url",
             filename="v_filename",
             file_hash="v_file_hash",
         )
-    ).withColumns(columns(command="cleaned.text", command_truncated="cleaned.truncated"))
+    )
     parts = [
         "source", "service", "event_type", "eventid", times.iso_utc("ts_utc"), "src_ip_hash",
-        "session_id", "username_hash", "password_hash", f"left(command, {HASHED_COMMAND_LENGTH})",
+        "session_id", "username_hash", "password_hash", "command",
         "url", "filename",
     ]
     hashed = full.withColumn("event_hash", F.expr(pseudonyms.fingerprint(parts)))
@@ -164,7 +163,7 @@ def normalize_cowrie(
 
 
 def normalize_opencanary(
-    lines: DataFrame, *, salt: str, keep_secrets: bool = False, redact_free_text: bool = True
+    lines: DataFrame, *, salt: str, redact_free_text: bool, keep_secrets: bool = False
 ) -> DataFrame:
     """Canonical rows of the low-interaction sensor; ``logdata`` is merged up first."""
     picked = _identity(_pick(lines, LOW_INTERACTION_KEYS, NESTED), salt)

@@ -1,4 +1,4 @@
-"""Exact quantiles with linear interpolation at any size."""
+"""Exact quantiles with linear interpolation, one method at any size."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lurelog.staging import staged
 
-SMALL_ROWS = 2_000_000
 ACCURACY = 100_000
+RANKS_ASIDE = 4
 
 
 def exact_quantiles(
@@ -16,19 +16,15 @@ def exact_quantiles(
     columns: list[str],
     probs: list[float],
     by: str | None = None,
-    small_rows: int = SMALL_ROWS,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Rows ``[by,] name, prob, value``: interpolated quantiles of ``columns`` per group.
 
-    Up to ``small_rows`` input rows Spark's exact ``percentile`` is used.  It
-    holds every distinct value of a group in one buffer, so beyond that a
-    sketch brackets each wanted rank, rows below the bracket are only counted,
-    and only the values inside it (about 6/accuracy of a group) are ranked.
-    Pass a written table: the input is read three times in that case.
+    A sketch brackets each wanted rank, rows below the bracket are only counted,
+    and only the values inside it (about 6/accuracy of a group) are ranked.  A
+    rank outside its bracket is an error, never a missing value.
+    Pass a written table: the input is read three times.
     """
-    if df.count() <= small_rows:
-        return _by_percentile(df, columns, probs, by)
     return _by_bracket(df, columns, probs, by, accuracy)
 
 
@@ -36,20 +32,6 @@ def _groups(by: str | None) -> list[str]:
     return [by] if by else []
 
 
-def _by_percentile(df, columns, probs, by) -> DataFrame:
-    wide = df.groupBy(*_groups(by)).agg(
-        *[F.percentile(F.col(c), F.array(*map(F.lit, probs))).alias(c) for c in columns]
-    )
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("name"), F.lit(p).alias("prob"), F.col(c)[i].alias("value"))
-            for c in columns
-            for i, p in enumerate(probs)
-        ]
-    )
-    return wide.select(*_groups(by), F.inline(cells))
-
-
 def _by_bracket(df, columns, probs, by, accuracy) -> DataFrame:
     groups, slack = _groups(by), 3 / accuracy
     ends = [(max(p - slack, 0.0), min(p + slack, 1.0)) for p in probs]
@@ -62,8 +44,11 @@ def _by_bracket(df, columns, probs, by, accuracy) -> DataFrame:
     )
 
     def bracket(c: str, i: int):
-        low = F.col(f"{c}_min") if ends[i][0] == 0.0 else F.col(f"{c}_marks")[2 * i]
-        high = F.col(f"{c}_max") if ends[i][1] == 1.0 else F.col(f"{c}_marks")[2 * i + 1]
+        # A bracket needs a few ranks on either side; where its share of the group is
+        # fewer, it is the whole range, which then holds a bounded number of rows.
+        narrow = F.col(f"{c}_n") * slack < RANKS_ASIDE
+        low = F.when(narrow | F.lit(ends[i][0] == 0.0), F.col(f"{c}_min")).otherwise(F.col(f"{c}_marks")[2 * i])
+        high = F.when(narrow | F.lit(ends[i][1] == 1.0), F.col(f"{c}_max")).otherwise(F.col(f"{c}_marks")[2 * i + 1])
         return low.cast("double").alias("low"), high.cast("double").alias("high")
 
     brackets = F.array(
@@ -77,7 +62,7 @@ def _by_bracket(df, columns, probs, by, accuracy) -> DataFrame:
         ]
     )
     # A few rows per group, written so that the join below broadcasts them by size.
-    wanted = staged(sketches.select(*groups, F.inline(brackets)).filter("n > 0"), "brackets")
+    wanted = staged(sketches.select(*groups, F.inline(brackets)).filter("n > 0").dropna(subset=[*groups, "n"]), "brackets")
     if by:
         pairs = F.struct(F.struct("name", "prob").alias("k"), F.struct("low", "high").alias("v"))
         per_group = wanted.groupBy(by).agg(F.map_from_entries(F.collect_list(pairs)).alias("ends"))
@@ -114,7 +99,7 @@ def _by_bracket(df, columns, probs, by, accuracy) -> DataFrame:
         (F.col("prob") * (F.col("n") - 1)).alias("pos"),
     )
     found = (
-        ranked.join(targets, [*groups, "name", "prob"])
+        targets.join(ranked, [*groups, "name", "prob"], "left")
         .groupBy(*groups, "name", "prob", "pos")
         .agg(
             F.min(F.when(F.col("upto") > F.floor("pos"), F.col("x"))).alias("lower"),
@@ -123,4 +108,7 @@ def _by_bracket(df, columns, probs, by, accuracy) -> DataFrame:
     )
     share = F.col("pos") - F.floor("pos")
     value = F.col("lower") * (1 - share) + F.col("upper") * share
-    return found.select(*groups, "name", "prob", value.alias("value"))
+    missed = F.raise_error(F.lit("a quantile's rank is outside its bracket")).cast("double")
+    return found.select(
+        *groups, "name", "prob", F.when(value.isNull(), missed).otherwise(value).alias("value")
+    )

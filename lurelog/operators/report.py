@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,18 +39,27 @@ def table_counts(**tables: DataFrame) -> DataFrame:
     return first
 
 
-def reject_counts(rejected: DataFrame) -> DataFrame:
-    """``source, bad_json, bad_ts, other``; lines that are no JSON object count as ``other``."""
-    return rejected.groupBy("source").agg(
+def reject_counts(lost: DataFrame) -> DataFrame:
+    """``source, bad_json, bad_ts, other`` for every sensor, from ``source, reason, n``.
+
+    Lines that are no JSON object count as ``other``; a sensor without rejects has zeros.
+    """
+    sensors = lost.sparkSession.createDataFrame([("cowrie",), ("opencanary",)], "source string")
+    every = sensors.join(lost, "source", "left")
+
+    def total(wanted: Column) -> Column:
+        return F.coalesce(F.sum(F.when(wanted, F.col("n"))), F.lit(0)).cast("bigint")
+
+    return every.groupBy("source").agg(
         F.lit(0).cast("bigint").alias("bad_json"),
-        F.count_if(F.col("reason") == "bad_ts").alias("bad_ts"),
-        F.count_if(F.col("reason") != "bad_ts").alias("other"),
+        total(F.col("reason") == "bad_ts").alias("bad_ts"),
+        total(F.col("reason") != "bad_ts").alias("other"),
     )
 
 
 def quality_report(
     events_raw: DataFrame, events: DataFrame, sessions: DataFrame, windows: DataFrame,
-    rejected: DataFrame,
+    lost: DataFrame,
 ) -> DataFrame:
     """The whole report as one row ``report`` of JSON text; every input is aggregated on Spark."""
     counts = table_counts(
@@ -58,7 +67,7 @@ def quality_report(
     ).collect()
     facts = event_facts(events).first()
     kinds = top_event_types(events).collect()
-    lost = reject_counts(rejected).collect()
+    lost = reject_counts(lost).orderBy("source").collect()
     numbers = {r["table_name"]: r["n"] for r in counts}
 
     def text(value):

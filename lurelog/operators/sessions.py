@@ -8,32 +8,42 @@ from pyspark.sql import functions as F
 from lurelog import schema
 from lurelog.operators import skew
 
-# Sessions with more list entries than this keep them in `session_items` only:
-# one table cell cannot hold them.
-INLINE_LIMIT = 1_000_000
-
 
 def session_events(events: DataFrame) -> DataFrame:
     return events.filter((F.col("source") == "cowrie") & F.col("session_id").isNotNull())
 
 
 def session_items(events: DataFrame) -> DataFrame:
-    """Commands and download URLs of all sessions, one row each, nothing left out."""
+    """Commands and download URLs of all sessions in order, one row each, nothing left out.
+
+    ``position`` counts from 0 in each session.
+    """
     command = F.when(F.col("event_type") == "command", F.col("command"))
     url = F.when(F.col("event_type") == "download", F.col("url"))
-    return (
+    items = (
         session_events(events)
         .select("session_id", "ts_utc", "event_hash", command.alias("command"), url.alias("url"))
         .filter("command IS NOT NULL OR url IS NOT NULL")
     )
+    return skew.with_position(items, ["session_id"], ["ts_utc", "event_hash"], "position")
 
 
-def build_sessions(events: DataFrame, inline_limit: int = INLINE_LIMIT) -> DataFrame:
-    """One row per session: span, address, success flag, ordered commands and downloads.
+def session_chunks(items: DataFrame, size: int) -> DataFrame:
+    """``commands_seq`` and ``download_urls`` in chunks of ``size`` items of a session.
 
-    The scalar columns combine on the map side.  The two lists are collected
-    only for sessions of at most ``inline_limit`` entries; a larger session has
-    NULL lists here, complete counts, and all its entries in ``session_items``.
+    A list is NULL where its chunk has no entry of the kind.
+    """
+    numbered = items.withColumn("chunk", F.floor(F.col("position") / size))
+    return numbered.groupBy("session_id", "chunk").agg(
+        _ordered_list("command").alias("commands_seq"), _ordered_list("url").alias("download_urls")
+    )
+
+
+def build_sessions(events: DataFrame) -> DataFrame:
+    """One row per session: span, address, success flag and counts.
+
+    Everything here combines on the map side; the commands and downloads
+    themselves are rows of ``session_items``.
     """
     kind = F.col("event_type")
     at = F.struct("ts_utc", "event_hash")
@@ -50,10 +60,8 @@ def build_sessions(events: DataFrame, inline_limit: int = INLINE_LIMIT) -> DataF
             F.count_if(kind == "download").alias("num_downloads"),
         )
     )
-    lists = _lists(session_items(events), inline_limit)
-    joined = scalars.join(lists, "session_id", "left")
     span = F.unix_timestamp("end_ts_utc") - F.unix_timestamp("start_ts_utc")
-    return joined.withColumns(
+    return scalars.withColumns(
         {
             "duration_s": span,
             "src_ip_hash": F.col("address.src_ip_hash"),
@@ -62,18 +70,8 @@ def build_sessions(events: DataFrame, inline_limit: int = INLINE_LIMIT) -> DataF
     ).select(*schema.SESSIONS.names)
 
 
-def _lists(items: DataFrame, inline_limit: int) -> DataFrame:
-    oversized = skew.heavy_keys(items, ["session_id"], inline_limit, max_keys=100_000)
-    if not oversized.isEmpty():
-        items = items.join(F.broadcast(oversized), "session_id", "left_anti")
-    return items.groupBy("session_id").agg(
-        _ordered_list("command").alias("commands_seq"),
-        _ordered_list("url").alias("download_urls"),
-    )
-
-
 def _ordered_list(column: str) -> Column:
-    """Non-NULL values in time order; NULL, not an empty list, when there are none."""
-    entry = F.when(F.col(column).isNotNull(), F.struct("ts_utc", "event_hash", column))
+    """Non-NULL values in order; NULL, not an empty list, when there are none."""
+    entry = F.when(F.col(column).isNotNull(), F.struct("position", column))
     ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e[column])
     return F.when(F.size(ordered) > 0, ordered)

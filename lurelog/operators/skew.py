@@ -1,111 +1,134 @@
-"""Finding and splitting keys that hold too many rows for one task."""
+"""Order along a key, and look-ups, whatever share of the rows one key holds."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# At most this many heavy keys are treated separately.  They are the largest
-# ones, so any key left out holds less than 1/MAX_KEYS of all rows.
-MAX_KEYS = 1000
-MAX_SLICES = 256
+from lurelog.staging import staged
 
+# Ranges for each shuffle partition, and sampled rows for each range.
+RANGES_PER_PARTITION = 4
+SAMPLED_PER_RANGE = 24
+# A key with more than this part of all rows is served by broadcast; there can
+# be no more such keys than its inverse.
+HEAVY_PART = 1 / 1000
 
-def heavy_keys(df: DataFrame, keys: list[str], min_rows: int, max_keys: int = MAX_KEYS) -> DataFrame:
-    """The keys with more than ``min_rows`` rows and their ``n_rows`` (≤ ``max_keys`` rows).
 
-    Counting combines on the map side, so a hot key costs one small row per task.
-    The result is a local table: its size is bounded by ``max_keys``.
+def sort_key(df: DataFrame, keys: list[str], order: list[str]) -> Column:
+    """A total order of the rows: by key, then ``order``, then the whole row's hash.
+
+    Times become microseconds, so that the cut points are plain numbers and texts.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    top = counts.filter(F.col("n_rows") > min_rows).orderBy(F.desc("n_rows"), *keys).limit(max_keys)
-    return df.sparkSession.createDataFrame(top.collect(), top.schema)
 
+    def plain(name: str) -> Column:
+        if isinstance(df.schema[name].dataType, T.TimestampType):
+            return F.unix_micros(name)
+        return F.col(name)
+
+    parts = [F.xxhash64(*keys).alias("k"), *[F.col(c).alias(f"k_{c}") for c in keys]]
+    parts += [plain(c).alias(f"o_{c}") for c in order]
+    return F.struct(*parts, F.xxhash64(*df.columns).alias("tie"))
 
-def with_previous(
-    df: DataFrame, keys: list[str], ts: str, order: list[str], value: str, alias: str, rows_per_slice: int
-) -> DataFrame:
-    """Add ``alias``: ``value`` of the row before, per key and in ``order`` (led by ``ts``).
 
-    A key with more than ``rows_per_slice`` rows is cut into time slices, each
-    its own group; the first row of a slice takes its predecessor from the
-    slice table, so the result equals one lag over the whole key.
+def cut_points(keyed: DataFrame, column: str) -> DataFrame | None:
+    """One row ``cuts``: an ascending array of sampled keys; None for an empty table.
+
+    The sample is bounded by the number of ranges, not by the data.
     """
-    slices = time_slices(df, keys, ts, order, value, rows_per_slice)
-    if slices is None:
-        whole = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(alias, F.lag(value).over(whole))
-    placed = df.join(F.broadcast(slices), keys, "left").withColumn(
-        "_slice", F.coalesce(slice_of(F.unix_micros(ts), "_cuts"), F.lit(0))
-    )
-    placed = placed.withColumn("_before", F.try_element_at("_previous", F.col("_slice")))
-    part = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    # Only the first row of a slice has no row before it.
-    first = F.row_number().over(part) == 1
-    before = F.when(first, F.col("_before")).otherwise(F.lag(value).over(part))
-    return placed.drop("_cuts", "_previous").withColumn(alias, before).drop("_slice", "_before")
-
-
-def time_slices(
-    df: DataFrame, keys: list[str], ts: str, order: list[str], value: str, rows_per_slice: int
-) -> DataFrame | None:
-    """Cut points in time for every heavy key, or None when no key is heavy.
-
-    One row per heavy key: ``_cuts`` (microseconds, ascending) and ``_previous``,
-    the last value before each slice.  At most MAX_KEYS rows of MAX_SLICES
-    entries, hence safe to broadcast.
+    spark = keyed.sparkSession
+    ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = keyed.count()
+    if rows == 0:
+        return None
+    share = min(1.0, SAMPLED_PER_RANGE * ranges / rows)
+    span = 1 << 30
+    drawn = keyed.where(F.pmod(F.xxhash64(column), F.lit(span)) <= int(share * span)).select(column)
+    place = F.row_number().over(Window.orderBy(column)) - 1
+    total = F.count("*").over(Window.partitionBy())
+    numbered = drawn.distinct().select(column, place.alias("place"), F.floor(place * ranges / total).alias("range"))
+    first = numbered.groupBy("range").agg(F.min(column).alias("cut")).where("range > 0")
+    return staged(first.agg(F.array_sort(F.collect_list("cut")).alias("cuts")), "cut-points")
+
+
+def range_of(key: str, cuts: str) -> Column:
+    """How many cut points are not above the key, by bisection."""
+    return F.expr(f"""
+        aggregate(sequence(1, 1 + cast(ceil(log2(size({cuts}) + 1)) AS INT)), struct(0 AS lo, size({cuts}) AS hi),
+                  (s, i) -> CASE WHEN s.lo >= s.hi THEN s
+                                 WHEN {key} >= {cuts}[(s.lo + s.hi) DIV 2]
+                                 THEN struct(cast((s.lo + s.hi) DIV 2 AS INT) + 1 AS lo, s.hi AS hi)
+                                 ELSE struct(s.lo AS lo, cast((s.lo + s.hi) DIV 2 AS INT) AS hi) END, s -> s.lo)""")
+
+
+def _ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame | None:
+    """``df`` with ``_at``, its place in the total order, and ``_range``; None for an empty table.
+
+    Cut points fall inside a key that holds many rows, inside one microsecond too.
     """
-    heavy = heavy_keys(df, keys, rows_per_slice)
-    if heavy.isEmpty():
+    keyed = df.withColumn("_at", sort_key(df, keys, order))
+    cuts = cut_points(keyed, "_at")
+    if cuts is None:
         return None
-    hot = df.join(F.broadcast(heavy.select(*keys)), keys).withColumn("_us", F.unix_micros(ts))
-    steps = F.array(*[F.lit(i / MAX_SLICES) for i in range(1, MAX_SLICES)])
-    cuts = hot.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx("_us", steps, F.lit(10 * MAX_SLICES))).alias("_cuts")
-    )
-    cuts = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
-    sliced = hot.join(F.broadcast(cuts), keys).withColumn("_slice", slice_of("_us", "_cuts"))
-    last = sliced.groupBy(*keys, "_slice").agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    earlier = Window.partitionBy(*keys).orderBy("_slice")  # at most MAX_SLICES rows per key
-    entries = F.collect_list(F.struct("_slice", "_before"))
-    previous = (
-        last.withColumn("_before", F.lag("_last").over(earlier))
-        .groupBy(*keys)
-        .agg(F.map_from_entries(entries).alias("_previous"))
-    )
-    table = cuts.join(previous, keys)
-    return df.sparkSession.createDataFrame(table.collect(), table.schema)
-
+    # One row with an array of bounded length joins every row.
+    placed = keyed.withColumn("_one", F.lit(1)).join(F.broadcast(cuts.withColumn("_one", F.lit(1))), "_one")
+    return placed.withColumn("_range", range_of("_at", "cuts")).drop("cuts", "_one")
 
-def slice_of(us: str | Column, cuts: str) -> Column:
-    """Number of cut points at or before a time: the slice the time falls in."""
-    us = F.col(us) if isinstance(us, str) else us
-    return F.size(F.filter(cuts, lambda c: c <= us))
 
-
-def lookup_join(
-    rows: DataFrame, lookup: DataFrame, key: str, weight: str, common: int = MAX_KEYS
+def with_previous(
+    df: DataFrame, keys: list[str], order: list[str], value: str, alias: str
 ) -> DataFrame:
+    """Add ``alias``: ``value`` of the row before, per key and in ``order``.
+
+    Rows are dealt by ranges of the total order, so no key needs a task of its
+    own; the last row of each range, one a range, is what the next begins with.
+    """
+    placed = _ranged(df, keys, order)
+    if placed is None:
+        return df.withColumn(alias, F.lit(None).cast(df.schema[value].dataType))
+    row = F.struct(*keys, value)
+    ends = placed.groupBy("_range").agg(F.max_by(row, "_at").alias("_last"))
+    earlier = Window.orderBy("_range")
+    before = staged(ends.select("_range", F.lag("_last").over(earlier).alias("_carried")), "range-ends")
+    inside = Window.partitionBy("_range").orderBy("_at")
+    linked = placed.withColumn("_inside", F.lag(row).over(inside)).join(F.broadcast(before), "_range", "left")
+    linked = linked.withColumn("_before", F.coalesce("_inside", "_carried"))
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_before.{key}"))
+    return linked.withColumn(alias, F.when(same, F.col(f"_before.{value}"))).select(*df.columns, alias)
+
+
+def with_position(df: DataFrame, keys: list[str], order: list[str], alias: str) -> DataFrame:
+    """Add ``alias``: the row's number per key from 0, in ``order``."""
+    placed = _ranged(df, keys, order)
+    if placed is None:
+        return df.withColumn(alias, F.lit(None).cast("long"))
+    sizes = placed.groupBy(*keys, "_range").agg(F.count("*").alias("n"))
+    along = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # Only a key that goes on from an earlier range needs an offset: one key a range.
+    begins = sizes.withColumn("_begin", F.sum("n").over(along)).where("_begin IS NOT NULL").drop("n")
+    begins = staged(begins, "range-begins")
+    inside = Window.partitionBy(*keys, "_range").orderBy("_at")
+    numbered = placed.withColumn("_inside", F.row_number().over(inside) - 1)
+    joined = numbered.join(F.broadcast(begins), [*keys, "_range"], "left")
+    place = F.coalesce("_begin", F.lit(0)) + F.col("_inside")
+    return joined.withColumn(alias, place.cast("long")).select(*df.columns, alias)
+
+
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str, part: float = HEAVY_PART) -> DataFrame:
     """``rows`` inner-joined with ``lookup`` on ``key`` although a few keys are very frequent.
 
-    The ``common`` heaviest lookup rows (by ``weight``) are broadcast; that many
-    rows is their proven bound.  Rows served that way get a random-looking join
-    key in the shuffle join with the full table, so no reducer sees a hot key.
+    ``weight`` is the number of rows of each key, so at most ``1 / part`` keys
+    are heavy: these are broadcast to their rows, which do not move.  Only the
+    rest is shuffled.  Give written tables; ``rows`` is read twice.
     """
-    value_columns = [c for c in lookup.columns if c != key]
-    top = lookup.orderBy(F.desc(weight), key).limit(common)
-    hot_name, cold_name = "_hot", "_cold"
-    served = rows.join(
-        F.broadcast(top.select(key, F.struct(*value_columns).alias(hot_name))), key, "left"
-    )
-    # The prefix cannot occur in a lookup key, so served rows find no partner.
-    scattered = F.concat(F.lit("\u0000"), F.xxhash64(*rows.columns).cast("string"))
-    join_key = F.when(F.col(hot_name).isNull(), F.col(key)).otherwise(scattered)
-    rest = lookup.select(F.col(key).alias("_key"), F.struct(*value_columns).alias(cold_name))
-    joined = served.withColumn("_key", join_key).join(rest, "_key", "left")
-    found = F.coalesce(hot_name, cold_name)
-    return (
-        joined.withColumn("_found", found)
-        .filter(F.col("_found").isNotNull())
-        .select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in value_columns])
+    heavy_from = rows.count() * part
+    heavy = lookup.where(F.col(weight) > heavy_from)
+    values = [c for c in lookup.columns if c != key]
+    hot = rows.join(F.broadcast(heavy), key)
+    cold = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(
+        lookup.where(F.col(weight) <= heavy_from), key
     )
+    return hot.unionByName(cold).select(*rows.columns, *values)

@@ -182,7 +182,7 @@ def chart_series(table: DataFrame, x: str) -> DataFrame:
 
 def score_sweep(
     scored: DataFrame, label: Column, probs: list[float], zero_division: str = "zero",
-    inclusive: bool = True, score: str = "if_score", small_rows: int = 2_000_000,
+    inclusive: bool = True, score: str = "if_score",
 ) -> DataFrame:
     """Flag the lowest share of scores, per share: threshold, alert volume and metrics.
 
@@ -190,7 +190,7 @@ def score_sweep(
     own prediction).  Rows are counted per crossed threshold and label, so the
     data is read once however many shares are asked for.
     """
-    found = exact_quantiles(scored, [score], probs, small_rows=small_rows)
+    found = exact_quantiles(scored, [score], probs)
     marks = sorted((r["value"], r["prob"]) for r in found.collect())  # one row per share
     if not marks:
         raise ValueError("no score to sweep")

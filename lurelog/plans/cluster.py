@@ -3,32 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lurelog.operators import clusters as cl
+from lurelog.operators.projection import pca_2d
 from lurelog.sinks import files, tables
 from lurelog.staging import staged
 
 
 def cluster_sessions(
-    sessions: DataFrame, k: int = 8, min_commands: int = 3, seed: int = 42,
-    items: DataFrame | None = None,
+    sessions: DataFrame, items: DataFrame, *, min_df: int, max_df: float, k: int = 8,
+    min_commands: int = 3, seed: int = 42,
 ) -> dict[str, DataFrame]:
     """``sessions`` with their cluster, the cluster ``summary`` and 2-D ``coords``.
 
-    ``items`` (see ``session_items``) supplies the commands of sessions whose
-    list was left out for size.
+    ``items`` (see ``session_items``) has the commands of all sessions, one row each.
     """
     chosen = staged(cl.sessions_for_clustering(sessions, min_commands), "sessions")
     if chosen.isEmpty():
         raise ValueError("no session has enough commands")
-    docs = cl.session_docs(chosen)
-    if items is not None:
-        unlisted = chosen.filter("commands_seq IS NULL AND num_commands > 0").select("session_id")
-        items = items.join(unlisted, "session_id", "left_semi")
-    weights = staged(cl.session_tfidf(docs, items=items), "tfidf")
-    vectors, size = cl.doc_vectors(weights, docs)
+    docs = chosen.select(F.col("session_id").alias("doc_id"))
+    said = items.join(chosen.select("session_id"), "session_id", "left_semi")
+    weights = staged(cl.tfidf(cl.item_term_counts(said), docs.count(), min_df, max_df), "tfidf")
+    vectors, _ = cl.doc_vectors(weights, docs)
     assigned = staged(cl.kmeans(vectors, k, seed), "clusters")
-    coords = cl.pca_2d(vectors, size).join(assigned, "doc_id").select("doc_id", "x", "y", "cluster")
+    coords = pca_2d(weights, docs).join(assigned, "doc_id").select("doc_id", "x", "y", "cluster")
     labelled = chosen.join(assigned.withColumnRenamed("doc_id", "session_id"), "session_id")
     return {
         "sessions": labelled,
@@ -37,8 +36,8 @@ def cluster_sessions(
     }
 
 
-def cluster_and_write(sessions: DataFrame, out: str, **options) -> dict[str, DataFrame]:
-    result = cluster_sessions(sessions, **options)
+def cluster_and_write(sessions: DataFrame, items: DataFrame, out: str, **options) -> dict[str, DataFrame]:
+    result = cluster_sessions(sessions, items, **options)
     tables.write_table(result["sessions"], f"{out}/session_clusters.parquet")
     files.write_csv(result["summary"], f"{out}/cluster_summary")
     files.write_csv(result["coords"].drop("doc_id"), f"{out}/cluster_coords_2d")

@@ -31,8 +31,7 @@ def normalize_sensors(lines: dict[str, DataFrame], ingest: str = "both", **optio
 def ingest_logs(
     spark: SparkSession, events_path: str, rejects_path: str, *, salt: str,
     cowrie_dir: str | None = None, cowrie_pattern: str = logs.INTERACTIVE_PATTERN, opencanary_path: str | None = None, ingest: str = "both",
-    max_files: int | None = None, max_lines: int | None = None, numbered: bool = False,
-    skip_stored: bool = False, keep_secrets: bool = False, redact_free_text: bool = True,
+    numbered: bool = False, skip_stored: bool = False, keep_secrets: bool = False, redact_free_text: bool,
 ) -> DataFrame:
     """Read the chosen sensors' logs, append the valid events and the rejects.
 
@@ -43,11 +42,9 @@ def ingest_logs(
     for sensor in chosen_sensors(ingest):
         if sensor == "cowrie":
             paths = logs.discover_files(spark, cowrie_dir, cowrie_pattern)
-            paths = paths if max_files is None else logs.first_files(paths, max_files)
             lines[sensor] = logs.read_log_lines(spark, paths, numbered)
         else:
-            scan = logs.read_log_lines(spark, opencanary_path, numbered)
-            lines[sensor] = scan if max_lines is None else logs.first_lines(scan, max_lines)
+            lines[sensor] = logs.read_log_lines(spark, opencanary_path, numbered)
     if not lines:
         empty = "source STRING, reason STRING, n BIGINT"
         return spark.createDataFrame([], empty)

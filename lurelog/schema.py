@@ -1,66 +1,72 @@
-"""Canonical table schemas and enumerations."""
+"""Canonical table schemas and enumerations.  All names and types here are fixed values."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-_TYPES = {
-    "ts": T.TimestampType(),
-    "text": T.StringType(),
-    "int": T.IntegerType(),
-    "long": T.LongType(),
-    "double": T.DoubleType(),
-    "bool": T.BooleanType(),
-    "texts": T.ArrayType(T.StringType()),
-}
-
-
-def _table(*groups: tuple[str, str]) -> T.StructType:
-    """A struct from (type, "name name …") groups, in order."""
-    return T.StructType(
-        [T.StructField(name, _TYPES[kind]) for kind, names in groups for name in names.split()]
-    )
-
-
-EVENTS = _table(
-    ("ts", "ts_utc"),
-    ("text", "source service event_type eventid src_ip src_ip_hash src_ip_masked"),
-    ("int", "src_port dst_port"),
-    ("text", "session_id username username_hash password password_hash"),
-    ("int", "pass_len"),
-    ("double", "pass_entropy"),
-    ("text", "command"),
-    ("bool", "command_truncated"),
-    ("text", "url filename file_hash raw_json event_hash"),
+from pyspark.sql.types import (
+    BooleanType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
 )
 
-SESSIONS = _table(
-    ("text", "session_id"),
-    ("ts", "start_ts_utc end_ts_utc"),
-    ("long", "duration_s"),
-    ("text", "src_ip_hash src_ip_masked"),
-    ("bool", "has_success"),
-    ("texts", "commands_seq"),
-    ("long", "num_commands"),
-    ("texts", "download_urls"),
-    ("long", "num_downloads"),
-)
+EVENTS = StructType([
+    StructField("ts_utc", TimestampType()),
+    StructField("source", StringType()),
+    StructField("service", StringType()),
+    StructField("event_type", StringType()),
+    StructField("eventid", StringType()),
+    StructField("src_ip", StringType()),
+    StructField("src_ip_hash", StringType()),
+    StructField("src_ip_masked", StringType()),
+    StructField("src_port", IntegerType()),
+    StructField("dst_port", IntegerType()),
+    StructField("session_id", StringType()),
+    StructField("username", StringType()),
+    StructField("username_hash", StringType()),
+    StructField("password", StringType()),
+    StructField("password_hash", StringType()),
+    StructField("pass_len", IntegerType()),
+    StructField("pass_entropy", DoubleType()),
+    StructField("command", StringType()),
+    StructField("command_truncated", BooleanType()),
+    StructField("url", StringType()),
+    StructField("filename", StringType()),
+    StructField("file_hash", StringType()),
+    StructField("raw_json", StringType()),
+    StructField("event_hash", StringType()),
+])
 
-WINDOWS = _table(
-    ("ts", "window_start"),
-    ("text", "source service src_ip_hash src_ip_masked"),
-    ("long", "attempts success_count unique_users unique_passwords"),
-    ("double", "pass_entropy_mean mean_interarrival_s min_interarrival_s"),
-)
+# Without the two lists, which `SESSION_CHUNKS` holds.
+SESSIONS = StructType([
+    StructField("session_id", StringType()),
+    StructField("start_ts_utc", TimestampType()),
+    StructField("end_ts_utc", TimestampType()),
+    StructField("duration_s", LongType()),
+    StructField("src_ip_hash", StringType()),
+    StructField("src_ip_masked", StringType()),
+    StructField("has_success", BooleanType()),
+    StructField("num_commands", LongType()),
+    StructField("num_downloads", LongType()),
+])
 
-LABELED = _table(
-    ("long", "label"),
-    ("text", "label_reason window_start source service src_ip_hash src_ip_masked"),
-    ("long", "attempts unique_users unique_passwords success_count"),
-    ("double", "mean_interarrival_s min_interarrival_s pass_entropy_mean"),
-    ("long", "baseline_alert if_pred"),
-    ("double", "if_score"),
-)
+WINDOWS = StructType([
+    StructField("window_start", TimestampType()),
+    StructField("source", StringType()),
+    StructField("service", StringType()),
+    StructField("src_ip_hash", StringType()),
+    StructField("src_ip_masked", StringType()),
+    StructField("attempts", LongType()),
+    StructField("success_count", LongType()),
+    StructField("unique_users", LongType()),
+    StructField("unique_passwords", LongType()),
+    StructField("pass_entropy_mean", DoubleType()),
+    StructField("mean_interarrival_s", DoubleType()),
+    StructField("min_interarrival_s", DoubleType()),
+])
 
 WINDOW_KEY = ["window_start", "source", "service", "src_ip_hash"]
 LOGIN_TYPES = ["login_fail", "login_success", "login_attempt"]

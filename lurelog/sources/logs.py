@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lurelog.functions.json_values import strip
+from lurelog.staging import staged
 
 INTERACTIVE_PATTERN = "cowrie.json*"
 
@@ -45,8 +46,8 @@ def _with_line_numbers(lines: DataFrame) -> DataFrame:
         "block_start",
         (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first_id") + 1).alias("shift"),
     )
-    # One row per file block: 100 TB in 128 MB blocks is under a million rows.
-    return ordered.join(offsets, ["file", "block_start"], "left").select(
+    # Written first: one row a file block, whose measured size lets Spark broadcast it.
+    return ordered.join(staged(offsets, "line-offsets"), ["file", "block_start"], "left").select(
         "file", "block_start", "value", (F.col("scan_id") + F.col("shift")).alias("line")
     )
 
@@ -61,13 +62,3 @@ def discover_files(spark: SparkSession, folder: str, pattern: str = INTERACTIVE_
     if not files:
         raise FileNotFoundError(f"no file matches {folder}/{pattern}")
     return files
-
-
-def first_files(files: list[str], n: int) -> list[str]:
-    """Development mode: the first ``n`` of the sorted files."""
-    return files[: max(0, n)]
-
-
-def first_lines(lines: DataFrame, n: int) -> DataFrame:
-    """Development mode: ``n`` lines; Spark does not promise which ones without an order."""
-    return lines.limit(n)

@@ -26,8 +26,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 DAY = 1440
-# Mean gaps are fractions of a microsecond; this keeps them off exact rounding ties.
-TIE_NUDGE = 3.7e-9
+CHUNK = 4  # items in a chunk of a session's lists
+TERMS = dict(min_df=2, max_df=0.8)
 RULE = dict(attempts_ge=10, unique_users_ge=6, unique_passwords_ge=12, max_mean_interarrival_s=5000.0)
 GRID = dict(attempts=[5, 10, 15, 60], users=[4, 6, 30], passwords=[4, 8, 40], gaps=[3000.0, 5000.0, -1.0])
 
@@ -53,12 +53,11 @@ def comparable(df: DataFrame) -> DataFrame:
         if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
             changed[field.name] = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            nudge = TIE_NUDGE if field.name == "mean_interarrival_s" else 0.0
-            changed[field.name] = F.round(column + F.lit(nudge), 6) + F.lit(0.0)
+            changed[field.name] = F.round(column, 6) + F.lit(0.0)
         elif isinstance(field.dataType, T.BooleanType):
             changed[field.name] = column.cast("int")
         elif isinstance(field.dataType, T.ArrayType):
-            changed[field.name] = F.array_join(column, "|")
+            changed[field.name] = F.to_json(column)
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType)):
             changed[field.name] = column.cast("bigint")
     return df.withColumns(changed) if changed else df
@@ -74,8 +73,9 @@ def lines(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def normalized(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return ingest_plan.normalize_sensors(lines(spark, sf_dir), salt=adapter.SALT, **options)
+def normalized(spark: SparkSession, sf_dir: str, redact_free_text: bool = True, **options) -> DataFrame:
+    options |= {"salt": adapter.SALT, "redact_free_text": redact_free_text}
+    return ingest_plan.normalize_sensors(lines(spark, sf_dir), **options)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,7 @@ sc AS (SELECT *, CAST({ALERT_SQL} AS INTEGER) AS baseline_alert,
               CASE WHEN attempts % 7 = 3 THEN 1 ELSE 0 END AS if_pred FROM feat)"""
 WINDOW_OUT = f"""{ex.time_text("window_start")} AS window_start, source, service, src_ip_hash, src_ip_masked,
   attempts, success_count, unique_users, unique_passwords, round(pass_entropy_mean, 6) AS pass_entropy_mean,
-  round(mean_interarrival_s + 3.7e-9, 6) AS mean_interarrival_s, round(min_interarrival_s, 6) AS min_interarrival_s"""
+  round(mean_interarrival_s, 6) AS mean_interarrival_s, round(min_interarrival_s, 6) AS min_interarrival_s"""
 FEATURE_OUT = WINDOW_OUT + """, round(users_per_attempt, 6) AS users_per_attempt,
   round(passwords_per_attempt, 6) AS passwords_per_attempt, round(success_rate, 6) AS success_rate,
   round(log_attempts, 6) AS log_attempts, round(log_unique_users, 6) AS log_unique_users,
@@ -246,16 +246,12 @@ _WS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(133) ||
 @query(
     "command_clean",
     rf"""WITH c AS (SELECT page_id, trim(regexp_replace(html, '[\x00-\x08\x0B-\x1F]', '', 'g'), {_WS}) AS t FROM pages)
-    SELECT page_id, length(left(t, 8000)) AS n, md5(left(t, 8000)) AS digest,
-           CAST(length(t) > 8000 AS BIGINT) AS truncated FROM c""",
+    SELECT page_id, length(t) AS n, md5(t) AS digest FROM c""",
 )
 def command_clean(spark, sf_dir):
-    """Control characters out, trimmed, cut at 8000 with a flag; the whole text is scanned."""
-    pages = adapter.table(spark, sf_dir, "pages").withColumn("c", F.expr(text.clean_command("html")))
-    return pages.select(
-        "page_id", F.char_length("c.text").cast("bigint").alias("n"), F.md5("c.text").alias("digest"),
-        F.col("c.truncated").alias("truncated"),
-    )
+    """Control characters out, trimmed; texts of any length stay whole."""
+    pages = adapter.table(spark, sf_dir, "pages").withColumn("c", F.expr(text.without_control_chars("html")))
+    return pages.select("page_id", F.char_length("c").cast("bigint").alias("n"), F.md5("c").alias("digest"))
 
 
 @query(
@@ -277,21 +273,27 @@ def password_entropy(spark, sf_dir):
 
 @query(
     "event_times",
-    """SELECT event_id, CASE event_id % 8 WHEN 6 THEN NULL WHEN 7 THEN NULL
-         WHEN 3 THEN epoch_us(date_trunc('second', ts)) WHEN 4 THEN epoch_us(date_trunc('second', ts))
-         WHEN 5 THEN epoch_us(date_trunc('second', ts)) ELSE epoch_us(ts) END AS us FROM events""",
+    """SELECT event_id, CASE WHEN event_id % 14 IN (6, 7) THEN NULL WHEN event_id % 14 IN (0, 1, 2) THEN epoch_us(ts)
+         WHEN event_id % 14 = 8 THEN epoch_us(date_trunc('millisecond', ts)) WHEN event_id % 14 = 11 THEN epoch_us(date_trunc('day', ts))
+         WHEN event_id % 14 = 12 THEN epoch_us(date_trunc('minute', ts)) ELSE epoch_us(date_trunc('second', ts)) END AS us FROM events""",
 )
 def event_times(spark, sf_dir):
     """Zoned, naive, epoch and textual event times; a bare time and junk are refused."""
     rows = adapter.base_events(spark, sf_dir).selectExpr(
-        "event_id", "event_id % 8 <> 2 AS is_string",
-        """CASE event_id % 8
+        "event_id", "event_id % 14 <> 2 AS is_string",
+        """CASE event_id % 14
              WHEN 0 THEN date_format(ts + INTERVAL 90 MINUTES, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+01:30'")
              WHEN 1 THEN date_format(ts, ' yyyy-MM-dd HH:mm:ss.SSSSSS ')
              WHEN 2 THEN cast(cast(unix_micros(ts) AS DECIMAL(20, 0)) / 1000000 AS STRING)
              WHEN 3 THEN date_format(ts, 'EEE, d MMM yyyy HH:mm:ss \\'GMT\\'')
              WHEN 4 THEN date_format(ts, 'MMM d yyyy HH:mm:ss')
              WHEN 5 THEN date_format(ts, 'yyyy/MM/dd HH:mm:ss')
+             WHEN 8 THEN date_format(ts, 'yyyy-MM-dd HH:mm:ss,SSS')
+             WHEN 9 THEN date_format(ts, 'EEE MMM  d HH:mm:ss \\'UTC\\' yyyy')
+             WHEN 10 THEN date_format(ts, 'MMMM d, yyyy hh:mm:ss a')
+             WHEN 11 THEN date_format(ts, 'd MMM yyyy')
+             WHEN 12 THEN date_format(ts, 'MM/dd/yyyy HH:mm')
+             WHEN 13 THEN date_format(ts, 'yyyy.MM.dd HH:mm:ss')
              WHEN 6 THEN date_format(ts, 'HH:mm:ss') ELSE 'soon' END AS text""",
     )
     return rows.selectExpr("event_id", f"unix_micros({times.parse_event_time('text', 'is_string')}) AS us")
@@ -370,9 +372,7 @@ SELECT session_id, {ex.time_text("min(ts_utc)")} AS start_ts_utc, {ex.time_text(
   arg_min(src_ip_hash, ts_utc) FILTER (WHERE src_ip_hash IS NOT NULL) AS src_ip_hash,
   arg_min(src_ip_masked, ts_utc) FILTER (WHERE src_ip_hash IS NOT NULL) AS src_ip_masked,
   CAST(bool_or(event_type = 'login_success') AS BIGINT) AS has_success,
-  string_agg(command, '|' ORDER BY ts_utc) FILTER (WHERE event_type = 'command') AS commands_seq,
   count(*) FILTER (WHERE event_type = 'command') AS num_commands,
-  string_agg(url, '|' ORDER BY ts_utc) FILTER (WHERE event_type = 'download' AND url IS NOT NULL) AS download_urls,
   count(*) FILTER (WHERE event_type = 'download') AS num_downloads
 FROM ev WHERE source = 'cowrie' AND session_id IS NOT NULL GROUP BY session_id"""
 
@@ -382,6 +382,31 @@ def sessions_query(spark, sf_dir):
     return sessions.build_sessions(staged(events(spark, sf_dir), "events"))
 
 
+ITEMS_SQL = """,
+it AS (SELECT session_id, CASE WHEN event_type = 'command' THEN command END AS command, CASE WHEN event_type = 'download' THEN url END AS url,
+              row_number() OVER (PARTITION BY session_id ORDER BY ts_utc, event_hash) - 1 AS position
+       FROM ev WHERE source = 'cowrie' AND session_id IS NOT NULL
+         AND (event_type = 'command' AND command IS NOT NULL OR event_type = 'download' AND url IS NOT NULL))"""
+
+
+@query("session_items", ex.with_tables() + ITEMS_SQL + " SELECT session_id, position, command, url FROM it")
+def session_items(spark, sf_dir):
+    """Every command and download of every session, numbered in order."""
+    return sessions.session_items(staged(events(spark, sf_dir), "events")).select("session_id", "position", "command", "url")
+
+
+@query(
+    "session_chunks",
+    ex.with_tables() + ITEMS_SQL + f""" SELECT session_id, position // {CHUNK} AS chunk,
+         CAST(to_json(list(command ORDER BY position) FILTER (WHERE command IS NOT NULL)) AS VARCHAR) AS commands_seq,
+         CAST(to_json(list(url ORDER BY position) FILTER (WHERE url IS NOT NULL)) AS VARCHAR) AS download_urls
+       FROM it GROUP BY ALL""",
+)
+def session_chunks(spark, sf_dir):
+    items = sessions.session_items(staged(events(spark, sf_dir), "events"))
+    return sessions.session_chunks(items, CHUNK)
+
+
 @query("ip_windows_5m", ex.with_tables(ex.windows(5)) + f" SELECT {WINDOW_OUT} FROM win")
 def ip_windows_5m(spark, sf_dir):
     return ip_windows.build_ip_windows(staged(events(spark, sf_dir), "events"), 5)
@@ -392,12 +417,6 @@ def ip_windows_1d(spark, sf_dir):
     return ip_windows.build_ip_windows(staged(events(spark, sf_dir), "events"), DAY)
 
 
-@query("ip_windows_sliced", ex.with_tables(ex.windows(60)) + f" SELECT {WINDOW_OUT} FROM win")
-def ip_windows_sliced(spark, sf_dir):
-    """Every address counts as heavy, so all gaps come from the sliced path."""
-    return ip_windows.build_ip_windows(staged(events(spark, sf_dir), "events"), 60, rows_per_slice=50)
-
-
 # --- quality report ---------------------------------------------------------
 
 
@@ -447,18 +466,36 @@ def top_event_types(spark, sf_dir):
           FROM src WHERE reason IS NOT NULL GROUP BY ALL""",
 )
 def reject_counts(spark, sf_dir):
-    bad = normalized(spark, sf_dir).filter("reject_reason IS NOT NULL")
-    return report.reject_counts(bad.select("source", F.col("reject_reason").alias("reason")))
-
-
-@query("quality_report")
+    return report.reject_counts(ingest_rejects(spark, sf_dir))
+
+
+REPORT_SQL = f"""
+ , f AS (SELECT count(*) AS n, regexp_replace({ex.time_text('min(ts_utc)')}, '[.]000000$', '') AS a, regexp_replace({ex.time_text('max(ts_utc)')}, '[.]000000$', '') AS b, count(*) FILTER (WHERE src_ip_hash IS NULL) AS missing FROM ev),
+ k AS (SELECT to_json(list({{'source': source, 'service': service, 'event_type': event_type, 'c': c}} ORDER BY c DESC, source, service, event_type)) AS j
+       FROM (SELECT source, service, event_type, count(*) AS c FROM ev GROUP BY ALL ORDER BY c DESC, source, service, event_type LIMIT 30)),
+ l AS (SELECT to_json(list({{'source': source, 'bad_json': 0, 'bad_ts': bad_ts, 'other': other}} ORDER BY source)) AS j FROM (
+       SELECT s.source, coalesce(sum(copies) FILTER (WHERE reason = 'bad_ts'), 0)::BIGINT AS bad_ts,
+              coalesce(sum(copies) FILTER (WHERE reason <> 'bad_ts'), 0)::BIGINT AS other
+       FROM (VALUES ('cowrie'), ('opencanary')) AS s(source)
+       LEFT JOIN src ON (CASE WHEN user_id % 3 = 2 THEN 'opencanary' ELSE 'cowrie' END) = s.source AND reason IS NOT NULL GROUP BY s.source))
+ SELECT '{{"counts":{{"events_raw":' || (SELECT CAST(sum(copies) AS BIGINT) FROM ev) || ',"events_dedup":' || n
+     || ',"cowrie_sessions":' || (SELECT count(DISTINCT session_id) FROM ev) || ',"ip_windows_5m":' || (SELECT count(*) FROM win)
+     || '}},"time_range":{{"min_ts_utc":"' || a || '","max_ts_utc":"' || b || '"}},"top_event_types":' || k.j
+     || ',"null_rates":{{"src_ip_hash_null":' || missing || ',"ts_null":0}},"rejects":' || l.j || '}}' AS report
+ FROM f, k, l"""
+
+
+@query("quality_report", ex.with_tables(ex.windows(5)) + REPORT_SQL)
 def quality_report(spark, sf_dir):
     rows = staged(normalized(spark, sf_dir), "normalized")
     raw = normalize.valid_events(rows)
     unique = staged(dedup.dedup_events(raw), "events")
     windows = staged(ip_windows.build_ip_windows(unique, 5), "windows")
-    bad = rows.filter("reject_reason IS NOT NULL").select("source", F.col("reject_reason").alias("reason"))
-    return report.quality_report(raw, unique, sessions.build_sessions(unique), windows, bad)
+    bad = rows.filter("reject_reason IS NOT NULL").groupBy("source", F.col("reject_reason").alias("reason"))
+    lost = bad.agg(F.count("*").alias("n"))
+    made = report.quality_report(raw, unique, sessions.build_sessions(unique), windows, lost)
+    # The time of the build is not comparable; everything else is.
+    return made.select(F.regexp_replace("report", r'^\{"generated_at_utc":"[^"]*",', "{").alias("report"))
 
 
 # --- features and rules -----------------------------------------------------
@@ -562,7 +599,7 @@ def group_medians(spark, sf_dir):
     """Exact medians of few huge groups without holding a group in one buffer."""
     rows = adapter.table(spark, sf_dir, "lineitem")
     found = quantiles.exact_quantiles(
-        rows, ["l_extendedprice", "l_quantity"], [0.5], by="l_returnflag", small_rows=0
+        rows, ["l_extendedprice", "l_quantity"], [0.5], by="l_returnflag"
     )
     return found.drop("prob")
 
@@ -806,11 +843,10 @@ def score_thresholds(spark, sf_dir):
     _score_sql("lineitem", "l_extendedprice", _LINE_LABEL, [0.01, 0.02, 0.05, 0.1], True),
 )
 def score_ranking(spark, sf_dir):
-    """The same by top-k share, thresholds found by the bracketed quantiles."""
+    """The same by top-k share."""
     rows = adapter.table(spark, sf_dir, "lineitem")
     return sweeps.score_sweep(
         rows, F.expr(_LINE_LABEL), [k / 100 for k in sweeps.TOPK_PERCENTS], score="l_extendedprice",
-        small_rows=0,
     )
 
 
@@ -882,40 +918,44 @@ def session_docs(spark, sf_dir):
     return cl.session_docs(talk_sessions(spark, sf_dir))
 
 
-# Plain-letter words of each page address, so that both engines split alike.
-PAGE_DOCS = """
-WITH d AS (SELECT page_id AS doc_id, regexp_replace(lower(url), '[^a-z0-9_-]+', ' ', 'g') AS doc FROM pages),
+# Plain-letter words of each whole text, so that both engines split alike.
+DOC_TERMS = """
+WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9_-]+', ' ', 'g') AS doc FROM documents),
 w AS (SELECT doc_id, list_filter(string_split(trim(doc), ' '), lambda x: length(x) >= 2) AS ws FROM d),
 t AS (SELECT doc_id, unnest(ws) AS term FROM w
       UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM d),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
-PAGE_TFIDF = PAGE_DOCS + """,
+DOC_TFIDF = DOC_TERMS + """,
 v AS (SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM df, n WHERE df >= 2 AND df <= 0.8 * n),
 r AS (SELECT doc_id, term, tf * idf AS raw FROM tf JOIN v USING (term)),
 wt AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM r)"""
 
 
-def page_docs(spark, sf_dir):
-    pages = adapter.table(spark, sf_dir, "pages")
-    doc = F.regexp_replace(F.lower("url"), "[^a-z0-9_-]+", " ")
-    return pages.select(F.col("page_id").alias("doc_id"), doc.alias("doc"))
+def plain_docs(spark, sf_dir):
+    docs = adapter.spread(adapter.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z0-9_-]+", " ").alias("doc"))
+
 
+def doc_weights(spark, sf_dir):
+    docs = plain_docs(spark, sf_dir)
+    return cl.tfidf(cl.term_counts(docs), docs.count(), **TERMS)
 
-@query("term_df", PAGE_DOCS + " SELECT term, df FROM df")
+
+@query("term_df", DOC_TERMS + " SELECT term, df FROM df")
 def term_df(spark, sf_dir):
-    return cl.document_frequency(cl.term_counts(page_docs(spark, sf_dir)))
+    return cl.document_frequency(cl.term_counts(plain_docs(spark, sf_dir)))
 
 
-@query("session_tfidf", PAGE_TFIDF + " SELECT doc_id, term, round(weight, 6) AS weight FROM wt")
+@query("session_tfidf", DOC_TFIDF + " SELECT doc_id, term, round(weight, 6) AS weight FROM wt")
 def session_tfidf(spark, sf_dir):
-    return cl.session_tfidf(page_docs(spark, sf_dir))
+    return doc_weights(spark, sf_dir)
 
 
 @query(
     "cluster_top_terms",
-    PAGE_TFIDF
+    DOC_TFIDF
     + """, s AS (SELECT doc_id % 4 AS cluster, term, sum(weight) AS total FROM wt GROUP BY ALL),
     k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(total, 9) DESC, term) AS rn FROM s),
     z AS (SELECT doc_id % 4 AS cluster, count(*) AS n_sessions FROM d GROUP BY ALL)
@@ -923,44 +963,128 @@ def session_tfidf(spark, sf_dir):
     FROM k JOIN z USING (cluster) WHERE rn <= 15 GROUP BY cluster""",
 )
 def cluster_top_terms(spark, sf_dir):
-    docs = page_docs(spark, sf_dir)
+    docs = plain_docs(spark, sf_dir)
     given = docs.select("doc_id", (F.col("doc_id") % 4).alias("cluster"))
-    return cl.top_terms(cl.session_tfidf(docs), given)
+    return cl.top_terms(doc_weights(spark, sf_dir), given)
+
+
+def talk_items(spark, sf_dir):
+    turns = adapter.table(spark, sf_dir, "conversations")
+    return turns.select(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("position"), F.col("text").alias("command")
+    )
 
 
 def _clustered(spark, sf_dir):
-    return cluster_plan.cluster_sessions(talk_sessions(spark, sf_dir), k=4, min_commands=2)
+    return cluster_plan.cluster_sessions(
+        talk_sessions(spark, sf_dir), talk_items(spark, sf_dir), k=4, min_commands=2, **TERMS
+    )
+
 
+# What holds for any clustering: every session of two or more turns once, sizes that add up.
+TALKS_SQL = "(SELECT count(*) AS n FROM (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) >= 2))"
 
-@query("kmeans_sessions")
+
+@query(
+    "kmeans_sessions",
+    f"SELECT n AS sessions, n AS different, CAST(0 AS BIGINT) AS nearer_elsewhere, CAST(4 AS BIGINT) AS clusters FROM {TALKS_SQL}",
+)
 def kmeans_sessions(spark, sf_dir):
-    return _clustered(spark, sf_dir)["sessions"].select("session_id", "num_commands", "cluster")
+    """Every session is in one cluster, and no other cluster's centre is nearer to it."""
+    chosen = staged(cl.sessions_for_clustering(talk_sessions(spark, sf_dir), 2), "sessions")
+    docs = chosen.select(F.col("session_id").alias("doc_id"))
+    said = talk_items(spark, sf_dir).join(chosen.select("session_id"), "session_id", "left_semi")
+    weights = staged(cl.tfidf(cl.item_term_counts(said), docs.count(), **TERMS), "weights")
+    vectors, _ = cl.doc_vectors(weights, docs)
+    found = staged(cl.kmeans(vectors, 4), "clusters")
+    # Distances from the long table: |c|^2 - 2 x.c is enough to compare centres.
+    sizes = found.groupBy("cluster").agg(F.count("*").alias("size"))
+    centres = weights.join(found, "doc_id").groupBy("cluster", "term").agg(F.sum("weight").alias("total")).join(sizes, "cluster")
+    centres = staged(centres.select("cluster", "term", (F.col("total") / F.col("size")).alias("c")), "centres")
+    square = centres.groupBy("cluster").agg(F.sum(F.col("c") * F.col("c")).alias("square"))
+    products = weights.join(centres, "term").groupBy("doc_id", "cluster").agg(F.sum(F.col("weight") * F.col("c")).alias("product"))
+    labels4 = docs.withColumn("cluster", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    far = labels4.join(square, "cluster").join(products, ["doc_id", "cluster"], "left").select(
+        "doc_id", "cluster", (F.col("square") - 2 * F.coalesce("product", F.lit(0.0))).alias("distance")
+    )
+    own = far.join(found, ["doc_id", "cluster"]).select("doc_id", F.col("distance").alias("own"))
+    nearer = far.join(own, "doc_id").where(F.col("distance") < F.col("own") - 1e-9).select("doc_id").distinct()
+    totals = found.agg(F.count("*").alias("sessions"), F.count_distinct("doc_id").alias("different"), F.count_distinct("cluster").alias("clusters"))
+    return totals.join(nearer.agg(F.count("*").alias("nearer_elsewhere")), F.lit(True), "inner").select(
+        "sessions", "different", "nearer_elsewhere", "clusters"
+    )
 
 
-@query("cluster_summary")
+@query("cluster_summary", f"SELECT CAST(4 AS BIGINT) AS clusters, CAST(n AS BIGINT) AS sessions, CAST(1 AS BIGINT) AS terms_listed FROM {TALKS_SQL}")
 def cluster_summary(spark, sf_dir):
-    return _clustered(spark, sf_dir)["summary"]
+    """Sizes of the clusters add up, and a cluster with terms lists at most fifteen of them."""
+    found = _clustered(spark, sf_dir)["summary"]
+    listed = F.coalesce(F.size(F.split("top_terms", ", ")), F.lit(0)) <= 15
+    return found.agg(F.count("*").alias("clusters"), F.sum("n_sessions").alias("sessions"), F.bool_and(listed).cast("bigint").alias("terms_listed"))
 
 
-@query("pca_sessions")
+@query(
+    "pca_sessions",
+    f"""SELECT n AS sessions, 0.0 AS mean_x, 0.0 AS mean_y, 0.0 AS covariance, CAST(1 AS BIGINT) AS in_order FROM {TALKS_SQL}""",
+)
 def pca_sessions(spark, sf_dir):
-    return _clustered(spark, sf_dir)["coords"]
+    """One point a session; axes centred, uncorrelated and in order of variance."""
+    found = _clustered(spark, sf_dir)["coords"]
+    return found.agg(
+        F.count("*").alias("sessions"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.covar_samp("x", "y").alias("covariance"),
+        (F.var_samp("x") >= F.var_samp("y")).cast("bigint").alias("in_order"),
+    )
 
 
 # --- forest -----------------------------------------------------------------
 
 
-@query("isolation_forest")
+@query(
+    "isolation_forest",
+    """WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE l_orderkey % 32 = 0 AND l_linenumber = 1) AS planted FROM lineitem)
+    SELECT n AS windows, CAST(floor(0.05 * (n - 1)) + 1 AS BIGINT) AS flagged_at_least, planted AS planted_flagged,
+           CAST(200 AS BIGINT) AS trees, CAST(1 AS BIGINT) AS drawn_from_all FROM n""",
+)
 def isolation_forest(spark, sf_dir):
-    scored = forest.isolation_forest(day_features(spark, sf_dir), contamination=0.05)
-    return scored.select("window_start", "source", "service", "src_ip_hash", "if_score", "if_pred")
+    """Rows of ``lineitem`` with planted outliers: these are flagged, so is the wanted share, and
+    the trees draw from every part of the table."""
+    rows = adapter.table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), "l_orderkey",
+        ((F.col("l_orderkey") % 32 == 0) & (F.col("l_linenumber") == 1)).cast("long").alias("planted"),
+        *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")],
+    )
+    features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    far = staged(rows.withColumns({c: F.col(c) + F.col("planted") * 1e7 for c in features}), "forest-input")
+    scored = forest.isolation_forest(far, contamination=0.05, features=features, key=["key"])
+    n = far.count()
+    drawn = forest._tree_samples(far, [*features, "l_orderkey"], ["key"], forest.TREES, min(forest.SAMPLE, n), 42, n)
+    ends = far.agg(F.expr("percentile_approx(l_orderkey, array(0.1, 0.9))").alias("p")).first()["p"]
+    spread = drawn.agg(
+        F.count_distinct("tree").alias("trees"),
+        ((F.count_if(F.col("l_orderkey") < ends[0]) > 0) & (F.count_if(F.col("l_orderkey") > ends[1]) > 0)).cast("bigint").alias("drawn_from_all"),
+    )
+    # Rows below the quantile; a tie at it may hold the count at the rank itself.
+    flagged = F.count_if(F.col("if_score") <= 0)
+    return scored.agg(
+        F.count("*").alias("windows"), F.least(flagged, F.lit(int(0.05 * (n - 1)) + 1)).alias("flagged_at_least"),
+        F.sum(F.col("planted") * F.col("if_pred")).alias("planted_flagged"),
+    ).join(spread, F.lit(True), "inner")
 
 
-@query("top_anomalies")
+@query(
+    "top_anomalies",
+    ex.with_tables(ex.features(), SCORED)
+    + """ SELECT count(*) AS windows, least(count(*), 200) AS listed, CAST(sum(baseline_alert) AS BIGINT) AS alerts, CAST(1 AS BIGINT) AS in_order FROM sc""",
+)
 def top_anomalies(spark, sf_dir):
-    scored = detect_plan.detect(day_windows(spark, sf_dir), contamination=0.05, **RULE)
-    return fe.top_anomalies(scored).select(
-        "window_start", "source", "service", "src_ip_hash", "baseline_alert", "if_pred", "if_score"
+    """The lowest scores of a whole detection run, and its rule alerts."""
+    scored = staged(detect_plan.detect(day_windows(spark, sf_dir), contamination=0.05, **RULE), "scored")
+    listed = fe.top_anomalies(scored)
+    worst = listed.agg(F.count("*").alias("listed"), F.max("if_score").alias("last"))
+    beyond = scored.join(F.broadcast(worst), F.lit(True), "inner")
+    return beyond.agg(
+        F.count("*").alias("windows"), F.max("listed").alias("listed"), F.sum("baseline_alert").alias("alerts"),
+        (F.count_if(F.col("if_score") < F.col("last")) <= F.max("listed")).cast("bigint").alias("in_order"),
     )
 
 
@@ -986,9 +1110,9 @@ def logs_to_curated(spark, sf_dir):
     lost = ingest_plan.ingest_logs(
         spark, f"{root}/events_raw", f"{root}/rejects", salt=adapter.SALT,
         cowrie_dir=adapter_files, cowrie_pattern="part-*", opencanary_path=f"{root}/logs/opencanary",
+        redact_free_text=True,
     )
-    reasons = lost.select("source", "reason", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
-    curate(spark, f"{root}/events_raw", f"{root}/curated", reasons, minutes=5)
+    curate(spark, f"{root}/events_raw", f"{root}/curated", lost, minutes=5)
     names = {"events": "events/events_clean", "sessions": "sessions/cowrie_sessions", "ip_windows": "ip_windows/ip_windows_5m"}
     counted = [
         load_table(spark, name, f"{root}/curated/{path}.parquet", prefer="parquet")

@@ -79,7 +79,7 @@ o1 AS (
 cowrie AS (
   SELECT *, sha256(concat_ws('|', source, service, event_type, eventid, {_HASH_TIME.replace("ts", "ts_utc").replace("%Y-%m-%dT", "%Y-%m-%dT")},
            coalesce(src_ip_hash, ''), session_id, coalesce(username_hash, ''), coalesce(password_hash, ''),
-           substr(command, 1, 200), coalesce(url, ''), coalesce(filename, ''))) AS event_hash
+           command, coalesce(url, ''), coalesce(filename, ''))) AS event_hash
   FROM c1),
 opencanary AS (
   SELECT *, sha256(concat_ws('|', source, service, event_type, eventid, {_HASH_TIME.replace("ts", "ts_utc")},

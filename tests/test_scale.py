@@ -4,11 +4,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lurelog import schema
 from lurelog.operators import clusters, dedup, features, forest, ip_windows, labels, metrics
-from lurelog.operators import quantiles, sessions, skew, sweeps
+from lurelog.operators import normalize, quantiles, sessions, skew, sweeps
 from lurelog.plans import cluster as cluster_plan
 from lurelog.plans import detect
 from lurelog.workload import catalog
@@ -29,20 +30,33 @@ def rows(df):
     return sorted(map(repr, df.collect()))
 
 
-def test_sliced_gaps_equal_plain_gaps(spark):
-    # One address holds most rows, several share a microsecond.
+def test_gaps_of_hot_keys_and_bursts(spark):
+    # One address holds most rows, and half of them share one microsecond.
     base = spark.range(3000).selectExpr(
-        "timestamp_micros(cast(id * id % 100003 * 7000 AS BIGINT)) AS ts_utc",
+        "timestamp_micros(cast(CASE WHEN id % 2 = 0 THEN 5 ELSE id * id % 100003 * 7000 END AS BIGINT)) AS ts_utc",
         "CASE WHEN id % 5 = 0 THEN 'b' ELSE 'a' END AS source", "'ssh' AS service",
-        "CASE WHEN id % 10 < 8 THEN 'hot' ELSE concat('cold', id % 7) END AS src_ip_hash")
-    plain = ip_windows.with_gaps(base, rows_per_slice=10_000)
-    sliced = ip_windows.with_gaps(base, rows_per_slice=100)
-    assert rows(plain.select(sorted(plain.columns))) == rows(sliced.select(sorted(plain.columns)))
+        "CASE WHEN id % 10 < 8 THEN 'hot' ELSE concat('cold', id % 7) END AS src_ip_hash", "sha(string(id)) AS event_hash")
+    whole = Window.partitionBy(*ip_windows.GAP_KEY).orderBy("ts_utc", "source")
+    plain = base.withColumn("gap_us", F.unix_micros("ts_utc") - F.unix_micros(F.lag("ts_utc").over(whole)))
+    dealt = ip_windows.with_gaps(base)
+    assert rows(plain.select(sorted(plain.columns))) == rows(dealt.select(sorted(plain.columns)))
+    ranged = skew._ranged(base, ip_windows.GAP_KEY, ["ts_utc", "source"])
+    largest = ranged.groupBy("_range").count().agg(F.max("count")).first()[0]
+    assert largest < 1000  # a fraction of the hot key
+
+
+def test_positions_of_a_hot_key(spark):
+    base = spark.range(2000).selectExpr("CASE WHEN id % 10 < 8 THEN 'hot' ELSE concat('k', id % 7) END AS k", "id * 37 % 2003 AS at")
+    whole = Window.partitionBy("k").orderBy("at")
+    plain = base.withColumn("n", (F.row_number().over(whole) - 1).cast("long"))
+    assert rows(plain) == rows(skew.with_position(base, ["k"], ["at"], "n"))
+    empty = skew.with_position(base.limit(0), ["k"], ["at"], "n")
+    assert empty.columns == plain.columns and empty.count() == 0
 
 
 def test_windows_with_one_shuffle_of_logins_before_counting(events):
     plan = plan_of(ip_windows.with_gaps(ip_windows.login_events(events)))
-    assert plan.count("Exchange") == 1 and "raw_json" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and "raw_json" not in plan
 
 
 def test_copies_are_dropped_before_the_shuffle(events):
@@ -55,29 +69,46 @@ def test_dedup_keeps_one_row_of_a_group_of_copies(spark, events):
     assert rows(dedup.dedup_events(copies)) == rows(events)
 
 
-def test_oversized_sessions_keep_all_items(events):
+def test_items_hold_all_commands(events):
     whole = sessions.build_sessions(events)
-    small = sessions.build_sessions(events, inline_limit=1)
-    scalars = [c for c in whole.columns if c not in ("commands_seq", "download_urls")]
-    assert rows(whole.select(scalars)) == rows(small.select(scalars))
-    listed = whole.selectExpr("coalesce(size(commands_seq), 0) + coalesce(size(download_urls), 0) AS n")
-    assert sessions.session_items(events).count() == listed.agg(F.sum("n")).first()[0]
-    cut = small.filter("num_commands > 1").select("commands_seq").collect()
-    assert cut and all(r[0] is None for r in cut)
+    items = catalog.staged(sessions.session_items(events), "items")
+    counted = whole.agg(F.sum("num_commands")).first()[0]
+    assert items.where("command IS NOT NULL").count() == counted
+    chunks = sessions.session_chunks(items, 2)
+    assert chunks.agg(F.sum(F.coalesce(F.size("commands_seq"), F.lit(0)))).first()[0] == counted
+    assert chunks.agg(F.max(F.size("commands_seq"))).first()[0] <= 2
+
+
+def test_a_huge_session_keeps_its_terms(spark):
+    # One session of 20,000 commands beside small ones.
+    items = spark.range(20_300).selectExpr(
+        "CASE WHEN id < 20000 THEN 'huge' ELSE concat('s', id % 100) END AS session_id", "id AS position",
+        "concat(element_at(array('ls', 'cat', 'wget'), cast(id % 3 + 1 AS INT)), ' x') AS command")
+    counted = {(r.doc_id, r.term): r.tf for r in clusters.item_term_counts(items).collect()}
+    assert counted["huge", "ls"] == 6667 and counted["huge", "ls cat"] == 6667 and counted["huge", "wget ls"] == 6666
 
 
 def test_item_terms_equal_document_terms(events):
-    built = sessions.build_sessions(events)
-    from_docs = clusters.term_counts(clusters.session_docs(built))
-    for limit in (10_000, 1):
-        from_items = clusters.item_term_counts(sessions.session_items(events), rows_per_slice=limit)
-        assert rows(from_docs.select("doc_id", "term", "tf")) == rows(from_items.select("doc_id", "term", "tf"))
+    items = catalog.staged(sessions.session_items(events), "items")
+    lists = items.groupBy("session_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("position", "command"))), lambda e: e["command"]).alias("all"))
+    docs = clusters.session_docs(lists.select("session_id", F.filter("all", lambda c: c.isNotNull()).alias("commands_seq")))
+    from_docs = clusters.term_counts(docs).select("doc_id", "term", "tf")
+    assert rows(from_docs) == rows(clusters.item_term_counts(items).select("doc_id", "term", "tf"))
+
+
+def test_commands_that_share_200_characters_stay_two_events(spark):
+    start = "echo " + "a" * 300
+    line = '{"eventid":"cowrie.command.input","timestamp":"2025-01-02T03:04:05Z","session":"s","input":"%s"}'
+    lines = spark.createDataFrame([("f", line % (start + end)) for end in ("1", "2")], "file STRING, value STRING")
+    found = normalize.valid_events(normalize.normalize_cowrie(lines, salt="x", redact_free_text=True))
+    assert dedup.dedup_events(found).count() == 2
 
 
 def test_lookup_join_equals_a_join(spark):
     left = spark.range(2000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('t', id % 90) END AS term")
-    table = spark.range(60).selectExpr("CASE WHEN id = 0 THEN 'hot' ELSE concat('t', id) END AS term", "100 - id AS df")
-    got = skew.lookup_join(left, table, "term", "df", common=5)
+    table = spark.range(60).selectExpr("CASE WHEN id = 0 THEN 'hot' ELSE concat('t', id) END AS term", "CASE WHEN id = 0 THEN 667 ELSE 15 END AS df")
+    got = skew.lookup_join(left, table, "term", "df", part=1 / 200)
     assert rows(got.select("id", "term", "df")) == rows(left.join(table, "term").select("id", "term", "df"))
 
 
@@ -85,7 +116,7 @@ def test_lookup_join_equals_a_join(spark):
 def test_bracketed_quantiles(spark, by):
     data = spark.range(5000).selectExpr("id % 3 AS g", "CASE WHEN id % 11 > 0 THEN pow(id % 997, 3) / 7 END AS x")
     probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
-    found = quantiles.exact_quantiles(data, ["x"], probs, by, small_rows=0, accuracy=200).collect()
+    found = quantiles.exact_quantiles(data, ["x"], probs, by, accuracy=200).collect()
     plain = data.toPandas().dropna()
     groups = {None: plain} if by is None else dict(iter(plain.groupby("g")))
     assert len(found) == len(probs) * len(groups)
@@ -145,37 +176,47 @@ def test_forest_samples_are_exact(spark):
     assert len(sizes) == 200 and {r["count"] for r in sizes} == {256}
 
 
+TERMS = dict(min_df=1, max_df=1.0)
+
+
+def talk(spark, texts):
+    sessions_ = spark.createDataFrame([(f"s{i}", len(t)) for i, t in enumerate(texts)], "session_id STRING, num_commands INT")
+    items = spark.createDataFrame([(f"s{i}", k, c) for i, t in enumerate(texts) for k, c in enumerate(t)], "session_id STRING, position LONG, command STRING")
+    return sessions_, items
+
+
 def test_vectors_clusters_and_projection(spark):
     texts = [["ls", "cat x", "ls"], ["ls", "cat y", "ls"], ["wget a", "curl b", "chmod c"], ["wget q", "curl r", "chmod s"]] * 4
-    data = spark.createDataFrame([(f"s{i}", t, len(t)) for i, t in enumerate(texts)], "session_id STRING, commands_seq ARRAY<STRING>, num_commands INT")
-    found = cluster_plan.cluster_sessions(data, k=2)
+    texts[5] = ["ls", "cat", "id", "ls"]
+    data, items = talk(spark, texts)
+    found = cluster_plan.cluster_sessions(data, items, k=2, **TERMS)
     assigned = {r.session_id: r.cluster for r in found["sessions"].collect()}
     assert len(assigned) == 16 and len({assigned["s0"], assigned["s2"]}) == 2
     assert all(assigned[f"s{i}"] == assigned[f"s{i % 4 // 2 * 2}"] for i in range(16))
     assert sorted(r.n_sessions for r in found["summary"].collect()) == [8, 8]
-    xy = found["coords"].toPandas()
+    xy = found["coords"].orderBy("doc_id").toPandas()
     assert abs(xy.x.sum()) < 1e-9 and abs(xy.y.sum()) < 1e-9
 
-    docs = clusters.session_docs(data)
-    weights = catalog.staged(clusters.session_tfidf(docs), "w")
+    docs = data.select(F.col("session_id").alias("doc_id"))
+    weights = catalog.staged(clusters.tfidf(clusters.item_term_counts(items), 16, **TERMS), "w")
     vectors, size = clusters.doc_vectors(weights, docs)
     dense = np.array([r.features.toArray() for r in vectors.orderBy("doc_id").collect()])
     assert np.allclose((dense**2).sum(axis=1), 1.0)
-    by_svd = clusters.pca_2d(vectors, size, covariance_terms=0).orderBy("doc_id").toPandas()
     centred = dense - dense.mean(axis=0)
     u, s, _ = np.linalg.svd(centred, full_matrices=False)
-    for got in (by_svd, xy.sort_values("doc_id")):
-        assert np.allclose(np.abs(got.x), np.abs(u[:, 0] * s[0]), atol=1e-6)
+    assert np.allclose(np.abs(xy.x), np.abs(u[:, 0] * s[0]), atol=1e-6)
+    assert np.allclose(np.abs(xy.y), np.abs(u[:, 1] * s[1]), atol=1e-5)
+    plan = plan_of(found["coords"])
+    assert "Python" not in plan and "Pandas" not in plan
 
 
 def test_few_sessions(spark):
-    data = spark.createDataFrame([("a", ["ls", "cat", "id"], 3), ("b", ["id", "id", "ls"], 3)], "session_id STRING, commands_seq ARRAY<STRING>, num_commands INT")
-    found = cluster_plan.cluster_sessions(data, k=8)
+    data, items = talk(spark, [["ls", "cat", "id"], ["id", "id", "ls"]])
+    found = cluster_plan.cluster_sessions(data, items, k=2, **TERMS)
     assert found["sessions"].select("cluster").distinct().count() == 2
-    with pytest.raises(ValueError):
-        cluster_plan.cluster_sessions(data.limit(1), k=2)
-    with pytest.raises(ValueError):
-        cluster_plan.cluster_sessions(data, min_commands=9)
+    for wrong in (dict(k=3), dict(k=2, min_commands=9)):
+        with pytest.raises(ValueError):
+            cluster_plan.cluster_sessions(data, items, **TERMS, **wrong)
 
 
 def test_metrics_conventions(spark):
