@@ -39,7 +39,8 @@ def test_gaps_of_hot_keys_and_bursts(spark):
     whole = Window.partitionBy(*ip_windows.GAP_KEY).orderBy("ts_utc", "source")
     plain = base.withColumn("gap_us", F.unix_micros("ts_utc") - F.unix_micros(F.lag("ts_utc").over(whole)))
     dealt = ip_windows.with_gaps(base)
-    assert rows(plain.select(sorted(plain.columns))) == rows(dealt.select(sorted(plain.columns)))
+    seen = [c for c in sorted(plain.columns) if c != "event_hash"]  # which of two equals comes first is open
+    assert rows(plain.select(seen)) == rows(dealt.select(seen))
     ranged = skew._ranged(base, ip_windows.GAP_KEY, ["ts_utc", "source"])
     largest = ranged.groupBy("_range").count().agg(F.max("count")).first()[0]
     assert largest < 1000  # a fraction of the hot key
