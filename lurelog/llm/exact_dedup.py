@@ -87,16 +87,18 @@ def range_of(key: Column, cuts: list) -> Column:
 def content_sort(df: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
     """Rows with ``_range`` and ``_run`` (equal neighbours share one), staged.
 
-    ``_edge`` holds the content of the first and last row of each range.
+    The struct ``_row`` has the columns to carry, so that none clashes with a
+    name used here.  ``_edge`` holds the content of the first and last row of
+    each range.
     """
     spark = df.sparkSession
     ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = splitters(df, text_col, id_col, ranges)
-    columns = list(dict.fromkeys([id_col, text_col, *carry]))
-    keyed = df.select(*columns, _sort_key(normalised(F.col(text_col)), F.col(id_col)).alias("_key"))
+    named = [F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row")]
+    keyed = df.select(*named, _sort_key(normalised(F.col(text_col)), F.col(id_col)).alias("_key"))
     placed = keyed.withColumn("_range", range_of(F.col("_key"), cuts)).drop("_key")
-    content = placed.repartition("_range").withColumn("_content", normalised(F.col(text_col)))
-    order = Window.partitionBy("_range").orderBy("_content", F.col(id_col).asc_nulls_last())
+    content = placed.repartition("_range").withColumn("_content", normalised(F.col("_text")))
+    order = Window.partitionBy("_range").orderBy("_content", F.col("_id").asc_nulls_last())
     previous, following = F.lag("_content").over(order), F.lead("_content").over(order)
     marked = content.select(
         "*",
@@ -104,12 +106,11 @@ def content_sort(df: DataFrame, id_col: str, text_col: str, carry: list[str]) ->
         F.when(previous.isNull() | following.isNull(), F.col("_content")).alias("_edge"),
     )
     numbered = marked.select(
-        *[c for c in columns if c in carry or c == id_col],
-        "_range",
+        "_id", "_row", "_range",
         F.sum("_new").over(order).alias("_run"),
         (F.col("_new") == 1).alias("_first"),
         "_edge",
-        F.sha2(F.encode("_content", "utf-8"), 256).alias("text_sha256"),
+        F.sha2(F.encode("_content", "utf-8"), 256).alias("_sha256"),
     )
     return staged(numbered, "content-sort")
 
@@ -134,25 +135,38 @@ def _edge_runs(runs: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def _sorted_runs(df: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sorted rows, their runs, and the runs at the ends of ranges with their whole groups."""
+    rows = content_sort(df, id_col, text_col, carry)
+    runs = rows.groupBy("_range", "_run").agg(F.min("_id").alias("_min"), F.count("*").alias("_size"))
+    runs = staged(runs, "content-runs")
+    edges = rows.where(F.col("_edge").isNotNull()).groupBy("_range", "_run").agg(F.max("_edge").alias("_content"))
+    return rows, runs, staged(_edge_runs(runs, edges), "content-edges")
+
+
+def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay, all columns; whole rows move once, into their range."""
+    rows, _, whole = _sorted_runs(df, id_col, text_col, df.columns)
+    # Two rows a range at most.
+    linked = F.broadcast(whole.where("_linked").select("_range", "_run"))
+    return rows.where("_first").join(linked, ["_range", "_run"], "left_anti").select("_row.*")
+
+
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Every row with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
-    ``carry`` names the columns to return beside the identifier; all by default.
+    ``carry`` names the columns to return beside these; all by default.
     """
     carry = [c for c in (df.columns if carry is None else carry) if c not in OUTPUT]
-    rows = content_sort(df, id_col, text_col, carry)
-    runs = rows.groupBy("_range", "_run").agg(F.min(id_col).alias("_min"), F.count("*").alias("_size"))
-    runs = staged(runs, "content-runs")
-    edges = rows.where(F.col("_edge").isNotNull()).groupBy("_range", "_run").agg(F.max("_edge").alias("_content"))
-    whole = staged(_edge_runs(runs, edges), "content-edges")
+    rows, runs, whole = _sorted_runs(df, id_col, text_col, carry)
     # Both sides come from one range each; the second has two rows a range at most.
     found = rows.join(runs, ["_range", "_run"]).join(F.broadcast(whole), ["_range", "_run"], "left")
     return found.select(
-        *dict.fromkeys([id_col, *carry]),
+        *[F.col(f"_row.`{c}`") for c in carry],
         F.coalesce("_keep", "_min").alias("keep_id"),
         F.coalesce("_total", "_size").cast("long").alias("group_size"),
         (F.col("_first") & ~F.coalesce("_linked", F.lit(False))).alias("kept"),
-        "text_sha256",
+        F.col("_sha256").alias("text_sha256"),
     )
 
 

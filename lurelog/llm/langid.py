@@ -269,9 +269,9 @@ def predictor(network: Network | None):
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``df`` with ``held_out``, ``lang_pred`` and ``score``."""
     predict = predictor(fit(df, id_col, text_col, lang_col))
-    kept = [c for c in df.columns if c not in OUTPUT]
-    return df.select(*kept, held_out(F.col(id_col)).alias("held_out"), predict(text_col).alias("_found")).select(
-        *kept, "held_out", "_found.lang_pred", "_found.score"
+    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in OUTPUT]).alias("row")
+    return df.select(kept, held_out(F.col(id_col)).alias("held_out"), predict(text_col).alias("found")).select(
+        "row.*", "held_out", "found.lang_pred", "found.score"
     )
 
 
