@@ -76,6 +76,9 @@ def events_in_windows(sample: DataFrame, events: DataFrame, minutes: int = 5) ->
         F.array(F.floor(begin / length), F.floor((end_us - 1) / (length * 1_000_000)))
     )
     wanted = sample.select(*schema.WINDOW_KEY).distinct().withColumn("bucket", F.explode(buckets))
+    # The sample's time range goes down to the scan, which skips days outside it.
+    first, last = sample.agg(F.min("window_start"), F.max("window_start") + F.make_dt_interval(mins=F.lit(minutes))).first()
+    events = events.filter((F.col("ts_utc") >= F.lit(first)) & (F.col("ts_utc") < F.lit(last)))
     bucketed = events.withColumn("bucket", F.floor(F.unix_seconds("ts_utc") / length))
     inside = (F.unix_micros("ts_utc") >= F.unix_micros("window_start")) & (
         F.unix_micros("ts_utc") < end_us

@@ -27,12 +27,12 @@ def curate(
         "session_items": f"{curated}/sessions/session_items.parquet",
         "ip_windows": f"{curated}/ip_windows/ip_windows_5m.parquet",
     }
-    tables.write_table(dedup_events(raw), paths["events"])
-    events = spark.read.parquet(paths["events"])
+    tables.write_events(dedup_events(raw), paths["events"])
+    events = tables.read_events(spark, paths["events"])
     tables.write_table(build_sessions(events), paths["sessions"])
     tables.write_table(session_items(events), paths["session_items"])
     tables.write_table(build_ip_windows(events, minutes), paths["ip_windows"])
-    built = {name: spark.read.parquet(path) for name, path in paths.items()}
+    built = {name: spark.read.parquet(path) for name, path in paths.items()} | {"events": events}
     document = report.quality_report(
         raw, events, built["sessions"], built["ip_windows"], lost
     )

@@ -13,12 +13,25 @@ def append_events(events: DataFrame, path: str, skip_stored: bool = False) -> No
     """Append to ``events_raw``, partitioned by sensor and day.
 
     ``skip_stored`` leaves out events already there, so that a repeated run
-    adds nothing.
+    adds nothing.  An event's time is part of its fingerprint, so only the days
+    of the new events are read; give it a written table.
     """
     if skip_stored:
-        events = only_new(events, events.sparkSession.read.parquet(path))
+        stored = events.sparkSession.read.parquet(path)
+        first, last = events.agg(F.min(F.to_date("ts_utc")), F.max(F.to_date("ts_utc"))).first()
+        events = only_new(events, stored.where(F.col("event_date").between(F.lit(first), F.lit(last))))
+    _write_dated(events, path, "append")
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    """The curated ``events``, replaced as a whole, partitioned like the raw ones."""
+    _write_dated(events, path, "overwrite")
+
+
+def _write_dated(events: DataFrame, path: str, mode: str) -> None:
+    """One folder a sensor and day; a rebalance gathers a day in few files and splits large days."""
     dated = events.withColumn("event_date", F.to_date("ts_utc"))
-    dated.write.mode("append").partitionBy("source", "event_date").parquet(path)
+    dated.hint("rebalance", "source", "event_date").write.mode(mode).partitionBy("source", "event_date").parquet(path)
 
 
 def read_events(spark, path: str) -> DataFrame:

@@ -530,6 +530,34 @@ def default_rule_5m(spark, sf_dir):
     return fe.alert_summary(fe.baseline_alerts(fe.engineer_features(windows)))
 
 
+BURST_SQL = """
+WITH b AS (SELECT date_trunc('week', ts) + to_seconds(event_id % 290) AS ts, user_id % 8 AS a, user_id, props FROM events),
+g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY a ORDER BY ts) AS gap FROM b),
+w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, a, count(*) AS attempts, count(DISTINCT user_id) AS users,
+        count(DISTINCT props) AS passwords, sum(gap) AS gap_us, count(gap) AS gaps FROM g GROUP BY ALL)
+SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S.%f') AS window_start, 'a' || a AS src_ip_hash, attempts, users AS unique_users, passwords AS unique_passwords,
+  CAST(gap_us AS BIGINT) AS gap_us, gaps, CAST(attempts >= 20 AND (users >= 10 OR passwords >= 10 OR gap_us <= 2000000 * gaps) AS BIGINT) AS baseline_alert FROM w"""
+
+
+@query("default_rule_bursts", BURST_SQL)
+def default_rule_bursts(spark, sf_dir):
+    """All events of a week squeezed into five minutes: the default rule fires, gaps are whole microseconds."""
+    squeezed = adapter.base_events(spark, sf_dir).select(
+        (F.date_trunc("week", "ts") + F.make_dt_interval(secs=(F.col("event_id") % 290).cast("decimal(18,6)"))).alias("ts_utc"),
+        F.lit("cowrie").alias("source"), F.lit("ssh").alias("service"), F.lit("login_fail").alias("event_type"),
+        F.concat(F.lit("a"), F.col("user_id") % 8).alias("src_ip_hash"), F.lit("m").alias("src_ip_masked"),
+        F.col("user_id").cast("string").alias("username_hash"), F.col("props").alias("password_hash"), F.lit(1.0).alias("pass_entropy"),
+        F.col("event_id").cast("string").alias("event_hash"),
+    )
+    windows = staged(ip_windows.build_ip_windows(squeezed, 5), "windows")
+    alerts = fe.baseline_alerts(fe.engineer_features(windows))
+    linked = ip_windows.with_gaps(ip_windows.login_events(squeezed)).withColumn("window_start", F.expr(times.window_start("ts_utc", 5)))
+    gaps = linked.groupBy("window_start", "src_ip_hash").agg(F.sum("gap_us").alias("gap_us"), F.count("gap_us").alias("gaps"))
+    return alerts.join(gaps, ["window_start", "src_ip_hash"]).select(
+        "window_start", "src_ip_hash", "attempts", "unique_users", "unique_passwords", "gap_us", "gaps", "baseline_alert"
+    )
+
+
 @query(
     "top_alerts",
     ex.with_tables(ex.features(), SCORED)
@@ -692,15 +720,40 @@ def label_examples(spark, sf_dir):
     return labels.example_events(labels.events_in_windows(sample, unique, DAY))
 
 
-@query("label_csv_round_trip", ex.with_tables(*SAMPLE_TABLES) + EXAMPLES)
+ENRICHED = f"""
+cn AS (SELECT {SAMPLE_KEY}, count(*) AS events_in_window,
+             count(*) FILTER (WHERE event_type IN ('login_fail', 'login_attempt')) AS login_fail_like,
+             count(*) FILTER (WHERE event_type = 'login_success') AS login_success FROM m GROUP BY ALL),
+us AS ({_top_sql("username_hash", "top_usernames")}),
+pw AS ({_top_sql("password_hash", "top_passwords")}),
+xs AS ({EXAMPLES}),
+sm AS (SELECT {SAMPLE_KEY}, CAST(attempts AS BIGINT) AS attempts, CAST(baseline_alert AS BIGINT) AS baseline_alert, CAST(if_pred AS BIGINT) AS if_pred FROM smp
+       UNION ALL SELECT '2001-01-01 00:00:00.000000', 'cowrie', 'ssh', 'nobody', 1, 0, 0)"""
+
+
+@query(
+    "label_csv_round_trip",
+    ex.with_tables(*SAMPLE_TABLES, ENRICHED)
+    + """ SELECT * REPLACE (coalesce(events_in_window, 0) AS events_in_window, coalesce(login_fail_like, 0) AS login_fail_like,
+             coalesce(login_success, 0) AS login_success, coalesce(top_usernames, '') AS top_usernames,
+             coalesce(top_passwords, '') AS top_passwords, coalesce(example_events, '') AS example_events)
+          FROM sm LEFT JOIN cn USING (window_start, source, service, src_ip_hash) LEFT JOIN us USING (window_start, source, service, src_ip_hash)
+          LEFT JOIN pw USING (window_start, source, service, src_ip_hash) LEFT JOIN xs USING (window_start, source, service, src_ip_hash)""",
+)
 def label_csv_round_trip(spark, sf_dir):
-    """The enriched sample written as CSV and read back, line breaks inside fields intact."""
+    """The enriched sample written as CSV and read back, line breaks inside fields and a window without events intact."""
     sample, unique = sample_and_events(spark, sf_dir)
+    nobody = {"window_start": "timestamp'2001-01-01'", "source": "'cowrie'", "service": "'ssh'", "src_ip_hash": "'nobody'", "attempts": "1L",
+              "baseline_alert": "0", "if_pred": "0", "label": "''"}
+    extra = spark.range(1).select(*[F.expr(nobody.get(f.name, "null")).cast(f.dataType).alias(f.name) for f in sample.schema.fields])
+    sample = sample.unionByName(extra)
     csv, enriched = new_path(spark, "sample-csv"), new_path(spark, "enriched-csv")
     files.write_csv(sample, csv)
     detect_plan.prepare_labels(spark, csv, enriched, events=unique, minutes=DAY)
     back = labels.parse_window_start(read_csv_table(spark, enriched))
-    return back.select("window_start", "source", "service", "src_ip_hash", "example_events")
+    numbers = ("attempts", "baseline_alert", "if_pred", "events_in_window", "login_fail_like", "login_success")
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("top_usernames", "top_passwords", "example_events")]
+    return back.select("window_start", "source", "service", "src_ip_hash", *[F.col(c).cast("bigint").alias(c) for c in numbers], *texts)
 
 
 # --- evaluation and sweeps --------------------------------------------------
