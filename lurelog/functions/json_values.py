@@ -39,11 +39,14 @@ def _plain(value: str) -> str:
     return f"try_variant_get({value}, '$', 'string')"
 
 
+# Texts of falsy values; as JSON strings they are truthy.
+FALSY = "'0', '0.0', '-0.0', '[]', '{}', 'false'"
+
+
 def is_truthy(value: str) -> str:
-    return f"""coalesce(CASE {_kind(value)} WHEN 'STRING' THEN {_plain(value)} <> ''
-                             WHEN 'VOID' THEN false
-                             WHEN 'BOOLEAN' THEN {_plain(value)} = 'true'
-                             ELSE {_plain(value)} NOT IN ('0', '0.0', '-0.0', '[]', '{{}}') END, false)"""
+    """The type is looked at only where the text could be that of a falsy value."""
+    return f"""CASE WHEN {_plain(value)} IS NULL OR {_plain(value)} = '' THEN false
+                    WHEN {_plain(value)} IN ({FALSY}) THEN {_kind(value)} = 'STRING' ELSE true END"""
 
 
 def first_truthy(record: str, keys: list[str], nested: str | None = None) -> str:
@@ -51,8 +54,8 @@ def first_truthy(record: str, keys: list[str], nested: str | None = None) -> str
     values = [field(record, key, nested) for key in keys]
     if len(values) == 1:
         return values[0]
-    truthy = f"get(filter(array({', '.join(values)}), v -> {is_truthy('v')}), 0)"
-    return f"coalesce({truthy}, {values[-1]})"
+    chain = " ".join(f"WHEN {is_truthy(value)} THEN {value}" for value in values[:-1])
+    return f"CASE {chain} ELSE {values[-1]} END"
 
 
 def is_string(value: str) -> str:
@@ -61,7 +64,7 @@ def is_string(value: str) -> str:
 
 def as_text(value: str) -> str:
     """Text form of any JSON value; NULL for missing and JSON null."""
-    return f"""CASE WHEN {_kind(value)} = 'BOOLEAN' THEN initcap({_plain(value)})
+    return f"""CASE WHEN {_plain(value)} IN ('true', 'false') AND {_kind(value)} = 'BOOLEAN' THEN initcap({_plain(value)})
                     ELSE {_plain(value)} END"""
 
 

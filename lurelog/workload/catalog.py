@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lurelog.functions import addresses, json_values as jv, pseudonyms, text, times
+from lurelog.functions import addresses, json_values as jv, kinds, pseudonyms, text, times
 from lurelog.operators import clusters as cl
 from lurelog.operators import dedup, features as fe, forest, ip_windows, labels, metrics
 from lurelog.operators import normalize, quantiles, report, sessions, sweeps
@@ -336,6 +336,43 @@ def fallback_fields(spark, sf_dir):
     return chosen.selectExpr("event_id", f"{jv.as_text('v')} AS picked")
 
 
+# Ids, log types and ports with the kind, service and login kind expected of them.
+KIND_CASES = [
+    ("cowrie.login.failed", "login_fail"), ("cowrie.login.success", "login_success"), ("cowrie.command.input", "command"),
+    ("cowrie.session.connect", "connect"), ("cowrie.session.closed", "disconnect"), ("cowrie.session.file_download.failed", "download"),
+    ("cowrie.client.version", "other"),
+]
+SERVICE_CASES = [
+    ("ftp.login_failed", 1, "ftp", "login_fail"), ("MySQL.Login", 1, "mysql", "login_attempt"), ("rdp.connection", 22, "rdp", "connect"),
+    ("ssh.login_success", 1, "ssh", "login_success"), ("smb.session", 1, "smb", "other"), ("HTTP.login", 21, "http", "login_attempt"),
+    ("7001", 80, "http", "other"), ("7002", 443, "http", "other"), ("7003", 3389, "rdp", "other"), ("7004", 445, "smb", "other"),
+    ("7005", 3306, "mysql", "other"), ("connect", 22, "ssh", "connect"), ("7006", 21, "ftp", "other"), ("7007", 9, "unknown", "other"),
+]
+
+
+def _cases(number: str, values: list) -> str:
+    """A CASE over ``number`` modulo the count of ``values``, in either engine's SQL."""
+    whens = " ".join(f"WHEN {i} THEN " + (f"'{v}'" if isinstance(v, str) else str(v)) for i, v in enumerate(values))
+    return f"CASE {number} % {len(values)} {whens} END"
+
+
+@query(
+    "event_kinds",
+    f"""SELECT event_id, {_cases("event_id", [k for _, k in KIND_CASES])} AS event_type,
+         {_cases("event_id", [s for _, _, s, _ in SERVICE_CASES])} AS service, {_cases("event_id", [k for *_, k in SERVICE_CASES])} AS login_kind FROM events""",
+)
+def event_kinds(spark, sf_dir):
+    """Every event id ending, service word, service port and login word."""
+    rows = adapter.table(spark, sf_dir, "events").selectExpr(
+        "event_id", f"{_cases('event_id', [i for i, _ in KIND_CASES])} AS eventid",
+        f"{_cases('event_id', [t for t, *_ in SERVICE_CASES])} AS logtype", f"{_cases('event_id', [p for _, p, *_ in SERVICE_CASES])} AS port",
+    )
+    return rows.selectExpr(
+        "event_id", f"{kinds.event_type_by_id('eventid', 'true')} AS event_type", f"{kinds.service_by_log_type('logtype', 'port')} AS service",
+        f"{kinds.event_type_by_log_type('logtype')} AS login_kind",
+    )
+
+
 # --- curated tables ---------------------------------------------------------
 
 
@@ -941,9 +978,9 @@ def parameter_sweep(spark, sf_dir):
     scored = scored_by_entropy(day_alerts(spark, sf_dir)).withColumn("label", window_label())
     labelled = staged(scored.filter("label IS NOT NULL"), "labelled")
     swept = sweeps.full_sweep(labelled, F.col("label"), **GRID)
-    kinds = ("baseline", "if", "rank")
-    counts = [f"{kind}_{cell}" for kind in kinds for cell in ("tp", "fp", "fn")]
-    return swept.select(*sweeps.PARAMS, "contamination", "topk_percent", *counts, *[f"{k}_f1" for k in kinds])
+    families = ("baseline", "if", "rank")
+    counts = [f"{kind}_{cell}" for kind in families for cell in ("tp", "fp", "fn")]
+    return swept.select(*sweeps.PARAMS, "contamination", "topk_percent", *counts, *[f"{k}_f1" for k in families])
 
 
 # --- sessions: TF-IDF, clusters ---------------------------------------------
