@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +37,10 @@ def ingest_logs(
 ) -> DataFrame:
     """Read the chosen sensors' logs, append the valid events and the rejects.
 
-    Lines are parsed once into a staged table that both outputs read.  Returns
-    ``source, reason, n`` of the rejected lines.  ``ingest="none"`` reads nothing.
+    Lines are parsed and written once; the few rejects are exported from there.
+    Returns ``source, reason, n`` of the rejected lines.  ``ingest="none"`` reads
+    no log; ``run`` then curates the stored events again.
+    ``skip_stored`` has to know the days of the new events first, so it stages them.
     """
     lines = {}
     for sensor in chosen_sensors(ingest):
@@ -49,10 +53,23 @@ def ingest_logs(
         empty = "source STRING, reason STRING, n BIGINT"
         return spark.createDataFrame([], empty)
     options = {"salt": salt, "keep_secrets": keep_secrets, "redact_free_text": redact_free_text}
-    parsed = staged(normalize_sensors(lines, ingest, **options), "normalized")
-    tables.append_events(normalize.valid_events(parsed), events_path, skip_stored)
+    parsed = normalize_sensors(lines, ingest, **options)
+    if skip_stored:
+        parsed = staged(parsed, "normalized")
+        tables.append_events(normalize.valid_events(parsed), events_path, skip_stored)
+        bad = parsed.filter(F.col("reject_reason").isNotNull())
+    else:
+        batch = uuid.uuid4().hex
+        tables.append_batch(parsed, events_path, batch)
+        bad = tables.read_rejects(spark, events_path, batch)
     for sensor in lines:
-        bad = normalize.rejects(parsed.filter(F.col("source") == sensor))
-        files.append_rejects(bad, f"{rejects_path}/{sensor}_rejects")
-    bad = parsed.filter(F.col("reject_reason").isNotNull())
+        files.append_rejects(normalize.rejects(bad.filter(F.col("source") == sensor)), f"{rejects_path}/{sensor}_rejects")
     return bad.groupBy("source", F.col("reject_reason").alias("reason")).agg(F.count("*").alias("n"))
+
+
+def run(spark: SparkSession, events_path: str, rejects_path: str, curated: str, *, minutes: int = 5, **options) -> dict[str, DataFrame]:
+    """Ingest and curate in one call; ``ingest="none"`` rebuilds the curated tables from the stored events."""
+    from lurelog.plans.curate import curate
+
+    lost = ingest_logs(spark, events_path, rejects_path, **options)
+    return curate(spark, events_path, curated, lost, minutes=minutes)

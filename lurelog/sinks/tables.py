@@ -9,34 +9,55 @@ from lurelog import schema
 from lurelog.operators.dedup import only_new
 
 
+EVENT, REJECT = "event", "reject"
+
+
+def append_batch(parsed: DataFrame, path: str, batch: str) -> None:
+    """Append normalised rows, rejected ones too, in one write.
+
+    Folders are outcome, sensor and day, so events and rejects are read apart;
+    ``batch`` marks the rows of one run.
+    """
+    outcome = F.when(F.col("reject_reason").isNull(), EVENT).otherwise(REJECT)
+    _write_dated(parsed.withColumns({"outcome": outcome, "batch": F.lit(batch)}), path, "append", ["outcome", "source", "event_date"])
+
+
+def read_rejects(spark, path: str, batch: str) -> DataFrame:
+    """The rejected rows of one run."""
+    return spark.read.parquet(path).where((F.col("outcome") == REJECT) & (F.col("batch") == batch))
+
+
 def append_events(events: DataFrame, path: str, skip_stored: bool = False) -> None:
-    """Append to ``events_raw``, partitioned by sensor and day.
+    """Append events, partitioned by sensor and day.
 
     ``skip_stored`` leaves out events already there, so that a repeated run
     adds nothing.  An event's time is part of its fingerprint, so only the days
     of the new events are read; give it a written table.
     """
     if skip_stored:
-        stored = events.sparkSession.read.parquet(path)
+        stored = events.sparkSession.read.parquet(path).where(F.col("outcome") == EVENT)
         first, last = events.agg(F.min(F.to_date("ts_utc")), F.max(F.to_date("ts_utc"))).first()
         events = only_new(events, stored.where(F.col("event_date").between(F.lit(first), F.lit(last))))
-    _write_dated(events, path, "append")
+    _write_dated(events.withColumn("outcome", F.lit(EVENT)), path, "append", ["outcome", "source", "event_date"])
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """The curated ``events``, replaced as a whole, partitioned like the raw ones."""
-    _write_dated(events, path, "overwrite")
+    """The curated ``events``, replaced as a whole, partitioned by sensor and day."""
+    _write_dated(events, path, "overwrite", ["source", "event_date"])
 
 
-def _write_dated(events: DataFrame, path: str, mode: str) -> None:
-    """One folder a sensor and day; a rebalance gathers a day in few files and splits large days."""
-    dated = events.withColumn("event_date", F.to_date("ts_utc"))
-    dated.hint("rebalance", "source", "event_date").write.mode(mode).partitionBy("source", "event_date").parquet(path)
+def _write_dated(rows: DataFrame, path: str, mode: str, folders: list[str]) -> None:
+    """A rebalance gathers a day's rows in few files and splits large days."""
+    dated = rows.withColumn("event_date", F.to_date("ts_utc"))
+    dated.hint("rebalance", *folders).write.mode(mode).partitionBy(*folders).parquet(path)
 
 
 def read_events(spark, path: str) -> DataFrame:
-    """``events_raw`` back in canonical column order; filters on source and day prune folders."""
-    return spark.read.parquet(path).select(*schema.EVENTS.names)
+    """Events back in canonical column order; filters on source and day prune folders."""
+    stored = spark.read.parquet(path)
+    if "outcome" in stored.columns:
+        stored = stored.where(F.col("outcome") == EVENT)
+    return stored.select(*schema.EVENTS.names)
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -1184,31 +1184,37 @@ def top_anomalies(spark, sf_dir):
 @query(
     "logs_to_curated",
     ex.with_tables(ex.windows(5))
-    + """ SELECT 'events' AS name, count(*) AS n FROM ev UNION ALL SELECT 'sessions', count(DISTINCT session_id) FROM ev
-          UNION ALL SELECT 'ip_windows', count(*) FROM win
-          UNION ALL SELECT 'rejects', CAST(sum(copies) AS BIGINT) FROM src WHERE reason IS NOT NULL""",
+    + f""", ses AS ({SESSIONS_SQL}) {ITEMS_SQL}
+          SELECT 'events' AS name, count(*) AS n, CAST(sum(('0x' || substr(event_hash, 1, 8))::BIGINT) AS BIGINT) AS total FROM ev
+          UNION ALL SELECT 'sessions', count(*), CAST(sum(num_commands * 7 + num_downloads * 5 + duration_s + has_success) AS BIGINT) FROM ses
+          UNION ALL SELECT 'session_items', count(*), CAST(sum(position * 3 + length(coalesce(command, url))) AS BIGINT) FROM it
+          UNION ALL SELECT 'ip_windows', count(*), CAST(sum(attempts * 7 + success_count * 5 + unique_users * 3 + unique_passwords) AS BIGINT) FROM win
+          UNION ALL SELECT 'rejects', CAST(sum(copies) AS BIGINT), CAST(sum(copies) FILTER (WHERE reason = 'bad_ts') AS BIGINT) FROM src WHERE reason IS NOT NULL""",
 )
 def logs_to_curated(spark, sf_dir):
-    """Log files to raw events, rejects, curated tables and report, then read back."""
-    from lurelog.plans.curate import curate
-
+    """Log files to raw events, rejects and curated tables, a rebuild from the stored events, then read back."""
     root = new_path(spark, "lake")
     for sensor, frame in lines(spark, sf_dir).items():
         frame.select("value").write.text(f"{root}/logs/{sensor}")
     # The interactive sensor's files are found by name.
     adapter_files = f"{root}/logs/cowrie"
-    lost = ingest_plan.ingest_logs(
-        spark, f"{root}/events_raw", f"{root}/rejects", salt=adapter.SALT,
-        cowrie_dir=adapter_files, cowrie_pattern="part-*", opencanary_path=f"{root}/logs/opencanary",
+    paths = (f"{root}/events_raw", f"{root}/rejects", f"{root}/curated")
+    ingest_plan.run(
+        spark, *paths, salt=adapter.SALT, cowrie_dir=adapter_files, cowrie_pattern="part-*", opencanary_path=f"{root}/logs/opencanary",
         redact_free_text=True,
     )
-    curate(spark, f"{root}/events_raw", f"{root}/curated", lost, minutes=5)
-    names = {"events": "events/events_clean", "sessions": "sessions/cowrie_sessions", "ip_windows": "ip_windows/ip_windows_5m"}
+    ingest_plan.run(spark, *paths, salt=adapter.SALT, redact_free_text=True, ingest="none")
+    totals = {
+        "events": ("events/events_clean", "cast(conv(substr(event_hash, 1, 8), 16, 10) AS BIGINT)"),
+        "sessions": ("sessions/cowrie_sessions", "num_commands * 7 + num_downloads * 5 + duration_s + cast(has_success AS INT)"),
+        "session_items": ("sessions/session_items", "position * 3 + char_length(coalesce(command, url))"),
+        "ip_windows": ("ip_windows/ip_windows_5m", "attempts * 7 + success_count * 5 + unique_users * 3 + unique_passwords"),
+    }
     counted = [
-        load_table(spark, name, f"{root}/curated/{path}.parquet", prefer="parquet")
-        .agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        for name, path in names.items()
+        load_table(spark, name, f"{root}/curated/{path}.parquet", prefer="parquet").agg(F.count("*").alias("n"), F.expr(f"sum({total})").alias("total"))
+        .select(F.lit(name).alias("name"), "n", "total")
+        for name, (path, total) in totals.items()
     ]
     bad = spark.read.json([f"{root}/rejects/cowrie_rejects", f"{root}/rejects/opencanary_rejects"])
-    counted.append(bad.agg(F.count("*").alias("n")).select(F.lit("rejects").alias("name"), "n"))
+    counted.append(bad.agg(F.count("*").alias("n"), F.count_if(F.col("reason") == "bad_ts").alias("total")).select(F.lit("rejects").alias("name"), "n", "total"))
     return dedup.union_sources(*counted)
