@@ -14,7 +14,7 @@ from lurelog.llm import (
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Bytes of rows that Spark hands to a Python worker at a time.
-BATCH_BYTES = str(32 << 20)
+BATCH_BYTES = str(8 << 20)
 
 
 def prepared(spark: SparkSession) -> SparkSession:

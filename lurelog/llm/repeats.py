@@ -4,12 +4,12 @@ A string of ``length`` bytes that starts at two places is removed at both.
 Every window of that length has a minimizer: the least hash among its grams of
 ``GRAM`` bytes.  Equal windows have equal minimizers, so
 
-1. each text is cut into runs of windows with one minimizer in one place (about one
-   run for 70 windows), and only runs whose minimizer occurs again go on;
+1. each text is cut into runs of windows with one minimizer (about one run for
+   70 windows), and only runs whose minimizer occurs at another place go on;
 2. the bytes under a run's windows are its fragment; equal fragments of one
    minimizer are one row with a count, and all their windows repeat;
-3. where a minimizer has several fragments, these are sorted together by their
-   suffixes (``suffix_sort``), and windows whose neighbour in that order has a
+3. where a minimizer has several fragments, or one fragment holds it at several
+   places, these are sorted together by their suffixes (``suffix_sort``), and windows whose neighbour in that order has a
    common prefix of the whole length repeat;
 4. each document's repeated windows are united to spans and cut out.
 
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -45,8 +46,10 @@ from lurelog.staging import staged
 LENGTH = 200
 GRAM = 64
 #: Bytes whose hashes are held at a time, and bytes of fragments sorted together.
-PIECE = 1 << 20
-SORTED = 2 << 20
+PIECE = 1 << 19
+SORTED = 1 << 20
+#: Fragments of a document handed on at a time.
+FRAGMENTS = 4096
 #: Fragments of one minimizer from which single windows are compared by digest.
 WIDE = 4096
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -86,14 +89,14 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 _ROLLING: dict[int, Rolling] = {}
 
 
-def window_runs(data: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one minimizer in one place: start, number of windows, minimizer.
+def window_runs(data: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one minimizer: start, number of windows, minimizer, places of it in the run.
 
     ``ends`` has the end of each text in ``data``; no window crosses one.
     """
     none = np.empty(0, np.int64)
     if len(data) < length:
-        return none, none, none
+        return none, none, none, none
     rolling = _ROLLING.get(0)
     if rolling is None or len(rolling.up) < len(data):
         rolling = _ROLLING[0] = Rolling(max(len(data), PIECE + length))
@@ -101,14 +104,16 @@ def window_runs(data: bytes, ends: np.ndarray, length: int = LENGTH, gram: int =
     # The low bits tell the place, so that the first of equal grams counts and is known.
     placed = hashes >> _PLACE << _PLACE | np.arange(len(hashes), dtype=np.uint64)
     least = sliding_least(placed, length - gram + 1)
+    place = (least & ((np.uint64(1) << _PLACE) - np.uint64(1))).astype(np.int64)
+    key = hashes[place]
     text = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
     inside = text[: len(least)] == text[length - 1 : length - 1 + len(least)]
-    change = np.r_[True, (least[1:] != least[:-1]) | (text[1 : len(least)] != text[: len(least) - 1]) | (inside[1:] != inside[:-1])]
+    change = np.r_[True, (key[1:] != key[:-1]) | (text[1 : len(least)] != text[: len(least) - 1]) | (inside[1:] != inside[:-1])]
     begin = np.flatnonzero(change)
     size = np.diff(np.r_[begin, len(least)])
     good = inside[begin]
-    place = least[begin[good]] & ((np.uint64(1) << _PLACE) - np.uint64(1))
-    return begin[good], size[good], hashes[place.astype(np.int64)].view(np.int64)
+    places = np.add.reduceat(change | np.r_[True, place[1:] != place[:-1]], begin, dtype=np.int64)
+    return begin[good], size[good], key[begin[good]].view(np.int64), places[good]
 
 
 def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], bytes]]:
@@ -136,13 +141,13 @@ def _run_batches(length: int, gram: int):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
             for rows, at, parts in _pieces(texts, length):
                 ends = np.cumsum([len(p) for p in parts])
-                begin, size, key = window_runs(b"".join(parts), ends, length, gram)
+                begin, size, key, places = window_runs(b"".join(parts), ends, length, gram)
                 part = np.searchsorted(ends, begin, "right")
                 row = np.array(rows)[part]
                 start = begin - np.r_[0, ends[:-1]][part] + np.array(at)[part]
                 yield pd.DataFrame({
                     "id": batch["id"].array.take(row), "text_hash": batch["text_hash"].to_numpy()[row],
-                    "start": start, "windows": size, "key": key,
+                    "start": start, "windows": size, "key": key, "places": places,
                 })
 
     return runs
@@ -157,18 +162,34 @@ def compressed(texts: pd.Series) -> pd.Series:
 def _fragments(length: int):
     """A function over documents with their wanted runs: fragments and their digests."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
+        ready, size = [], 0
         for batch in batches:
-            for row in batch.itertuples():
-                data = unpacker.decompress(row.packed)
-                runs = sorted((r["start"], r["windows"], r["key"]) for r in row.runs)
-                parts = [data[s : s + n + length - 1] for s, n, _ in runs]
-                yield pd.DataFrame({
-                    "id": pd.Series([row.id] * len(runs), dtype=batch["id"].dtype), "text_hash": row.text_hash,
-                    "start": [r[0] for r in runs], "windows": [r[1] for r in runs], "key": [r[2] for r in runs],
-                    "digest": [xxhash.xxh3_128_digest(p) for p in parts], "fragment": parts,
-                })
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                data = unpacker.decompress(row["packed"][0].as_py())
+                runs = row["runs"].flatten()
+                for first in range(0, len(runs), FRAGMENTS):
+                    part = runs.slice(first, FRAGMENTS)
+                    start, windows, key, places = part.flatten()
+                    ends = zip(start.to_pylist(), windows.to_pylist(), strict=True)
+                    found = [data[s : s + n + length - 1] for s, n in ends]
+                    same = pa.array(np.zeros(len(found), np.int64))
+                    made = pa.RecordBatch.from_arrays(
+                        [
+                            row["id"].take(same), row["text_hash"].take(same), start, windows, key, places,
+                            pa.array([xxhash.xxh3_128_digest(p) for p in found], pa.binary()), pa.array(found, pa.binary()),
+                        ],
+                        ["id", "text_hash", "start", "windows", "key", "places", "digest", "fragment"],
+                    )
+                    ready.append(made)
+                    size += made.nbytes
+                    if size >= PIECE:
+                        yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                        ready, size = [], 0
+        if ready:
+            yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
 
     return cut
 
@@ -247,21 +268,24 @@ def repeat_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple
     kind = df.schema["id"].dataType.simpleString()
     hashed = df.select("id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     docs = hashed.select("id", "text_hash", compressed("text").alias("packed"))
-    schema = f"id {kind}, text_hash long, start int, windows int, key long"
+    schema = f"id {kind}, text_hash long, start int, windows int, key long, places int"
     runs = staged(hashed.mapInPandas(_run_batches(length, gram), schema), "repeat-runs")
-    keys = staged(runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeat-keys")
-    wanted = runs.join(keys, "key").groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "windows", "key")).alias("runs"))
+    keys = staged(runs.groupBy("key").agg(F.sum("places").alias("n")).where("n > 1").select("key"), "repeat-keys")
+    wanted = runs.join(keys, "key").groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "windows", "key", "places")).alias("runs"))
     # A missing identifier joins by a stand-in that the text's hash tells apart.
     with_text = docs.withColumnRenamed("id", "own").join(
         wanted.withColumnRenamed("text_hash", "of"), F.col("own").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("of"))
     ).select("id", "text_hash", "packed", "runs")
-    once = with_text.mapInPandas(
-        _fragments(length), f"id {kind}, text_hash long, start int, windows int, key long, digest binary, fragment binary"
+    once = with_text.mapInArrow(
+        _fragments(length),
+        f"id {kind}, text_hash long, start int, windows int, key long, places int, digest binary, fragment binary",
     )
     places = staged(once, "repeat-fragments")
-    copies = staged(places.groupBy("key", "digest").agg(F.count("*").alias("copies")), "repeat-copies")
-    shared = staged(copies.groupBy("key").agg(F.count("*").alias("kinds")), "repeat-kinds")
-    several = shared.where("kinds > 1")
+    copies = staged(
+        places.groupBy("key", "digest").agg(F.count("*").alias("copies"), F.max("places").alias("places")), "repeat-copies"
+    )
+    shared = staged(copies.groupBy("key").agg(F.count("*").alias("kinds"), F.max("places").alias("places")), "repeat-kinds")
+    several = shared.where("kinds > 1 OR places > 1").select("key", "kinds")
     texts = places.join(several, "key").groupBy("key", "digest").agg(
         F.count("*").alias("copies"), F.first("fragment").alias("fragment"), F.first("kinds").alias("kinds")
     )
@@ -270,8 +294,8 @@ def repeat_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple
     sorted_spans = narrow.mapInPandas(_sort_batches(length), "key long, digest binary, spans array<array<long>>")
     wide_spans = _wide_spans(texts.where(F.col("kinds") > WIDE).drop("kinds"), length)
     marked = staged(sorted_spans.union(wide_spans), "repeat-spans")
-    at = places.drop("fragment")
-    alone = at.join(shared.where("kinds = 1"), "key").join(copies.where("copies > 1").select("key", "digest"), ["key", "digest"])
+    at = places.drop("fragment", "places")
+    alone = at.join(shared.where("kinds = 1 AND places = 1").select("key"), "key").join(copies.where("copies > 1").select("key", "digest"), ["key", "digest"])
     whole = alone.select("id", "text_hash", F.col("start").alias("b"), (F.col("start") + F.col("windows") + length - 1).alias("e"))
     part = at.join(marked, ["key", "digest"]).select("id", "text_hash", "start", F.explode("spans").alias("s")).select(
         "id", "text_hash", (F.col("start") + F.col("s")[0]).alias("b"), (F.col("start") + F.col("s")[1]).alias("e")
@@ -294,7 +318,13 @@ def united(spans) -> list[tuple[int, int]]:
 def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     unpacker = zstandard.ZstdDecompressor()
     for batch in batches:
-        rows = []
+        rows, size = [], 0
+
+        def frame(rows: list[tuple], kind=batch["id"].dtype) -> pd.DataFrame:
+            made = pd.DataFrame(rows, columns=["id", "n_bytes", "spans", "kept"])
+            made["id"] = made["id"].astype(kind)
+            return made
+
         for row in batch.itertuples():
             data = unpacker.decompress(row.packed)
             spans = united(row.spans) if row.spans is not None else []
@@ -304,9 +334,12 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at = e
             kept.append(data[at:])
             rows.append((row.id, len(data), [list(s) for s in spans], b"".join(kept)))
-        frame = pd.DataFrame(rows, columns=["id", "n_bytes", "spans", "kept"])
-        frame["id"] = frame["id"].astype(batch["id"].dtype)
-        yield frame
+            size += len(data)
+            if size > PIECE:
+                yield frame(rows)
+                rows, size = [], 0
+        if rows:
+            yield frame(rows)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
