@@ -26,6 +26,7 @@ Defined cases
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,8 +93,8 @@ def _pack(lengths: np.ndarray, dtype: str):
     return pack
 
 
-def _unpack(lengths: np.ndarray):
-    """A function over blocks of codes with ``begin``: the documents and their ids."""
+def _unpack(lengths: np.ndarray, with_ids: bool):
+    """A function over blocks of codes with ``begin``: the documents and their ids, or only the ids' CRC-32."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder = huffman.Decoder(lengths)
@@ -103,11 +104,12 @@ def _unpack(lengths: np.ndarray):
                 ends = np.cumsum(size)
                 ids = decoder.decode(row.payload, int(ends[-1]), row.checkpoints).astype("<u4").tobytes()
                 starts = ends - size
+                own = (ids[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
                 yield pd.DataFrame({
                     "id": row.docs,
                     "start": row.begin + row.before + starts,
                     "n_tokens": size,
-                    "ids": [ids[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)],
+                    "ids" if with_ids else "ids_crc32": list(own) if with_ids else [zlib.crc32(x) for x in own],
                 })
 
     return unpack
@@ -155,8 +157,11 @@ def write_tokens(
     ).partitionBy("part").parquet(f"{path}/blocks")
 
 
-def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
-    """``id, start, n_tokens, ids`` of every document; ``ids`` are little-endian unsigned 32-bit numbers."""
+def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint", with_ids: bool = True) -> DataFrame:
+    """``id, start, n_tokens, ids`` of every document; ``ids`` are little-endian unsigned 32-bit numbers.
+
+    Without ``with_ids`` their CRC-32 takes the place of the ids, which then stay in their task.
+    """
     book = spark.read.parquet(f"{path}/codebook").toPandas()
     lengths = np.zeros(int(book["symbol"].max()) + 1 if len(book) else 1, np.uint8)
     lengths[book["symbol"]] = book["bits"]
@@ -167,7 +172,8 @@ def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint") -> Data
     parts = spark.read.schema("part int, begin long").parquet(f"{path}/parts")
     # A row for each part; parts are as many as the writer's shuffle partitions.
     placed = blocks.join(F.broadcast(parts), "part")
-    return placed.mapInPandas(_unpack(lengths), f"id {id_type}, start long, n_tokens long, ids binary")
+    last = "ids binary" if with_ids else "ids_crc32 long"
+    return placed.mapInPandas(_unpack(lengths, with_ids), f"id {id_type}, start long, n_tokens long, {last}")
 
 
 def op1_token_file(spark, sf_dir: str) -> DataFrame:
@@ -176,5 +182,4 @@ def op1_token_file(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = new_path(spark, "token-file")
     write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50257)
-    read = read_tokens(spark, path)
-    return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(spark, path, with_ids=False).withColumnRenamed("id", "doc_id")
