@@ -110,11 +110,15 @@ def engineer_features(windows: DataFrame) -> DataFrame:
     return zero_non_finite(impute(derived), IMPUTED + DERIVED)
 
 
+# Thresholds of the rule where the caller names none.
+RULE_DEFAULTS = {"attempts_ge": 20, "unique_users_ge": 10, "unique_passwords_ge": 10, "max_mean_interarrival_s": 2.0}
+
+
 def rule(
-    attempts_ge: int = 20,
-    unique_users_ge: int = 10,
-    unique_passwords_ge: int = 10,
-    max_mean_interarrival_s: float | None = 2.0,
+    attempts_ge: int = RULE_DEFAULTS["attempts_ge"],
+    unique_users_ge: int = RULE_DEFAULTS["unique_users_ge"],
+    unique_passwords_ge: int = RULE_DEFAULTS["unique_passwords_ge"],
+    max_mean_interarrival_s: float | None = RULE_DEFAULTS["max_mean_interarrival_s"],
 ) -> Column:
     """Many attempts and either many users, many passwords or a short mean gap.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurelog import schema
@@ -27,14 +27,39 @@ def detect(
     return forest.isolation_forest(staged(alerts, "features"), contamination, seed)
 
 
-def detect_and_write(windows: DataFrame, out: str, *, sample_n: int = 80, seed: int = 42, **options) -> DataFrame:
+def utc_now() -> Column:
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def summary_document(scored: DataFrame, contamination: float, thresholds: dict, outputs: dict[str, str]) -> DataFrame:
+    """One row: when, how many windows, the rule's thresholds and alerts, the forest's share and anomalies, the outputs."""
+    used = {**fe.RULE_DEFAULTS, **thresholds}
+    named = [F.lit(value).alias(name) for name, value in used.items()]
+    return fe.alert_summary(scored).select(
+        utc_now().alias("generated_at_utc"),
+        "rows_total",
+        F.struct(*named, "alerts_count").alias("baseline"),
+        F.struct(F.lit(contamination).alias("contamination"), "anomalies_count").alias("isolation_forest"),
+        F.struct(*[F.lit(path).alias(name) for name, path in outputs.items()]).alias("outputs"),
+    )
+
+
+def detect_and_write(
+    windows: DataFrame, out: str, *, sample_n: int = 80, seed: int = 42, service: str | None = None,
+    contamination: float = 0.01, use_forest: bool = True, **thresholds,
+) -> DataFrame:
     """Write all scored windows, both top-200 lists, the summary and a label sample."""
-    scored = detect(windows, seed=seed, **options)
-    tables.write_table(scored, f"{out}/anomaly_windows.parquet")
-    scored = windows.sparkSession.read.parquet(f"{out}/anomaly_windows.parquet")
-    files.write_csv(fe.top_anomalies(scored), f"{out}/top_if_anomalies")
-    files.write_csv(fe.top_alerts(scored), f"{out}/top_baseline_alerts")
-    files.write_json_document(files.as_json(fe.alert_summary(scored)), f"{out}/anomaly_summary")
+    scored = detect(windows, seed=seed, service=service, contamination=contamination, use_forest=use_forest, **thresholds)
+    outputs = {
+        "parquet": f"{out}/anomaly_windows.parquet", "top_if_csv": f"{out}/top_if_anomalies",
+        "top_baseline_csv": f"{out}/top_baseline_alerts",
+    }
+    tables.write_table(scored, outputs["parquet"])
+    scored = windows.sparkSession.read.parquet(outputs["parquet"])
+    files.write_csv(fe.top_anomalies(scored), outputs["top_if_csv"])
+    files.write_csv(fe.top_alerts(scored), outputs["top_baseline_csv"])
+    document = summary_document(scored, contamination, thresholds, outputs)
+    files.write_json_document(files.as_json(document), f"{out}/anomaly_summary")
     if sample_n > 0:
         files.write_csv(labels.stratified_sample(scored, sample_n, seed), f"{out}/label_sample")
     return scored
@@ -54,9 +79,10 @@ def prepare_labels(
 
 
 def evaluate_csv(spark: SparkSession, labeled_csv: str, pred_col: str, out_json: str | None = None) -> DataFrame:
-    """Confusion counts and metrics of one prediction column of a labelled CSV."""
-    result = metrics.evaluate(read_csv_table(spark, labeled_csv), pred_col).withColumn(
-        "pred_col", F.lit(pred_col)
+    """Confusion counts and metrics of one prediction column of a labelled CSV, as the row of the written document."""
+    result = metrics.evaluate(read_csv_table(spark, labeled_csv), pred_col).select(
+        utc_now().alias("evaluated_at_utc"), "n", F.lit(pred_col).alias("pred_col"),
+        F.struct("tp", "tn", "fp", "fn").alias("confusion_matrix"), F.struct("precision", "recall", "f1").alias("metrics"),
     )
     if out_json:
         files.write_json_document(files.as_json(result), out_json)
@@ -78,3 +104,17 @@ def tune(labeled: DataFrame, *, score_source: str = "sample", seed: int = 42, **
     else:
         require_columns(labeled, ["if_score"])
     return sweeps.full_sweep(featured, F.col("label"), **grids)
+
+
+def tune_and_write(labeled: DataFrame, out_csv: str, **options) -> DataFrame:
+    """The sweep of ``tune`` as CSV, best ranking first."""
+    swept = tune(labeled, **options)
+    files.write_csv(swept.coalesce(1), out_csv)  # one row a parameter tuple
+    return swept
+
+
+def repair_and_write(spark: SparkSession, sweep_csv: str, out_csv: str) -> DataFrame:
+    """A sweep CSV with flattened metrics computed anew, configuration texts and six decimals."""
+    repaired = sweeps.with_config_label(sweeps.repair_metrics(read_csv_table(spark, sweep_csv)))
+    files.write_csv(files.fixed_decimals(repaired), out_csv)
+    return repaired

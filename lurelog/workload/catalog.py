@@ -78,12 +78,19 @@ def normalized(spark: SparkSession, sf_dir: str, redact_free_text: bool = True,
     return ingest_plan.normalize_sensors(lines(spark, sf_dir), **options)
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.dedup_events(normalize.valid_events(normalized(spark, sf_dir)))
+    """The deduplicated events, parsed and written once a session, as a curated table would be."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = staged(dedup.dedup_events(normalize.valid_events(normalized(spark, sf_dir))), "events")
+    return _STORED[key]
 
 
 def day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(ip_windows.build_ip_windows(staged(events(spark, sf_dir), "events"), DAY), "windows")
+    return staged(ip_windows.build_ip_windows(events(spark, sf_dir), DAY), "windows")
 
 
 def day_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,7 +423,7 @@ FROM ev WHERE source = 'cowrie' AND session_id IS NOT NULL GROUP BY session_id""
 
 @query("sessions", ex.with_tables() + SESSIONS_SQL)
 def sessions_query(spark, sf_dir):
-    return sessions.build_sessions(staged(events(spark, sf_dir), "events"))
+    return sessions.build_sessions(events(spark, sf_dir))
 
 
 ITEMS_SQL = """,
@@ -429,7 +436,7 @@ it AS (SELECT session_id, CASE WHEN event_type = 'command' THEN command END AS c
 @query("session_items", ex.with_tables() + ITEMS_SQL + " SELECT session_id, position, command, url FROM it")
 def session_items(spark, sf_dir):
     """Every command and download of every session, numbered in order."""
-    return sessions.session_items(staged(events(spark, sf_dir), "events")).select("session_id", "position", "command", "url")
+    return sessions.session_items(events(spark, sf_dir)).select("session_id", "position", "command", "url")
 
 
 @query(
@@ -440,18 +447,18 @@ def session_items(spark, sf_dir):
        FROM it GROUP BY ALL""",
 )
 def session_chunks(spark, sf_dir):
-    items = sessions.session_items(staged(events(spark, sf_dir), "events"))
+    items = sessions.session_items(events(spark, sf_dir))
     return sessions.session_chunks(items, CHUNK)
 
 
 @query("ip_windows_5m", ex.with_tables(ex.windows(5)) + f" SELECT {WINDOW_OUT} FROM win")
 def ip_windows_5m(spark, sf_dir):
-    return ip_windows.build_ip_windows(staged(events(spark, sf_dir), "events"), 5)
+    return ip_windows.build_ip_windows(events(spark, sf_dir), 5)
 
 
 @query("ip_windows_1d", ex.with_tables(ex.windows(DAY)) + f" SELECT {WINDOW_OUT} FROM win")
 def ip_windows_1d(spark, sf_dir):
-    return ip_windows.build_ip_windows(staged(events(spark, sf_dir), "events"), DAY)
+    return ip_windows.build_ip_windows(events(spark, sf_dir), DAY)
 
 
 # --- quality report ---------------------------------------------------------
@@ -562,7 +569,7 @@ def baseline_alerts(spark, sf_dir):
              OR mean_interarrival_s <= 2.0) AS INTEGER)), 0) AS BIGINT) AS alerts_count, CAST(NULL AS BIGINT) AS anomalies_count FROM feat""",
 )
 def default_rule_5m(spark, sf_dir):
-    unique = staged(events(spark, sf_dir), "events")
+    unique = events(spark, sf_dir)
     windows = staged(ip_windows.build_ip_windows(unique, 5), "windows")
     return fe.alert_summary(fe.baseline_alerts(fe.engineer_features(windows)))
 
@@ -685,7 +692,7 @@ SAMPLE_TABLES = (ex.features(), SCORED, SAMPLE, MATCHED)
 
 
 def sample_and_events(spark, sf_dir):
-    unique = staged(events(spark, sf_dir), "events")
+    unique = events(spark, sf_dir)
     windows = staged(ip_windows.build_ip_windows(unique, DAY), "windows")
     alerts = fe.baseline_alerts(fe.engineer_features(windows), **RULE)
     scored = staged(scored_by_entropy(alerts), "scored")

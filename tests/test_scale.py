@@ -1,5 +1,6 @@
 """Skew paths give the same rows as the plain ones, and plans have the wanted shape."""
 
+import json
 import math
 
 import numpy as np
@@ -12,6 +13,8 @@ from lurelog.operators import clusters, dedup, features, forest, ip_windows, lab
 from lurelog.operators import normalize, quantiles, sessions, skew, sweeps
 from lurelog.plans import cluster as cluster_plan
 from lurelog.plans import detect
+from lurelog.sinks import files
+from lurelog.sources.tables import load_table, read_csv_table
 from lurelog.workload import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +22,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def events(spark):
-    return catalog.staged(catalog.events(catalog.configure(spark), SF), "events")
+    return catalog.events(catalog.configure(spark), SF)
 
 
 def plan_of(df):
@@ -256,5 +259,36 @@ def test_detect_writes_all_outputs(spark, events, tmp_path):
     detect.detect_and_write(windows, str(tmp_path), use_forest=False, attempts_ge=2, unique_users_ge=1)
     for name in ("anomaly_windows.parquet", "top_if_anomalies", "top_baseline_alerts", "anomaly_summary", "label_sample"):
         assert (tmp_path / name).exists()
+    document = json.loads(next((tmp_path / "anomaly_summary").glob("part-*")).read_text())
+    assert document["baseline"]["attempts_ge"] == 2 and document["baseline"]["unique_passwords_ge"] == 10
+    assert document["isolation_forest"]["contamination"] == 0.01 and document["outputs"]["parquet"].endswith("anomaly_windows.parquet")
+    assert document["rows_total"] == windows.count() and document["generated_at_utc"].endswith("+00:00")
     with pytest.raises(ValueError):
         detect.detect(windows, service="none")
+
+
+def test_documents_and_tables_of_tuning(spark, events, tmp_path):
+    labelled = spark.createDataFrame([("1", "1"), ("0", "1"), ("1", "0"), ("", "1")], "label STRING, if_pred STRING")
+    files.write_csv(labelled, str(tmp_path / "labelled"))
+    detect.evaluate_csv(spark, str(tmp_path / "labelled"), "if_pred", str(tmp_path / "eval"))
+    document = json.loads(next((tmp_path / "eval").glob("part-*")).read_text())
+    assert document["confusion_matrix"] == {"tp": 1, "tn": 0, "fp": 1, "fn": 1} and document["metrics"]["recall"] == 0.5
+    assert (document["n"], document["pred_col"]) == (3, "if_pred")
+    windows = catalog.staged(ip_windows.build_ip_windows(events, 1440), "w")
+    marked = windows.withColumn("label", (F.col("attempts") > 2).cast("int").cast("string"))
+    swept = detect.tune_and_write(marked, str(tmp_path / "tuned"), attempts=[1, 3], users=[1], passwords=[2], gaps=[-1.0])
+    assert read_csv_table(spark, str(tmp_path / "tuned")).count() == swept.count() == 40
+    rule_swept = sweeps.rule_sweep(features.engineer_features(windows), F.expr("cast(attempts > 2 AS INT)"), attempts=[1, 3], users=[1], passwords=[2], gaps=[-1.0])
+    files.write_csv(rule_swept.withColumn("sample_recall", F.lit(1.0)), str(tmp_path / "flat"))
+    detect.repair_and_write(spark, str(tmp_path / "flat"), str(tmp_path / "fixed"))
+    for r in read_csv_table(spark, str(tmp_path / "fixed")).collect():
+        wanted = int(r.sample_tp.split(".")[0]) / (int(r.sample_tp.split(".")[0]) + int(r.sample_fn.split(".")[0]))
+        assert r.sample_recall == f"{wanted:.6f}" and r.label_text.startswith("a>=")
+
+
+def test_tables_of_the_catalog(spark, events):
+    events.limit(5).createOrReplaceTempView("events")
+    try:
+        assert load_table(spark, "events", "/nowhere", prefer="catalog").count() == 5
+    finally:
+        spark.catalog.dropTempView("events")
