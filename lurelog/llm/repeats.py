@@ -46,8 +46,8 @@ from lurelog.staging import staged
 LENGTH = 200
 GRAM = 64
 #: Bytes whose hashes are held at a time, and bytes of fragments sorted together.
-PIECE = 1 << 19
-SORTED = 1 << 20
+PIECE = 1 << 18
+SORTED = 1 << 19
 #: Fragments of a document handed on at a time.
 FRAGMENTS = 4096
 #: Fragments of one minimizer from which single windows are compared by digest.
