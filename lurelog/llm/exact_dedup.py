@@ -2,10 +2,11 @@
 
 Sampled splitters cut the space of normalised contents into ranges, every row
 goes to its range, each range is sorted externally by its whole text, and
-neighbours are compared in full.  The sort key ends with the identifier, so a
-group of copies of any size spreads over as many ranges as it has splitters;
-the runs that touch the ends of a range are joined afterwards, comparing their
-whole texts again.
+neighbours are compared in full.  Ranges and the rows in them follow one order:
+head of the text, SHA-256, whole text, identifier.  As it ends with the
+identifier, a group of copies of any size spreads over as many ranges as it has
+splitters; as equal texts are neighbours in it, only the runs that touch the
+ends of a range are joined afterwards, comparing their whole texts again.
 
 Only DataFrame functions run here.
 
@@ -29,7 +30,7 @@ from lurelog.staging import staged
 SAMPLED_PER_RANGE = 24
 #: Ranges for each shuffle partition; several small ranges level the tasks.
 RANGES_PER_PARTITION = 4
-#: Characters of the text in a splitter.  Rows are compared in full after the cut.
+#: Characters of the text in a splitter, before the digest that tells texts of one head apart.
 SPLITTER_HEAD = 64
 OUTPUT = ["keep_id", "group_size", "kept", "text_sha256"]
 
@@ -39,10 +40,14 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def _digest(content: Column) -> Column:
+    return F.sha2(F.encode(content, "utf-8"), 256)
+
+
 def _sort_key(content: Column, ident: Column) -> Column:
     return F.struct(
         F.substring(content, 1, SPLITTER_HEAD).alias("head"),
-        F.xxhash64(content).alias("hash"),
+        _digest(content).alias("hash"),
         F.coalesce(ident, F.lit((1 << 63) - 1)).alias("id"),
     )
 
@@ -64,7 +69,7 @@ def range_of(key: Column, cuts: list) -> Column:
     if not cuts:
         return F.lit(0)
     table = F.array(*[
-        F.struct(F.lit(c["head"]).alias("head"), F.lit(c["hash"]).cast("long").alias("hash"), F.lit(c["id"]).cast("long").alias("id"))
+        F.struct(F.lit(c["head"]).alias("head"), F.lit(c["hash"]).alias("hash"), F.lit(c["id"]).cast("long").alias("id"))
         for c in cuts
     ])
 
@@ -96,9 +101,11 @@ def content_sort(df: DataFrame, id_col: str, text_col: str, carry: list[str]) ->
     cuts = splitters(df, text_col, id_col, ranges)
     named = [F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row")]
     keyed = df.select(*named, _sort_key(normalised(F.col(text_col)), F.col(id_col)).alias("_key"))
-    placed = keyed.withColumn("_range", range_of(F.col("_key"), cuts)).drop("_key")
+    placed = keyed.withColumn("_range", range_of(F.col("_key"), cuts)).withColumn("_sha256", F.col("_key.hash")).drop("_key")
     content = placed.repartition("_range").withColumn("_content", normalised(F.col("_text")))
-    order = Window.partitionBy("_range").orderBy("_content", F.col("_id").asc_nulls_last())
+    content = content.withColumn("_head", F.substring("_content", 1, SPLITTER_HEAD))
+    # The order of the ranges, so that equal texts are neighbours across their ends too.
+    order = Window.partitionBy("_range").orderBy("_head", "_sha256", "_content", F.col("_id").asc_nulls_last())
     previous, following = F.lag("_content").over(order), F.lead("_content").over(order)
     marked = content.select(
         "*",
@@ -110,7 +117,7 @@ def content_sort(df: DataFrame, id_col: str, text_col: str, carry: list[str]) ->
         F.sum("_new").over(order).alias("_run"),
         (F.col("_new") == 1).alias("_first"),
         "_edge",
-        F.sha2(F.encode("_content", "utf-8"), 256).alias("_sha256"),
+        "_sha256",
     )
     return staged(numbered, "content-sort")
 

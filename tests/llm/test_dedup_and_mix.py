@@ -45,6 +45,20 @@ def test_exact_dedup_of_one_huge_group(spark):
     assert found.where("kept").count() == 1 + 1666
 
 
+def test_exact_dedup_of_a_hot_text_among_near_copies(spark):
+    # All share the first 64 characters, and the hot text's ranges hold near copies on both sides of it.
+    body = "CASE WHEN id % 3 < 2 THEN 'm' ELSE concat(if(id % 2 = 0, 'a', 'z'), id div 6) END"
+    hot = spark.range(6000).selectExpr("id AS doc_id", f"concat(repeat('h', 64), {body}) AS text")
+    parted = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = exact_dedup.exact_dedup(hot)
+        assert found.where("text LIKE '%m'").select("keep_id", "group_size").distinct().collect() == [(0, 4000)]
+        assert found.where("kept").count() == exact_dedup.first_of_each(hot).count() == 1 + 2000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parted)
+
+
 def test_empty_tables(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
     assert simhash.near_components(empty).count() == 0
