@@ -173,6 +173,33 @@ def test_mixing_keeps_expectations(spark):
     assert found and all(abs(r.t - r.target) <= 10 for r in found)
 
 
+def test_near_stage_against_all_pairs(spark, sf):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = []
+    for group in range(40):
+        words = rng.choice(vocabulary, rng.integers(20, 300)).tolist()
+        for _ in range(60 if group == 0 else 4):  # one large group
+            copy = list(words)
+            for at in rng.integers(0, len(words), rng.integers(0, 1 + len(words) // 30)):
+                copy[at] = str(rng.choice(vocabulary))
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    pairs = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common):
+                pairs += 1
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    frame = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash"](spark, frame.repartition(5), sf).collect()}
+    assert pairs > 100 and len(set(root)) < len(texts) - 50
+    assert kept == set(root)
+
+
 def test_pipeline_stages(spark, docs, sf):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     table = docs.select(columns)
