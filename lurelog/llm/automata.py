@@ -40,7 +40,10 @@ class Automaton:
 
     def _symbols(self, text: str) -> str:
         rest = text[len(self.prefix) :]
-        return "".join("x" if c in self.used else "?" if c.isalnum() else c for c in rest)
+        return "".join(map(self._symbol, rest))
+
+    def _symbol(self, c: str) -> str:
+        return "x" if c in self.used else "?" if c.isalnum() else c
 
     def _new(self) -> int:
         self.ends.append(0)
@@ -128,16 +131,25 @@ class Automaton:
 
     def likelihood(self, text: str) -> float:
         """Bits of log-likelihood for each character, its end included; minus infinity for another format."""
+        found = self.prefix_likelihoods(text)
+        return found[-1] if len(found) == len(text) + 1 else IMPOSSIBLE
+
+    def prefix_likelihoods(self, text: str) -> list[float]:
+        """The likelihood of the first 0, 1, 2, ... characters of the text, as far as a format goes on."""
         if not text.startswith(self.prefix):
-            return IMPOSSIBLE
+            return []
         state, bits = 0, 0.0
         choice = math.log2(max(1, len(self.used)))
-        for symbol in self._symbols(text):
+        found = [IMPOSSIBLE] * len(self.prefix) + [self._ended(state, bits, len(self.prefix))]
+        for length in range(len(self.prefix) + 1, len(text) + 1):
+            symbol = self._symbol(text[length - 1])
             move = self.moves[state].get(symbol)
             if move is None:
-                return IMPOSSIBLE
+                break
             bits += math.log2(move[0] / self.total[state]) - (choice if symbol == "x" else 0.0)
             state = move[1]
-        if not self.ends[state]:
-            return IMPOSSIBLE
-        return (bits + math.log2(self.ends[state] / self.total[state])) / (len(text) + 1)
+            found.append(self._ended(state, bits, length))
+        return found
+
+    def _ended(self, state: int, bits: float, length: int) -> float:
+        return (bits + math.log2(self.ends[state] / self.total[state])) / (length + 1) if self.ends[state] else IMPOSSIBLE

@@ -1,11 +1,14 @@
 """Secrets in texts: fixed patterns, and formats inferred from what the patterns find.
 
-One pass over the texts finds the base matches and the candidates: maximal runs
-of credential characters.  The values of base matches are labelled credentials;
-a bounded draw of them trains one probabilistic automaton for each kind.  Every
-candidate that no base match touches is scored by its likelihood under each
-automaton, and becomes a span of kind ``format`` when it is as likely as all
-but the least likely of the credentials that the automaton learned from.
+The first pass over the texts finds the values of base matches; these labelled
+credentials, a bounded draw of them, train one probabilistic automaton for each
+kind.  The second pass scores the candidates: maximal runs of credential
+characters, and their parts between separators, such as the value in
+``name=value`` or a step of a path.  A candidate that no base match touches and
+that is no shorter than all credentials of the kind becomes a span of kind
+``format`` when it is as likely as all but the least likely of the credentials
+that the automaton learned from.  Of overlapping ones the leftmost counts, and
+of those that begin together the longest.
 
 All patterns are ASCII, so a text is read as one byte a code point, with ``?``
 for the rest; offsets are code points.
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +46,10 @@ HEX = re.compile(rb"[0-9a-f]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KEYWORDS = (b"passw", b"secret", b"token", b"api")
 FORMAT = "format"
-#: Characters of a candidate, and the fewest of them.
+#: Characters of a candidate, those among them that part it, and the fewest characters.
 CANDIDATE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
-CANDIDATE_LEAST = 16
+SEPARATORS = "+/_.=-"
+CANDIDATE_LEAST = min(LEAST.values())
 #: Credentials of one kind an automaton learns from, at most.
 LEARN = 600
 #: Share of the learned credentials that may be less likely than an accepted candidate.
@@ -53,6 +58,7 @@ _IN_RUN = np.zeros(256, bool)
 _IN_RUN[list(CANDIDATE)] = True
 
 Span = tuple[int, int, int]
+Format = tuple[Automaton, float, int]
 
 
 def runs(data: bytes, least: int = CANDIDATE_LEAST) -> list[tuple[int, int]]:
@@ -66,7 +72,7 @@ def runs(data: bytes, least: int = CANDIDATE_LEAST) -> list[tuple[int, int]]:
 
 
 def scan(text: str | None) -> tuple[list[Span], list[tuple[str, str]], list[tuple[int, str]]]:
-    """Base spans ``(start, kind, end)`` in order, labelled values, and candidates ``(start, value)``."""
+    """Base spans ``(start, kind, end)`` in order, labelled values, and runs ``(start, value)``."""
     data = (text or "").encode("ascii", "replace")
     spans: list[Span] = []
     values: list[tuple[str, str]] = []
@@ -85,8 +91,7 @@ def scan(text: str | None) -> tuple[list[Span], list[tuple[str, str]], list[tupl
                     spans.append((m.start(), kind, m.end()))
                     values.append((KINDS[kind], m[0].decode()))
     spans.sort()
-    free = [(b, data[b:e].decode()) for b, e in found if not any(s < e and b < t for s, _, t in spans)]
-    return spans, values, free
+    return spans, values, [(b, data[b:e].decode()) for b, e in found]
 
 
 def written(spans: list[Span]) -> str:
@@ -94,22 +99,15 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{names[kind]}:{begin}:{end}" for begin, kind, end in spans)
 
 
-def _scan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _label_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
-        for ident, text in zip(batch["id"], batch["text"], strict=True):
-            spans, values, free = scan(text)
-            rows.append((
-                ident, [list(s) for s in spans], [v[0] for v in values], [v[1] for v in values], [c[0] for c in free], [c[1] for c in free]
-            ))
-        frame = pd.DataFrame(rows, columns=["id", "spans", "kinds", "credentials", "starts", "candidates"])
-        frame["id"] = frame["id"].astype(batch["id"].dtype)
-        yield frame
-
-
-def learn(found: DataFrame) -> list[tuple[Automaton, float]]:
-    """An automaton and its least likelihood for each kind, from at most ``LEARN`` distinct credentials."""
-    pairs = found.select(F.explode(F.arrays_zip("kinds", "credentials")).alias("x")).select("x.kinds", "x.credentials").distinct()
+        values = [v for text in batch["text"] for v in scan(text)[1]]
+        yield pd.DataFrame(values, columns=["kinds", "credentials"], dtype=object)
+
+
+def learn(found: DataFrame) -> list[Format]:
+    """An automaton, its least likelihood and least length for each kind, from at most ``LEARN`` distinct credentials."""
+    pairs = found.distinct()
     formats = []
     for kind in KINDS:
         drawn = pairs.where(F.col("kinds") == kind).orderBy(F.xxhash64("credentials"), "credentials").limit(LEARN)
@@ -117,23 +115,43 @@ def learn(found: DataFrame) -> list[tuple[Automaton, float]]:
         if examples:
             automaton = Automaton(examples)
             known = sorted(automaton.likelihood(x) for x in examples)
-            formats.append((automaton, known[int(LEAST_LIKELY * len(known))]))
+            formats.append((automaton, known[int(LEAST_LIKELY * len(known))], min(map(len, examples))))
     return formats
 
 
-def _score_batches(formats: list[tuple[Automaton, float]]):
+def parts(start: int, run: str, base: list[Span], formats: list[Format]) -> list[Span]:
+    """The spans of a learned format in a run, none of which touches a base span."""
+    if len(run) < min((shortest for *_, shortest in formats), default=len(run) + 1):
+        return []
+    cuts = [i for i, c in enumerate(run) if c in SEPARATORS]
+    begins, ends = [0, *(i + 1 for i in cuts)], [*cuts, len(run)]
+    touching = [(b - start, e - start) for b, _, e in base if b < start + len(run) and start < e]
+    added, done = [], 0
+    for begin in begins:
+        if begin < done or any(b <= begin < e for b, e in touching):
+            continue
+        limit = min((b for b, _ in touching if b > begin), default=len(run))
+        fitting = 0
+        for automaton, least, shortest in formats:
+            if limit - begin >= shortest:
+                near = automaton.prefix_likelihoods(run[begin:limit])
+                among = ends[bisect_left(ends, begin + shortest) : bisect_right(ends, begin + len(near) - 1)]
+                fitting = max([fitting, *(end for end in among if near[end - begin] >= least)])
+        if fitting:
+            added.append((start + begin, len(KINDS), start + fitting))
+            done = fitting
+    return added
+
+
+def _score_batches(formats: list[Format]):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for row in batch.itertuples():
-                base = [tuple(int(x) for x in s) for s in row.spans]
-                added = [
-                    (start, len(KINDS), start + len(value))
-                    for start, value in zip(row.starts, row.candidates, strict=True)
-                    if any(automaton.likelihood(value) >= least for automaton, least in formats)
-                ]
+            for ident, text in zip(batch["id"], batch["text"], strict=True):
+                base, _, found = scan(text)
+                added = [span for start, run in found for span in parts(start, run, base, formats)]
                 number = [sum(kind == k for _, kind, _ in base) for k in range(len(KINDS))]
-                rows.append((row.id, *number, hashlib.sha256(written(base).encode()).hexdigest(), written(sorted(base + added)), len(added)))
+                rows.append((ident, *number, hashlib.sha256(written(base).encode()).hexdigest(), written(sorted(base + added)), len(added)))
             frame = pd.DataFrame(rows, columns=["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format"])
             frame["id"] = frame["id"].astype(batch["id"].dtype)
             yield frame
@@ -145,10 +163,9 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row a document: identifier, counts of each base kind, ``base_sha256``, ``spans``, ``n_format``."""
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {kind}, spans array<array<long>>, kinds array<string>, credentials array<string>, starts array<long>, candidates array<string>"
-    found = staged(docs.mapInPandas(_scan_batches, schema), "secret-candidates")
+    found = staged(docs.select("text").mapInPandas(_label_batches, "kinds string, credentials string"), "secret-labels")
     schema = f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long"
-    return found.mapInPandas(_score_batches(learn(found)), schema).withColumnRenamed("id", id_col)
+    return docs.mapInPandas(_score_batches(learn(found)), schema).withColumnRenamed("id", id_col)
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:

@@ -184,3 +184,13 @@ def test_a_stray_credential_becomes_a_format_span(spark):
     rows = [(i, f"words here password={value()} more words") for i in range(300)] + [(900, f"left alone {value()} here"), (901, "nothing but quiteordinarylongwords 4041894974608795")]
     found = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[900].spans == "format:11:35" and found[900].n_format == 1 and found[901].spans == ""
+
+
+def test_short_formats_and_parts_of_runs(spark):
+    rng = random.Random(7)
+    value = lambda: "".join(rng.choice("0123456789") for _ in range(10))
+    rows = [(i, f"say token={value()} here") for i in range(100)]
+    texts = [f"bare {value()}", f"auth_key={value()}", f"pwd={value()}.", f"at /v1/{value()}/x", f"a=123456789 {value()}1"]
+    rows += [(900 + i, t) for i, t in enumerate(texts)]
+    found = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[900 + i] for i in range(5)] == ["format:5:15", "format:9:19", "format:4:14", "format:7:17", ""]
