@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from lurelog.llm import (
-    exact_dedup, langid, mixing, packing, repeats, secrets, simhash, token_file, topk, warc,
+    chat, exact_dedup, langid, mixing, negatives, packing, repair, repeats, secrets, simhash, token_file, topk, warc,
 )
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -39,6 +39,7 @@ QUERIES = {
     for function in (
         token_file.op1_token_file, mixing.op2_mixing, exact_dedup.op3_exact_dedup, repeats.op4_suffix_repeats,
         simhash.op5_simhash, packing.op6_packing, topk.op7_top_k, warc.op8_warc, langid.op9_language, secrets.op10_secrets,
+        chat.op11_chat, repair.op12_repair, negatives.op13_hard_negatives,
     )
 }
 
@@ -46,4 +47,6 @@ SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op7_top_k": topk.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
+    "op11_chat": chat.OP11_SQL,
+    "op13_hard_negatives": negatives.OP13_SQL,
 }
