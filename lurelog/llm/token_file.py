@@ -127,8 +127,9 @@ def write_tokens(
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     order = F.col("id").asc_nulls_last()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ranged = docs.repartitionByRange(order).sortWithinPartitions(order)
-    schema = f"part int, block int, before long, docs array<{kind}>, lengths array<int>, raw binary, tally binary"
+    # Identifiers pass through Python as text: a column of numbers with a null would turn into floats there.
+    ranged = docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("id", F.col("id").cast("string"))
+    schema = "part int, block int, before long, docs array<string>, lengths array<int>, raw binary, tally binary"
     raw = staged(ranged.mapInPandas(_blocks(tokenizer, vocabulary, dtype), schema), "token-blocks")
     sizes = staged(raw.where("block = -1").select("part", "before", "tally"), "token-counts")
 
@@ -149,8 +150,9 @@ def write_tokens(
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.select("part", F.coalesce(F.sum("before").over(earlier), F.lit(0)).alias("begin"))
     parts.write.parquet(f"{path}/parts")
-    schema = f"part int, block int, before long, docs array<{kind}>, lengths array<int>, payload binary, checkpoints array<int>"
+    schema = "part int, block int, before long, docs array<string>, lengths array<int>, payload binary, checkpoints array<int>"
     coded = raw.where("block >= 0").drop("tally").mapInPandas(_pack(lengths, dtype), schema)
+    coded = coded.withColumn("docs", F.col("docs").cast(f"array<{kind}>"))
     # Without dictionaries: payloads never repeat.
     coded.sortWithinPartitions("part", "block").write.option("parquet.enable.dictionary", "false").option(
         "compression", "zstd"
@@ -171,9 +173,10 @@ def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint", with_id
     blocks = spark.read.schema(stored).parquet(f"{path}/blocks")
     parts = spark.read.schema("part int, begin long").parquet(f"{path}/parts")
     # A row for each part; parts are as many as the writer's shuffle partitions.
-    placed = blocks.join(F.broadcast(parts), "part")
+    placed = blocks.join(F.broadcast(parts), "part").withColumn("docs", F.col("docs").cast("array<string>"))
     last = "ids binary" if with_ids else "ids_crc32 long"
-    return placed.mapInPandas(_unpack(lengths, with_ids), f"id {id_type}, start long, n_tokens long, {last}")
+    found = placed.mapInPandas(_unpack(lengths, with_ids), f"id string, start long, n_tokens long, {last}")
+    return found.withColumn("id", F.col("id").cast(id_type))
 
 
 def op1_token_file(spark, sf_dir: str) -> DataFrame:
