@@ -104,8 +104,9 @@ def pack(
     ``ids`` holds little-endian unsigned 32-bit numbers.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, {PIECES}" + (", ids binary" if with_ids else "")
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = f"id string, {PIECES}" + (", ids binary" if with_ids else "")
+    # Identifiers pass through Python as text: a column of numbers with a null would turn into floats there.
+    docs = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     pieces = staged(docs.mapInPandas(cut(tokenizer, capacity, with_ids), schema), "pack-pieces")
     made = staged(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "pack-counts")
     counts = np.zeros(capacity + 1, np.int64)
@@ -118,7 +119,7 @@ def pack(
     outcome = T.StructType([f for f in numbered.schema.fields if f.name != "number"]).add("sequence_id", "long").add("offset", "long")
     placed = numbered.mapInPandas(place(uses), outcome)
     return placed.select(
-        F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else [])
+        F.col("id").cast(kind).alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else [])
     )
 
 
