@@ -162,10 +162,12 @@ def _score_batches(formats: list[Format]):
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: identifier, counts of each base kind, ``base_sha256``, ``spans``, ``n_format``."""
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # Identifiers pass through Python as text: a column of numbers with a null would turn into floats there.
+    docs = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     found = staged(docs.select("text").mapInPandas(_label_batches, "kinds string, credentials string"), "secret-labels")
-    schema = f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long"
-    return docs.mapInPandas(_score_batches(learn(found)), schema).withColumnRenamed("id", id_col)
+    schema = "id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long"
+    scored = docs.mapInPandas(_score_batches(learn(found)), schema)
+    return scored.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
