@@ -141,8 +141,10 @@ def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = df.schema[id_col].dataType.simpleString()
     digest = F.xxhash64(text_col)
     texts = df.select(F.col(id_col).alias("id"), digest.alias("digest"), F.col(text_col).alias("text"))
-    signs = texts.mapInPandas(_sign_batches, f"id {kind}, digest long, node long, bands array<long>")
-    signs = staged(signs, "near-signs")
+    # Identifiers pass through Python as text: a column of numbers with a null would turn into floats there.
+    written = texts.withColumn("id", F.col("id").cast("string"))
+    signs = written.mapInPandas(_sign_batches, "id string, digest long, node long, bands array<long>")
+    signs = staged(signs.withColumn("id", F.col("id").cast(kind)), "near-signs")
     # Equal shingle sets are one node.
     nodes = signs.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "digest")).alias("least"), F.min("bands").alias("bands"))
     nodes = staged(nodes, "near-nodes")
