@@ -345,11 +345,12 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``id, n_bytes, spans, kept``: the removed byte spans of every document and what is left of it."""
     kind = df.schema[id_col].dataType.simpleString()
-    docs, covered = repeat_spans(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), length)
+    # Identifiers pass through Python as text: a column of numbers with a null would turn into floats there.
+    docs, covered = repeat_spans(df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")), length)
     named = covered.select(F.col("id").alias("of"), F.col("text_hash").alias("of_hash"), "spans")
     joined = docs.join(named, F.col("id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")), "left")
-    found = joined.select("id", "packed", "spans").mapInPandas(_cut_out, f"id {kind}, n_bytes long, spans array<array<long>>, kept binary")
-    return found.withColumnRenamed("id", id_col)
+    found = joined.select("id", "packed", "spans").mapInPandas(_cut_out, "id string, n_bytes long, spans array<array<long>>, kept binary")
+    return found.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 def op4_suffix_repeats(spark, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ def awkward():
     rows += [(2000 + i, words(rng, rng.randint(1, 60)), "en", "a") for i in range(30)]
     rows += [(3, "", "de", "b"), (36, base, "en", "a")]  # repeated rows
     rows += [(None, "nameless", "en", None), (None, base, None, None)]
+    rows += [((1 << 53) + k, passage + words(rng, 5), "en", "a") for k in (1, 3)] + [(-(1 << 62) - 1, base, "en", "b")]
     rng.shuffle(rows)
     return rows
 
