@@ -1,9 +1,9 @@
-"""TF-IDF and KMeans of session command sequences."""
+"""Terms of session command sequences: dictionary, TF-IDF matrix, heaviest terms of clusters."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.linalg import VectorUDT
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,14 +30,13 @@ def session_docs(sessions: DataFrame) -> DataFrame:
     return sessions.selectExpr("session_id AS doc_id", f"{command_doc(lines)} AS doc")
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """``doc_id, term, tf`` over 1- and 2-grams; counting combines on the map side."""
-    terms = docs.selectExpr("doc_id", f"explode({doc_terms('doc')}) AS term")
-    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+def doc_tokens(docs: DataFrame) -> DataFrame:
+    """``doc_id, term``: every word and every pair of neighbouring words of ``doc``."""
+    return docs.selectExpr("doc_id", f"explode({doc_terms('doc')}) AS term")
 
 
-def item_term_counts(items: DataFrame) -> DataFrame:
-    """``term_counts`` from one row per command (``session_id, position, command``).
+def item_tokens(items: DataFrame) -> DataFrame:
+    """``doc_tokens`` from one row per command (``session_id, position, command``).
 
     Words and pairs inside a line come from that line; the pair across two lines
     needs only the last word of the line before.  No session is ever one list.
@@ -54,119 +53,113 @@ def item_term_counts(items: DataFrame) -> DataFrame:
     )
     # The word carried over from the line before is not counted again by itself.
     skip = F.when(F.col("before").isNotNull(), 2).otherwise(1)
-    terms = linked.withColumn("skip", skip).selectExpr(
+    # Written, as the counts and the dictionary both read it.
+    return staged(linked.withColumn("skip", skip).select("doc_id", "ws", "skip"), "item-words").selectExpr(
         "doc_id",
         """explode(concat(slice(ws, skip, size(ws)),
                           zip_with(slice(ws, 1, size(ws) - 1), slice(ws, 2, size(ws)),
                                    (a, b) -> concat(a, ' ', b)))) AS term""",
     )
-    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """``doc_id, term, tf`` over 1- and 2-grams; counting combines on the map side."""
+    return doc_tokens(docs).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+def item_term_counts(items: DataFrame) -> DataFrame:
+    """``term_counts`` from one row per command."""
+    return item_tokens(items).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def vocabulary(counts: DataFrame, n_docs: int, min_df: int, max_df: float) -> DataFrame:
-    """``term, df, idf`` of the terms kept.
+class TermMatrix(NamedTuple):
+    """A TF-IDF matrix by numbers: ``terms(idx, term, df, idf)``, written, and ``weights(doc_id, idx, weight)``."""
 
-    A term must occur in at least ``min_df`` documents and in at most the share
-    ``max_df`` of them; idf is ``ln((1+n)/(1+df)) + 1``.
-    """
-    kept = document_frequency(counts).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    return kept.withColumn("idf", F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)
+    terms: DataFrame
+    weights: DataFrame
+
+    def named(self) -> DataFrame:
+        """``doc_id, term, weight``; give written weights where they serve more than this."""
+        return skew.lookup_join(self.weights, self.terms, "idx", "df").select("doc_id", "term", "weight")
 
 
-def tfidf(counts: DataFrame, n_docs: int, min_df: int, max_df: float) -> DataFrame:
-    """Long table ``doc_id, term, weight`` with rows of unit length, from ``doc_id, term, tf``.
+def term_matrix(tokens: DataFrame, n_docs: int, min_df: int, max_df: float) -> TermMatrix:
+    """The matrix of ``tokens(doc_id, term)``, rows of unit length.
+
+    A term must occur in at least ``min_df`` documents and in at most the share
+    ``max_df`` of them; idf is ``ln((1+n)/(1+df)) + 1``.
 
-    Terms that occur in very many documents are joined by broadcast (see
-    ``lookup_join``), so the join has no hot key.
+    Texts of terms are shuffled once, for the dictionary, after each task has
+    combined its own; give documents partitioned by ``doc_id``, and counting them
+    shuffles nothing.  Rows find their terms by a 64-bit hash; two kept terms of
+    one hash are an error, never a sum, and that a rare term has the hash of a
+    kept one has a chance of one in 2^64 for each pair.  Kept terms are numbered from 0, and all that
+    follows works on these numbers.  Terms of very many documents are joined by
+    broadcast (see ``lookup_join``), so no join has a hot key.
     """
-    counts = staged(counts, "term-counts")
-    known = staged(vocabulary(counts, n_docs, min_df, max_df), "vocabulary")
-    weighted = staged(
-        skew.lookup_join(counts, known, "term", "df").select(
-            "doc_id", "term", (F.col("tf") * F.col("idf")).alias("raw")
-        ),
-        "raw-weights",
+    counts = tokens.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"))
+    counts = staged(counts.select("doc_id", F.xxhash64("term").alias("hash"), "tf", "term"), "term-counts")
+    idf = F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1
+    kept = document_frequency(counts).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    found = staged(kept.withColumns({"hash": F.xxhash64("term"), "idf": idf}), "terms-kept")
+    terms = staged(_numbered(found), "terms")
+    weighted = skew.lookup_join(counts.drop("term"), terms.select("hash", "idx", "df", "idf"), "hash", "df").select(
+        "doc_id", "idx", (F.col("tf") * F.col("idf")).alias("raw")
     )
+    weighted = staged(weighted, "raw-weights")
     norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     # Both sides are written tables: a small norm table is broadcast, otherwise
     # adaptive execution can split the partition of a huge document.
-    return weighted.join(staged(norms, "norms"), "doc_id").select(
-        "doc_id", "term", (F.col("raw") / F.col("norm")).alias("weight")
-    )
-
-
-def top_terms(weights: DataFrame, clusters: DataFrame, n: int = 15) -> DataFrame:
-    """Per cluster: size and the n heaviest terms of its mean vector.
-
-    The mean counts documents without a term as zero; only terms that occur
-    are listed.
-    """
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n_sessions"))
-    sums = (
-        weights.join(clusters.select("doc_id", "cluster"), "doc_id")
-        .groupBy("cluster", "term")
-        .agg(F.sum("weight").alias("total"))
-    )
-    heaviest = Window.partitionBy("cluster").orderBy(F.desc(F.round("total", 9)), "term")
-    ranked = sums.withColumn("rn", F.row_number().over(heaviest)).filter(F.col("rn") <= n)
-    entries = F.array_sort(F.collect_list(F.struct("rn", "term")))
-    listed = ranked.groupBy("cluster").agg(
-        F.array_join(F.transform(entries, lambda e: e["term"]), ", ").alias("top_terms")
-    )
-    return sizes.join(listed, "cluster", "left").orderBy(F.desc("n_sessions"), "cluster")
+    unit = weighted.join(staged(norms, "norms"), "doc_id").select("doc_id", "idx", (F.col("raw") / F.col("norm")).alias("weight"))
+    return TermMatrix(terms.drop("hash"), unit)
 
 
-def term_index(terms: DataFrame) -> DataFrame:
-    """Dense numbers 0…V-1 for distinct terms, without sorting them in one task.
+def _numbered(terms: DataFrame) -> DataFrame:
+    """Dense numbers ``idx`` 0…V-1, without sorting the terms in one task.
 
     Terms are numbered inside hash buckets; the buckets' offsets are a table of
     INDEX_BUCKETS rows.
     """
-    bucketed = terms.select("term").distinct().withColumn(
-        "bucket", F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS))
-    )
+    bucketed = terms.withColumn("bucket", F.pmod("hash", F.lit(INDEX_BUCKETS)))
     before = Window.partitionBy().orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bucketed.groupBy("bucket").agg(F.count("*").alias("n")).select(
         "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
-    inside = Window.partitionBy("bucket").orderBy("term")
+    inside = Window.partitionBy("bucket").orderBy("hash", "term")
+    clash = F.raise_error(F.concat(F.lit("another term has the hash of "), "term")).cast("int")
+    place = F.when(F.lag("hash").over(inside) == F.col("hash"), clash).otherwise(F.row_number().over(inside))
     return (
-        bucketed.withColumn("rn", F.row_number().over(inside))
+        bucketed.withColumn("rn", place)
         .join(F.broadcast(offsets), "bucket")
-        .select("term", (F.col("offset") + F.col("rn") - 1).cast("int").alias("idx"))
+        .withColumn("idx", F.col("offset") + F.col("rn") - 1)
+        .drop("bucket", "rn", "offset")
     )
 
 
-def doc_vectors(weights: DataFrame, docs: DataFrame) -> tuple[DataFrame, int]:
-    """``doc_id, features`` (sparse) for every document, and the vocabulary size."""
-    index = staged(term_index(weights), "term-index")
-    size = index.count()
-    indexed = weights.join(index, "term").select("doc_id", "idx", "weight")
-    cells = indexed.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("cells")
+def top_terms(matrix: TermMatrix, clusters: DataFrame, n: int = 15) -> DataFrame:
+    """Per cluster: size and the n heaviest terms of its mean vector.
+
+    The mean counts documents without a term as zero; only terms that occur
+    are listed.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n_sessions"))
+    sums = (
+        matrix.weights.join(clusters.select("doc_id", "cluster"), "doc_id")
+        .groupBy("cluster", "idx")
+        .agg(F.round(F.sum("weight"), 9).alias("total"))
     )
-    # The stored form of a sparse vector; read back as a vector without any UDF.
-    entries = F.coalesce("cells", F.array().cast("array<struct<idx:int,weight:double>>"))
-    stored = F.struct(
-        F.lit(0).cast("tinyint").alias("type"),
-        F.lit(max(size, 1)).alias("size"),
-        F.transform(entries, lambda e: e["idx"]).alias("indices"),
-        F.transform(entries, lambda e: e["weight"]).alias("values"),
+    # Terms that tie with the last are kept by number until their texts decide.
+    near = Window.partitionBy("cluster").orderBy(F.desc("total"))
+    few = sums.withColumn("place", F.rank().over(near)).filter(F.col("place") <= n)
+    heaviest = Window.partitionBy("cluster").orderBy(F.desc("total"), "term")
+    spelled = few.join(matrix.terms.select("idx", "term"), "idx")
+    ranked = spelled.withColumn("rn", F.row_number().over(heaviest)).filter(F.col("rn") <= n)
+    entries = F.array_sort(F.collect_list(F.struct("rn", "term")))
+    listed = ranked.groupBy("cluster").agg(
+        F.array_join(F.transform(entries, lambda e: e["term"]), ", ").alias("top_terms")
     )
-    whole = docs.select("doc_id").join(cells, "doc_id", "left")
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("features", VectorUDT())])
-    return staged(whole.select("doc_id", stored.alias("features")), "vectors", schema), size
-
-
-def kmeans(vectors: DataFrame, k: int = 8, seed: int = 42) -> DataFrame:
-    """``doc_id, cluster``; fewer rows than clusters, or than two, are an error."""
-    n = vectors.count()
-    if n < max(2, k):
-        raise ValueError(f"{k} clusters need at least {max(2, k)} sessions, got {n}")
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster")
-    fitted = model.fit(vectors)
-    return fitted.transform(vectors).select("doc_id", F.col("cluster").cast("int").alias("cluster"))
+    return sizes.join(listed, "cluster", "left").orderBy(F.desc("n_sessions"), "cluster")

@@ -1,13 +1,15 @@
 """Isolation Forest (Liu, Ting, Zhou, ICDM 2008) as Spark jobs.
 
-Fit: every row draws, by a keyed hash, the trees it may serve; each tree keeps
-its 256 smallest draws, and the trees grow in parallel from those rows.  Score:
-the forest (trees x at most 511 nodes, whatever the data size) goes to the
-tasks as a broadcast and rows are scored in Arrow batches.
+Fit: every row draws, by keyed hashes, the trees it may serve, skipping from one
+to the next by geometric steps; each tree keeps its 256 smallest draws, and the
+trees grow in parallel from those rows.  Score: the forest (trees x at most 511
+nodes, whatever the data size) goes to the tasks as a broadcast and rows are
+scored in Arrow batches.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from math import ceil, log2
 
@@ -24,6 +26,8 @@ from lurelog.staging import staged
 TREES = 200
 SAMPLE = 256
 EULER = 0.5772156649015329
+#: Rows that go through a tree at a time; their values stay in a core's cache.
+PART = 4096
 _NODE = "tree int, node int, feature int, threshold double, depth double"
 _HASH_SPAN = float(2**63)
 
@@ -47,14 +51,36 @@ def fit_forest(
 
 
 def _tree_samples(df, features, key, trees, sample, seed, rows) -> DataFrame:
-    """Exactly ``sample`` rows per tree, of all rows: the smallest keyed hashes of each tree."""
+    """Exactly ``sample`` rows per tree, of all rows: the smallest keyed hashes of each tree.
+
+    A row costs one hash and one more for every tree it is drawn for: the number
+    of trees to the next one is geometric.  Most rows of a large table skip all
+    trees at once and end there, in generated code.  About ``trees * sample``
+    draws remain at any table size.
+    """
     named = df.select(F.xxhash64(*key, F.lit(seed)).alias("row_id"), *features)
     # Six deviations above the mean leave no tree short of rows in practice; a
     # short tree would only use the fewer rows it has.
-    share = min(1.0, (sample + 6 * sample**0.5 + 6) / rows)
-    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
-    chosen = F.filter(numbers, lambda t: _unit(F.xxhash64("row_id", t)) < share)
-    candidates = named.withColumn("tree", F.explode(chosen)).withColumn(
+    share = min(1.0, (sample + 6 * sample**0.5 + 6) / max(rows, 1))
+
+    def next_tree(after):
+        """The first tree drawn from ``after`` on; at or beyond ``trees`` there is none."""
+        if share >= 1.0:
+            return after
+        skip = F.floor(F.log(_unit(F.xxhash64("row_id", after, F.lit(seed + 1)))) / math.log1p(-share))
+        return (after + F.least(skip, F.lit(trees))).cast("int")
+
+    drawn = named.withColumn("first", next_tree(F.lit(0))).where(F.col("first") < trees)
+    # The draws of one row, from its first; a row that is drawn at all rarely has many.
+    steps = F.sequence(F.lit(1), F.lit(trees))
+    start = F.struct(F.col("first").alias("at"), F.array("first").alias("all"))
+
+    def step(found, _):
+        at = next_tree(found["at"] + 1)
+        more = F.struct(at.alias("at"), F.concat(found["all"], F.array(at)).alias("all"))
+        return F.when(found["at"] + 1 >= trees, found).when(at >= trees, F.struct(F.lit(trees).alias("at"), found["all"].alias("all"))).otherwise(more)
+
+    candidates = drawn.withColumn("tree", F.explode(F.aggregate(steps, start, step, lambda found: found["all"]))).withColumn(
         "draw", _unit(F.xxhash64("row_id", "tree"))
     )
     smallest = Window.partitionBy("tree").orderBy("draw", *features)
@@ -66,8 +92,8 @@ def _tree_samples(df, features, key, trees, sample, seed, rows) -> DataFrame:
 
 
 def _unit(hashed):
-    """A 64-bit hash as a number in [0, 1)."""
-    return (hashed.bitwiseAND(F.lit(2**63 - 1))).cast("double") / F.lit(_HASH_SPAN)
+    """A 64-bit hash as a number in (0, 1]."""
+    return (hashed.bitwiseAND(F.lit(2**63 - 1)) + 1.0) / F.lit(_HASH_SPAN)
 
 
 def _grow(tree: int, values: np.ndarray, limit: int, rng: np.random.Generator) -> pd.DataFrame:
@@ -116,27 +142,28 @@ def score_rows(
     depth = np.zeros((trees, width))
     at = (table["tree"].to_numpy(), table["node"].to_numpy())
     feature[at], threshold[at], depth[at] = table["feature"], table["threshold"], table["depth"]
-    forest = df.sparkSession.sparkContext.broadcast((feature, threshold, depth))
+    # A leaf leads to itself: nothing is above its threshold, and it is its own left child.
+    leaf = feature < 0
+    left = np.where(leaf, np.arange(width), 2 * np.arange(width) + 1).astype(np.int32)
+    forest = df.sparkSession.sparkContext.broadcast((np.maximum(feature, 0), np.where(leaf, np.inf, threshold), left, depth))
     levels = ceil(log2(max(psi, 2)))
     scale = average_path(psi) or 1.0
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        feature, threshold, depth = forest.value
+        feature, threshold, left, depth = forest.value
         for batch in batches:
             values = np.column_stack([s.to_numpy(dtype=float) for s in batch])
-            lines = np.arange(len(values))
             total = np.zeros(len(values))
-            for tree in range(len(feature)):
-                node = np.zeros(len(values), dtype=np.int64)
-                for _ in range(levels):
-                    split = feature[tree, node]
-                    inner = split >= 0
-                    if not inner.any():
-                        break
-                    right = values[lines, np.maximum(split, 0)] > threshold[tree, node]
-                    node = np.where(inner, 2 * node + 1 + right, node)
-                total += depth[tree, node]
+            for begin in range(0, len(values), PART):
+                flat = np.ascontiguousarray(values[begin : begin + PART]).ravel()
+                lines = np.arange(0, len(flat), values.shape[1])
+                for tree in range(len(feature)):
+                    splits, cuts, lefts = feature[tree], threshold[tree], left[tree]
+                    node = np.zeros(len(lines), dtype=np.int32)
+                    for _ in range(levels):
+                        node = lefts[node] + (flat[lines + splits[node]] > cuts[node])
+                    total[begin : begin + PART] += depth[tree, node]
             yield pd.Series(-np.exp2(-total / (len(feature) * scale)))
 
     return df.withColumn(column, score(*[F.col(f) for f in features]))

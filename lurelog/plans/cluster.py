@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurelog.operators import clusters as cl
+from lurelog.operators.kmeans import kmeans
 from lurelog.operators.projection import pca_2d
 from lurelog.sinks import files, tables
 from lurelog.staging import staged
@@ -24,14 +25,14 @@ def cluster_sessions(
         raise ValueError("no session has enough commands")
     docs = chosen.select(F.col("session_id").alias("doc_id"))
     said = items.join(chosen.select("session_id"), "session_id", "left_semi")
-    weights = staged(cl.tfidf(cl.item_term_counts(said), docs.count(), min_df, max_df), "tfidf")
-    vectors, _ = cl.doc_vectors(weights, docs)
-    assigned = staged(cl.kmeans(vectors, k, seed), "clusters")
-    coords = pca_2d(weights, docs).join(assigned, "doc_id").select("doc_id", "x", "y", "cluster")
+    matrix = cl.term_matrix(cl.item_tokens(said), docs.count(), min_df, max_df)
+    matrix = matrix._replace(weights=staged(matrix.weights, "weights"))  # read by every step below
+    assigned = staged(kmeans(matrix.weights, docs, k, seed), "clusters")
+    coords = pca_2d(matrix.weights, docs).join(assigned, "doc_id").select("doc_id", "x", "y", "cluster")
     labelled = chosen.join(assigned.withColumnRenamed("doc_id", "session_id"), "session_id")
     return {
         "sessions": labelled,
-        "summary": cl.top_terms(weights, assigned),
+        "summary": cl.top_terms(matrix, assigned),
         "coords": coords,
     }
 

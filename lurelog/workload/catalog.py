@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lurelog import schema
 from lurelog.functions import addresses, json_values as jv, kinds, pseudonyms, text, times
 from lurelog.operators import clusters as cl
 from lurelog.operators import dedup, features as fe, forest, ip_windows, labels, metrics
 from lurelog.operators import normalize, quantiles, report, sessions, sweeps
+from lurelog.operators.kmeans import kmeans
 from lurelog.plans import cluster as cluster_plan
 from lurelog.plans import detect as detect_plan
 from lurelog.plans import ingest as ingest_plan
@@ -1031,13 +1033,14 @@ wt AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)
 
 
 def plain_docs(spark, sf_dir):
-    docs = adapter.spread(adapter.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # By document, so that its terms are counted where it is.
+    docs = adapter.table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
     return docs.select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z0-9_-]+", " ").alias("doc"))
 
 
-def doc_weights(spark, sf_dir):
+def doc_matrix(spark, sf_dir):
     docs = plain_docs(spark, sf_dir)
-    return cl.tfidf(cl.term_counts(docs), docs.count(), **TERMS)
+    return cl.term_matrix(cl.doc_tokens(docs), docs.count(), **TERMS)
 
 
 @query("term_df", DOC_TERMS + " SELECT term, df FROM df")
@@ -1047,7 +1050,7 @@ def term_df(spark, sf_dir):
 
 @query("session_tfidf", DOC_TFIDF + " SELECT doc_id, term, round(weight, 6) AS weight FROM wt")
 def session_tfidf(spark, sf_dir):
-    return doc_weights(spark, sf_dir)
+    return doc_matrix(spark, sf_dir).named()
 
 
 @query(
@@ -1062,7 +1065,7 @@ def session_tfidf(spark, sf_dir):
 def cluster_top_terms(spark, sf_dir):
     docs = plain_docs(spark, sf_dir)
     given = docs.select("doc_id", (F.col("doc_id") % 4).alias("cluster"))
-    return cl.top_terms(doc_weights(spark, sf_dir), given)
+    return cl.top_terms(doc_matrix(spark, sf_dir), given)
 
 
 def talk_items(spark, sf_dir):
@@ -1091,15 +1094,14 @@ def kmeans_sessions(spark, sf_dir):
     chosen = staged(cl.sessions_for_clustering(talk_sessions(spark, sf_dir), 2), "sessions")
     docs = chosen.select(F.col("session_id").alias("doc_id"))
     said = talk_items(spark, sf_dir).join(chosen.select("session_id"), "session_id", "left_semi")
-    weights = staged(cl.tfidf(cl.item_term_counts(said), docs.count(), **TERMS), "weights")
-    vectors, _ = cl.doc_vectors(weights, docs)
-    found = staged(cl.kmeans(vectors, 4), "clusters")
+    weights = staged(cl.term_matrix(cl.item_tokens(said), docs.count(), **TERMS).weights, "weights")
+    found = staged(kmeans(weights, docs, 4), "clusters")
     # Distances from the long table: |c|^2 - 2 x.c is enough to compare centres.
     sizes = found.groupBy("cluster").agg(F.count("*").alias("size"))
-    centres = weights.join(found, "doc_id").groupBy("cluster", "term").agg(F.sum("weight").alias("total")).join(sizes, "cluster")
-    centres = staged(centres.select("cluster", "term", (F.col("total") / F.col("size")).alias("c")), "centres")
+    centres = weights.join(found, "doc_id").groupBy("cluster", "idx").agg(F.sum("weight").alias("total")).join(sizes, "cluster")
+    centres = staged(centres.select("cluster", "idx", (F.col("total") / F.col("size")).alias("c")), "centres")
     square = centres.groupBy("cluster").agg(F.sum(F.col("c") * F.col("c")).alias("square"))
-    products = weights.join(centres, "term").groupBy("doc_id", "cluster").agg(F.sum(F.col("weight") * F.col("c")).alias("product"))
+    products = weights.join(centres, "idx").groupBy("doc_id", "cluster").agg(F.sum(F.col("weight") * F.col("c")).alias("product"))
     labels4 = docs.withColumn("cluster", F.explode(F.sequence(F.lit(0), F.lit(3))))
     far = labels4.join(square, "cluster").join(products, ["doc_id", "cluster"], "left").select(
         "doc_id", "cluster", (F.col("square") - 2 * F.coalesce("product", F.lit(0.0))).alias("distance")
@@ -1112,40 +1114,103 @@ def kmeans_sessions(spark, sf_dir):
     )
 
 
-@query("cluster_summary", f"SELECT CAST(4 AS BIGINT) AS clusters, CAST(n AS BIGINT) AS sessions, CAST(1 AS BIGINT) AS terms_listed FROM {TALKS_SQL}")
+@query(
+    "cluster_summary",
+    f"""SELECT CAST(4 AS BIGINT) AS clusters, CAST(n AS BIGINT) AS sessions, CAST(4 AS BIGINT) AS same_terms, CAST(4 AS BIGINT) AS same_sizes FROM {TALKS_SQL}""",
+)
 def cluster_summary(spark, sf_dir):
-    """Sizes of the clusters add up, and a cluster with terms lists at most fifteen of them."""
-    found = _clustered(spark, sf_dir)["summary"]
-    listed = F.coalesce(F.size(F.split("top_terms", ", ")), F.lit(0)) <= 15
-    return found.agg(F.count("*").alias("clusters"), F.sum("n_sessions").alias("sessions"), F.bool_and(listed).cast("bigint").alias("terms_listed"))
+    """Sizes and heaviest terms of the clusters, against those of whole documents by plain windows."""
+    found = _clustered(spark, sf_dir)
+    given = staged(found["sessions"], "clustered")
+    docs = cl.session_docs(given).join(given.select(F.col("session_id").alias("doc_id"), "cluster"), "doc_id")
+    counts = cl.term_counts(docs).join(docs.select("doc_id", "cluster"), "doc_id")
+    n = F.lit(docs.count())
+    known = counts.withColumn("df", F.count("*").over(Window.partitionBy("term"))).where((F.col("df") >= 2) & (F.col("df") <= 0.8 * n))
+    raw = known.withColumn("raw", F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1))
+    weighted = raw.withColumn("weight", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id"))))
+    totals = weighted.groupBy("cluster", "term").agg(F.round(F.sum("weight"), 9).alias("total"))
+    placed = totals.withColumn("rn", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("total"), "term"))).where("rn <= 15")
+    listed = placed.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "term"))), lambda e: e["term"]), ", ").alias("wanted"))
+    sizes = given.groupBy("cluster").agg(F.count("*").alias("size"))
+    both = found["summary"].join(listed, "cluster", "left").join(sizes, "cluster")
+    return both.agg(
+        F.count("*").alias("clusters"), F.sum("n_sessions").alias("sessions"), F.count_if(F.col("top_terms").eqNullSafe(F.col("wanted"))).alias("same_terms"),
+        F.count_if(F.col("n_sessions") == F.col("size")).alias("same_sizes"),
+    )
+
+
+def _largest_variances(squarings: int = 14) -> str:
+    """The two largest variances of the centred documents, from powers of their Gram matrix.
+
+    A power by repeated squaring leaves only the first axis; what it explains is
+    taken off, and the rest gives the second.
+    """
+    parts = [TALK.strip(), """
+chosen AS (SELECT conv_id AS doc_id FROM conversations GROUP BY conv_id HAVING count(*) >= 2),
+ws AS (SELECT doc_id, list_filter(regexp_extract_all(doc, '[\\p{L}\\p{M}\\p{N}_-]+'), lambda x: regexp_full_match(x, '[a-z0-9_-]{2,}')) AS ws
+       FROM d SEMI JOIN chosen USING (doc_id)),
+tk AS (SELECT doc_id, unnest(ws) AS term FROM ws UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM ws),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tk GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM chosen),
+v AS (SELECT term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.8 * any_value(n)),
+r AS (SELECT doc_id, term, tf * idf AS raw FROM tf JOIN v USING (term)),
+wt AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS w FROM r),
+dots AS (SELECT a.doc_id AS i, b.doc_id AS j, sum(a.w * b.w) AS v FROM wt a JOIN wt b USING (term) GROUP BY ALL),
+k AS MATERIALIZED (SELECT a.doc_id AS i, b.doc_id AS j, coalesce(v, 0.0) AS v FROM chosen a CROSS JOIN chosen b LEFT JOIN dots ON i = a.doc_id AND j = b.doc_id),
+m AS MATERIALIZED (SELECT i, avg(v) AS m FROM k GROUP BY i),
+g1 AS MATERIALIZED (SELECT i, j, (k.v - a.m - b.m + (SELECT avg(m) FROM m)) / (n - 1) AS v FROM k JOIN m a USING (i) JOIN (SELECT i AS j, m FROM m) b USING (j), n)"""]
+    for axis in (1, 2):
+        before = f"g{axis}"
+        for step in range(squarings):
+            name = f"p{axis}_{step}"
+            parts.append(f"""
+{name} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) / (SELECT sum(v * v) FROM {before}) AS v FROM {before} a JOIN {before} b ON a.j = b.i GROUP BY ALL)""")
+            before = name
+        parts.append(f"""
+l{axis} AS MATERIALIZED (SELECT sum(a.v * b.v) AS l FROM g{axis} a JOIN {before} b USING (i, j))""")
+        if axis == 1:
+            parts.append(f"""
+g2 AS MATERIALIZED (SELECT i, j, a.v - (SELECT l FROM l1) * b.v AS v FROM g1 a JOIN {before} b USING (i, j))""")
+    return ",".join(parts)
 
 
 @query(
     "pca_sessions",
-    f"""SELECT n AS sessions, 0.0 AS mean_x, 0.0 AS mean_y, 0.0 AS covariance, CAST(1 AS BIGINT) AS in_order FROM {TALKS_SQL}""",
+    _largest_variances()
+    + """ SELECT n AS sessions, 0.0 AS mean_x, 0.0 AS mean_y, 0.0 AS covariance, round((SELECT l FROM l1), 6) AS var_x, round((SELECT l FROM l2), 6) AS var_y FROM n""",
 )
 def pca_sessions(spark, sf_dir):
-    """One point a session; axes centred, uncorrelated and in order of variance."""
+    """One point a session; axes centred, uncorrelated, and of the largest variances there are."""
     found = _clustered(spark, sf_dir)["coords"]
     return found.agg(
         F.count("*").alias("sessions"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.covar_samp("x", "y").alias("covariance"),
-        (F.var_samp("x") >= F.var_samp("y")).cast("bigint").alias("in_order"),
+        F.var_samp("x").alias("var_x"), F.var_samp("y").alias("var_y"),
     )
 
 
 # --- forest -----------------------------------------------------------------
 
 
+def exact_share(share: float) -> Column:
+    """The number of rows that a share flags, where score and flag agree on it from below and from above; else -1.
+
+    Rows that tie at the quantile may lie on either side.
+    """
+    rank = F.floor(share * (F.count("*") - 1)) + 1
+    below, upto = F.count_if(F.col("if_score") < 0), F.count_if(F.col("if_score") <= 0)
+    return F.when((below <= rank) & (rank <= upto) & (F.sum("if_pred") == below), rank).otherwise(-1)
+
+
 @query(
     "isolation_forest",
     """WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE l_orderkey % 32 = 0 AND l_linenumber = 1) AS planted FROM lineitem)
-    SELECT n AS windows, CAST(floor(0.05 * (n - 1)) + 1 AS BIGINT) AS flagged_at_least, planted AS planted_flagged,
+    SELECT n AS windows, CAST(floor(0.05 * (n - 1)) + 1 AS BIGINT) AS flagged, planted AS planted_flagged,
            CAST(200 AS BIGINT) AS trees, CAST(1 AS BIGINT) AS drawn_from_all FROM n""",
 )
 def isolation_forest(spark, sf_dir):
     """Rows of ``lineitem`` with planted outliers: these are flagged, so is the wanted share, and
     the trees draw from every part of the table."""
-    rows = adapter.table(spark, sf_dir, "lineitem").select(
+    rows = adapter.spread(adapter.table(spark, sf_dir, "lineitem")).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), "l_orderkey",
         ((F.col("l_orderkey") % 32 == 0) & (F.col("l_linenumber") == 1)).cast("long").alias("planted"),
         *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")],
@@ -1160,28 +1225,51 @@ def isolation_forest(spark, sf_dir):
         F.count_distinct("tree").alias("trees"),
         ((F.count_if(F.col("l_orderkey") < ends[0]) > 0) & (F.count_if(F.col("l_orderkey") > ends[1]) > 0)).cast("bigint").alias("drawn_from_all"),
     )
-    # Rows below the quantile; a tie at it may hold the count at the rank itself.
-    flagged = F.count_if(F.col("if_score") <= 0)
     return scored.agg(
-        F.count("*").alias("windows"), F.least(flagged, F.lit(int(0.05 * (n - 1)) + 1)).alias("flagged_at_least"),
-        F.sum(F.col("planted") * F.col("if_pred")).alias("planted_flagged"),
+        F.count("*").alias("windows"), exact_share(0.05).alias("flagged"), F.sum(F.col("planted") * F.col("if_pred")).alias("planted_flagged"),
     ).join(spread, F.lit(True), "inner")
 
 
+@query("forest_paths", ex.with_tables(ex.features()) + " SELECT service, count(*) AS windows, CAST(0 AS BIGINT) AS scored_otherwise, CAST(200 AS BIGINT) AS trees FROM feat GROUP BY service")
+def forest_paths(spark, sf_dir):
+    """Scores of a fitted forest against paths followed by joins with its node table."""
+    rows = staged(day_features(spark, sf_dir).withColumn("row", F.xxhash64(*schema.WINDOW_KEY)), "forest-rows")
+    n = rows.count()
+    nodes = staged(forest.fit_forest(rows, rows=n), "forest-nodes")
+    scored = forest.score_rows(rows, nodes, rows=n).select("row", "service", "raw_score")
+    values = F.array(*[F.col(c).cast("double") for c in fe.FOREST_FEATURES])
+    at = rows.select("row", values.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(forest.TREES - 1))).alias("tree"), F.lit(0).alias("node"))
+    table = F.broadcast(nodes)  # trees x at most 511 rows
+    for _ in range(8):  # 256 rows a tree
+        goes = F.when(F.col("feature") < 0, F.col("node")).otherwise(
+            2 * F.col("node") + 1 + (F.element_at("x", F.greatest(F.col("feature"), F.lit(0)) + 1) > F.col("threshold")).cast("int")
+        )
+        at = at.join(table, ["tree", "node"]).select("row", "x", "tree", goes.alias("node"))
+    followed = at.join(table, ["tree", "node"]).where("feature < 0").groupBy("row").agg(F.sum("depth").alias("path"), F.count_distinct("tree").alias("trees"))
+    scale = forest.average_path(min(forest.SAMPLE, n))
+    wanted = -F.pow(F.lit(2.0), -F.col("path") / (F.col("trees") * scale))
+    differs = F.coalesce(F.abs(F.col("raw_score") - wanted) > 1e-9, F.lit(True))
+    return scored.join(followed, "row", "left").groupBy("service").agg(
+        F.count("*").alias("windows"), F.count_if(differs).alias("scored_otherwise"), F.min("trees").alias("trees")
+    )
+
+
 @query(
     "top_anomalies",
     ex.with_tables(ex.features(), SCORED)
-    + """ SELECT count(*) AS windows, least(count(*), 200) AS listed, CAST(sum(baseline_alert) AS BIGINT) AS alerts, CAST(1 AS BIGINT) AS in_order FROM sc""",
+    + """ SELECT count(*) AS windows, least(count(*), 200) AS listed, CAST(sum(baseline_alert) AS BIGINT) AS alerts, CAST(1 AS BIGINT) AS in_order,
+                 CAST(floor(0.05 * (count(*) - 1)) + 1 AS BIGINT) AS flagged, CAST(1 AS BIGINT) AS scores_differ FROM sc""",
 )
 def top_anomalies(spark, sf_dir):
-    """The lowest scores of a whole detection run, and its rule alerts."""
+    """The lowest scores of a whole detection run, its flags and its rule alerts."""
     scored = staged(detect_plan.detect(day_windows(spark, sf_dir), contamination=0.05, **RULE), "scored")
     listed = fe.top_anomalies(scored)
     worst = listed.agg(F.count("*").alias("listed"), F.max("if_score").alias("last"))
     beyond = scored.join(F.broadcast(worst), F.lit(True), "inner")
+    order = (F.count_if(F.col("if_score") < F.col("last")) <= F.max("listed")) & (F.count_if(F.col("if_score") <= F.col("last")) >= F.max("listed"))
     return beyond.agg(
-        F.count("*").alias("windows"), F.max("listed").alias("listed"), F.sum("baseline_alert").alias("alerts"),
-        (F.count_if(F.col("if_score") < F.col("last")) <= F.max("listed")).cast("bigint").alias("in_order"),
+        F.count("*").alias("windows"), F.max("listed").alias("listed"), F.sum("baseline_alert").alias("alerts"), order.cast("bigint").alias("in_order"),
+        exact_share(0.05).alias("flagged"), (F.count_distinct(F.round("if_score", 9)) * 2 > F.count("*")).cast("bigint").alias("scores_differ"),
     )
 
 

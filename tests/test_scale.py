@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lurelog import schema
 from lurelog.operators import clusters, dedup, features, forest, ip_windows, labels, metrics
-from lurelog.operators import normalize, quantiles, sessions, skew, sweeps
+from lurelog.operators import kmeans as km
+from lurelog.operators import normalize, projection, quantiles, sessions, skew, sweeps
 from lurelog.plans import cluster as cluster_plan
 from lurelog.plans import detect
 from lurelog.sinks import files
@@ -202,9 +203,13 @@ def test_vectors_clusters_and_projection(spark):
     assert abs(xy.x.sum()) < 1e-9 and abs(xy.y.sum()) < 1e-9
 
     docs = data.select(F.col("session_id").alias("doc_id"))
-    weights = catalog.staged(clusters.tfidf(clusters.item_term_counts(items), 16, **TERMS), "w")
-    vectors, size = clusters.doc_vectors(weights, docs)
-    dense = np.array([r.features.toArray() for r in vectors.orderBy("doc_id").collect()])
+    matrix = clusters.term_matrix(clusters.item_tokens(items), 16, **TERMS)
+    matrix = matrix._replace(weights=catalog.staged(matrix.weights, "w"))
+    table = matrix.weights.toPandas()
+    names = sorted(r.doc_id for r in docs.collect())
+    assert sorted(r.idx for r in matrix.terms.collect()) == list(range(matrix.terms.count()))
+    dense = np.zeros((16, matrix.terms.count()))
+    dense[[names.index(d) for d in table.doc_id], table.idx] = table.weight
     assert np.allclose((dense**2).sum(axis=1), 1.0)
     centred = dense - dense.mean(axis=0)
     u, s, _ = np.linalg.svd(centred, full_matrices=False)
@@ -214,6 +219,69 @@ def test_vectors_clusters_and_projection(spark):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+@pytest.mark.parametrize("k", [3, 6])
+def test_kmeans_ends_where_no_document_is_nearer_to_another_centre(spark, k):
+    # A vocabulary of a million terms, most of them in one document.
+    rng = np.random.default_rng(k)
+    cells = []
+    for doc in range(240):
+        own = {int(t): 1.0 for t in rng.integers(0, 1_000_000, 30)} | {int(t): 3.0 for t in rng.integers(0, 12, 4) + 12 * (doc % 5)}
+        norm = math.sqrt(sum(w * w for w in own.values()))
+        cells += [(f"d{doc}", t, w / norm) for t, w in own.items()]
+    weights = catalog.staged(spark.createDataFrame(cells, "doc_id STRING, idx LONG, weight DOUBLE"), "w")
+    docs = spark.createDataFrame([(f"d{i}",) for i in range(242)], "doc_id STRING")  # two without any term
+    found = {r.doc_id: r.cluster for r in km.kmeans(weights, docs, k).collect()}
+    assert len(found) == 242 and len(set(found.values())) == k and found["d240"] == found["d241"]
+    names = sorted(found)
+    columns = {t: i for i, t in enumerate(sorted({t for _, t, _ in cells}))}
+    x = np.zeros((242, len(columns)))
+    for doc, term, weight in cells:
+        x[names.index(doc), columns[term]] = weight
+    own = np.array([found[d] for d in names])
+    centres = np.array([x[own == c].mean(0) for c in range(k)])
+    far = ((x[:, None, :] - centres[None]) ** 2).sum(2)
+    assert (far[np.arange(242), own] <= far.min(1) + 1e-9).all()
+
+
+def test_kmeans_of_equal_documents(spark):
+    weights = catalog.staged(spark.range(6).selectExpr("concat('d', id) AS doc_id", "5L AS idx", "1D AS weight"), "w")
+    docs = weights.select("doc_id")
+    assert {r.cluster for r in km.kmeans(weights, docs, 3).collect()} <= {0, 1, 2}
+    nothing = weights.where("idx < 0")
+    assert km.kmeans(catalog.staged(nothing, "w"), docs, 2).count() == 6
+
+
+def test_axes_of_a_wide_table(spark):
+    # More documents than the basis has columns at first, and a slow decay.
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(0, 1, (150, 90))) * (rng.random((150, 90)) < 0.3) * np.linspace(1, 2, 90)
+    weights = catalog.staged(spark.createDataFrame([(i, int(j), float(x[i, j])) for i in range(150) for j in np.flatnonzero(x[i])], "doc_id LONG, idx LONG, weight DOUBLE"), "w")
+    docs = spark.range(150).withColumnRenamed("id", "doc_id")
+    xy = projection.pca_2d(weights, docs).orderBy("doc_id").toPandas()
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose([xy.x.var(), xy.y.var()], s[:2] ** 2 / 149, rtol=1e-9)
+    assert np.allclose(np.abs(xy.x), np.abs(u[:, 0] * s[0]), atol=1e-4) and np.allclose(np.abs(xy.y), np.abs(u[:, 1] * s[1]), atol=1e-4)
+    one = projection.pca_2d(catalog.staged(weights.where("doc_id = 0"), "w"), docs.where("doc_id = 0")).first()
+    assert (one.x, one.y) == (0.0, 0.0)
+
+
+def test_hash_clash_is_an_error(spark):
+    terms = spark.createDataFrame([("a", 1, 7), ("b", 1, 7)], "term STRING, df LONG, hash LONG")
+    with pytest.raises(Exception, match="another term has the hash"):
+        clusters._numbered(terms).collect()
+
+
+def test_draws_cost_nothing_for_rows_without_a_tree(spark):
+    rows_ = planted(spark, 20_000)
+    drawn = forest._tree_samples(rows_, features.FOREST_FEATURES, schema.WINDOW_KEY, 200, 256, 1, 20_000)
+    assert {r["count"] for r in drawn.groupBy("tree").count().collect()} == {256}
+    parts = rows_.repartition(7)
+    again = forest._tree_samples(parts, features.FOREST_FEATURES, schema.WINDOW_KEY, 200, 256, 1, 20_000)
+    assert rows(drawn) == rows(again)
+    # Every part of the table serves, each tree with rows of its own.
+    assert drawn.select("draw").distinct().count() == 200 * 256
+
+
 def test_few_sessions(spark):
     data, items = talk(spark, [["ls", "cat", "id"], ["id", "id", "ls"]])
     found = cluster_plan.cluster_sessions(data, items, k=2, **TERMS)
