@@ -38,7 +38,11 @@ def build_ip_windows(events: DataFrame, minutes: int = 5) -> DataFrame:
     window with very many passwords never sits in one task.
     """
     logins = login_events(events).withColumn("window_start", F.expr(window_start("ts_utc", minutes)))
-    gaps = with_gaps(logins)
+    return count_windows(with_gaps(logins))
+
+
+def count_windows(gaps: DataFrame) -> DataFrame:
+    """The windows of logins with ``window_start`` and ``gap_us``."""
     return (
         gaps.groupBy(*schema.WINDOW_KEY)
         .agg(

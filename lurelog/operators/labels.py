@@ -76,9 +76,11 @@ def events_in_windows(sample: DataFrame, events: DataFrame, minutes: int = 5) ->
         F.array(F.floor(begin / length), F.floor((end_us - 1) / (length * 1_000_000)))
     )
     wanted = sample.select(*schema.WINDOW_KEY).distinct().withColumn("bucket", F.explode(buckets))
-    # The sample's time range goes down to the scan, which skips days outside it.
+    # The sample's time range goes down to the scan, which skips files outside it.
     first, last = sample.agg(F.min("window_start"), F.max("window_start") + F.make_dt_interval(mins=F.lit(minutes))).first()
     events = events.filter((F.col("ts_utc") >= F.lit(first)) & (F.col("ts_utc") < F.lit(last)))
+    if "event_date" in events.columns:
+        events = _on_days(events, sample, minutes)
     bucketed = events.withColumn("bucket", F.floor(F.unix_seconds("ts_utc") / length))
     inside = (F.unix_micros("ts_utc") >= F.unix_micros("window_start")) & (
         F.unix_micros("ts_utc") < end_us
@@ -86,6 +88,18 @@ def events_in_windows(sample: DataFrame, events: DataFrame, minutes: int = 5) ->
     return bucketed.join(wanted, ["source", "service", "src_ip_hash", "bucket"]).filter(inside)
 
 
+def _on_days(events: DataFrame, sample: DataFrame, minutes: int) -> DataFrame:
+    """Events of the days that windows touch; other days' folders are not read.
+
+    The days, one row each, are a written table; Spark prunes folders by a join
+    where the other side is small by its size and filtered.
+    """
+    last = F.col("window_start") + F.make_dt_interval(mins=F.lit(minutes)) - F.expr("INTERVAL 1 MICROSECOND")
+    days = sample.select(F.explode(F.sequence(F.to_date("window_start"), F.to_date(last))).alias("event_date")).distinct()
+    wanted = staged(days, "label-days").where(F.col("event_date") > F.lit("0001-01-01").cast("date"))
+    return events.join(wanted, "event_date", "left_semi").select(*events.columns)
+
+
 def context_counts(matched: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     return matched.groupBy(*schema.WINDOW_KEY).agg(

@@ -18,14 +18,20 @@ def session_items(events: DataFrame) -> DataFrame:
 
     ``position`` counts from 0 in each session.
     """
+    return skew.with_position(item_rows(events), ["session_id"], ["ts_utc", "event_hash"], "position")
+
+
+def is_item() -> Column:
+    """Whether an event is a command or a download with its text."""
+    command = (F.col("event_type") == "command") & F.col("command").isNotNull()
+    return command | ((F.col("event_type") == "download") & F.col("url").isNotNull())
+
+
+def item_rows(events: DataFrame) -> DataFrame:
+    """The items of all sessions, not numbered yet."""
     command = F.when(F.col("event_type") == "command", F.col("command"))
     url = F.when(F.col("event_type") == "download", F.col("url"))
-    items = (
-        session_events(events)
-        .select("session_id", "ts_utc", "event_hash", command.alias("command"), url.alias("url"))
-        .filter("command IS NOT NULL OR url IS NOT NULL")
-    )
-    return skew.with_position(items, ["session_id"], ["ts_utc", "event_hash"], "position")
+    return session_events(events).filter(is_item()).select("session_id", "ts_utc", "event_hash", command.alias("command"), url.alias("url"))
 
 
 def session_chunks(items: DataFrame, size: int) -> DataFrame:
@@ -60,6 +66,11 @@ def build_sessions(events: DataFrame) -> DataFrame:
             F.count_if(kind == "download").alias("num_downloads"),
         )
     )
+    return finished(scalars)
+
+
+def finished(scalars: DataFrame) -> DataFrame:
+    """Sessions in their canonical columns, from times, ``address`` and counts."""
     span = F.unix_timestamp("end_ts_utc") - F.unix_timestamp("start_ts_utc")
     return scalars.withColumns(
         {

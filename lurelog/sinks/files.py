@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def append_rejects(rejected: DataFrame, path: str) -> None:
-    """Rejected lines as JSON lines ``file, line, reason, raw``."""
-    rejected.write.mode("append").json(path)
+def write_rejects(rejected: DataFrame, path: str) -> None:
+    """Rejected lines of one batch as JSON lines ``file, line, reason, raw``; a repeated batch replaces its own."""
+    rejected.write.mode("overwrite").json(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -17,14 +17,26 @@ def read_log_lines(spark: SparkSession, paths: str | list[str], numbered: bool =
     The scan is splittable.  Invalid UTF-8 is replaced, blank lines are left
     out, and a path that matches nothing is an error.
     """
-    lines = spark.read.text(paths).select(
+    lines = _lines(spark.read.text(paths))
+    if numbered:
+        lines = _with_line_numbers(lines)
+    return lines.filter(f"{strip('value')} <> ''")
+
+
+def stream_log_lines(spark: SparkSession, folder: str, files_at_a_time: int | None = None) -> DataFrame:
+    """The same from a folder that files are moved into, as a stream."""
+    reader = spark.readStream
+    if files_at_a_time:
+        reader = reader.option("maxFilesPerTrigger", files_at_a_time)
+    return _lines(reader.text(folder)).filter(f"{strip('value')} <> ''")
+
+
+def _lines(text: DataFrame) -> DataFrame:
+    return text.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.make_valid_utf8("value").alias("value"),
     )
-    if numbered:
-        lines = _with_line_numbers(lines)
-    return lines.filter(f"{strip('value')} <> ''")
 
 
 def _with_line_numbers(lines: DataFrame) -> DataFrame:
@@ -62,3 +74,15 @@ def discover_files(spark: SparkSession, folder: str, pattern: str = INTERACTIVE_
     if not files:
         raise FileNotFoundError(f"no file matches {folder}/{pattern}")
     return files
+
+
+def described(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Path, size and time of every file that the ``paths`` name, folders one level deep."""
+    jvm, found = spark.sparkContext._jvm, []
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for match in system.globStatus(target) or []:
+            inside = system.listStatus(match.getPath()) if match.isDirectory() else [match]
+            found += [f"{s.getPath()}|{s.getLen()}|{s.getModificationTime()}" for s in inside if s.isFile()]
+    return sorted(found)

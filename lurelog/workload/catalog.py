@@ -16,12 +16,14 @@ from lurelog.operators import normalize, quantiles, report, sessions, sweeps
 from lurelog.operators.kmeans import kmeans
 from lurelog.plans import cluster as cluster_plan
 from lurelog.plans import detect as detect_plan
+from lurelog.plans import increment
 from lurelog.plans import ingest as ingest_plan
 from lurelog.session import configure
 from lurelog.sinks import files, tables
 from lurelog.sources import logs
 from lurelog.sources.tables import load_table, read_csv_table
 from lurelog.staging import new_path, staged
+from lurelog.streaming import ingest as streaming_ingest
 from lurelog.workload import adapter, expected as ex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,20 +136,23 @@ FEATURE_OUT = WINDOW_OUT + """, round(users_per_attempt, 6) AS users_per_attempt
     "scan_lines",
     ex.with_tables("""
     l AS (SELECT user_id % 3 AS r, copies FROM src)""")
-    + """ SELECT 'cowrie' AS sensor, CAST(sum(copies) AS BIGINT) AS n_lines, CAST(sum(copies) AS BIGINT) AS n_positions,
-                 CAST(sum(copies) AS BIGINT) AS last_lines FROM l WHERE r <> 2""",
+    + """ SELECT CASE WHEN r = 2 THEN 'opencanary' ELSE 'cowrie' END AS sensor, CAST(sum(copies) AS BIGINT) AS n_lines,
+                 CAST(sum(copies) AS BIGINT) AS n_positions, CAST(sum(copies) AS BIGINT) AS last_lines FROM l GROUP BY 1""",
 )
 def scan_lines(spark, sf_dir):
     """Log text written to files and read back with physical line numbers."""
-    path = new_path(spark, "log-text")
-    adapter.cowrie_lines(spark, sf_dir).select("value").write.text(path)
-    read = logs.read_log_lines(spark, path, numbered=True)
-    per_file = read.groupBy("file").agg(
-        F.count("*").alias("n"), F.count_distinct("line").alias("d"), F.max("line").alias("last")
-    )
-    return per_file.agg(
-        F.sum("n").alias("n_lines"), F.sum("d").alias("n_positions"), F.sum("last").alias("last_lines")
-    ).select(F.lit("cowrie").alias("sensor"), "*")
+    found = []
+    for sensor, frame in lines(spark, sf_dir).items():
+        path = new_path(spark, "log-text")
+        frame.select("value").write.text(path)
+        read = logs.read_log_lines(spark, path, numbered=True)
+        per_file = read.groupBy("file").agg(
+            F.count("*").alias("n"), F.count_distinct("line").alias("d"), F.max("line").alias("last")
+        )
+        found.append(per_file.agg(
+            F.sum("n").alias("n_lines"), F.sum("d").alias("n_positions"), F.sum("last").alias("last_lines")
+        ).select(F.lit(sensor).alias("sensor"), "*"))
+    return dedup.union_sources(*found)
 
 
 @query(
@@ -725,6 +730,21 @@ def label_context(spark, sf_dir):
     return labels.context_counts(labels.events_in_windows(sample, unique, DAY))
 
 
+@query(
+    "label_context_by_day",
+    ex.with_tables(*SAMPLE_TABLES)
+    + f""" SELECT {SAMPLE_KEY}, count(*) AS events_in_window,
+             count(*) FILTER (WHERE event_type IN ('login_fail', 'login_attempt')) AS login_fail_like,
+             count(*) FILTER (WHERE event_type = 'login_success') AS login_success FROM m GROUP BY ALL""",
+)
+def label_context_by_day(spark, sf_dir):
+    """The same from events in folders by day, of which only the sample's are read."""
+    sample, unique = sample_and_events(spark, sf_dir)
+    path = new_path(spark, "events-by-day")
+    tables.write_events(unique, path)
+    return labels.context_counts(labels.events_in_windows(sample, tables.read_events(spark, path, dated=True), DAY))
+
+
 def _top_sql(column: str, alias: str) -> str:
     return f"""
     SELECT {SAMPLE_KEY}, string_agg({column} || ':' || cnt, ', ' ORDER BY rn) AS {alias}
@@ -1276,6 +1296,77 @@ def top_anomalies(spark, sf_dir):
 # --- whole runs over files --------------------------------------------------
 
 
+def curated_in_batches(spark, sf_dir) -> str:
+    """The root of curated tables, made once a session: all events in three batches: of two thirds of the days a part each, the last batch with late and repeated events."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} in batches")
+    if key in _STORED:
+        return _STORED[key]
+    root = _STORED[key] = new_path(spark, "increments")
+    raw = staged(normalize.valid_events(normalized(spark, sf_dir)).withColumn("part", F.pmod(F.dayofyear("ts_utc"), F.lit(3))), "in-batches")
+    late = F.pmod(F.xxhash64("event_hash"), F.lit(5)) == 0
+    increment.curate_batch(spark, raw.where((F.col("part") < 2) & ~late), root)
+    increment.curate_batch(spark, raw.where(F.col("part") == 2), root)
+    increment.curate_batch(spark, raw.where((F.col("part") == 0) | late), root)
+    return root
+
+
+@query(
+    "curated_in_batches",
+    ex.with_tables(ex.windows(5))
+    + f""", ses AS ({SESSIONS_SQL}) {ITEMS_SQL}
+          SELECT 'events' AS name, count(*) AS n, CAST(sum(('0x' || substr(event_hash, 1, 8))::BIGINT) AS BIGINT) AS total FROM ev
+          UNION ALL SELECT 'sessions', count(*), CAST(sum(num_commands * 7 + num_downloads * 5 + duration_s + has_success) AS BIGINT) FROM ses
+          UNION ALL SELECT 'session_items', count(*), CAST(sum(position * 3 + length(coalesce(command, url))) AS BIGINT) FROM it
+          UNION ALL SELECT 'ip_windows', count(*), CAST(sum(attempts * 7 + success_count * 5 + unique_users * 3 + unique_passwords) AS BIGINT) FROM win""",
+)
+def curated_totals_in_batches(spark, sf_dir):
+    return dedup.union_sources(*_increment_totals(spark, curated_in_batches(spark, sf_dir)))
+
+
+def _increment_totals(spark, root: str) -> list[DataFrame]:
+    totals = {
+        "events": (spark.read.parquet(f"{root}/events"), "cast(conv(substr(event_hash, 1, 8), 16, 10) AS BIGINT)"),
+        "sessions": (increment.read_sessions(spark, root), "num_commands * 7 + num_downloads * 5 + duration_s + cast(has_success AS INT)"),
+        "session_items": (increment.read_session_items(spark, root), "position * 3 + char_length(coalesce(command, url))"),
+        "ip_windows": (increment.read_ip_windows(spark, root), "attempts * 7 + success_count * 5 + unique_users * 3 + unique_passwords"),
+    }
+    return [t.agg(F.count("*").alias("n"), F.expr(f"sum({total})").alias("total")).select(F.lit(name).alias("name"), "n", "total") for name, (t, total) in totals.items()]
+
+
+STREAMED_SQL = SQL["curated_in_batches"] + """
+          UNION ALL SELECT 'rejects', CAST(sum(copies) AS BIGINT), CAST(sum(copies) FILTER (WHERE reason = 'bad_ts') AS BIGINT) FROM src WHERE reason IS NOT NULL
+          UNION ALL SELECT 'raw', CAST(sum(copies) AS BIGINT), CAST(0 AS BIGINT) FROM ev"""
+
+
+@query("stream_to_curated", STREAMED_SQL)
+def stream_to_curated(spark, sf_dir):
+    """Log files as a stream of a few micro-batches, to the same tables as a batch run."""
+    root = new_path(spark, "stream")
+    folders = {}
+    for sensor, frame in lines(spark, sf_dir).items():
+        folders[sensor] = f"{root}/logs/{sensor}"
+        frame.select("value").repartition(4).write.text(folders[sensor])
+    running = streaming_ingest.stream_to_curated(
+        spark, folders, f"{root}/events_raw", f"{root}/rejects", f"{root}/curated", f"{root}/checkpoint",
+        files_at_a_time=2, salt=adapter.SALT, redact_free_text=True,
+    )
+    running.awaitTermination()
+    bad = spark.read.option("recursiveFileLookup", "true").json([f"{root}/rejects/{sensor}_rejects" for sensor in folders])
+    bad = bad.agg(F.count("*").alias("n"), F.count_if(F.col("reason") == "bad_ts").alias("total")).select(F.lit("rejects").alias("name"), "n", "total")
+    raw = tables.read_events(spark, f"{root}/events_raw").agg(F.count("*").alias("n")).select(F.lit("raw").alias("name"), "n", F.lit(0).cast("bigint").alias("total"))
+    return dedup.union_sources(*_increment_totals(spark, f"{root}/curated"), bad, raw)
+
+
+@query("ip_windows_in_batches", ex.with_tables(ex.windows(5)) + f" SELECT {WINDOW_OUT} FROM win")
+def ip_windows_in_batches(spark, sf_dir):
+    return increment.read_ip_windows(spark, curated_in_batches(spark, sf_dir))
+
+
+@query("sessions_in_batches", ex.with_tables() + SESSIONS_SQL)
+def sessions_in_batches(spark, sf_dir):
+    return increment.read_sessions(spark, curated_in_batches(spark, sf_dir))
+
+
 @query(
     "logs_to_curated",
     ex.with_tables(ex.windows(5))
@@ -1310,6 +1401,6 @@ def logs_to_curated(spark, sf_dir):
         .select(F.lit(name).alias("name"), "n", "total")
         for name, (path, total) in totals.items()
     ]
-    bad = spark.read.json([f"{root}/rejects/cowrie_rejects", f"{root}/rejects/opencanary_rejects"])
+    bad = spark.read.option("recursiveFileLookup", "true").json([f"{root}/rejects/cowrie_rejects", f"{root}/rejects/opencanary_rejects"])
     counted.append(bad.agg(F.count("*").alias("n"), F.count_if(F.col("reason") == "bad_ts").alias("total")).select(F.lit("rejects").alias("name"), "n", "total"))
     return dedup.union_sources(*counted)
