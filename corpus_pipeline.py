@@ -8,7 +8,7 @@ columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lurelog.llm import exact_dedup, langid, mixing, near_copies, packing, registry
@@ -30,9 +30,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or of no language in particular, go."""
     registry.prepared(spark)
-    found = langid.identify(docs)
+    found = langid.identify(docs.select("doc_id", "text", "lang", F.struct("*").alias("_row")))
     known = (F.col("lang_pred") != langid.UNKNOWN) & ((F.col("score") >= CERTAIN) | (F.length("text") < JUDGED))
-    return found.where(known).select(*docs.columns)
+    return found.where(known).select("_row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +47,19 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, which may be never, once or twice."""
-    keyed = _keyed(docs)
+    """Each document as often as the mix takes it, which may be never, once or twice.
+
+    Rows are told apart by all their columns, as several may share an identifier;
+    equal rows are taken as often as all of them together.
+    """
+    content = [F.hex(F.xxhash64(F.lit(seed), *docs.columns)) for seed in (1, 2)]
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), *content)
+    keyed = docs.select(key.alias("_key"), "text", "source", F.struct("*").alias("_row"))
     found = mixing.mix(keyed, id_col="_key").where("taken > 0")
-    copies = found.groupBy("_key").agg(F.max(F.expr("int(taken div size)")).alias("copies"))
-    repeated = keyed.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    copies = found.groupBy("_key").agg(F.sum(F.expr("int(taken div size)")).alias("_copies"))
+    first = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_nth = 1")
+    repeated = first.join(copies, "_key").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy"))
+    return repeated.select("_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
