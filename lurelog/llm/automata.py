@@ -1,22 +1,31 @@
 """Probabilistic automata inferred from example strings by merging compatible prefix-tree states.
 
 The examples form a prefix tree with counts.  In breadth-first order each state
-is compared with the states already kept: two are compatible when their
-relative frequencies of ending and of every symbol differ by no more than
-chance allows, and so do the states they lead to.  A compatible state is
-folded into the kept one, any other is kept.
-
-Letters and digits that the examples use behind their common beginning are one
-symbol, so that states stand for places in a format and not for random
-characters; any other character is a symbol of its own.
+is compared with the states already kept at its depth: two are compatible when
+their relative frequencies of ending and of every symbol differ by no more than
+chance allows, and so do the states they lead to.  A compatible state is folded
+into the kept one, any other is kept.  States of different depths stay apart, so
+an automaton has no loops and knows no length that the examples do not have.
+
+Behind the common beginning of the examples, small letters, capitals and digits
+are a symbol each, so that states stand for places in a format and not for
+random characters.  Where every place has these classes in proportion to the
+characters that the examples use, they tell nothing and are one symbol.  Any
+other character is a symbol of its own.
+
+A ``Chain`` is the automaton of everything else: its states are the last two
+characters, counted over all text that is no example.
 """
 
 from __future__ import annotations
 
 import math
 import os
+from collections import Counter
 from collections.abc import Iterable
 
+import numpy as np
+
 #: Chance of telling two equal frequencies apart.
 ALPHA = 0.05
 IMPOSSIBLE = -math.inf
@@ -29,26 +38,47 @@ class Automaton:
         examples = list(examples)
         self.alpha = alpha
         self.prefix = os.path.commonprefix(examples)
+        self.shortest, self.longest = min(map(len, examples)), max(map(len, examples))
         self.used = frozenset(c for x in examples for c in x[len(self.prefix) :] if c.isalnum())
+        self.pooled = self._proportional(examples)
         self.ends: list[int] = []
         self.total: list[int] = []
         self.moves: list[dict[str, list[int]]] = []
-        self._new()
+        self.depth: list[int] = []
+        self._new(0)
         for example in examples:
             self._grow(self._symbols(example))
         self._merge_states()
+        self._tabulate()
 
     def _symbols(self, text: str) -> str:
         rest = text[len(self.prefix) :]
         return "".join(map(self._symbol, rest))
 
     def _symbol(self, c: str) -> str:
-        return "x" if c in self.used else "?" if c.isalnum() else c
+        if c not in self.used:
+            return "?" if c.isalnum() else c
+        return "x" if self.pooled else _class(c)
+
+    def _proportional(self, examples: list[str]) -> bool:
+        """Whether each place has the classes as often as their shares of the used characters say."""
+        shares = {k: n / len(self.used) for k, n in Counter(map(_class, self.used)).items()}
+        places: list[Counter] = [Counter() for _ in range(self.longest - len(self.prefix))]
+        for example in examples:
+            for place, c in zip(places, example[len(self.prefix) :], strict=False):
+                if c in self.used:
+                    place[_class(c)] += 1
+        for place in places:
+            bound = math.sqrt(0.5 * math.log(2 * len(places) / self.alpha) / max(1, place.total()))
+            if any(abs(place[k] / max(1, place.total()) - share) > bound for k, share in shares.items()):
+                return False
+        return True
 
-    def _new(self) -> int:
+    def _new(self, depth: int) -> int:
         self.ends.append(0)
         self.total.append(0)
         self.moves.append({})
+        self.depth.append(depth)
         return len(self.ends) - 1
 
     def _grow(self, symbols: str) -> None:
@@ -58,31 +88,28 @@ class Automaton:
         for symbol in symbols:
             move = self.moves[state].get(symbol)
             if move is None:
-                move = self.moves[state][symbol] = [0, self._new()]
+                move = self.moves[state][symbol] = [0, self._new(self.depth[state] + 1)]
             move[0] += 1
             state = move[1]
             self.total[state] += 1
         self.ends[state] += 1
 
     def _merge_states(self) -> None:
-        kept = [0]
-        waiting = [(0, symbol) for symbol in sorted(self.moves[0])]
-        at = 0
-        while at < len(waiting):
-            parent, symbol = waiting[at]
-            at += 1
-            state = self.moves[parent][symbol][1]
-            if state in kept:
-                continue
-            home = next((k for k in kept if self._compatible(k, state)), None)
-            if home is None:
-                kept.append(state)
-                waiting += [(state, s) for s in sorted(self.moves[state])]
-            else:
-                self.moves[parent][symbol][1] = home
-                before = {(k, s) for k in kept for s in self.moves[k]}
-                self._fold(home, state)
-                waiting += sorted({(k, s) for k in kept for s in self.moves[k]} - before)
+        layer = [0]
+        while layer:
+            kept: list[int] = []
+            for parent in layer:
+                for symbol in sorted(self.moves[parent]):
+                    move = self.moves[parent][symbol]
+                    if move[1] in kept:
+                        continue
+                    home = next((k for k in kept if self._compatible(k, move[1])), None)
+                    if home is None:
+                        kept.append(move[1])
+                    else:
+                        self._fold(home, move[1])
+                        move[1] = home
+            layer = kept
 
     def _compatible(self, kept: int, new: int) -> bool:
         """Compare the subtree below ``new`` with what ``kept`` says of the same strings."""
@@ -134,22 +161,67 @@ class Automaton:
         found = self.prefix_likelihoods(text)
         return found[-1] if len(found) == len(text) + 1 else IMPOSSIBLE
 
+    def _tabulate(self) -> None:
+        """For each state the bits and the target of every character, and the bits of ending."""
+        letters: dict[str, list[str]] = {}
+        for c in sorted(self.used):
+            letters.setdefault(self._symbol(c), []).append(c)
+        self.steps: list[dict[str, tuple[float, int]]] = []
+        self.ending = [math.log2(n / whole) if n else IMPOSSIBLE for n, whole in zip(self.ends, self.total, strict=True)]
+        for state, moves in enumerate(self.moves):
+            step = {}
+            for symbol, (count, target) in moves.items():
+                among = letters.get(symbol, [symbol])
+                bits = math.log2(count / self.total[state]) - math.log2(len(among))
+                step.update(dict.fromkeys(among, (bits, target)))
+            self.steps.append(step)
+
     def prefix_likelihoods(self, text: str) -> list[float]:
         """The likelihood of the first 0, 1, 2, ... characters of the text, as far as a format goes on."""
         if not text.startswith(self.prefix):
             return []
-        state, bits = 0, 0.0
-        choice = math.log2(max(1, len(self.used)))
-        found = [IMPOSSIBLE] * len(self.prefix) + [self._ended(state, bits, len(self.prefix))]
-        for length in range(len(self.prefix) + 1, len(text) + 1):
-            symbol = self._symbol(text[length - 1])
-            move = self.moves[state].get(symbol)
-            if move is None:
+        state, bits, length = 0, 0.0, len(self.prefix)
+        steps, ending = self.steps, self.ending
+        found = [IMPOSSIBLE] * length + [ending[0] / (length + 1)]
+        for c in text[length:]:
+            step = steps[state].get(c)
+            if step is None:
                 break
-            bits += math.log2(move[0] / self.total[state]) - (choice if symbol == "x" else 0.0)
-            state = move[1]
-            found.append(self._ended(state, bits, length))
+            bits += step[0]
+            state = step[1]
+            length += 1
+            found.append((bits + ending[state]) / (length + 1))
         return found
 
-    def _ended(self, state: int, bits: float, length: int) -> float:
-        return (bits + math.log2(self.ends[state] / self.total[state])) / (length + 1) if self.ends[state] else IMPOSSIBLE
+
+def _class(c: str) -> str:
+    return "0" if c.isdigit() else "A" if c.isupper() else "a"
+
+
+class Chain:
+    """What follows two characters; ``counts[a, b, c]`` over places in ``alphabet`` from 1, 0 for outside of it."""
+
+    #: Weight of what a shorter context says, as a number of observations.
+    TRUST = 4.0
+
+    def __init__(self, alphabet: bytes, counts: np.ndarray):
+        self.size = len(alphabet) + 1
+        self.place = {chr(c): k + 1 for k, c in enumerate(alphabet)}
+        self.behind_two = counts.reshape(self.size, self.size, self.size).astype(float)
+        self.behind_one = self.behind_two.sum(0)
+        self.alone = self.behind_one.sum(0)
+
+    def likelihood(self, run: str, begin: int, end: int) -> float:
+        """Bits of ``run[begin:end]`` between its neighbours in the run, by all that was counted but this occurrence."""
+        around = [0, 0, *map(self.place.__getitem__, run[max(0, begin - 2) : end + 1]), 0]
+        at = 2 + min(begin, 2)
+        places = np.array(around[at - 2 : at + end - begin + 1])
+        a, b, c = places[:-2], places[1:-1], places[2:]
+        share = np.full(len(c), 1 / self.size)
+        for seen, whole in (
+            (self.alone[c], self.alone.sum()),
+            (self.behind_one[b, c], self.behind_one.sum(1)[b]),
+            (self.behind_two[a, b, c], self.behind_two[a, b].sum(1)),
+        ):
+            share = (np.maximum(seen - 1, 0) + self.TRUST * share) / (np.maximum(whole - 1, 0) + self.TRUST)
+        return float(np.log2(share).sum())

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -194,3 +195,83 @@ def test_short_formats_and_parts_of_runs(spark):
     rows += [(900 + i, t) for i, t in enumerate(texts)]
     found = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [found[900 + i] for i in range(5)] == ["format:5:15", "format:9:19", "format:4:14", "format:7:17", ""]
+
+
+def test_classes_of_characters_and_lengths_bound_a_format():
+    rng = random.Random(11)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    small, large, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    shaped = Automaton([pick(large, 3) + pick(digits, 6) + pick(small, 3) for _ in range(300)])
+    assert shaped.likelihood("ABC123456xyz") > IMPOSSIBLE
+    for other in ("abc123456xyz", "ABCdefghixyz", "ABC12345xyz", "ABC1234567xyz"):
+        assert shaped.likelihood(other) == IMPOSSIBLE
+    mixed = Automaton([pick(small + large + digits, rng.randint(16, 90)) for _ in range(600)])
+    assert mixed.states() > 60 and mixed.likelihood("aB3" * 40) == IMPOSSIBLE
+
+
+def planted(rng, n):
+    """Documents of prose with passwords that are words, labelled keys, and keys that no base pattern covers."""
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    with open(langid.__file__) as own:
+        prose = re.findall("[a-z]{4,}", own.read())
+    syllables = ["ad", "min", "is", "tra", "tive", "com", "mit", "tee", "pro", "po", "sal", "de", "vel", "op", "ment", "yes", "ter", "day"]
+    word = lambda: rng.choice(prose) if rng.random() < 0.4 else "".join(rng.choice(syllables) for _ in range(rng.randint(2, 6)))
+    key = lambda: "live-" + "".join(rng.choice(letters) for _ in range(24))
+    block = lambda: "-".join("".join(rng.choice("0123456789abcdef") for _ in range(k)) for k in (8, 4, 4, 4, 12))
+    rows, wanted = [], {}
+    for i in range(n):
+        text = " ".join(word() for _ in range(80))
+        kind = i % 6
+        if kind == 0:
+            text += f" password: {''.join(rng.choice(syllables) for _ in range(4))} "
+        elif kind in (1, 2):
+            text += f" api_key={(key, block)[kind - 1]()} "
+        elif kind in (3, 4):
+            value = (key, block)[kind - 3]()
+            wanted[i] = f"format:{len(text) + 1}:{len(text) + 1 + len(value)}"
+            text += f" {value} and {word()}"
+        rows.append((i, text))
+    return rows, wanted
+
+
+def test_planted_credentials_and_plain_words(spark):
+    rows, wanted = planted(random.Random(12), 1500)
+    found = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spans = {(i, s) for i, r in found.items() for s in r.spans.split(",") if s.startswith("format")}
+    right = spans & set(wanted.items())
+    assert len(right) >= 0.9 * len(wanted) and len(right) >= 0.9 * len(spans)
+
+
+def chain_of(triples):
+    size = (len(secrets.CANDIDATE) + 1) ** 3
+    return secrets.Chain(secrets.CANDIDATE, np.bincount(np.concatenate(triples), minlength=size))
+
+
+def test_words_as_passwords_mark_no_words():
+    rng = random.Random(13)
+    rows, _ = planted(rng, 900)
+    texts = [t for i, t in rows if i % 6 in (0, 5)]
+    triples, values, n_runs = [], [], 0
+    for text in texts:
+        base, labelled, runs = secrets.scan(text)
+        triples.append(secrets.background(text, base))
+        values += [v for _, v in labelled]
+        n_runs += len(runs)
+    automaton = Automaton(values)
+    least = sorted(map(automaton.likelihood, values))[len(values) // 50]
+    formats, chain = [(automaton, least, float(np.log2(n_runs / len(values))))], chain_of(triples)
+    assert len(values) > 100 and min(map(len, values)) >= 8
+    for text in texts:
+        base, _, runs = secrets.scan(text)
+        assert not [s for at, run in runs for s in secrets.parts(at, run, secrets.joined(base), formats, chain)]
+
+
+def test_a_long_run_is_scanned_in_linear_time():
+    rng = random.Random(14)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    automaton = Automaton(["".join(rng.choices(letters, k=rng.randint(16, 90))) for _ in range(600)])
+    run = "".join(rng.choices(letters, k=1 << 20))
+    chain = chain_of([secrets.background(run, [])])
+    begin = time.process_time()
+    secrets.parts(0, run, [], [(automaton, IMPOSSIBLE, 1e9)], chain)
+    assert time.process_time() - begin < 6  # about two seconds on a free machine
