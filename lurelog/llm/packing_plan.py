@@ -3,10 +3,12 @@
 The fractional problem, to cover every length by as few configurations as
 possible, is solved by multiplicative weights: each length has a price that
 falls as its pieces are covered, and each round takes the configuration of the
-highest price, found by a knapsack dynamic program over the capacity.  The
-solution is rounded down, and best fit in decreasing order packs what is left,
-also on the histogram.  Work and result depend on the capacity, never on the
-number of pieces.
+highest price, found by a knapsack dynamic program over the capacity.  A round
+covers at least one length whole, so there are at most as many rounds as
+lengths, and at the end every length is covered.  The solution is rounded down,
+and best fit in decreasing order packs what rounding leaves, also on the
+histogram.  Work and result depend on the capacity, never on the number of
+pieces.
 """
 
 from __future__ import annotations
@@ -16,11 +18,10 @@ import numpy as np
 #: A configuration: ``(length, copies)`` pairs in descending order of length.
 Configuration = tuple[tuple[int, int], ...]
 
-ROUNDS = 600
 #: How fast a price falls while its length is covered.
-FALL = 4.0
-#: Parts of the fractional solution that are tried in rounding.
-PARTS = (1.0, 0.9, 0.75, 0.5, 0.25)
+FALL = 1.0
+#: Prices grow a little faster than lengths, which keeps short pieces to fill the last sequences.
+GROWTH = 1.05
 
 
 def dearest(price: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
@@ -30,13 +31,17 @@ def dearest(price: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
     """
     best = np.zeros(capacity + 1)
     last = np.zeros(capacity + 1, np.int64)
+    lengths = np.flatnonzero(np.isfinite(price[1 : capacity + 1])) + 1
+    worth = price[lengths]
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
     for room in range(1, capacity + 1):
-        offers = price[1 : room + 1] + best[room - 1 :: -1]
-        k = int(offers.argmax())
-        if offers[k] > best[room - 1]:
-            best[room], last[room] = offers[k], k + 1
-        else:
-            best[room], last[room] = best[room - 1], 0
+        best[room] = best[room - 1]
+        n = fitting[room]
+        if n:
+            offers = worth[:n] + best[room - lengths[:n]]
+            k = int(offers.argmax())
+            if offers[k] > best[room]:
+                best[room], last[room] = offers[k], lengths[k]
     copies: dict[int, int] = {}
     room = capacity
     while room > 0:
@@ -49,13 +54,13 @@ def dearest(price: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
     return copies, float(best[capacity])
 
 
-def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
+def fractional(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], float]]:
     """Configurations with fractional uses that cover the histogram, by multiplicative weights."""
     present = counts > 0
     covered = np.zeros(len(counts))
-    size = np.arange(len(counts)) / capacity
+    size = (np.arange(len(counts)) / capacity) ** GROWTH
     uses: dict[Configuration, float] = {}
-    for _ in range(rounds):
+    while True:
         # A length that has no open pieces costs nothing to leave out.
         price = np.where(present & (covered < 1), size * np.exp(-FALL * covered), -np.inf)
         if not np.isfinite(price[1:]).any():
@@ -100,23 +105,22 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Configuration, int
     return [(content, n) for held in by_room.values() for content, n in held if content]
 
 
-def rounded(counts: np.ndarray, capacity: int, uses: list[tuple[dict[int, int], float]], part: float) -> list[tuple[Configuration, int]]:
-    """Whole uses: ``part`` of each fractional use, rounded down, then best fit for the rest."""
+def rounded(counts: np.ndarray, uses: list[tuple[dict[int, int], float]]) -> tuple[list[tuple[Configuration, int]], np.ndarray]:
+    """Fractional uses rounded down, and the counts of the pieces that this leaves."""
     left = counts.astype(np.int64).copy()
     taken: list[tuple[Configuration, int]] = []
     for copies, x in uses:
-        n = min(int(part * x), *(int(left[length]) // k for length, k in copies.items()))
+        n = min(int(x + 1e-9), *(int(left[length]) // k for length, k in copies.items()))
         if n > 0:
             for length, k in copies.items():
                 left[length] -= n * k
             taken.append((tuple(sorted(copies.items(), reverse=True)), n))
-    return taken + best_fit(left, capacity)
+    return taken, left
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[Configuration, int]]:
     """Configurations and whole uses that pack ``counts[l]`` pieces of each length ``l``."""
     if not counts.any():
         return []
-    uses = fractional(counts, capacity)
-    tried = [rounded(counts, capacity, uses, part) for part in PARTS]
-    return min(tried, key=lambda found: sum(n for _, n in found))
+    taken, left = rounded(counts, fractional(counts, capacity))
+    return taken + best_fit(left, capacity)
