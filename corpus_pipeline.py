@@ -3,6 +3,15 @@
 Every stage works on all that the one before kept, and its decisions take
 effect: rows are dropped, repeated or placed.  All but the last return the
 columns of ``documents``.
+
+Defined cases
+    null or empty text  has no language, so the first stage drops it
+    very long texts     read whole by every stage
+    null identifier     a document of its own; it stays in a group only where no other document has an identifier
+    repeated rows       one stays after exact dedup; rows that share an identifier are told apart by their content
+    ties                the smaller identifier stays, then the smaller hash of the row
+    empty table         every stage gives an empty table
+    clashing columns    columns of the input pass through all stages but the last unchanged
 """
 
 from __future__ import annotations
@@ -11,28 +20,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lurelog.llm import exact_dedup, langid, mixing, near_copies, packing, registry
+from lurelog.llm import exact_dedup, langid, mixing, packing, registry, simhash
 from lurelog.staging import staged
 
-#: A text of at least so many characters whose language is less certain than this is rejected; four
-#: languages at random give 0.25.  A word or two may be in doubt and still stay.
-CERTAIN, JUDGED = 0.3, 64
-#: Stand-ins for a missing identifier begin here, after all others.
-NAMELESS = 1 << 62
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_key``: the identifier, or where it is missing a hash of the whole row."""
-    content = F.xxhash64(*docs.columns).bitwiseAND(F.lit(NAMELESS - 1))
-    return docs.withColumn("_key", F.coalesce("doc_id", F.lit(NAMELESS) + content))
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of no language in particular, go."""
+    """Documents without letters, or whose best language is hardly likelier than an even guess, go."""
     registry.prepared(spark)
-    found = langid.identify(docs.select("doc_id", "text", "lang", F.struct("*").alias("_row")))
-    known = (F.col("lang_pred") != langid.UNKNOWN) & ((F.col("score") >= CERTAIN) | (F.length("text") < JUDGED))
-    return found.where(known).select("_row.*")
+    network = langid.fit(docs)
+    found = langid.identify(docs.select("doc_id", "text", "lang", F.struct("*").alias("_row")), network=network)
+    least = langid.certain(len(network.labels) if network else 0)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least)).select("_row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +39,20 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word similarity of 0.8 or more the one with the smallest identifier stays."""
+    """Of documents whose fingerprints are linked the one with the smallest identifier stays.
+
+    Shingles and distance are those of the operator's query.  A row is known by
+    its identifier and a hash of all its columns; equal rows are one document.
+    """
     registry.prepared(spark)
-    return near_copies.first_of_each(_keyed(docs), id_col="_key").select(*docs.columns)
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), ident.alias("id"), F.xxhash64(*docs.columns).alias("content"))
+    keyed = docs.select(key.alias("_key"), "text", F.struct("*").alias("_row"))
+    found = simhash.near_components(keyed, id_col="_key", radius=simhash.RADIUS)
+    stay = found.where("_key = component_id").select("_key").distinct()
+    once = Window.partitionBy("_key").orderBy("_key")
+    rows = keyed.join(stay, "_key", "left_semi").withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
+    return rows.select("_row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +85,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL cannot express a trained classifier, minwise hashes and random rounding; tests compare with plain code.
+#: SQL cannot express a trained classifier, bit-sliced fingerprints and random rounding; tests compare with plain code.
 ORACLE_SQL = None
 
 

@@ -44,6 +44,8 @@ SEED = 7
 #: Segments in a block at prediction, and bytes in each.
 COLUMNS = 2048
 READ_SEGMENT = 96
+#: How far from an even guess to certainty a score must lie to tell a language from chance.
+CERTAIN = 0.1
 UNKNOWN = "und"
 OUTPUT = ["held_out", "lang_pred", "score"]
 _LETTER = re.compile(r"[^\W\d_]")
@@ -266,9 +268,17 @@ def predictor(network: Network | None):
     return predict
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``df`` with ``held_out``, ``lang_pred`` and ``score``."""
-    predict = predictor(fit(df, id_col, text_col, lang_col))
+def certain(n_labels: int) -> float:
+    """The least score of a language that is told from chance: ``CERTAIN`` of the way from an even guess to certainty."""
+    even = 1 / max(1, n_labels)
+    return even + CERTAIN * (1 - even)
+
+
+def identify(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", network: Network | None = None
+) -> DataFrame:
+    """``df`` with ``held_out``, ``lang_pred`` and ``score``, by ``network`` or one fitted to ``df``."""
+    predict = predictor(network or fit(df, id_col, text_col, lang_col))
     kept = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in OUTPUT]).alias("row")
     return df.select(kept, held_out(F.col(id_col)).alias("held_out"), predict(text_col).alias("found")).select(
         "row.*", "held_out", "found.lang_pred", "found.score"

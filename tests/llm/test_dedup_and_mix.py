@@ -176,28 +176,34 @@ def test_mixing_keeps_expectations(spark):
 def test_near_stage_against_all_pairs(spark, sf):
     rng = np.random.default_rng(8)
     vocabulary = [f"w{i}" for i in range(4000)]
-    texts = []
+    rows = []
     for group in range(40):
-        words = rng.choice(vocabulary, rng.integers(20, 300)).tolist()
-        for _ in range(60 if group == 0 else 4):  # one large group
+        words = rng.choice(vocabulary, rng.integers(60, 300)).tolist()
+        for k in range(60 if group == 0 else 4):  # one large group
             copy = list(words)
-            for at in rng.integers(0, len(words), rng.integers(0, 1 + len(words) // 30)):
-                copy[at] = str(rng.choice(vocabulary))
-            texts.append(" ".join(copy))
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
-    root = list(range(len(texts)))
-    pairs = 0
-    for a in range(len(texts)):
+            if k % 3:
+                copy[int(rng.integers(0, len(words)))] = str(rng.choice(vocabulary))
+            rows.append((None if k == 3 else len(rows) % 150, " ".join(copy)))  # no identifier, and shared ones
+    rows += rows[:5]
+    prints = [plain_print(t) for _, t in rows]
+    root = list(range(len(rows)))
+    links = 0
+    for a in range(len(rows)):
         for b in range(a):
-            common = len(sets[a] & sets[b])
-            if 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common):
-                pairs += 1
+            if (prints[a] ^ prints[b]).bit_count() <= 2:
+                links += rows[a] != rows[b] and prints[a] != prints[b]
                 x, y = sorted((root[a], root[b]))
                 root = [x if r == y else r for r in root]
-    frame = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash"](spark, frame.repartition(5), sf).collect()}
-    assert pairs > 100 and len(set(root)) < len(texts) - 50
-    assert kept == set(root)
+    groups = defaultdict(list)
+    for r, row in zip(root, rows, strict=True):
+        groups[r].append(row)
+    wanted = sorted(min(i for i, _ in g if i is not None) if any(i is not None for i, _ in g) else -1 for g in groups.values())
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], schema)
+    kept = dict(corpus_pipeline.STAGES)["simhash"](spark, frame.repartition(5), sf).collect()
+    assert links > 10 and len(groups) < len(rows) - 50
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept) == wanted
+    assert all((r.doc_id, r.text) in rows for r in kept)
 
 
 def table_of_shared(spark):
