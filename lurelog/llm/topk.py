@@ -17,6 +17,7 @@ of blocks meets once and yields at most k rows for a query.
 
 Defined cases
     null vector, null or non-finite component   takes no part, as query or candidate
+    a squared length of 2^53 or more, scaled   an error, as bounds would not be exact
     null identifier      a candidate, after all others in a tie; never a query
     vectors of unequal length   missing components count as 0
     ties                 go to the smaller identifier
@@ -29,9 +30,11 @@ Defined cases
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +50,8 @@ QUERIES = 1024
 DEPTHS = (0.02, 0.1, 0.3, 0.6, 1.0)
 #: Reading stops when the open candidates are at most this share of all pairs of a block.
 FEW = 0.02
-LARGEST = float(1 << 62)
+#: No score of vectors whose squared lengths stay below this can pass it, nor any part of one.
+LARGEST = float(1 << 53)
 _NO_ID = np.iinfo(np.int64).max
 BLOCKS = "ids binary, cells binary, lists binary, width int, block long"
 
@@ -57,6 +61,7 @@ def _blocks(rows: int, lists: bool):
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[int, np.ndarray]] = []
+        names = count(TaskContext.get().partitionId() << 32)
 
         def close() -> pd.DataFrame:
             width = max(len(v) for _, v in held)
@@ -65,7 +70,7 @@ def _blocks(rows: int, lists: bool):
                 cells[k, : len(v)] = v
             ids = np.array([i for i, _ in held], np.int64)
             order = np.argsort(cells, axis=0, kind="stable").astype(np.int32) if lists else np.empty(0, np.int32)
-            return pd.DataFrame([(ids.tobytes(), cells.tobytes(), order.tobytes(), width, int(ids[0]))], columns=["ids", "cells", "lists", "width", "block"])
+            return pd.DataFrame([(ids.tobytes(), cells.tobytes(), order.tobytes(), width, next(names))], columns=["ids", "cells", "lists", "width", "block"])
 
         for batch in batches:
             for ident, cells in zip(batch["id"].tolist(), batch["cells"], strict=True):
@@ -200,27 +205,30 @@ def _search_blocks(top: int):
 def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, top: int = TOP) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` best rows for each row whose identifier ``every`` divides."""
     spark = df.sparkSession
-    scaled = F.transform(vector_col, lambda x: F.floor(x.cast("double") * SCALE))
     usable = F.col(vector_col).isNotNull() & F.forall(
-        vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * SCALE < LARGEST)
+        vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
+    )
+    square = F.aggregate(vector_col, F.lit(0.0), lambda total, x: total + F.pow(F.floor(x.cast("double") * SCALE).cast("double"), F.lit(2.0)))
+    scaled = F.when(square < LARGEST, F.transform(vector_col, lambda x: F.floor(x.cast("double") * SCALE))).otherwise(
+        F.raise_error(F.lit("a vector is too long for exact scores"))
     )
     vectors = df.where(usable).select(F.col(id_col).alias("id"), scaled.alias("cells"))
     queries = vectors.where(F.col("id") % every == 0)
     named = vectors.withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
     blocks = staged(named.mapInPandas(_blocks(BLOCK, lists=True), BLOCKS), "topk-lists")
     asked = staged(queries.repartition(F.xxhash64("id")).mapInPandas(_blocks(QUERIES, lists=False), BLOCKS), "topk-queries")
-    # Numbers for the query blocks; there is one for each QUERIES queries and task.
-    numbered = asked.select(
-        F.row_number().over(Window.orderBy("block")).alias("query_block"), F.col("ids").alias("q_ids"),
-        F.col("cells").alias("q_cells"), F.col("width").alias("q_width"),
+    # Only the names of the query blocks are numbered in one task; there is one for each QUERIES queries and task.
+    numbers = asked.select("block", F.row_number().over(Window.orderBy("block")).alias("query_block"))
+    numbered = asked.join(numbers, "block").select(
+        "query_block", F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("width").alias("q_width")
     )
     numbered = staged(numbered, "topk-numbered")
-    count = numbered.count()
-    if count == 0:
+    n_blocks = numbered.count()
+    if n_blocks == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // count)
+    shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // n_blocks)
     # Each pair of blocks meets in the task of its query block and share.
-    pairs = blocks.withColumn("query_block", F.explode(F.sequence(F.lit(1), F.lit(count)))).withColumn(
+    pairs = blocks.withColumn("query_block", F.explode(F.sequence(F.lit(1), F.lit(n_blocks)))).withColumn(
         "share", F.pmod(F.xxhash64("block"), F.lit(shares))
     )
     spread = numbered.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))

@@ -71,6 +71,16 @@ def test_top_k(spark):
     assert topk.top_k(frame.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(few).collect()] == [(0, 1, 1, 256 * 512)]
+    with pytest.raises(Exception, match="too long"):
+        topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [1e20])], "vec_id long, embedding array<float>")).collect()
+
+
+def test_top_k_of_a_query_row_repeated_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    rows = [(50, [1.0, 2.0])] * 19 + [(i, [float(i), 1.0]) for i in range(1, 8)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    wanted = [(50, k + 1, 7 - k, 65536 * (7 - k + 2)) for k in range(5)]
+    assert sorted(map(tuple, found)) == sorted(wanted * 19)
 
 
 def test_top_k_bounds_hold():
