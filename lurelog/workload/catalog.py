@@ -1134,6 +1134,33 @@ def kmeans_sessions(spark, sf_dir):
     )
 
 
+@query(
+    "cluster_files",
+    f"""SELECT file, CAST(n AS BIGINT) AS n_sessions, CAST(4 AS BIGINT) AS clusters, CAST(4 AS BIGINT) AS same_sizes
+        FROM {TALKS_SQL}, (VALUES ('coords'), ('sessions'), ('summary')) AS f(file)""",
+)
+def cluster_files(spark, sf_dir):
+    """The outputs of a clustering run as files, each read back: sessions and clusters, and sizes that are those of the run."""
+    out = new_path(spark, "cluster-files")
+    made = cluster_plan.cluster_and_write(
+        talk_sessions(spark, sf_dir), talk_items(spark, sf_dir), out, k=4, min_commands=2, **TERMS
+    )
+    sizes = made["sessions"].groupBy("cluster").agg(F.count("*").alias("size"))
+    coords = read_csv_table(spark, f"{out}/cluster_coords_2d").where("try_cast(x AS DOUBLE) IS NOT NULL AND try_cast(y AS DOUBLE) IS NOT NULL")
+    summary = read_csv_table(spark, f"{out}/cluster_summary").where("top_terms <> ''")
+    read = {
+        "coords": coords.groupBy(F.col("cluster").cast("int").alias("cluster")).agg(F.count("*").alias("n")),
+        "sessions": spark.read.parquet(f"{out}/session_clusters.parquet").groupBy("cluster").agg(F.count("*").alias("n")),
+        "summary": summary.select(F.col("cluster").cast("int").alias("cluster"), F.col("n_sessions").cast("bigint").alias("n")),
+    }
+    return dedup.union_sources(*[
+        found.join(sizes, "cluster").agg(
+            F.lit(name).alias("file"), F.sum("n").alias("n_sessions"), F.count("*").alias("clusters"), F.count_if(F.col("n") == F.col("size")).alias("same_sizes")
+        )
+        for name, found in read.items()
+    ])
+
+
 @query(
     "cluster_summary",
     f"""SELECT CAST(4 AS BIGINT) AS clusters, CAST(n AS BIGINT) AS sessions, CAST(4 AS BIGINT) AS same_terms, CAST(4 AS BIGINT) AS same_sizes FROM {TALKS_SQL}""",
