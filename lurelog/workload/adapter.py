@@ -92,6 +92,7 @@ def cowrie_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "typed": f"CASE WHEN {_every(11)} THEN concat({typed}, '\\u0001\\n') ELSE {typed} END",
         "download": "CASE WHEN event_type = 'purchase' AND event_id % 3 <> 0 THEN concat('http://h/', props) END",
         "day": "concat_ws('-', user_id, to_date(ts))",
+        "digest": "CASE WHEN event_type = 'purchase' AND event_id % 3 <> 0 THEN md5(props) END",
     }
     line = _record(
         eventid=f"CASE WHEN {_every(73)} THEN '\"\"' ELSE eventid END",
@@ -109,6 +110,7 @@ def cowrie_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         message=_json_text("concat('about [', person, '] é')"),
         url=_json_text("download"),
         outfile="CASE WHEN event_type = 'purchase' THEN '\"dl/f\"' END",
+        shasum=_json_text("digest"),
     )
     events = base_events(spark, sf_dir).filter("user_id % 3 <> 2")
     return _emit(events, prepared, line, "cowrie.json")

@@ -212,6 +212,17 @@ def normalize_opencanary(spark, sf_dir):
     return normalize.valid_events(rows).select(NORMALIZED_COLUMNS)
 
 
+@query(
+    "raw_records",
+    ex.with_tables()
+    + """ SELECT source, event_hash, raw_json, file_hash, CAST(0 AS BIGINT) AS command_truncated FROM ev, range(copies) AS r(i)""",
+)
+def raw_records(spark, sf_dir):
+    """The whole record of every valid line of both sensors, nested members merged up, and the digests of downloads."""
+    rows = normalize.valid_events(normalized(spark, sf_dir, redact_free_text=False))
+    return rows.select("source", "event_hash", "raw_json", "file_hash", "command_truncated")
+
+
 @query(
     "secrets_switch",
     ex.with_tables()
@@ -786,6 +797,37 @@ def label_examples(spark, sf_dir):
     return labels.example_events(labels.events_in_windows(sample, unique, DAY))
 
 
+@query(
+    "label_examples_raw",
+    ex.with_tables(*SAMPLE_TABLES)
+    + EXAMPLES.replace("event_type = 'command' AND command <> '' THEN 'cmd=' || command ELSE 'raw=' END", "command <> '' THEN 'cmd=' || command ELSE 'raw=' || raw_json END"),
+)
+def label_examples_raw(spark, sf_dir):
+    """Example events of events whose free text is kept: commands of every kind, else the whole record."""
+    sample, _ = sample_and_events(spark, sf_dir)
+    full = staged(dedup.dedup_events(normalize.valid_events(normalized(spark, sf_dir, redact_free_text=False))), "events-raw")
+    return labels.example_events(labels.events_in_windows(sample, full, DAY))
+
+
+@query(
+    "label_context_by_table",
+    ex.with_tables(*SAMPLE_TABLES)
+    + f""" SELECT {SAMPLE_KEY}, count(*) AS events_in_window,
+             count(*) FILTER (WHERE event_type IN ('login_fail', 'login_attempt')) AS login_fail_like,
+             count(*) FILTER (WHERE event_type = 'login_success') AS login_success FROM m GROUP BY ALL""",
+)
+def label_context_by_table(spark, sf_dir):
+    """The enriched sample of a run that names its events table instead of passing events."""
+    sample, unique = sample_and_events(spark, sf_dir)
+    csv, enriched, table = new_path(spark, "sample-csv"), new_path(spark, "enriched-csv"), "curated_events"
+    unique.createOrReplaceTempView(table)
+    files.write_csv(sample, csv)
+    detect_plan.prepare_labels(spark, csv, enriched, events_table=table, minutes=DAY)
+    back = labels.parse_window_start(read_csv_table(spark, enriched))
+    counts = [F.col(c).cast("bigint").alias(c) for c in ("events_in_window", "login_fail_like", "login_success")]
+    return back.select(*schema.WINDOW_KEY, *counts)
+
+
 ENRICHED = f"""
 cn AS (SELECT {SAMPLE_KEY}, count(*) AS events_in_window,
              count(*) FILTER (WHERE event_type IN ('login_fail', 'login_attempt')) AS login_fail_like,
@@ -994,22 +1036,36 @@ rk AS (SELECT topk_percent, count(*) FILTER (WHERE y = 1 AND s <= thr) AS rank_t
 _F1 = "round(coalesce(2.0 * {0}_tp / nullif(2 * {0}_tp + {0}_fp + {0}_fn, 0), 0.0), 6) AS {0}_f1"
 
 
-@query(
-    "parameter_sweep",
+PARAMETER_SWEEP = (
     ex.with_tables(ex.features(), SCORED, FULL_SWEEP,
                    GRID_SQL.replace("FROM sc, grid", f"FROM {_LABELLED} AS sc, grid"))
     + f""" SELECT attempts_ge, unique_users_ge, unique_passwords_ge, max_mean_interarrival_s, contamination, topk_percent,
              sample_tp AS baseline_tp, sample_fp AS baseline_fp, sample_fn AS baseline_fn, if_tp, if_fp, if_fn, rank_tp, rank_fp, rank_fn,
-             round(sample_f1, 6) AS baseline_f1, {_F1.format("if")}, {_F1.format("rank")} FROM swp, ic, rk""",
+             round(sample_f1, 6) AS baseline_f1, {_F1.format("if")}, {_F1.format("rank")} FROM swp, ic, rk"""
 )
+SWEEP_COUNTS = [f"{kind}_{cell}" for kind in ("baseline", "if", "rank") for cell in ("tp", "fp", "fn")]
+SWEEP_RATES = ["baseline_f1", "if_f1", "rank_f1"]
+
+
+@query("parameter_sweep", PARAMETER_SWEEP)
 def parameter_sweep(spark, sf_dir):
     """Rule, forest and ranking metrics for all 2,160 parameter tuples of a labelled table."""
     scored = scored_by_entropy(day_alerts(spark, sf_dir)).withColumn("label", window_label())
     labelled = staged(scored.filter("label IS NOT NULL"), "labelled")
     swept = sweeps.full_sweep(labelled, F.col("label"), **GRID)
-    families = ("baseline", "if", "rank")
-    counts = [f"{kind}_{cell}" for kind in families for cell in ("tp", "fp", "fn")]
-    return swept.select(*sweeps.PARAMS, "contamination", "topk_percent", *counts, *[f"{k}_f1" for k in families])
+    return swept.select(*sweeps.PARAMS, "contamination", "topk_percent", *SWEEP_COUNTS, *SWEEP_RATES)
+
+
+@query("tune_files", PARAMETER_SWEEP)
+def tune_files(spark, sf_dir):
+    """A tuning run over labelled windows, unlabelled ones among them, written as CSV and read back."""
+    scored = scored_by_entropy(day_alerts(spark, sf_dir)).withColumn("label", F.coalesce(window_label().cast("string"), F.lit("")))
+    out = new_path(spark, "tuned-csv")
+    detect_plan.tune_and_write(staged(scored, "labelled"), out, score_source="full", **GRID)
+    whole = [*sweeps.PARAMS[:3], *SWEEP_COUNTS]
+    shares = [sweeps.PARAMS[3], "contamination", "topk_percent", *SWEEP_RATES]
+    typed = [F.col(c).cast("bigint").alias(c) for c in whole] + [F.col(c).cast("double").alias(c) for c in shares]
+    return read_csv_table(spark, out).select(*typed)
 
 
 # --- sessions: TF-IDF, clusters ---------------------------------------------
@@ -1320,6 +1376,46 @@ def top_anomalies(spark, sf_dir):
     )
 
 
+@query(
+    "detect_files",
+    ex.with_tables(ex.features(), SCORED)
+    + """ SELECT count(*) AS windows, CAST(sum(baseline_alert) AS BIGINT) AS alerts, CAST(floor(0.05 * (count(*) - 1)) + 1 AS BIGINT) AS flagged,
+                 least(count(*), 200) AS listed_scores, CAST(least(sum(baseline_alert), 200) AS BIGINT) AS listed_alerts, count(*) AS told_windows,
+                 CAST(sum(baseline_alert) AS BIGINT) AS told_alerts, CAST(10 AS BIGINT) AS told_attempts, CAST(0 AS BIGINT) AS told_otherwise,
+                 CAST(0 AS BIGINT) AS sampled_otherwise FROM sc""",
+)
+def detect_files(spark, sf_dir):
+    """The outputs of a detection run with its forest as files, each read back."""
+    out = new_path(spark, "detect-files")
+    detect_plan.detect_and_write(day_windows(spark, sf_dir), out, sample_n=80, contamination=0.05, **RULE)
+    scored = spark.read.parquet(f"{out}/anomaly_windows.parquet")
+    suspicious = F.count_if((F.col("baseline_alert") == 1) | (F.col("if_pred") == 1))
+    stored = scored.agg(
+        F.count("*").alias("windows"), F.sum("baseline_alert").alias("alerts"), exact_share(0.05).alias("flagged"),
+        F.sum("if_pred").alias("anomalies"), suspicious.alias("suspicious"),
+    )
+    document = "rows_total BIGINT, baseline STRUCT<attempts_ge: BIGINT, alerts_count: BIGINT>, isolation_forest STRUCT<anomalies_count: BIGINT>"
+    told = spark.read.schema(document).json(f"{out}/anomaly_summary").select(
+        F.col("rows_total").alias("told_windows"), F.col("baseline.alerts_count").alias("told_alerts"),
+        F.col("baseline.attempts_ge").alias("told_attempts"), F.col("isolation_forest.anomalies_count").alias("told_anomalies"),
+    )
+    scores = read_csv_table(spark, f"{out}/top_if_anomalies").agg(F.count("*").alias("listed_scores"))
+    alerts = read_csv_table(spark, f"{out}/top_baseline_alerts").where("baseline_alert = '1'").agg(F.count("*").alias("listed_alerts"))
+    drawn = read_csv_table(spark, f"{out}/label_sample").agg(
+        F.count("*").alias("sampled"), F.count_if(F.expr("baseline_alert = '1' OR if_pred = '1'")).alias("sampled_suspicious")
+    )
+    joined = stored
+    for part in (told, scores, alerts, drawn):  # one row each
+        joined = joined.join(part, F.lit(True), "inner")
+    first = F.least(F.col("suspicious"), F.lit(40))
+    wanted = first + F.least(F.lit(80) - first, F.col("windows") - F.col("suspicious"))
+    return joined.select(
+        "windows", "alerts", "flagged", "listed_scores", "listed_alerts", "told_windows", "told_alerts", "told_attempts",
+        (F.col("told_anomalies") != F.col("anomalies")).cast("bigint").alias("told_otherwise"),
+        ((F.col("sampled") != wanted) | (F.col("sampled_suspicious") != first)).cast("bigint").alias("sampled_otherwise"),
+    )
+
+
 # --- whole runs over files --------------------------------------------------
 
 

@@ -15,6 +15,56 @@ _HASH_TIME = """strftime(ts, '%Y-%m-%dT%H:%M:%S')
     || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') END
     || '+00:00'"""
 
+# The time member of a line as the record shows it.
+_TIME_JSON = """CASE
+    WHEN event_id % 83 = 0 THEN regexp_replace((epoch_us(ts) // 1000000) || '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0'), '[.]?0+$', '')
+    WHEN event_id % 79 = 0 THEN '"' || strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || '+02:00"'
+    WHEN event_id % 77 = 0 THEN '"' || strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || '"'
+    ELSE '"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z"' END"""
+_ADDRESS_JSON = """'"' || CASE WHEN event_id % 71 = 0 THEN '10.0.0.999'
+    ELSE CASE WHEN event_id % 5 = 0 THEN '::ffff:' ELSE '' END || '10.0.' || (user_id % 8) || '.' || (user_id % 8 + 1) END || '"'"""
+_LOG_WORD = "CASE slot WHEN 0 THEN 'ftp.' WHEN 1 THEN 'ssh.' ELSE '' END || word"
+
+
+def _quoted(text: str) -> str:
+    return f"CAST(to_json({text}) AS VARCHAR)"
+
+
+def _members(**members: str) -> str:
+    """JSON object text; a member whose value is NULL is left out.  Name the members in order."""
+    return "'{' || concat_ws(',', " + ", ".join(f"""'"{key}":' || {value}""" for key, value in members.items()) + ") || '}'"
+
+
+_COWRIE_JSON = _members(
+    event_id="CASE WHEN event_id % 73 = 0 THEN id_json END",
+    eventid="CASE WHEN event_id % 73 = 0 THEN '\"\"' ELSE id_json END",
+    input=f"""CASE WHEN kind = 'view' THEN {_quoted(f"{_COMMAND} || CASE WHEN event_id % 11 = 0 THEN chr(1) || chr(10) ELSE '' END")} END""",
+    message=_quoted("'about [' || coalesce(uname, '') || '] é'"),
+    outfile="CASE WHEN kind = 'purchase' THEN '\"dl/f\"' END",
+    password=f"CASE WHEN pw_number THEN pw ELSE {_quoted('props')} END",
+    port="CASE WHEN event_id % 4 = 0 THEN '2222' END",
+    session=_quoted("sess"),
+    shasum=f"CASE WHEN kind = 'purchase' AND event_id % 3 <> 0 THEN {_quoted('md5(props)')} END",
+    src_host=f"CASE WHEN event_id % 61 = 0 THEN {_ADDRESS_JSON} END",
+    src_ip=f"CASE WHEN event_id % 61 = 0 THEN '\"\"' ELSE {_ADDRESS_JSON} END",
+    src_port="CASE WHEN event_id % 2 = 0 THEN '\"' || (40000 + event_id % 1000) || '\"' ELSE CAST(40000 + event_id % 1000 AS VARCHAR) END",
+    time=f"CASE WHEN event_id % 73 = 0 THEN {_TIME_JSON} END",
+    timestamp=f"CASE WHEN event_id % 73 = 0 THEN 'null' ELSE {_TIME_JSON} END",
+    url=_quoted("url"),
+    username=_quoted("coalesce(uname, '')"),
+)
+_SECRET = {"pass": f"CASE WHEN event_id % 3 = 0 THEN {_quoted('props')} END", "password": f"CASE WHEN event_id % 3 <> 0 THEN {_quoted('props')} END"}
+_OPENCANARY_JSON = _members(
+    dst_port="CASE slot WHEN 0 THEN '21' WHEN 1 THEN '22' WHEN 2 THEN '3306' ELSE '9999' END",
+    logdata=_members(dst_port="'1'", **_SECRET, username=_quoted("'u' || user_id")),
+    logtype=f"CASE WHEN word IS NULL THEN '2000' ELSE {_quoted(_LOG_WORD)} END",
+    **_SECRET,
+    src_host=_ADDRESS_JSON,
+    src_port="CAST(50000 + event_id % 1000 AS VARCHAR)",
+    username=f"coalesce({_quoted('uname')}, 'null')",
+    utc_time=_TIME_JSON,
+)
+
 BASE = f"""
 src AS (
   SELECT event_id, ts, user_id, event_type AS kind, props,
@@ -58,8 +108,12 @@ c1 AS (
          CASE WHEN event_id % 4 = 0 THEN 2222 END AS dst_port, sess AS session_id,
          {_sha16("u|", "uname")} AS username_hash, {_sha16("p|", "pw_used")} AS password_hash,
          CASE WHEN NOT pw_number THEN length(pw) END AS pass_len, CASE WHEN pw_used IS NOT NULL THEN bits END AS pass_entropy,
-         cmd AS command, url, CASE WHEN kind = 'purchase' THEN 'dl/f' END AS filename
-  FROM (SELECT *, CASE WHEN NOT (pw_number AND pw = '0') THEN pw END AS pw_used FROM c0 LEFT JOIN ent USING (pw))
+         cmd AS command, url, CASE WHEN kind = 'purchase' THEN 'dl/f' END AS filename,
+         CASE WHEN kind = 'purchase' AND event_id % 3 <> 0 THEN md5(props) END AS file_hash, {_COWRIE_JSON} AS raw_json
+  FROM (SELECT *, CASE WHEN NOT (pw_number AND pw = '0') THEN pw END AS pw_used,
+               CASE kind WHEN 'error' THEN '"cowrie.login.failed"' WHEN 'signup' THEN '"cowrie.login.success"' WHEN 'view' THEN '"cowrie.command.input"'
+                         WHEN 'purchase' THEN '"cowrie.session.file_download"' WHEN 'click' THEN '"cowrie.client.version"' END AS id_json
+        FROM c0 LEFT JOIN ent USING (pw))
   WHERE reason IS NULL),
 o1 AS (
   SELECT event_id, copies, ts AS ts_utc, 'opencanary' AS source,
@@ -74,7 +128,8 @@ o1 AS (
          CAST(NULL AS VARCHAR) AS session_id,
          {_sha16("u|", "uname")} AS username_hash, {_sha16("p|", "pw")} AS password_hash,
          length(pw) AS pass_len, bits AS pass_entropy,
-         CAST(NULL AS VARCHAR) AS command, CAST(NULL AS VARCHAR) AS url, CAST(NULL AS VARCHAR) AS filename
+         CAST(NULL AS VARCHAR) AS command, CAST(NULL AS VARCHAR) AS url, CAST(NULL AS VARCHAR) AS filename,
+         CAST(NULL AS VARCHAR) AS file_hash, {_OPENCANARY_JSON} AS raw_json
   FROM o0 LEFT JOIN ent USING (pw) WHERE reason IS NULL),
 cowrie AS (
   SELECT *, sha256(concat_ws('|', source, service, event_type, eventid, {_HASH_TIME.replace("ts", "ts_utc").replace("%Y-%m-%dT", "%Y-%m-%dT")},
