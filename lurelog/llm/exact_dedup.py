@@ -3,12 +3,14 @@
 Sampled splitters cut the space of normalised contents into ranges, every row
 goes to its range, each range is sorted externally by its whole text, and
 neighbours are compared in full.  Ranges and the rows in them follow one order:
-head of the text, SHA-256, whole text, identifier.  As it ends with the
-identifier, a group of copies of any size spreads over as many ranges as it has
-splitters; as equal texts are neighbours in it, only the runs that touch the
+head of the text, SHA-256, whole text, identifier, number of the row.  As it
+ends with that number, which no two rows share, a group of copies of any size
+spreads over as many ranges as it has splitters, also where its rows have one
+identifier or none; as equal texts are neighbours in it, only the runs that touch the
 ends of a range are joined afterwards, comparing their whole texts again.
 
-Only DataFrame functions run here.
+Rows are numbered as they are read, so give a written table: a task that runs
+again then numbers its rows as before.  Only DataFrame functions run here.
 
 Defined cases
     null text         counts as the empty text
@@ -21,6 +23,8 @@ Defined cases
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +36,10 @@ SAMPLED_PER_RANGE = 24
 RANGES_PER_PARTITION = 4
 #: Characters of the text in a splitter, before the digest that tells texts of one head apart.
 SPLITTER_HEAD = 64
+#: The sample is drawn by hash in steps of this part of all rows.
+SPAN = 1 << 40
 OUTPUT = ["keep_id", "group_size", "kept", "text_sha256"]
+KEY_TYPE = "struct<head: string, hash: string, nameless: boolean, id: bigint, nth: bigint>"
 
 
 def normalised(text: Column) -> Column:
@@ -44,22 +51,33 @@ def _digest(content: Column) -> Column:
     return F.sha2(F.encode(content, "utf-8"), 256)
 
 
-def _sort_key(content: Column, ident: Column) -> Column:
+def _sort_key(content: Column, ident: Column, nth: Column) -> Column:
     return F.struct(
         F.substring(content, 1, SPLITTER_HEAD).alias("head"),
         _digest(content).alias("hash"),
-        F.coalesce(ident, F.lit((1 << 63) - 1)).alias("id"),
+        ident.isNull().alias("nameless"),
+        F.coalesce(ident.cast("long"), F.lit(0)).alias("id"),
+        nth.alias("nth"),
     )
 
 
+def _numbered(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """``_id``, ``_text`` and ``_nth``, a number that no two rows share."""
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_nth"), *more)
+
+
 def splitters(df: DataFrame, text_col: str, id_col: str, ranges: int) -> list:
-    """At most ``ranges - 1`` keys in ascending order, taken from a sample of bounded size."""
+    """At most ``ranges - 1`` keys in ascending order, taken from a sample of bounded size.
+
+    Rows are drawn by their number, so rows that share identifier and text are drawn apart.
+    """
     rows = df.count()
     if rows == 0:
         return []
     share = min(1.0, SAMPLED_PER_RANGE * ranges / rows)
-    picked = df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    keys = picked.select(_sort_key(normalised(F.col(text_col)), F.col(id_col)).alias("k")).distinct().orderBy("k").collect()
+    drawn = F.pmod(F.xxhash64("_nth", F.lit(3)), F.lit(SPAN)) <= int(share * SPAN)
+    key = _sort_key(normalised(F.col("_text")), F.col("_id"), F.col("_nth"))
+    keys = _numbered(df, id_col, text_col).where(drawn).select(key.alias("k")).orderBy("k").collect()
     step = max(1, len(keys) // ranges)
     return [r.k for r in keys[step::step]][: ranges - 1]
 
@@ -68,10 +86,8 @@ def range_of(key: Column, cuts: list) -> Column:
     """The number of cuts that are not above the key, found by bisection."""
     if not cuts:
         return F.lit(0)
-    table = F.array(*[
-        F.struct(F.lit(c["head"]).alias("head"), F.lit(c["hash"]).alias("hash"), F.lit(c["id"]).cast("long").alias("id"))
-        for c in cuts
-    ])
+    # One constant, however many cuts there are: the optimizer reads the text once.
+    table = F.from_json(F.lit(json.dumps([c.asDict() for c in cuts])), f"array<{KEY_TYPE}>")
 
     def halve(key: Column, span: Column) -> Column:
         middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
@@ -99,13 +115,13 @@ def content_sort(df: DataFrame, id_col: str, text_col: str, carry: list[str]) ->
     spark = df.sparkSession
     ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = splitters(df, text_col, id_col, ranges)
-    named = [F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row")]
-    keyed = df.select(*named, _sort_key(normalised(F.col(text_col)), F.col(id_col)).alias("_key"))
+    rows = _numbered(df, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"))
+    keyed = rows.withColumn("_key", _sort_key(normalised(F.col("_text")), F.col("_id"), F.col("_nth")))
     placed = keyed.withColumn("_range", range_of(F.col("_key"), cuts)).withColumn("_sha256", F.col("_key.hash")).drop("_key")
     content = placed.repartition("_range").withColumn("_content", normalised(F.col("_text")))
     content = content.withColumn("_head", F.substring("_content", 1, SPLITTER_HEAD))
     # The order of the ranges, so that equal texts are neighbours across their ends too.
-    order = Window.partitionBy("_range").orderBy("_head", "_sha256", "_content", F.col("_id").asc_nulls_last())
+    order = Window.partitionBy("_range").orderBy("_head", "_sha256", "_content", F.col("_id").asc_nulls_last(), "_nth")
     previous, following = F.lag("_content").over(order), F.lead("_content").over(order)
     marked = content.select(
         "*",
