@@ -14,8 +14,9 @@ buckets fold on the next level, up to one for each source.  A hot source just
 has more buckets.  Each level is written, so only open documents move on, and
 what remains random for a source is less than one document.
 
-All draws are hashes of the documents' identifiers: reruns agree.  Only
-DataFrame functions run here.
+All draws are hashes of the documents' identifiers: reruns agree.  Documents
+without one are told apart by a written row number, so that they spread over
+buckets like others.  Only DataFrame functions run here.
 
 Defined cases
     null or blank text   size 0, takes nothing
@@ -145,8 +146,12 @@ def pivotal(docs: DataFrame, most_docs: int) -> DataFrame:
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
     """One row for each document: identifier, ``size``, ``source_size``, ``target`` and ``taken``."""
+    nth = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
     sizes = staged(
-        df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes"
+        df.select(
+            F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), nth.alias("nth")
+        ),
+        "mix-sizes",
     )
     targets = staged(source_targets(sizes, **shares), "mix-targets")
     most_docs = targets.agg(F.max("docs")).first()[0] or 0
@@ -154,8 +159,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     docs = sizes.join(named, F.col("source").eqNullSafe(F.col("named"))).drop("named")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     docs = docs.withColumn("ratio", ratio).withColumn("base", F.floor("ratio").cast("long"))
-    docs = docs.withColumn("mass", (F.col("ratio") - F.col("base")) * F.col("size")).withColumn("draw", F.xxhash64("id", "size", F.lit(SEED)))
-    docs = staged(docs.drop("ratio"), "mix-docs")
+    docs = docs.withColumn("mass", (F.col("ratio") - F.col("base")) * F.col("size")).withColumn("draw", F.xxhash64("id", "size", "nth", F.lit(SEED)))
+    docs = staged(docs.drop("ratio", "nth"), "mix-docs")
     open_docs = docs.where("mass > 0")
     rounded = pivotal(open_docs, most_docs).select("source", "id", "size", "base", F.col("up").cast("long").alias("up"))
     plain = docs.where("mass <= 0").select("source", "id", "size", "base", F.lit(0).cast("long").alias("up"))
