@@ -125,10 +125,11 @@ def write_tokens(
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    order = F.col("id").asc_nulls_last()
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # Rows of one identifier, or without any, follow each other as they are read and spread over parts like others.
+    order = [F.col("id").asc_nulls_last(), F.col("nth").asc()]
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("nth"))
     # Identifiers pass through Python as text: a column of numbers with a null would turn into floats there.
-    ranged = docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("id", F.col("id").cast("string"))
+    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("id").cast("string").alias("id"), "text")
     schema = "part int, block int, before long, docs array<string>, lengths array<int>, raw binary, tally binary"
     raw = staged(ranged.mapInPandas(_blocks(tokenizer, vocabulary, dtype), schema), "token-blocks")
     sizes = staged(raw.where("block = -1").select("part", "before", "tally"), "token-counts")
