@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 from lurelog.llm import components, exact_dedup, mixing, simhash
+from lurelog.staging import staged
 from pyspark.sql import functions as F
 
 BLANK = re.compile("[\x20\x09-\x0d]+")
@@ -59,6 +60,26 @@ def test_exact_dedup_of_a_hot_text_among_near_copies(spark):
         spark.conf.set("spark.sql.shuffle.partitions", parted)
 
 
+def test_exact_dedup_of_rows_without_identifiers(spark):
+    # Equal rows, all without identifier, are told apart by the row alone.
+    hot = spark.range(20000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "if(id % 3 < 2, 'same text', concat('t', id)) AS text")
+    hot = staged(hot, "nameless")
+    placed = exact_dedup.content_sort(hot, "doc_id", "text", ["doc_id"])
+    assert placed.groupBy("_range").count().agg(F.max("count")).first()[0] < 5000
+    found = exact_dedup.exact_dedup(hot)
+    assert found.where("text = 'same text'").select("keep_id", "group_size").distinct().collect() == [(None, 13334)]
+    assert found.where("kept").count() == exact_dedup.first_of_each(hot).count() == 1 + 6666
+
+
+def test_cuts_are_one_constant(spark):
+    rows = spark.range(4000).selectExpr("id AS _id", "concat('\"t\\u0001é\\n', id) AS _text", "id AS _nth")
+    keyed = rows.select(exact_dedup._sort_key(F.col("_text"), F.col("_id"), F.col("_nth")).alias("k"))
+    cuts = [r.k for r in keyed.orderBy("k").collect()]
+    placed = keyed.withColumn("range", exact_dedup.range_of(F.col("k"), cuts)).orderBy("k")
+    assert "from_json" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.range for r in placed.collect()] == list(range(1, 4001))
+
+
 def test_empty_tables(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
     assert simhash.near_components(empty).count() == 0
@@ -166,6 +187,13 @@ def test_mixing(awkward, docs):
     assert by_id and all(abs(taken[s] - target[s]) <= largest[s] + 1e-6 for s in sizes)
 
 
+def test_mixing_of_rows_without_identifiers(spark):
+    docs = spark.range(21000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'three words here' AS text", "concat('s', id % 3) AS source")
+    found = mixing.mix(staged(docs, "nameless")).groupBy("target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    assert sorted(r.n for r in found) == [7000] * 3 and sum(r.target for r in found) == pytest.approx(94500)
+    assert all(abs(r.taken - r.target) <= 3 for r in found)
+
+
 def test_mixing_keeps_expectations(spark):
     # Many equal documents of one hot source: the words taken are within one document of the target.
     rows = spark.range(4000).selectExpr("id AS doc_id", "repeat('w ', 10) AS text", "CASE WHEN id % 4 = 0 THEN 'b' ELSE 'a' END AS source")
