@@ -360,3 +360,19 @@ def test_tables_of_the_catalog(spark, events):
         assert load_table(spark, "events", "/nowhere", prefer="catalog").count() == 5
     finally:
         spark.catalog.dropTempView("events")
+
+
+def test_parts_for_counting_terms_hold_the_same_text_at_any_size(spark):
+    held = []
+    for n in (200, 2000):
+        docs = spark.range(n).selectExpr("id AS doc_id", "repeat('word ', 100) AS text")
+        parts = skew.by_size(docs, "doc_id", "text", piece=4000).withColumn("part", F.spark_partition_id())
+        held.append(parts.groupBy("part").agg(F.sum(F.length("text")).alias("n")).agg(F.max("n")).first()[0])
+    assert held[1] < 3 * held[0]
+    empty = spark.createDataFrame([], "doc_id BIGINT, text STRING")
+    assert skew.by_size(empty, "doc_id", "text").count() == 0
+
+
+def test_documents_are_dealt_by_their_size(spark, monkeypatch):
+    monkeypatch.setattr(skew, "by_size", lambda df, key, text: df.repartition(37, key))
+    assert catalog.plain_docs(spark, SF).rdd.getNumPartitions() == 37
