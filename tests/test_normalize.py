@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lurelog.functions import addresses, text, times
 from lurelog.operators import normalize as nz
 from lurelog.sources import logs
+from lurelog.workload import catalog
 
 T = "2025-01-02T03:04:05.678901Z"
 
@@ -200,3 +201,19 @@ def test_tokens_and_terms(spark):
     assert docs == ["/bin/ls wget", ""]
     terms = spark.createDataFrame([(d,) for d in docs], "d STRING").selectExpr(text.doc_terms("d")).collect()
     assert terms[0][0] == ["bin", "ls", "wget", "bin ls", "ls wget"] and terms[1][0] == []
+
+
+def test_every_member_is_read_once(lines):
+    for make, keys, nested in (
+        (nz.normalize_cowrie, nz.INTERACTIVE_KEYS, 0), (nz.normalize_opencanary, nz.LOW_INTERACTION_KEYS, 1),
+    ):
+        made = make(lines("{}"), salt="s", redact_free_text=True)
+        casts = made._jdf.queryExecution().optimizedPlan().toString().count("try_variant_get")
+        members = len({key for names in keys.values() for key in names})
+        assert casts <= members * (1 + nested)  # a nested member is looked up before
+
+
+def test_log_lines_are_spelled_without_lambda_functions(spark):
+    frame = catalog.lines(catalog.configure(spark), "/root/testdata/sf0.001")["cowrie"]
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("to_json") <= 5  # only texts that may need escapes
