@@ -116,7 +116,7 @@ def read_events(spark: SparkSession, path: str, dated: bool = False) -> DataFram
 
 
 def replace_days(rows: DataFrame, path: str, folders: list[str] | None = None) -> None:
-    """Replace the days that ``rows`` have, and only those; give it staged rows."""
+    """Replace the days that ``rows`` have, and only those; ``rows`` must not read ``path``."""
     folders = folders or ["event_date"]
     rows.hint("rebalance", *folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
 

@@ -142,3 +142,17 @@ def test_streamed_login_counts(spark, raw):
     wanted = plain.groupBy(F.date_trunc("day", "ts_utc").alias("window_start"), "source", "service", "src_ip_hash").agg(
         F.count("*").alias("attempts"), F.count_if(F.col("event_type") == "login_success").alias("success_count"))
     assert rows(spark.table("counts")) == rows(wanted)
+
+
+def test_a_batch_stages_only_what_it_reads_again(spark, raw, monkeypatch):
+    labels_of = []
+
+    def noted(df, label, *rest):
+        labels_of.append(label)
+        return staged(df, label, *rest)
+
+    monkeypatch.setattr(increment, "staged", noted)
+    root = new_path(spark, "increments")
+    for _ in range(2):
+        increment.curate_batch(spark, raw, root)
+    assert set(labels_of) <= {"batch-events", "batch-merged", "login-days", "login-history", "carried-logins"}
