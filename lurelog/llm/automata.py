@@ -207,21 +207,18 @@ class Chain:
     def __init__(self, alphabet: bytes, counts: np.ndarray):
         self.size = len(alphabet) + 1
         self.place = {chr(c): k + 1 for k, c in enumerate(alphabet)}
-        self.behind_two = counts.reshape(self.size, self.size, self.size).astype(float)
-        self.behind_one = self.behind_two.sum(0)
-        self.alone = self.behind_one.sum(0)
+        behind_two = counts.reshape(self.size, self.size, self.size).astype(float)
+        behind_one = behind_two.sum(0)
+        share = np.full(self.size, 1 / self.size)
+        for seen in (behind_one.sum(0), behind_one, behind_two):
+            whole = seen.sum(-1, keepdims=True)
+            share = (np.maximum(seen - 1, 0) + self.TRUST * share) / (np.maximum(whole - 1, 0) + self.TRUST)
+        #: Bits of the last of three places by all that was counted but one occurrence of them.
+        self.bits = np.log2(share)
 
     def likelihood(self, run: str, begin: int, end: int) -> float:
         """Bits of ``run[begin:end]`` between its neighbours in the run, by all that was counted but this occurrence."""
         around = [0, 0, *map(self.place.__getitem__, run[max(0, begin - 2) : end + 1]), 0]
         at = 2 + min(begin, 2)
         places = np.array(around[at - 2 : at + end - begin + 1])
-        a, b, c = places[:-2], places[1:-1], places[2:]
-        share = np.full(len(c), 1 / self.size)
-        for seen, whole in (
-            (self.alone[c], self.alone.sum()),
-            (self.behind_one[b, c], self.behind_one.sum(1)[b]),
-            (self.behind_two[a, b, c], self.behind_two[a, b].sum(1)),
-        ):
-            share = (np.maximum(seen - 1, 0) + self.TRUST * share) / (np.maximum(whole - 1, 0) + self.TRUST)
-        return float(np.log2(share).sum())
+        return float(self.bits[places[:-2], places[1:-1], places[2:]].sum())

@@ -285,3 +285,22 @@ def test_a_long_run_is_scanned_in_linear_time():
     begin = time.process_time()
     secrets.parts(0, run, [], [(automaton, IMPOSSIBLE, 1e9)], chain)
     assert time.process_time() - begin < 6  # about two seconds on a free machine
+
+
+def test_background_likelihood_leaves_out_one_occurrence():
+    size, trust = len(secrets.CANDIDATE) + 1, secrets.Chain.TRUST
+    chain = chain_of([secrets.background(t, []) for t in ["abab abc", "abab cab"]])
+    place = {chr(c): k + 1 for k, c in enumerate(secrets.CANDIDATE)}
+    seen = [tuple(place.get(c, 0) for c in t) for t in ["  a", " ab", "aba", "bab", "ab ", "  a", " ab", "abc", "bc "]]
+    seen += [tuple(place.get(c, 0) for c in t) for t in ["  a", " ab", "aba", "bab", "ab ", "  c", " ca", "cab", "ab "]]
+    expected = 0.0
+    for now in [tuple(place.get(c, 0) for c in t) for t in ["aba", "bab", "ab "]]:
+        share = 1 / size
+        for known in (0, 1, 2):
+            begin = now[2 - known : 2]
+            whole = [t for t in seen if t[2 - known : 2] == begin]
+            share = (max(whole.count(now) if known == 2 else sum(t[2] == now[2] for t in whole), 1) - 1 + trust * share) / (
+                max(len(whole), 1) - 1 + trust
+            )
+        expected += np.log2(share)
+    assert abs(chain.likelihood("abab", 2, 4) - expected) < 1e-9
