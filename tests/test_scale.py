@@ -50,6 +50,21 @@ def test_gaps_of_hot_keys_and_bursts(spark):
     assert largest < 1000  # a fraction of the hot key
 
 
+def test_ranges_are_found_without_interpreted_loops(spark):
+    cuts = [3, 4, 10, 11, 50]
+    made = ", ".join(f"struct({cut}L AS a)" for cut in cuts)
+    keys = spark.range(60).selectExpr("struct(id AS a) AS at", f"array({made}) AS cuts")
+    placed = skew.with_range(keys, "at", "cuts", "n")
+    assert [r["n"] for r in placed.orderBy("at").collect()] == [sum(c <= i for c in cuts) for i in range(60)]
+    logins = spark.range(100).selectExpr("timestamp_micros(id) AS t", "concat('k', id % 3) AS k")
+    assert "lambda" not in plan_of(skew.with_previous(logins, ["k"], ["t"], "t", "before"))
+
+
+def test_methods_that_the_jvm_would_interpret_are_not_used(spark):
+    catalog.configure(spark)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
 def test_positions_of_a_hot_key(spark):
     base = spark.range(2000).selectExpr("CASE WHEN id % 10 < 8 THEN 'hot' ELSE concat('k', id % 7) END AS k", "id * 37 % 2003 AS at")
     whole = Window.partitionBy("k").orderBy("at")
