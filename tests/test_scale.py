@@ -2,6 +2,9 @@
 
 import json
 import math
+import os
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -234,6 +237,46 @@ def test_vectors_clusters_and_projection(spark):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def said(spark):
+    """Documents with repeated and null identifiers, null and empty texts, and what they count by plain code."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(w)}" for w in rng.zipf(1.4, 30) if w < 500) for _ in range(80)] + [None, "", "x", "only-here é-ab a"]
+    ids = [None if i % 29 == 7 else i - i % 2 if i < 20 else i for i in range(len(texts))]
+    counts = Counter()
+    for doc_id, text in zip(ids, texts):
+        words = re.findall(r"\b([a-zA-Z0-9_\-]{2,})\b", text or "")
+        counts.update((doc_id, term) for term in [*words, *map(" ".join, zip(words, words[1:]))])
+    df = Counter(term for _, term in counts)
+    raw = {k: tf * (math.log((1 + len(texts)) / (1 + df[k[1]])) + 1) for k, tf in counts.items() if 2 <= df[k[1]] <= 0.8 * len(texts)}
+    norms = Counter()
+    for (doc_id, _), value in raw.items():
+        norms[doc_id] += value * value
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id LONG, doc STRING")
+    return docs, {k: value / math.sqrt(norms[k[0]]) for k, value in raw.items()}
+
+
+def test_weights_of_documents_in_parts(spark):
+    docs, wanted = said(spark)
+    parts = skew.dealt(docs, "doc_id", "doc", 300)
+    tokens = clusters.doc_tokens(parts)
+    assert len(tokens.schema["part"].metadata["labels"]) > 20
+    assert parts.groupBy(F.spark_partition_id()).agg(F.count_distinct("part").alias("n")).agg(F.max("n")).first()[0] == 1
+    matrix = clusters.term_matrix(tokens, docs.count(), **catalog.TERMS)
+    found = {(r.doc_id, r.term): r.weight for r in matrix.named().collect()}
+    assert found.keys() == wanted.keys() and all(abs(found[k] - wanted[k]) < 1e-12 for k in wanted)
+    assert matrix.weights.count() == len(wanted) and matrix.terms.count() == len({t for _, t in wanted})
+    none = clusters.term_matrix(clusters.doc_tokens(skew.dealt(docs.limit(0), "doc_id", "doc")), 0, **catalog.TERMS)
+    assert none.named().count() == 0
+
+
+def test_no_row_of_a_document_and_a_term_is_shuffled_or_written(spark):
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    found = catalog.QUERIES["session_tfidf"](spark, SF)
+    keys = set(re.findall(r"hashpartitioning\((\w+)#", plan_of(found)))
+    assert found.count() and keys == {"part", "bucket"}
+    assert set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) == before
+
+
 @pytest.mark.parametrize("k", [3, 6])
 def test_kmeans_ends_where_no_document_is_nearer_to_another_centre(spark, k):
     # A vocabulary of a million terms, most of them in one document.
