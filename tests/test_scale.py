@@ -277,6 +277,26 @@ def test_no_row_of_a_document_and_a_term_is_shuffled_or_written(spark):
     assert set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) == before
 
 
+@pytest.mark.parametrize("likely", [0, 1 / 200, 0.2, 100])
+def test_heaviest_terms_of_documents_in_parts(spark, monkeypatch, likely):
+    # Too high a first bound leaves out terms, so a second pass must find them.
+    monkeypatch.setattr(clusters, "LIKELY_PART", likely)
+    docs, weights = said(spark)
+    ids = [r.doc_id for r in docs.collect()]
+    given = [(i, None if i % 31 == 3 else i % 3) for i in ids if i is not None] + [(4, 2), (4, 2), (None, 1), (999, 0)]
+    totals = Counter()
+    for doc_id, cluster in given:
+        for (other, term), weight in weights.items():
+            if doc_id is not None and cluster is not None and other == doc_id:
+                totals[cluster, term] += weight
+    matrix = clusters.term_matrix(clusters.doc_tokens(skew.dealt(docs, "doc_id", "doc", 300)), docs.count(), **catalog.TERMS)
+    found = clusters.top_terms(matrix, spark.createDataFrame(given, "doc_id INT, cluster INT"), 7).collect()
+    assert {r.cluster: r.n_sessions for r in found} == Counter(c for _, c in given)
+    for r in found:
+        best = sorted((-round(v, 9), t) for (c, t), v in totals.items() if c == r.cluster)[:7]
+        assert r.top_terms == (", ".join(t for _, t in best) or None)
+
+
 @pytest.mark.parametrize("k", [3, 6])
 def test_kmeans_ends_where_no_document_is_nearer_to_another_centre(spark, k):
     # A vocabulary of a million terms, most of them in one document.
