@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lurelog.operators.skew import part_of
 
 #: Parts whose lists together have about as many terms as one range of hashes.
-PARTS_PER_RANGE = 4
+PARTS_PER_RANGE = 2
 HASH_KEY, CHECK_KEY = "terms of a part.", "as a second name"
 
 
@@ -48,7 +48,8 @@ class DealtTerms(NamedTuple):
             lambda tokens: _lists(_split(tokens), tokens["part"][0].as_py(), buckets),
             "part int, bucket int, hashes binary, checks binary, counts binary",
         )
-        return named.groupBy("bucket").applyInArrow(
+        # As many partitions as ranges, so that no task grows with the table.
+        return named.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
             lambda lists: _summed_lists(lists, least, most), "part int, bucket int, df binary"
         )
 
